@@ -34,11 +34,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
     at = fresh_dir(spark, name)
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

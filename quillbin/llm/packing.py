@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from quillbin.llm.common import table
-from quillbin.llm.tokens import default_path, encoder
+from quillbin.llm.tokens import batches, default_path, encoder
 
 WINDOW = 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,10 +142,10 @@ def packed(docs: DataFrame, window: int = WINDOW, end_id: int = 1, path: str | N
         own, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 36)
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
         for part in parts:
-            for i in range(0, part.num_rows, 256):
-                some = part.slice(i, 256)
+            doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for some in batches(texts):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(doc_ids[some], own.encode(texts[some]), strict=True):
                     ids = np.concatenate((ids, end))
                     rows += packer.add(Piece(doc_id, 0, ids, len(ids)))
                 if rows:

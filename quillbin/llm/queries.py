@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillbin.llm import packing, simhash, token_files
+from quillbin.llm import packing, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op3_token_files": token_files.op3,
+    "op7_suffix_dedup": suffix_dedup.op7,
     "op9_packing": packing.op9,
 }
 

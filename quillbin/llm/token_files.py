@@ -1,19 +1,23 @@
 """Token files: frequency-ranked ids in byte-aligned variable-length coding.
 
 Ids are replaced by their rank in the corpus (most frequent first), so that most take one
-byte.  A block holds a run of documents: 2-bit byte counts of four ids in each control
-byte, kept apart from the data bytes, so that decoding is a lookup of control bytes in a
-table, a running sum and four gathers.
+byte.  A document is coded once, as 2-bit byte counts of four ids in each control byte,
+kept apart from its data bytes; the coded documents are dealt out by ranges of doc_id and
+joined up to blocks.  Decoding a block is a lookup of control bytes in a table, a running
+sum and four gathers.
 
     file   := b"QTF1" block*
     block  := n_docs u32, n_ids u32, n_control u32, n_data u32,
               doc ids i64[n_docs], present u8[n_docs], ids of each document u32[n_docs],
               control u8[n_control], data u8[n_data]
+    control of a document := ceil(ids / 4) bytes
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -25,10 +29,12 @@ from pyspark.sql import functions as F
 
 from quillbin.llm.common import fresh_dir, materialize, table
 from quillbin.llm.files import open_part, write_part
-from quillbin.llm.tokens import default_path, encoder
+from quillbin.llm.tokens import batches, default_path, encoder
 
 MAGIC = b"QTF1"
 BLOCK_IDS = 1 << 18
+#: About so many ids go to a file.
+FILE_IDS = 6_000_000
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -45,95 +51,83 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return control.astype(np.uint8), data
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    size = LENGTHS[control].ravel()[:n]
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of documents with these counts, end to end."""
+    quads = -(-counts // 4)
+    pad = quads * 4 - counts
+    # the place of each value among the quads' four, without those that fill up a document's last quad
+    own = np.arange(counts.sum()) + np.repeat(np.cumsum(pad) - pad, counts)
+    size = LENGTHS[control].ravel()[own]
     at = np.cumsum(size, dtype=np.int64) - size
-    out = np.zeros(n, np.uint32)
+    out = np.zeros(len(size), np.uint32)
     for k in range(4):
         has = size > k
         out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
-def write_blocks(out, docs: Iterator[tuple[int | None, np.ndarray]], block_ids: int = BLOCK_IDS) -> tuple[int, int]:
-    """docs: (doc_id, ranks).  Returns documents and ids written."""
-    out.write(MAGIC)
-    total = [0, 0]
-
-    def flush(ids: list[int | None], ranks: list[np.ndarray]) -> None:
-        values = np.concatenate(ranks)
-        control, data = pack(values)
-        out.write(np.array([len(ids), len(values), len(control), len(data)], "<u4").tobytes())
-        out.write(np.array([i or 0 for i in ids], "<i8").tobytes())
-        out.write(np.array([i is not None for i in ids], np.uint8).tobytes())
-        out.write(np.array([len(r) for r in ranks], "<u4").tobytes())
-        out.write(control.tobytes())
-        out.write(data.tobytes())
-        total[0] += len(ids)
-        total[1] += len(values)
-
-    ids: list[int | None] = []
-    ranks: list[np.ndarray] = []
-    held = 0
-    for i, r in docs:
-        ids.append(i)
-        ranks.append(r)
-        held += len(r)
-        if held >= block_ids:
-            flush(ids, ranks)
-            ids, ranks, held = [], [], 0
-    if ids:
-        flush(ids, ranks)
-    return total[0], total[1]
+def write_block(out, docs: list[tuple[int | None, int, bytes, bytes]]) -> None:
+    """docs: (doc_id, ids, control, data)."""
+    ids, counts, control, data = zip(*docs, strict=True)
+    out.write(np.array([len(ids), sum(counts), sum(map(len, control)), sum(map(len, data))], "<u4").tobytes())
+    out.write(np.array([i or 0 for i in ids], "<i8").tobytes())
+    out.write(np.array([i is not None for i in ids], np.uint8).tobytes())
+    out.write(np.array(counts, "<u4").tobytes())
+    out.write(b"".join(control))
+    out.write(b"".join(data))
 
 
 def read_blocks(stream) -> Iterator[tuple[int | None, np.ndarray]]:
     if bytes(stream.read(4)) != MAGIC:
         raise ValueError("not a token file")
     while head := bytes(stream.read(16)):
-        n_docs, n_ids, n_control, n_data = np.frombuffer(head, "<u4").tolist()
+        n_docs, _, n_control, n_data = np.frombuffer(head, "<u4").tolist()
         ids = np.frombuffer(stream.read(8 * n_docs), "<i8").tolist()
         present = np.frombuffer(stream.read(n_docs), np.uint8).tolist()
-        counts = np.frombuffer(stream.read(4 * n_docs), "<u4")
+        counts = np.frombuffer(stream.read(4 * n_docs), "<u4").astype(np.int64)
         control = np.frombuffer(stream.read(n_control), np.uint8)
-        values = unpack(control, np.frombuffer(stream.read(n_data), np.uint8), n_ids)
+        values = unpack(control, np.frombuffer(stream.read(n_data), np.uint8), counts)
         yield from zip([i if p else None for i, p in zip(ids, present, strict=True)], np.split(values, np.cumsum(counts)[:-1]), strict=True)
 
 
 def tokenized(docs: DataFrame, end_id: int, path: str, name: str = "tokens") -> DataFrame:
-    """``docs(doc_id, text)`` to a table ``(doc_id, ids binary)`` of little-endian uint32 ids, end_id last."""
-    end = np.array([end_id], np.uint32)
+    """``docs(doc_id, text)`` to a table ``(doc_id, ids binary)`` of little-endian ids, end_id last, two bytes each where the vocabulary allows, else four."""
+    kind = id_type(path, end_id)
+    end = np.array([end_id], kind)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for part in parts:
-            for i in range(0, part.num_rows, 256):
-                some = part.slice(i, 256)
-                ids = [np.concatenate((x, end)).tobytes() for x in own.encode(some.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            texts = part.column(1).to_pylist()
+            for some in batches(texts):
+                ids = [np.concatenate((x.astype(kind), end)).tobytes() for x in own.encode(texts[some])]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(some.start, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), name)
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"), name, "zstd")
 
 
-def frequency_ranks(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of each id, id of each rank) over all documents; as long as the vocabulary, which bounds it."""
+def id_type(path: str, *more: int) -> str:
+    return "<u2" if max(encoder(path).tokenizer.get_vocab_size() - 1, *more) < 1 << 16 else "<u4"
+
+
+def frequency_ranks(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rank of each id, id of each rank, number of ids) over all documents; as long as the vocabulary, which bounds it."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for part in parts:
-            for ids in part.column(0):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), np.uint32))
-                if len(got) > len(n):
-                    n = np.concatenate((n, np.zeros(len(got) - len(n), np.int64)))
-                n[: len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind))
+            if len(got) > len(n):
+                n = np.concatenate((n, np.zeros(len(got) - len(n), np.int64)))
+            n[: len(got)] += got
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["id", "n"])
 
     rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    by_rank = rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy()
+    by_rank = rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
     rank = np.zeros((by_rank.max() if len(by_rank) else -1) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
-    return rank, by_rank.astype(np.uint32)
+    return rank, by_rank.astype(np.uint32), int(rows["n"].sum())
 
 
 def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str | None = None) -> tuple[DataFrame, np.ndarray]:
@@ -144,32 +138,45 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str |
     doc_id in the order of their ids' hash.  A null or empty text is the end id alone.
     """
     spark = docs.sparkSession
-    tokens = tokenized(docs, end_id, path or default_path())
-    rank, by_rank = frequency_ranks(tokens)
+    path = path or default_path()
+    kind = id_type(path, end_id)
+    tokens = tokenized(docs, end_id, path)
+    rank, by_rank, total = frequency_ranks(tokens, kind)
     shared = spark.sparkContext.broadcast(rank)
+    n = max(1, -(-total // FILE_IDS))
+    edges = tokens.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    edges = np.array(edges or [], np.int64)  # one number for each file
 
-    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = next(parts, None)
-        if part is None:
-            return
-        shard = TaskContext.get().partitionId()
+    def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
+        for part in parts:
+            ids = part.column(0)
+            shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+            shard[ids.is_null().to_numpy(zero_copy_only=False)] = len(edges)
+            coded = [(len(raw := np.frombuffer(x, kind)), *pack(rank[raw])) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array([c[0] for c in coded], pa.int64()), pa.array([c[1].tobytes() for c in coded], pa.binary()), pa.array([c[2].tobytes() for c in coded], pa.binary())], ["shard", "doc_id", "n", "control", "data"])
 
-        def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            batch = part
-            while batch is not None:
-                for i, ids in zip(batch.column(0), batch.column(1), strict=True):
-                    yield i.as_py(), rank[np.frombuffer(ids.as_buffer(), np.uint32)]
-                batch = next(parts, None)
-
-        out, file = write_part(folder, shard, ".qtf")
-        with out:
-            n_docs, n_ids = write_blocks(out, rows())
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "n_docs": [n_docs], "n_ids": [n_ids]})
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_id = [F.asc_nulls_last("doc_id"), F.xxhash64("ids")]
-    ordered = tokens.repartitionByRange(n, *by_id).sortWithinPartitions(*by_id)
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r["shard"], r["doc_id"], r["n"], r["control"], r["data"]) for part in parts for r in part.to_pylist())
+        for shard, own in groupby(rows, itemgetter(0)):
+            out, file = write_part(folder, shard, ".qtf")
+            n_docs = n_ids = held = 0
+            with out:
+                out.write(MAGIC)
+                block: list[tuple] = []
+                for _, *doc in own:
+                    block.append(tuple(doc))
+                    held += doc[1]
+                    n_docs, n_ids = n_docs + 1, n_ids + doc[1]
+                    if held >= BLOCK_IDS:
+                        write_block(out, block)
+                        block, held = [], 0
+                if block:
+                    write_block(out, block)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "n_docs": [n_docs], "n_ids": [n_ids]})
+
+    coded = tokens.mapInArrow(code, "shard int, doc_id long, n long, control binary, data binary")
+    ordered = coded.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), F.xxhash64("control", "data"))
     files = materialize(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "token-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), by_rank

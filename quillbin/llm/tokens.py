@@ -3,31 +3,43 @@
 from __future__ import annotations
 
 import os
-from array import array
-from collections.abc import Iterable
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Marks split off the end of a word after a letter or digit, where the pre-tokenizer always cuts.
-MARKS = ".,;:!?|*$%&#"
 #: Words kept by one worker; beyond it the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_600_000
+#: Stands between pieces; a text that holds it is encoded in one piece.
+CUT = "\x1f"
+#: A cut that does not follow a letter or digit (of those that need no look at the Unicode tables).
+DOUBTFUL = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ]\x1f[,.]")
 
 
-def plain(text: str) -> bool:
-    """Whether white space is only single spaces and line feeds between words; else a text is encoded in one piece."""
-    if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\u180e", "\u200b", "\ufeff")):
+def even(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between words."""
+    if not text or CUT in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\u180e" in text:
         return False
-    return text.count(" ") + text.count("\n") + 1 == len(text.split())
+    return not (text[0].isspace() or text[-1].isspace()) and text.count(" ") + text.count("\n") + 1 == len(text.split())
+
+
+def with_cuts(text: str) -> str:
+    """CUT before each space, around each line feed, and before a mark that ends a word."""
+    marked = text.replace(", ", "\x1f, ").replace(". ", "\x1f. ").replace(".\n", "\x1f.\n")
+    if DOUBTFUL.search(marked):
+        marked = text
+    return marked.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f")
 
 
 class Encoder:
     """``encode(texts)`` gives each text's ids as uint32, equal to encoding the whole text.
 
-    The byte-level pre-tokenizer always cuts before a white-space character that follows
-    another character, and a single space goes with the word after it, so the ids of a
-    text are those of its words, each with the space before it.  Words are encoded by
-    the library once and kept.
+    The byte-level pre-tokenizer always cuts before a space that stands between two other
+    characters, around a single line feed and between a letter or digit and a mark, so the
+    ids of a text are those of such pieces.  New pieces are encoded by the library many at
+    a time: joined to one text, in which a piece begins where an id's bytes begin with a
+    space or, for pieces without one, after each line feed put between them.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -37,53 +49,68 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache_words = cache_words
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.line_feed = self.whole(["\n"])[0]
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, cache: dict[str, bytes], words: Iterable[str], before: str) -> None:
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > self.cache_words:
-            cache.clear()
-            new = list(words)
-        stems = {w: s for w in new if (s := w.rstrip(MARKS)) != w and s and s[-1].isalnum()}
-        own = [*({*new, *stems.values()} - stems.keys() - cache.keys())]
-        for i in range(0, len(own), 10_000):
-            part = own[i : i + 10_000]
-            cache.update(zip(part, self.whole([before + w for w in part]), strict=True))
-        if ends := [*({w[len(s) :] for w, s in stems.items()} - self.marks.keys())]:
-            self.marks.update(zip(ends, self.whole(ends), strict=True))
-        for w, s in stems.items():
-            cache[w] = cache[s] + self.marks[w[len(s) :]]
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([self.tokenizer.id_to_token(i).startswith("Ġ") for i in range(size)])
+        self.line_feed = np.array([self.tokenizer.id_to_token(i) == "Ċ" for i in range(size)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {"\n": 0, "": 1}
+        self.start = np.zeros(2, np.int64)
+        self.count = np.array([1, 0], np.int32)
+        self.ids = np.flatnonzero(self.line_feed).astype(np.uint32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def store(self, words: list[str], between: str, heads: np.ndarray, drop: int) -> None:
+        """Encodes new words with ``between`` before each; heads marks the ids that begin one, of which the first ``drop`` are not its own."""
+        if not words:
+            return
+        ids = np.concatenate(self.whole(["".join(between + w for w in words[i : i + 2000]) for i in range(0, len(words), 2000)]))
+        head = np.flatnonzero(heads[ids])
+        if len(head) != len(words):
+            raise ValueError("the tokenizer does not cut where words are joined")
+        n = len(self.start)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.start = np.concatenate((self.start, len(self.ids) + head + drop))
+        self.count = np.concatenate((self.count, (np.diff(np.append(head, len(ids))) - drop).astype(np.int32)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The place of each word in the cache."""
+        get = self.known.get
+        at = [get(w, -1) for w in words]
+        new = [w for w, k in zip(words, at, strict=True) if k < 0]
+        if not new:
+            return np.array(at, np.int64)
+        if len(self.known) + len(new) > self.cache_words and len(self.known) > 2:
+            self.clear()
+            return self.learn(words)
+        self.store([w for w in new if w[0] == " "], "", self.spaced, 0)
+        self.store([w for w in new if w[0] != " "], "\n", self.line_feed, 1)
+        get = self.known.get
+        return np.array([get(w) for w in words], np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
-        lines = [[x.split(" ") for x in t.split("\n")] if plain(t) else None for t in texts]
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        for doc in lines:
-            for line in doc or ():
-                bare.add(line[0])
-                spaced.update(line[1:])
-        self.learn(self.spaced, spaced, " ")
-        self.learn(self.bare, bare, "")
-        out = []
-        own, first = self.spaced.__getitem__, self.bare.__getitem__
-        for text, doc in zip(texts, lines, strict=True):
-            if doc is None:
-                out.append(np.frombuffer(self.whole([text])[0], np.uint32))
-                continue
-            parts: list[bytes] = []
-            for i, line in enumerate(doc):
-                if i:
-                    parts.append(self.line_feed)
-                parts.append(first(line[0]))
-                parts.extend(map(own, line[1:]))
-            out.append(np.frombuffer(b"".join(parts), np.uint32))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        own = [i for i, t in enumerate(texts) if even(t)]
+        odd = [*({*range(len(texts))} - {*own})]
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        if not own:
+            return out
+        pieces = pc.split_pattern(pa.array([with_cuts(texts[i]) for i in own], pa.large_string()), CUT)
+        edges = np.asarray(pieces.offsets)
+        words = pieces.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        at = self.learn(words.dictionary.to_pylist())[np.asarray(words.indices)]
+        count = self.count[at]
+        ends = np.cumsum(count, dtype=np.int64)
+        flat = self.ids[np.repeat(self.start[at] - ends + count, count) + np.arange(ends[-1])]
+        cut = np.concatenate(([0], ends))[edges - edges[0]].tolist()
+        for k, i in enumerate(own):
+            out[i] = flat[cut[k] : cut[k + 1]]
         return out
 
 
@@ -97,6 +124,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def batches(texts: list[str | None], chars: int = 4 << 20) -> list[slice]:
+    """Consecutive texts of about so many characters."""
+    edges, held = [0], 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= chars:
+            edges.append(i + 1)
+            held = 0
+    if edges[-1] != len(texts):
+        edges.append(len(texts))
+    return [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def default_path() -> str:
     import public_tokenizers
 
