@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quillbin.llm import packing, simhash, suffix_dedup, token_files
+from quillbin.llm import line_rules, packing, quality, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op3_token_files": token_files.op3,
+    "op6_toxicity": toxicity.op6,
     "op7_suffix_dedup": suffix_dedup.op7,
+    "op8_line_rules": line_rules.op8,
     "op9_packing": packing.op9,
+    "op10_quality": quality.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_rules": line_rules.OP8_SQL}
