@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillbin.llm import line_rules, packing, quality, simhash, suffix_dedup, token_files, toxicity
+from quillbin.llm import line_rules, mixing, packing, quality, simhash, suffix_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1,
+    "op2_mixing": mixing.op2,
     "op3_token_files": token_files.op3,
+    "op4_warc": warc.op4,
     "op6_toxicity": toxicity.op6,
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_line_rules": line_rules.op8,
@@ -14,4 +16,4 @@ QUERIES = {
     "op10_quality": quality.op10,
 }
 
-ORACLES: dict[str, str] = {"op8_line_rules": line_rules.OP8_SQL}
+ORACLES: dict[str, str] = {"op4_warc": warc.OP4_SQL, "op8_line_rules": line_rules.OP8_SQL}

@@ -81,7 +81,7 @@ def first_of(p: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
 RUN = "anchor long, content long, id long, part long, row int, start int, count int, hot boolean, found boolean"
 
 
-def cut_runs(parts: DataFrame, length: int) -> DataFrame:
+def cut_runs(parts: DataFrame, length: int, hot_in_part: int = HOT_IN_PART) -> DataFrame:
     """Runs of every part; found: a repeat within its part, joined up with its neighbours to a span of count bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +91,7 @@ def cut_runs(parts: DataFrame, length: int) -> DataFrame:
                 again = p[~first]
                 s = spans(*(again[c].to_numpy() for c in ("part", "row", "start")), (again["start"] + again["count"] + length - 1).to_numpy())
                 yield pd.DataFrame({"anchor": 0, "content": 0, "id": 0, "part": s["part"], "row": s["row"], "start": s["start"], "count": s["end"] - s["start"], "hot": False, "found": True})
-                yield p[first].assign(hot=contents[first] > HOT_IN_PART, found=False)[["anchor", "content", "id", "part", "row", "start", "count", "hot", "found"]]
+                yield p[first].assign(hot=contents[first] > hot_in_part, found=False)[["anchor", "content", "id", "part", "row", "start", "count", "hot", "found"]]
 
     return parts.select("part", "file").mapInPandas(run, RUN)
 
@@ -119,8 +119,8 @@ def cut_texts(open_runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
             seen.add(one)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pd.concat([*batches]) if batches else pd.DataFrame()
-        for part, own in p.groupby("part", sort=False) if len(p) else ():
+        held = [b for b in batches if len(b)]
+        for part, own in pd.concat(held).groupby("part", sort=False) if held else ():
             texts, seen = Texts(own["file"].dropna().iloc[0]), set()
             rows = own[own["row"] >= 0].sort_values(["id", "row", "start"])
             out = []
@@ -159,20 +159,20 @@ def match(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
         yield spans(part[at][seen], row[at][seen], s[seen], s[seen] + length)
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def removed_spans(docs: DataFrame, length: int = LENGTH, hot_in_part: int = HOT_IN_PART, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``(manifest, spans)``: the part files of ``docs(doc_id, text)`` and the bytes to remove from them, maybe overlapping."""
     parts = write_texts(docs, "texts")
     n = parts.agg(F.count("*")).first()[0]  # one number
-    found = materialize(cut_runs(parts.repartition(max(1, n), "part"), length), "runs")
+    found = materialize(cut_runs(parts.repartition(max(1, n), "part"), length, hot_in_part), "runs")
     done = found.where("found").select("part", "row", "start", (F.col("start") + F.col("count")).alias("end"))
     fresh = found.where("not found")
-    hot = fresh.where("hot").select("anchor").distinct().withColumn("always", F.lit(True))
-    fresh = fresh.drop("hot", "found").join(hot, "anchor", "left")
+    always = fresh.where("hot").select("anchor").distinct().withColumn("always", F.lit(True))
+    fresh = fresh.drop("hot", "found").join(always, "anchor", "left")
     cold = fresh.where("always is null").select("anchor", "content", "id", "part", "row", "start", "count")
     judged = materialize(cold.repartition(F.col("anchor")).mapInPandas(lambda b: classify(b, length), "anchor long, id long, part long, row int, start int, count int, found boolean"), "judged")
     done = done.unionByName(judged.where("found").select("part", "row", "start", (F.col("start") + F.col("count")).alias("end")))
     open_runs = judged.where("not found").drop("found")
-    many = open_runs.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
+    many = open_runs.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
     open_runs = open_runs.join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     open_runs = open_runs.unionByName(fresh.where("always").select("anchor", "id", "part", "row", "start", "count", F.lit(True).alias("hot")))
     open_runs = materialize(open_runs, "open-runs")
@@ -181,14 +181,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     return parts, done.unionByName(matched)
 
 
-def per_document(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def per_document(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, **limits: int) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary])``, one row for each of docs.
 
     Null and empty texts have zero bytes and lose none.  Repeated rows are rows of the
     corpus like any other: all but the first lose what they share.  Nulls in doc_id come
     last in the corpus order.
     """
-    parts, cut = removed_spans(docs, length)
+    parts, cut = removed_spans(docs, length, **limits)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
