@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(column: str) -> str:
+    """A column's name as it stands, dots and all."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
     sc = spark.sparkContext

@@ -98,7 +98,7 @@ def judged(docs: DataFrame, loss_tenths: int = LOSS_TENTHS, keep_text: bool = Tr
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-            for some in batches(texts):
+            for some in batches(texts, 2 << 20):
                 words = Words(texts[some])
                 rows = []
                 for i, t, edge, end, repeat in zip(ids[some], texts[some], words.edges, words.edges[1:], words.repeated(), strict=False):

@@ -140,7 +140,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         own = texts.tolist()
-        m = np.concatenate([margins(own[some], shared.value) for some in batches(own)] or [np.zeros(0)])
+        m = np.concatenate([margins(own[some], shared.value) for some in batches(own, 2 << 20)] or [np.zeros(0)])
         return pd.Series(1 / (1 + np.exp(-np.clip(shared.value.slope * m, -50, 50))))
 
     return docs.withColumn(to, of(F.col(text)))

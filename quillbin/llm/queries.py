@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillbin.llm import line_rules, mixing, packing, quality, simhash, suffix_dedup, token_files, toxicity, warc
+from quillbin.llm import imatch, line_rules, mixing, packing, quality, simhash, suffix_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_mixing": mixing.op2,
     "op3_token_files": token_files.op3,
     "op4_warc": warc.op4,
+    "op5_imatch": imatch.op5,
     "op6_toxicity": toxicity.op6,
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_line_rules": line_rules.op8,

@@ -20,16 +20,17 @@ The corpus order is that of doc_id (nulls last), then of part and row for repeat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillbin.llm.anchors import mixed, rolling, runs
-from quillbin.llm.common import materialize, table
+from quillbin.llm.common import materialize, quoted, table
 from quillbin.llm.suffix_arrays import repeated
 from quillbin.llm.text_parts import Texts, write_texts
 
@@ -181,15 +182,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot_in_part: int = HOT_
     return parts, done.unionByName(matched)
 
 
-def per_document(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, **limits: int) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary])``, one row for each of docs.
-
-    Null and empty texts have zero bytes and lose none.  Repeated rows are rows of the
-    corpus like any other: all but the first lose what they share.  Nulls in doc_id come
-    last in the corpus order.
-    """
+def kept_rows(docs: DataFrame, length: int, make: Callable[[Texts, list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], schema: StructType | str, **limits: int) -> DataFrame:
+    """make(part, kept pieces' edges of each row, removed spans of each row) gives the part's rows of the result."""
     parts, cut = removed_spans(docs, length, **limits)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(b) if (b := [*batches]) else None
@@ -202,30 +197,72 @@ def per_document(docs: DataFrame, length: int = LENGTH, keep_text: bool = False,
         for part, file in zip(files["part"].tolist(), files["file"].tolist(), strict=True):
             texts = Texts(file)
             own = s[s["part"] == part]
-            row, start, end = (own[c].to_numpy() for c in ("row", "start", "end"))
-            at = np.searchsorted(row, np.arange(len(texts) + 1))
-            out: list[tuple] = []
-            size = 0
-            for k in range(len(texts)):
-                text, lo, hi = texts[k], start[at[k] : at[k + 1]], end[at[k] : at[k + 1]]
-                edges = np.concatenate(([0], np.column_stack((lo, hi)).ravel(), [len(text)])).astype(np.int64)
-                kept = b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((texts.doc_ids[k], len(text), len(text) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
-                size += len(kept) * keep_text
-                if size > 1 << 22:
-                    yield as_batch(out)
-                    out, size = [], 0
-            if out:
-                yield as_batch(out)
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+            at = np.searchsorted(own["row"].to_numpy(), np.arange(len(texts) + 1))
+            cuts = own[["start", "end"]].to_numpy(np.int64)
+            edges = [np.concatenate(([0], cuts[a:b].ravel(), [len(texts[k])])) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+            yield from make(texts, edges, np.diff(at))
 
     nothing = F.lit(None).cast("int")
     rows = parts.select("part", "file", nothing.alias("row"), nothing.alias("start"), nothing.alias("end")).unionByName(cut.select("part", F.lit(None).cast("string").alias("file"), "row", "start", "end"))
     return rows.repartition(F.col("part")).mapInArrow(run, schema)
 
 
+def kept_bytes(texts: Texts, row: int, edges: np.ndarray) -> bytes:
+    text = texts[row]
+    return b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def per_document(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row for each of docs.
+
+    Null and empty texts have zero bytes and lose none.  Repeated rows are rows of the
+    corpus like any other: all but the first lose what they share.  Nulls in doc_id come
+    last in the corpus order.
+    """
+
+    def make(texts: Texts, edges: list[np.ndarray], n_spans: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = [kept_bytes(texts, k, e) for k, e in enumerate(edges)]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": pa.array(texts.doc_ids, pa.int64()),
+                "n_bytes": pa.array([int(e[-1]) for e in edges], pa.int64()),
+                "n_removed": pa.array([int(e[-1]) - len(b) for e, b in zip(edges, kept, strict=True)], pa.int64()),
+                "n_spans": pa.array(n_spans, pa.int64()),
+                "kept_sha256": [hashlib.sha256(b).hexdigest() for b in kept],
+            }
+        )
+
+    return kept_rows(docs.select("doc_id", "text"), length, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **limits)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
+    """``docs`` with texts less what ``per_document`` counts as removed; all rows and columns stay.
+
+    What is left of a character that was cut is dropped; n_chars, where there is such a
+    column, is counted anew.  Null texts stay null.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("gone"))
+
+    def make(texts: Texts, edges: list[np.ndarray], n_spans: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(edges), 256):
+            some = texts.table.slice(i, 256).combine_chunks()
+            kept = [kept_bytes(texts, i + k, e).decode("utf-8", "ignore") for k, e in enumerate(edges[i : i + 256])]
+            columns = [c.combine_chunks() for c in some.columns]
+            gone = columns[-1].to_pylist()
+            columns[1] = pa.array([None if g else t for g, t in zip(gone, kept, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns[:-1], some.schema.names[:-1])
+
+    out = kept_rows(own, length, make, own.drop("gone").schema, **limits).select("doc_id", "text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(quoted(c)) for c in docs.columns])
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_document(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document stays, without the passages that stand earlier."""
+    return without_repeats(docs)

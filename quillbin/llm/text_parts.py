@@ -23,7 +23,10 @@ PART_BYTES = 8 << 20
 
 
 def write_texts(docs: DataFrame, name: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Writes ``docs(doc_id, text)`` and returns the manifest ``(part long, file string, n_docs long)``, written as well."""
+    """Writes ``docs``, whose first columns are doc_id and text, and returns the manifest ``(part long, file string, n_docs long)``, written as well.
+
+    Further columns go along unchanged, whatever their names.
+    """
     folder = fresh_dir(docs.sparkSession, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +45,7 @@ def write_texts(docs: DataFrame, name: str, part_bytes: int = PART_BYTES) -> Dat
             for i in range(0, batch.num_rows, 64):
                 some = batch.slice(i, 64)
                 text = some.column(1).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
-                held.append(pa.RecordBatch.from_arrays([some.column(0), text], ["doc_id", "text"]))
+                held.append(pa.RecordBatch.from_arrays([some.column(0), text, *some.columns[2:]], some.schema.names))
                 size += pc.sum(pc.binary_length(text)).as_py() or 0
                 if size >= part_bytes:
                     yield flush()
@@ -50,15 +53,16 @@ def write_texts(docs: DataFrame, name: str, part_bytes: int = PART_BYTES) -> Dat
         if held:
             yield flush()
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part long, file string, n_docs long"), f"{name}-manifest")
+    return materialize(docs.withColumn(docs.columns[0], F.col(docs.columns[0]).cast("long")).mapInArrow(run, "part long, file string, n_docs long"), f"{name}-manifest")
 
 
 class Texts:
-    """A part: doc_ids (None where null) and the bytes of each row."""
+    """A part: doc_ids (None where null), the bytes of each row, and the further columns."""
 
     def __init__(self, file: str):
         with open_part(file) as stream:
             table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+        self.table = table
         self.doc_ids = table.column(0).to_pylist()
         chunk = table.column(1).chunk(0) if table.num_rows else pa.array([], pa.large_binary())
         self.offsets = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]

@@ -20,7 +20,6 @@ from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,29 +33,34 @@ from quillbin.llm.tokens import batches, default_path, encoder
 MAGIC = b"QTF1"
 BLOCK_IDS = 1 << 18
 #: About so many ids go to a file.
-FILE_IDS = 6_000_000
+FILE_IDS = 3_000_000
 #: Bytes of each of the four ids that a control byte describes.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
-def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """uint32 values to (control bytes, data bytes)."""
-    v = values.astype("<u4")
+def pack(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """uint32 values of documents with these counts to (control bytes, data bytes, data bytes of each document)."""
+    v = values.astype("<u4", copy=False)
     n = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    code = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    code[: len(v)] = n - 1
+    quads = -(-counts // 4)
+    code = np.zeros(quads.sum() * 4, np.uint8)
+    code[places(counts, quads)] = n - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
     data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < n[:, None]]
-    return control.astype(np.uint8), data
+    ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[np.cumsum([0, *counts])]
+    return control.astype(np.uint8), data, np.diff(ends)
+
+
+def places(counts: np.ndarray, quads: np.ndarray) -> np.ndarray:
+    """The place of each value among all quads' four, past those that fill up a document's last quad."""
+    pad = quads * 4 - counts
+    return np.arange(counts.sum()) + np.repeat(np.cumsum(pad) - pad, counts)
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The values of documents with these counts, end to end."""
-    quads = -(-counts // 4)
-    pad = quads * 4 - counts
-    # the place of each value among the quads' four, without those that fill up a document's last quad
-    own = np.arange(counts.sum()) + np.repeat(np.cumsum(pad) - pad, counts)
+    own = places(counts, -(-counts // 4))
     size = LENGTHS[control].ravel()[own]
     at = np.cumsum(size, dtype=np.int64) - size
     out = np.zeros(len(size), np.uint32)
@@ -77,7 +81,8 @@ def write_block(out, docs: list[tuple[int | None, int, bytes, bytes]]) -> None:
     out.write(b"".join(data))
 
 
-def read_blocks(stream) -> Iterator[tuple[int | None, np.ndarray]]:
+def read_blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Of each block the doc_ids, their counts, and all ranks end to end."""
     if bytes(stream.read(4)) != MAGIC:
         raise ValueError("not a token file")
     while head := bytes(stream.read(16)):
@@ -87,7 +92,7 @@ def read_blocks(stream) -> Iterator[tuple[int | None, np.ndarray]]:
         counts = np.frombuffer(stream.read(4 * n_docs), "<u4").astype(np.int64)
         control = np.frombuffer(stream.read(n_control), np.uint8)
         values = unpack(control, np.frombuffer(stream.read(n_data), np.uint8), counts)
-        yield from zip([i if p else None for i, p in zip(ids, present, strict=True)], np.split(values, np.cumsum(counts)[:-1]), strict=True)
+        yield [i if p else None for i, p in zip(ids, present, strict=True)], counts, values
 
 
 def tokenized(docs: DataFrame, end_id: int, path: str, name: str = "tokens") -> DataFrame:
@@ -110,13 +115,26 @@ def id_type(path: str, *more: int) -> str:
     return "<u2" if max(encoder(path).tokenizer.get_vocab_size() - 1, *more) < 1 << 16 else "<u4"
 
 
+def joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column end to end, and how many each row has."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]].view(kind)
+    return flat, np.diff(edges).astype(np.int64) // np.dtype(kind).itemsize
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of bytes that lie end to end."""
+    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
 def frequency_ranks(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, int]:
     """(rank of each id, id of each rank, number of ids) over all documents; as long as the vocabulary, which bounds it."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for part in parts:
-            got = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind))
+            got = np.bincount(joined(part.column(0), kind)[0])
             if len(got) > len(n):
                 n = np.concatenate((n, np.zeros(len(got) - len(n), np.int64)))
             n[: len(got)] += got
@@ -150,11 +168,14 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str |
     def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for part in parts:
-            ids = part.column(0)
-            shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
-            shard[ids.is_null().to_numpy(zero_copy_only=False)] = len(edges)
-            coded = [(len(raw := np.frombuffer(x, kind)), *pack(rank[raw])) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array([c[0] for c in coded], pa.int64()), pa.array([c[1].tobytes() for c in coded], pa.binary()), pa.array([c[2].tobytes() for c in coded], pa.binary())], ["shard", "doc_id", "n", "control", "data"])
+            for i in range(0, part.num_rows, 1000):
+                some = part.slice(i, 1000)
+                ids = some.column(0)
+                shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+                shard[ids.is_null().to_numpy(zero_copy_only=False)] = len(edges)
+                raw, counts = joined(some.column(1), kind)
+                control, data, sizes = pack(rank[raw], counts)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(counts), binaries(control, -(-counts // 4)), binaries(data, sizes)], ["shard", "doc_id", "n", "control", "data"])
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((r["shard"], r["doc_id"], r["n"], r["control"], r["data"]) for part in parts for r in part.to_pylist())
@@ -186,24 +207,19 @@ def read_token_files(manifest: DataFrame, by_rank: np.ndarray) -> DataFrame:
     """``(doc_id long, start long, ids binary)`` from the files."""
     shared = manifest.sparkSession.sparkContext.broadcast(by_rank)
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_of = shared.value
         for part in parts:
-            for file, start in zip(part["file"], part["start"], strict=True):
-                rows: list[tuple] = []
-                held = 0
+            for file, start in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 with open_part(file) as stream:
-                    for doc_id, ranks in read_blocks(stream):
-                        rows.append((doc_id, start, id_of[ranks].tobytes()))
-                        start += len(ranks)
-                        held += len(ranks)
-                        if held >= BLOCK_IDS:
-                            yield pd.DataFrame(rows, columns=["doc_id", "start", "ids"]).astype({"doc_id": "Int64"})
-                            rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "ids"]).astype({"doc_id": "Int64"})
-
-    return manifest.select("file", "start", "shard").repartition("shard").mapInPandas(read, "doc_id long, start long, ids binary")
+                    for doc_ids, counts, ranks in read_blocks(stream):
+                        at = start + np.cumsum(counts) - counts
+                        start += int(counts.sum())
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(at), binaries(id_of[ranks], 4 * counts)], ["doc_id", "start", "ids"])
+
+    # the number of tasks is given, or else the few rows that name the files would be read by one
+    n = manifest.count()
+    return manifest.select("file", "start", "shard").repartition(max(1, n), "shard").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches(texts: list[str | None], chars: int = 4 << 20) -> list[slice]:
+def batches(texts: list[str | None], chars: int = 10 << 20) -> list[slice]:
     """Consecutive texts of about so many characters."""
     edges, held = [0], 0
     for i, t in enumerate(texts):
