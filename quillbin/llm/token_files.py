@@ -38,36 +38,50 @@ FILE_IDS = 3_000_000
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
-def pack(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """uint32 values of documents with these counts to (control bytes, data bytes, data bytes of each document)."""
-    v = values.astype("<u4", copy=False)
-    n = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+def own_places(counts: np.ndarray) -> np.ndarray:
+    """Which of all quads' places hold an id: not those that fill up a document's last quad."""
     quads = -(-counts // 4)
-    code = np.zeros(quads.sum() * 4, np.uint8)
-    code[places(counts, quads)] = n - 1
-    code = code.reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < n[:, None]]
-    ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[np.cumsum([0, *counts])]
-    return control.astype(np.uint8), data, np.diff(ends)
+    own = np.ones(quads.sum() * 4, bool)
+    ends = np.cumsum(quads) * 4
+    for k in range(1, 4):
+        own[ends[quads * 4 - counts >= k] - k] = False
+    return own
 
 
-def places(counts: np.ndarray, quads: np.ndarray) -> np.ndarray:
-    """The place of each value among all quads' four, past those that fill up a document's last quad."""
-    pad = quads * 4 - counts
-    return np.arange(counts.sum()) + np.repeat(np.cumsum(pad) - pad, counts)
+def pack(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """uint32 values of documents with these counts to (control bytes, data bytes, data bytes of each document); a last quad is filled up with zeros."""
+    own = own_places(counts)
+    v = np.zeros(len(own), np.uint32)
+    v[own] = values
+    n = np.ones(len(v), np.uint8)
+    longer = [np.flatnonzero(v > 0xFF)]
+    for limit in (0xFFFF, 0xFFFFFF):
+        longer.append(longer[-1][v[longer[-1]] > limit])
+    for i in longer:
+        n[i] += 1
+    ends = np.cumsum(n, dtype=np.int64)
+    at = ends - n
+    data = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    data[at] = v.astype(np.uint8)
+    for k, i in enumerate(longer, 1):
+        data[at[i] + k] = (v[i] >> np.uint32(8 * k)).astype(np.uint8)
+    code = (n - 1).reshape(-1, 4)
+    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
+    edges = np.concatenate(([0], ends))[np.cumsum([0, *(-(-counts // 4) * 4)])]
+    return control.astype(np.uint8), data, np.diff(edges)
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The values of documents with these counts, end to end."""
-    own = places(counts, -(-counts // 4))
-    size = LENGTHS[control].ravel()[own]
-    at = np.cumsum(size, dtype=np.int64) - size
-    out = np.zeros(len(size), np.uint32)
-    for k in range(4):
-        has = size > k
-        out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    size = LENGTHS[control].ravel()
+    at = np.cumsum(size, dtype=np.int64)
+    at -= size
+    out = data[at].astype(np.uint32)
+    longer = np.flatnonzero(size > 1)
+    for k in range(1, 4):
+        out[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+        longer = longer[size[longer] > k + 1]
+    return out[own_places(counts)]
 
 
 def write_block(out, docs: list[tuple[int | None, int, bytes, bytes]]) -> None:
