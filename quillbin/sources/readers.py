@@ -37,7 +37,7 @@ def fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
 
 def long_records(spark: SparkSession, path: str, min_length: int) -> DataFrame:
     """``(value)``: the FASTA records as they stand whose A, T, G and C number at least min_length."""
-    return records(spark, path).where(F.length(cleaned(F.col("body"))) >= min_length).select(F.concat(F.lit(">"), "id", F.lit("\n"), F.rtrim("body")).alias("value"))
+    return records(spark, path).where(F.length(cleaned(F.col("body"))) >= min_length).select(F.concat(F.lit(">"), "id", F.lit("\n"), F.regexp_replace("body", r"\s+$", "")).alias("value"))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +53,7 @@ def base_depths(spark: SparkSession, path: str) -> DataFrame:
 
 def depth_list(spark: SparkSession, path: str) -> DataFrame:
     """``(sample int, file, read_length int)``, samples from 1 in the order of the list."""
-    numbered = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     kept = numbered.where(F.trim("line") != "").select("n", F.split(F.trim("line"), r"\s+").alias("f"))
     return kept.select(F.row_number().over(W.orderBy("n")).alias("sample"), F.col("f")[0].alias("file"), F.try_element_at("f", F.lit(2)).cast("int").alias("read_length"))
 
@@ -87,7 +87,8 @@ def cutoffs(spark: SparkSession, path: str) -> DataFrame:
     rows = lines(spark, path).select(
         pair[0].cast("int").alias("len1"), pair[1].cast("int").alias("len2"), *[number[i].alias(n) for i, n in enumerate(("smean", "ssd", "dmean", "dsd"))], number[4].alias("diff"), F.greatest(*number[4:7]).alias("cutoff")
     )
-    return rows.unionByName(rows.where("len1 <> len2").withColumnsRenamed({"len1": "len2", "len2": "len1"}))
+    swapped = rows.where("len1 <> len2").select(F.col("len2").alias("len1"), F.col("len1").alias("len2"), *rows.columns[2:])
+    return rows.unionByName(swapped)
 
 
 def pinned_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -129,9 +130,9 @@ def classified(spark: SparkSession, path: str) -> DataFrame:
 
 def truth(spark: SparkSession, path: str, skip_first: bool = True) -> DataFrame:
     """``(id, species)``; the last line of an id counts.  skip_first leaves out the file's first line, as a head."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    rows = rows.where(F.col("n") >= int(skip_first)).select("n", F.split("line", "\t").alias("x")).where(F.size("x") >= 2)
-    return rows.groupBy(F.col("x")[0].alias("id")).agg(F.max_by(F.col("x")[1], "n").alias("species"))
+    rows = spark.read.schema("id string, species string").csv(path, sep="\t", header=skip_first, quote="", mode="PERMISSIVE")
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.withColumn("n", place).where("species is not null").groupBy("id").agg(F.max_by("species", "n").alias("species"))
 
 
 def intervals(spark: SparkSession, path: str) -> DataFrame:
