@@ -43,11 +43,3 @@ def duck(sf):
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
-
-
-def same_rows(df, relation) -> None:
-    columns = sorted(df.columns)
-    assert sorted(relation.columns) == columns
-    at = [relation.columns.index(c) for c in columns]
-    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
-    assert got == sorted((tuple(r[i] for i in at) for r in relation.fetchall()), key=str)

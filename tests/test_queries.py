@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import same_rows
+from tables import same_rows
 
 from quillbin.plans.queries import ORACLES, QUERIES
 
