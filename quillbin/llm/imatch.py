@@ -27,8 +27,8 @@ CELL_BITS = 20
 #: Parts of all documents that a term of the lexicon is in.
 BAND = (0.002, 0.2)
 LEAST_TERMS = 4
-#: A subset of rate b holds a term for 2^b terms; so many subsets of each rate.
-RATES, SUBSETS = (1, 3, 5, 7, 9, 11), 16
+#: A subset of rate b holds one of 2^b terms; so many chains of subsets, one of each rate.
+RATES, CHAINS = (1, 3, 5, 7, 9, 11), 16
 SEED = 42
 #: Stands in a fingerprint for a subset without a term.
 NONE = "----"
@@ -55,25 +55,26 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> bytes:
     return flags.tobytes()
 
 
-def subsets() -> list[tuple[int, int]]:
-    """(shift, bits) of each subset: it holds the terms with ones in those bits of their hash."""
-    return [(k * (64 - CELL_BITS - b) // SUBSETS, b) for b in RATES for k in range(SUBSETS)]
-
-
 def fingerprint(term_hashes: str, flags: str) -> str:
-    """SQL: four hex digits for each subset; flags is a binary column."""
+    """SQL: four hex digits for each subset; flags is a binary column.
+
+    Subsets of one chain lie within each other, each with more bits of the terms' hashes
+    set than the one before, so a chain looks at each term about once.
+    """
     cell = f"cast(shiftrightunsigned(t, {64 - CELL_BITS}) as int)"
     known = f"filter(v.all, t -> shiftright(ascii(cast(substring({flags}, {cell} div 7 + 1, 1) as string)), {cell} % 7) & 1 = 1)"
     own = given({"all": term_hashes}, given({"all": "v.all", "known": known}, f"array_sort(if(size(v.known) < {LEAST_TERMS}, v.all, v.known))"))
-    rules = ", ".join(f"named_struct('shift', {shift}, 'mask', {(1 << bits) - 1}L)" for shift, bits in subsets())
+    shifts = ", ".join(str(k * (64 - CELL_BITS - max(RATES)) // CHAINS) for k in range(CHAINS))
+    masks = ", ".join(f"{(1 << bits) - 1}L" for bits in RATES)
     digits = f"if(size(v.in) = 0, '{NONE}', substring(lpad(lower(hex(xxhash64({SEED}, v.in))), 16, '0'), 13, 4))"
-    each = given({"in": "filter(v.own, t -> shiftrightunsigned(t, r.shift) & r.mask = r.mask)"}, digits)
-    return given({"own": own}, f"concat_ws('', transform(array({rules}), r -> {each}))")
+    step = given({"in": "filter(s.in, t -> shiftrightunsigned(t, r) & m = m)", "out": "s.out"}, f"named_struct('in', v.in, 'out', concat(v.out, {digits}))")
+    chain = f"aggregate(array({masks}), named_struct('in', v.own, 'out', ''), (s, m) -> {step}, s -> s.out)"
+    return given({"own": own}, f"concat_ws('', transform(array({shifts}), r -> {chain}))")
 
 
 def likeness(a: str, b: str) -> str:
     """SQL: of the subsets with a term on either side, the part that agree; 1 if there are none."""
-    n = len(RATES) * SUBSETS
+    n = len(RATES) * CHAINS
     parts = given({"x": f"substring({a}, i * 4 + 1, 4)", "y": f"substring({b}, i * 4 + 1, 4)"}, f"named_struct('any', v.x <> '{NONE}' or v.y <> '{NONE}', 'same', v.x = v.y)")
     count = f"aggregate(transform(sequence(0, {n - 1}), i -> {parts}), named_struct('any', 0D, 'same', 0D), (s, x) -> named_struct('any', s.any + if(x.any, 1D, 0D), 'same', s.same + if(x.any and x.same, 1D, 0D)), s -> if(s.any = 0D, 1D, s.same / s.any))"
     return count

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import materialize, table
+from quillbin.llm.common import materialize, quoted, table
 
 BLOCK_WORDS = 1024
 CELL_ROWS = 512
@@ -195,4 +195,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty = F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).alias("shard")))
     chosen = plan.select(F.col("doc_id").alias("mix row"), F.explode(F.when(F.col("size") > 0, F.transform(copies, lambda x: F.struct(x["pass"], x["shard"]))).otherwise(empty)).alias("mix draw"))
     out = rows.join(chosen, "mix row").repartition(F.col("mix draw.shard"))
-    return out.sortWithinPartitions("mix draw.shard", F.xxhash64(F.lit(SEED), "mix row", "mix draw.pass")).select(docs.columns)
+    return out.sortWithinPartitions("mix draw.shard", F.xxhash64(F.lit(SEED), "mix row", "mix draw.pass")).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -56,9 +56,14 @@ class Packer:
         """The level to put a piece of this size on; 0 is a new window."""
         n = self.levels
         room = self.window - size
-        cost = np.where(n[1 : room + 1] > 0, n[size + 1 : self.window + 1] - n[1 : room + 1], 1 << 60)
-        best = int(cost.argmin()) + 1 if room else 0
-        return best if best and cost[best - 1] < n[size] else 0
+        if not room:
+            return 0
+        # from level h to h + size the sum grows by 2 n[h + size] + 1 - 2 n[h] + 1; a full window is closed and adds nothing
+        cost = 2 * (n[size + 1 : self.window + 1] - n[1 : room + 1]) + 2
+        cost[-1] -= 1
+        cost[n[1 : room + 1] == 0] = 1 << 60
+        best = int(cost.argmin())
+        return best + 1 if cost[best] < 2 * n[size] + 1 else 0
 
     def add(self, doc: Piece) -> list[tuple]:
         rows: list[tuple] = []

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import checkpoint, components, materialize, table
+from quillbin.llm.common import checkpoint, components, materialize, quoted, table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -185,4 +185,4 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least doc_id stays."""
     keep = near_components(docs, words=5, radius=4).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(quoted(c)) for c in docs.columns])

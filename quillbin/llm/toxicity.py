@@ -44,12 +44,15 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "circus clown", "clown fish
 
 FOREIGN = re.compile(f"[{''.join(HOMOGLYPHS)}]")
 TABLE = str.maketrans(HOMOGLYPHS)
-SIGN = re.compile(r"[013457@$!|8](?=[^\W\d_])|(?<=[^\W\d_])[0134578](?=[\W_]|$)")
+SIGN = re.compile(r"[013457@$!|8]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?=[\W_]|$)")
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of beginnings of words that may become terms.
 BEGINNINGS = (4, 5, 6)
 #: A term is in so many toxic texts at least, in such a part of them, and so many times as frequent in them as in others.
 LEAST_TEXTS, LEAST_PART, LEAST_RATIO = 5, 0.01, 20.0
+# Insults that count as seen in PRIOR toxic and other texts besides the labelled ones.
+INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumbass", "scum", "loser", "worthless", "pathetic", "disgusting", "trash", "clown", "jerk", "vermin", "bastard", "bitch", "asshole", "fuck*", "shit", "retard*", "whore", "slut")
+PRIOR = (2.0, 0.1)
 #: Rows and width of the minima of word hashes that tell copies.
 BANDS, WIDTH = 8, 4
 LENGTH_POWER = 0.25
@@ -59,7 +62,7 @@ def folded(text: str | None) -> str:
     out = (text or "").lower()
     if not out.isascii() and FOREIGN.search(out):
         out = out.translate(TABLE)
-    return SIGN.sub(lambda m: SIGNS[m[0]], out)
+    return SIGN.sub(lambda m: "".join(map(SIGNS.__getitem__, m[0])), out)
 
 
 class Lexicon(NamedTuple):
@@ -135,6 +138,16 @@ def shares(signatures: list[list[int]]) -> list[float]:
     return [1 / n[root(i)] for i in range(len(parent))]
 
 
+def known(seen: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[str, float]:
+    """Weights of ``INSULTS``, seen in so many toxic and other texts; those that do not tell toxic texts are left out."""
+    out = {}
+    for t in INSULTS:
+        pos, neg = seen.get(t, (0, 0))
+        out[t] = math.log((pos + PRIOR[0]) / (n_pos + sum(PRIOR))) - math.log((neg + PRIOR[1]) / (n_neg + sum(PRIOR)))
+    # with few toxic texts the prior says more of them than there are
+    return {t: min(w, math.log(PRIOR[0] / PRIOR[1]) + 2) for t, w in out.items() if w > 1}
+
+
 def choose(texts: list[set[str]], share: list[float], neg: dict[str, int], n_neg: int) -> dict[str, float]:
     """Terms and weights: of each toxic text its candidate terms and its share."""
     pos: dict[str, float] = defaultdict(float)
@@ -161,8 +174,8 @@ def learn(labelled: DataFrame) -> Lexicon:
     """``labelled(text, label int)``, a bounded sample, to a lexicon with its threshold.
 
     What reaches the driver is bounded by the sample: candidate terms, their sets for toxic
-    texts, and one amount for each text.  Without toxic texts the lexicon is empty and all
-    scores are 0.
+    texts, and one amount for each text.  ``INSULTS`` are terms without any
+    labelled text that has them.
     """
     rows = labelled.select("text", (F.col("label") > 0).alias("toxic"))
 
@@ -173,15 +186,15 @@ def learn(labelled: DataFrame) -> Lexicon:
                 n[bool(toxic)].update(["", *terms(text)])
         yield pd.DataFrame([(t, k[1], k[0]) for t in n[0].keys() | n[1].keys() for k in [(n[0][t], n[1][t])]], columns=["term", "pos", "neg"])
 
-    counted = rows.mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_TEXTS) | (F.col("term") == "")).toPandas()
+    counted = rows.mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_TEXTS) | F.col("term").isin("", *INSULTS)).toPandas()
     whole = counted[counted["term"] == ""]
     n_pos, n_neg = int(whole["pos"].sum()), int(whole["neg"].sum())
     if whole.empty:
         n_pos, n_neg = 0, int(rows.count())
-    own = counted[(counted["term"] != "") & (counted["pos"] * (n_neg + 1) >= LEAST_RATIO * (counted["neg"] + 0.5) * (n_pos + 1))]
+    seen = {t: (int(p), int(q)) for t, p, q in counted.itertuples(index=False)}
+    prior = known(seen, n_pos, n_neg)
+    own = counted[(counted["term"] != "") & (counted["pos"] >= LEAST_TEXTS) & (counted["pos"] * (n_neg + 1) >= LEAST_RATIO * (counted["neg"] + 0.5) * (n_pos + 1))]
     neg = {t: int(n) for t, n in zip(own["term"], own["neg"], strict=True)}
-    if not neg:
-        return Lexicon({}, 1.0)
     names = labelled.sparkSession.sparkContext.broadcast(set(neg))
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +202,8 @@ def learn(labelled: DataFrame) -> Lexicon:
             yield pd.DataFrame({"terms": [sorted(terms(t) & names.value) for t in p["text"]], "bands": [signature(t) for t in p["text"]]})
 
     found = rows.where("toxic").mapInPandas(sets, "terms array<string>, bands array<long>").toPandas()
-    lexicon = Lexicon(choose([{*x} for x in found["terms"]], shares(found["bands"].tolist()), neg, n_neg), 1.0)
+    learned = choose([{*x} for x in found["terms"]], shares(found["bands"].tolist()), neg, n_neg)
+    lexicon = Lexicon(prior | learned, 1.0)
 
     def amounts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
@@ -205,8 +219,8 @@ def best_threshold(x: np.ndarray, toxic: np.ndarray) -> float:
     order = np.argsort(-x, kind="stable")
     x, toxic = x[order], toxic[order]
     last = np.flatnonzero((np.append(x[1:], -1) != x) & (x > 0))
-    if not len(last):
-        return 1.0
+    if not len(last) or not toxic.any():
+        return 0.5 if not len(last) else float(x[0] * 2)
     hit = np.cumsum(toxic)[last]
     k = last[int(np.argmax(2 * hit / (last + 1 + toxic.sum())))]
     below = x[k + 1] if k + 1 < len(x) else 0.0
