@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillbin.llm.common import table
+from quillbin.llm.common import lean, table
 from quillbin.llm.tokens import batches
 from quillbin.llm.words import SPACES, Words
 
@@ -108,7 +108,7 @@ def judged(docs: DataFrame, loss_tenths: int = LOSS_TENTHS, keep_text: bool = Tr
                     rows.append((i, n, chars, sum(map(t.count, SYMBOLS)), again, int(repeat), failed, not failed and 10 * lost <= loss_tenths * chars, cleaned if keep_text else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], [*KINDS])
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quillbin.llm.common import table
+from quillbin.llm.common import lean, table
 from quillbin.llm.tokens import batches, default_path, encoder
 
 WINDOW = 2048
@@ -158,7 +158,7 @@ def packed(docs: DataFrame, window: int = WINDOW, end_id: int = 1, path: str | N
         if rows := packer.finish():
             yield make(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import table
+from quillbin.llm.common import give_back, lean, table
 from quillbin.llm.labelled import SAMPLE, fold, sample
 from quillbin.llm.tokens import batches
 from quillbin.llm.words import Words
@@ -128,7 +128,7 @@ def learn(labelled: DataFrame, bits: int = BITS) -> Model:
             edges, x = features(p["text"].tolist(), bits)
             yield pd.DataFrame({"x": [x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], "label": p["label"]})
 
-    rows = labelled.select("text", "label").mapInPandas(run, "x binary, label int").toPandas()
+    rows = labelled.select("text", "label").mapInPandas(lean(run), "x binary, label int").toPandas()
     rows = rows.sort_values(["label", "x"], kind="stable")  # whatever order the tasks ended in
     return fit([np.frombuffer(x, np.int32) for x in rows["x"]], (rows["label"] > 0).to_numpy(bool), bits)
 
@@ -138,10 +138,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as long as the table of features
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        own = texts.tolist()
-        m = np.concatenate([margins(own[some], shared.value) for some in batches(own, 2 << 20)] or [np.zeros(0)])
-        return pd.Series(1 / (1 + np.exp(-np.clip(shared.value.slope * m, -50, 50))))
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            own = texts.tolist()
+            m = np.concatenate([margins(own[some], shared.value) for some in batches(own, 2 << 20)] or [np.zeros(0)])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(shared.value.slope * m, -50, 50))))
+        give_back()
 
     return docs.withColumn(to, of(F.col(text)))
 

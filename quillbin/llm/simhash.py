@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import checkpoint, components, materialize, quoted, table
+from quillbin.llm.common import checkpoint, components, give_back, lean, materialize, quoted, table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -50,8 +50,10 @@ def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "simhash", w
     """Adds the fingerprint as a signed long (the same 64 bits)."""
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+        give_back()
 
     return docs.withColumn(to, of(F.col(text)))
 
@@ -157,7 +159,7 @@ def links(points: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
             a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), p["simhash"].to_numpy().view(np.uint64), p["id"].to_numpy(), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
-    return rows.repartition(F.col("cell")).mapInPandas(run, "a long, b long")
+    return rows.repartition(F.col("cell")).mapInPandas(lean(run), "a long, b long")
 
 
 def near_components(docs: DataFrame, radius: int = 4, words: int = SHINGLE_WORDS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillbin.llm.anchors import mixed, rolling, runs
-from quillbin.llm.common import materialize, quoted, table
+from quillbin.llm.common import lean, materialize, quoted, table
 from quillbin.llm.suffix_arrays import repeated
 from quillbin.llm.text_parts import Texts, write_texts
 
@@ -94,7 +94,7 @@ def cut_runs(parts: DataFrame, length: int, hot_in_part: int = HOT_IN_PART) -> D
                 yield pd.DataFrame({"anchor": 0, "content": 0, "id": 0, "part": s["part"], "row": s["row"], "start": s["start"], "count": s["end"] - s["start"], "hot": False, "found": True})
                 yield p[first].assign(hot=contents[first] > hot_in_part, found=False)[["anchor", "content", "id", "part", "row", "start", "count", "hot", "found"]]
 
-    return parts.select("part", "file").mapInPandas(run, RUN)
+    return parts.select("part", "file").mapInPandas(lean(run), RUN)
 
 
 def classify(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -138,7 +138,7 @@ def cut_texts(open_runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
 
     files = parts.join(open_runs.select("part").distinct(), "part", "left_semi")
     rows = open_runs.select("anchor", "id", "part", "row", "start", "count", "hot", F.lit(None).cast("string").alias("file")).unionByName(files.select(F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("id"), "part", F.lit(-1).alias("row"), F.lit(0).alias("start"), F.lit(0).alias("count"), F.lit(False).alias("hot"), "file"))
-    return rows.repartition(F.col("part")).mapInPandas(run, "shard long, id long, part long, row int, start int, count int, bytes binary")
+    return rows.repartition(F.col("part")).mapInPandas(lean(run), "shard long, id long, part long, row int, start int, count int, bytes binary")
 
 
 def match(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -170,7 +170,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot_in_part: int = HOT_
     always = fresh.where("hot").select("anchor").distinct().withColumn("always", F.lit(True))
     fresh = fresh.drop("hot", "found").join(always, "anchor", "left")
     cold = fresh.where("always is null").select("anchor", "content", "id", "part", "row", "start", "count")
-    judged = materialize(cold.repartition(F.col("anchor")).mapInPandas(lambda b: classify(b, length), "anchor long, id long, part long, row int, start int, count int, found boolean"), "judged")
+    judged = materialize(cold.repartition(F.col("anchor")).mapInPandas(lean(lambda b: classify(b, length)), "anchor long, id long, part long, row int, start int, count int, found boolean"), "judged")
     done = done.unionByName(judged.where("found").select("part", "row", "start", (F.col("start") + F.col("count")).alias("end")))
     open_runs = judged.where("not found").drop("found")
     many = open_runs.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
@@ -178,7 +178,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot_in_part: int = HOT_
     open_runs = open_runs.unionByName(fresh.where("always").select("anchor", "id", "part", "row", "start", "count", F.lit(True).alias("hot")))
     open_runs = materialize(open_runs, "open-runs")
     pieces = cut_texts(open_runs, parts, length)
-    matched = pieces.repartition(F.col("shard")).mapInPandas(lambda b: match(b, length), SPAN)
+    matched = pieces.repartition(F.col("shard")).mapInPandas(lean(lambda b: match(b, length)), SPAN)
     return parts, done.unionByName(matched)
 
 
@@ -204,7 +204,7 @@ def kept_rows(docs: DataFrame, length: int, make: Callable[[Texts, list[np.ndarr
 
     nothing = F.lit(None).cast("int")
     rows = parts.select("part", "file", nothing.alias("row"), nothing.alias("start"), nothing.alias("end")).unionByName(cut.select("part", F.lit(None).cast("string").alias("file"), "row", "start", "end"))
-    return rows.repartition(F.col("part")).mapInArrow(run, schema)
+    return rows.repartition(F.col("part")).mapInArrow(lean(run), schema)
 
 
 def kept_bytes(texts: Texts, row: int, edges: np.ndarray) -> bytes:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import fresh_dir, materialize
+from quillbin.llm.common import fresh_dir, lean, materialize
 from quillbin.llm.files import open_part, write_part
 
 #: Bytes of text after which a part is closed.
@@ -53,7 +53,7 @@ def write_texts(docs: DataFrame, name: str, part_bytes: int = PART_BYTES) -> Dat
         if held:
             yield flush()
 
-    return materialize(docs.withColumn(docs.columns[0], F.col(docs.columns[0]).cast("long")).mapInArrow(run, "part long, file string, n_docs long"), f"{name}-manifest")
+    return materialize(docs.withColumn(docs.columns[0], F.col(docs.columns[0]).cast("long")).mapInArrow(lean(run), "part long, file string, n_docs long"), f"{name}-manifest")
 
 
 class Texts:

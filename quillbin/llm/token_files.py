@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import fresh_dir, materialize, table
+from quillbin.llm.common import fresh_dir, lean, materialize, table
 from quillbin.llm.files import open_part, write_part
 from quillbin.llm.tokens import batches, default_path, encoder
 
@@ -122,7 +122,7 @@ def tokenized(docs: DataFrame, end_id: int, path: str, name: str = "tokens") ->
                 ids = [np.concatenate((x.astype(kind), end)).tobytes() for x in own.encode(texts[some])]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(some.start, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"), name, "zstd")
+    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, ids binary"), name, "zstd")
 
 
 def id_type(path: str, *more: int) -> str:
@@ -155,7 +155,7 @@ def frequency_ranks(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarra
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     by_rank = rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
     rank = np.zeros((by_rank.max() if len(by_rank) else -1) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
@@ -210,9 +210,9 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 2, path: str |
                     write_block(out, block)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    coded = tokens.mapInArrow(code, "shard int, doc_id long, n long, control binary, data binary")
+    coded = tokens.mapInArrow(lean(code), "shard int, doc_id long, n long, control binary, data binary")
     ordered = coded.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), F.xxhash64("control", "data"))
-    files = materialize(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "token-manifest")
+    files = materialize(ordered.mapInArrow(lean(write), "shard int, file string, n_docs long, n_ids long"), "token-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), by_rank
 
@@ -233,7 +233,7 @@ def read_token_files(manifest: DataFrame, by_rank: np.ndarray) -> DataFrame:
 
     # the number of tasks is given, or else the few rows that name the files would be read by one
     n = manifest.count()
-    return manifest.select("file", "start", "shard").repartition(max(1, n), "shard").mapInArrow(read, "doc_id long, start long, ids binary")
+    return manifest.select("file", "start", "shard").repartition(max(1, n), "shard").mapInArrow(lean(read), "doc_id long, start long, ids binary")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by one worker; beyond it the cache starts anew.
-CACHE_WORDS = 1_600_000
+#: Pieces kept by one worker; later ones, which are rare, are encoded batch by batch.
+CACHE_WORDS = 700_000
 #: Stands between pieces; a text that holds it is encoded in one piece.
 CUT = "\x1f"
 #: A cut that does not follow a letter or digit (of those that need no look at the Unicode tables).
@@ -52,18 +52,17 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([self.tokenizer.id_to_token(i).startswith("Ġ") for i in range(size)])
         self.line_feed = np.array([self.tokenizer.id_to_token(i) == "Ċ" for i in range(size)])
-        self.clear()
 
-    def clear(self) -> None:
         self.known: dict[str, int] = {"\n": 0, "": 1}
         self.start = np.zeros(2, np.int64)
         self.count = np.array([1, 0], np.int32)
         self.ids = np.flatnonzero(self.line_feed).astype(np.uint32)
+        self.kept = (2, 1)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def store(self, words: list[str], between: str, heads: np.ndarray, drop: int) -> None:
+    def store(self, names: dict[str, int], words: list[str], between: str, heads: np.ndarray, drop: int) -> None:
         """Encodes new words with ``between`` before each; heads marks the ids that begin one, of which the first ``drop`` are not its own."""
         if not words:
             return
@@ -72,25 +71,24 @@ class Encoder:
         if len(head) != len(words):
             raise ValueError("the tokenizer does not cut where words are joined")
         n = len(self.start)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        names.update(zip(words, range(n, n + len(words)), strict=True))
         self.start = np.concatenate((self.start, len(self.ids) + head + drop))
         self.count = np.concatenate((self.count, (np.diff(np.append(head, len(ids))) - drop).astype(np.int32)))
         self.ids = np.concatenate((self.ids, ids))
 
     def learn(self, words: list[str]) -> np.ndarray:
-        """The place of each word in the cache."""
-        get = self.known.get
-        at = [get(w, -1) for w in words]
-        new = [w for w, k in zip(words, at, strict=True) if k < 0]
-        if not new:
-            return np.array(at, np.int64)
-        if len(self.known) + len(new) > self.cache_words and len(self.known) > 2:
-            self.clear()
-            return self.learn(words)
-        self.store([w for w in new if w[0] == " "], "", self.spaced, 0)
-        self.store([w for w in new if w[0] != " "], "\n", self.line_feed, 1)
-        get = self.known.get
-        return np.array([get(w) for w in words], np.int64)
+        """The place of each word among ``start`` and ``count``, until the next call."""
+        n, n_ids = self.kept
+        self.start, self.count, self.ids = self.start[:n], self.count[:n], self.ids[:n_ids]
+        at = [*map(self.known.get, words)]
+        new = [w for w, k in zip(words, at, strict=True) if k is None]
+        keep = len(self.known) + len(new) <= self.cache_words
+        names = self.known if keep else {}
+        self.store(names, [w for w in new if w[0] == " "], "", self.spaced, 0)
+        self.store(names, [w for w in new if w[0] != " "], "\n", self.line_feed, 1)
+        if keep:
+            self.kept = (len(self.start), len(self.ids))
+        return np.array([names[w] if k is None else k for w, k in zip(words, at, strict=True)], np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]

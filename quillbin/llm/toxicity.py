@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import table
+from quillbin.llm.common import give_back, lean, table
 from quillbin.llm.labelled import SAMPLE, fold, sample
 
 # Letters of other scripts that look like Latin ones, in lower case, and signs that stand for letters.
@@ -186,7 +186,7 @@ def learn(labelled: DataFrame) -> Lexicon:
                 n[bool(toxic)].update(["", *terms(text)])
         yield pd.DataFrame([(t, k[1], k[0]) for t in n[0].keys() | n[1].keys() for k in [(n[0][t], n[1][t])]], columns=["term", "pos", "neg"])
 
-    counted = rows.mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_TEXTS) | F.col("term").isin("", *INSULTS)).toPandas()
+    counted = rows.mapInPandas(lean(count), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_TEXTS) | F.col("term").isin("", *INSULTS)).toPandas()
     whole = counted[counted["term"] == ""]
     n_pos, n_neg = int(whole["pos"].sum()), int(whole["neg"].sum())
     if whole.empty:
@@ -201,7 +201,7 @@ def learn(labelled: DataFrame) -> Lexicon:
         for p in parts:
             yield pd.DataFrame({"terms": [sorted(terms(t) & names.value) for t in p["text"]], "bands": [signature(t) for t in p["text"]]})
 
-    found = rows.where("toxic").mapInPandas(sets, "terms array<string>, bands array<long>").toPandas()
+    found = rows.where("toxic").mapInPandas(lean(sets), "terms array<string>, bands array<long>").toPandas()
     learned = choose([{*x} for x in found["terms"]], shares(found["bands"].tolist()), neg, n_neg)
     lexicon = Lexicon(prior | learned, 1.0)
 
@@ -210,7 +210,7 @@ def learn(labelled: DataFrame) -> Lexicon:
         for p in parts:
             yield pd.DataFrame({"x": [amount(t, automaton) for t in p["text"]], "toxic": p["toxic"]})
 
-    seen = rows.mapInPandas(amounts, "x double, toxic boolean").toPandas()
+    seen = rows.mapInPandas(lean(amounts), "x double, toxic boolean").toPandas()
     return lexicon._replace(threshold=best_threshold(seen["x"].to_numpy(), seen["toxic"].to_numpy(bool)))
 
 
@@ -236,6 +236,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "sco
         for texts in parts:
             x = np.array([amount(t, automaton) for t in texts], float)
             yield pd.Series(x / (x + lexicon.threshold))
+        give_back()
 
     return docs.withColumn(to, of(F.col(text)))
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import fresh_dir, materialize, table
+from quillbin.llm.common import fresh_dir, lean, materialize, table
 from quillbin.llm.files import open_part, write_part
 
 DICTIONARY_FRAME = 0x184D2A5D
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield close()
 
-    return materialize(rows.mapInArrow(write, "file string, n_records long"), "warc-manifest")
+    return materialize(rows.mapInArrow(lean(write), "file string, n_records long"), "warc-manifest")
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -182,7 +182,7 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(read, SCHEMA)
+    return manifest.select("file").repartition(F.col("file")).mapInArrow(lean(read), SCHEMA)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
