@@ -51,7 +51,11 @@ def zscores(seq: str | None) -> np.ndarray:
     own = CODE[np.frombuffer((seq or "").encode("utf-8", "replace"), np.uint8)]
     own = own[own < 4].astype(np.int64)
     both = np.concatenate((own, 3 - own[::-1]))
-    n4, n3, n2 = counts(both, 4), counts(both, 3), counts(both, 2)
+    return expected_scores(counts(both, 4), counts(both, 3), counts(both, 2))
+
+
+def expected_scores(n4: np.ndarray, n3: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """From the counts of both strands, each one more than it is."""
     at = np.arange(256)
     abc, bcd, bc = n3[at >> 2], n3[at & 63], n2[at >> 2 & 15]
     below = (bc - abc) * (bc - bcd) * abc * bcd
@@ -60,6 +64,16 @@ def zscores(seq: str | None) -> np.ndarray:
     return np.where(below > 0, z, 0.0)
 
 
+def zscores_of(one_strand: dict[str, int]) -> np.ndarray:
+    """From counts of 2-, 3- and 4-mers of one strand."""
+    n = {k: np.ones(4**k) for k in (2, 3, 4)}
+    for kmer, count in one_strand.items():
+        own = CODE[np.frombuffer(kmer.encode(), np.uint8)].astype(np.int64)
+        for code in (own, 3 - own[::-1]):
+            n[len(own)][int((code * 4 ** np.arange(len(own))[::-1]).sum())] += count
+    return expected_scores(n[4], n[3], n[2])
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def composition(seqs: pd.Series) -> pd.Series:
     """The z-scores less their mean."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from quillbin.functions.sequences import composition, correlation, dot, length_bucket
+from quillbin.functions.sequences import composition, correlation, dot, kmers, length_bucket, zscores_of
 from quillbin.functions.statistics import normal_below
 
 
@@ -15,10 +17,37 @@ def vectors(sequences: DataFrame) -> DataFrame:
     return rows.withColumn("ss", dot(F.col("vec"), F.col("vec")))
 
 
-def correlated(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Adds ``cor`` and both buckets to ``pairs(a, b, ...)``; candidates come from a join by coverage, so vectors are read for those only."""
+def counted(sequences: DataFrame) -> DataFrame:
+    """``(id, kmer, n)``: 2-, 3- and 4-mers of a sequence, counted once and summed for any cluster."""
+    all_kmers = F.concat(*[kmers(F.col("seq"), k) for k in (2, 3, 4)])
+    return sequences.select("id", F.explode(all_kmers).alias("kmer")).groupBy("id", "kmer").agg(F.count("*").alias("n"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def centred_zscores(counts: pd.Series) -> pd.Series:
+    """From the counts of one strand as ``[(kmer, n), ...]``."""
+    return pd.Series([(z := zscores_of({r["kmer"]: r["n"] for r in own})) - z.mean() for own in counts])
+
+
+def cluster_vectors(counts: DataFrame, assigned: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(id, vec, ss, bucket)`` of clusters, id being the seed: k-mers that would span two members are not counted.
+
+    counts: see ``counted``; assigned: ``(id, seed)``; lengths: ``(id, length)``.  What comes
+    together for a cluster is 336 sums, however many members it has.
+    """
+    sums = counts.join(assigned, "id").groupBy("seed", "kmer").agg(F.sum("n").alias("n")).groupBy("seed").agg(F.collect_list(F.struct("kmer", "n")).alias("counts"))
+    size = assigned.join(lengths, "id").groupBy("seed").agg(length_bucket(F.sum("length")).alias("bucket"))
+    rows = sums.join(size, "seed").select(F.col("seed").alias("id"), centred_zscores("counts").alias("vec"), "bucket")
+    return rows.withColumn("ss", dot(F.col("vec"), F.col("vec")))
+
+
+def correlated(pairs: DataFrame, comp: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Adds ``cor`` and both buckets to ``pairs(a, b, ...)``; candidates come from a join by coverage, so vectors are read for those only.
+
+    a is looked up in comp, b in others if given.
+    """
     x = comp.select(F.col("id").alias("a"), F.col("vec").alias("va"), F.col("ss").alias("sa"), F.col("bucket").alias("len1"))
-    y = comp.select(F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("ss").alias("sb"), F.col("bucket").alias("len2"))
+    y = (comp if others is None else others).select(F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("ss").alias("sb"), F.col("bucket").alias("len2"))
     both = pairs.join(x, "a").join(y, "b")
     return both.withColumn("cor", correlation(F.col("va"), F.col("vb"), F.col("sa"), F.col("sb"))).drop("va", "vb", "sa", "sb")
 

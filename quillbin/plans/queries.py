@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillbin.functions import sequences as seqs
 from quillbin.functions import statistics as st
-from quillbin.operators import coverage, evaluation, markers, naive_bayes
+from quillbin.operators import coverage, evaluation, markers, naive_bayes, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -238,6 +238,20 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("a", "b", seqs.correlation(F.col("ea"), F.col("eb"), F.col("sa"), F.col("sb")).alias("cor")), "cor")
 
 
+@query(f"""
+WITH RECURSIVE {VEC},
+n AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, e, ss FROM c),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS chosen
+  UNION ALL
+  SELECT w.r + 1, CASE WHEN EXISTS (SELECT 1 FROM n s WHERE list_contains(w.chosen, s.r) AND list_dot_product(n.e, s.e) / sqrt(n.ss * s.ss) >= 0.25) THEN w.chosen ELSE list_append(w.chosen, n.r) END
+  FROM walk w JOIN n ON n.r = w.r + 1)
+SELECT vec_id FROM n WHERE list_contains((SELECT chosen FROM walk ORDER BY r DESC LIMIT 1), n.r)""")
+def leader_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = centred(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank"), F.col("e").alias("vec"), F.lit(10).alias("bucket"))
+    return seeds.leaders_by_vector(nodes, seeds.Alike(0.25)).select(F.col("id").alias("vec_id"))
+
+
 # --- coverage -----------------------------------------------------------------------------
 
 FENCE = """q AS (SELECT user_id, x, list_sort(x) AS s, len(x) AS n FROM (SELECT user_id, list(value ORDER BY event_id) AS x FROM events GROUP BY user_id)),
