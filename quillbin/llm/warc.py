@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     greatest page_id is the response, a null id being least; of repeated rows one is.
     """
     key = F.sha2(F.encode(F.coalesce("html", F.lit("")), "utf-8"), 256)
-    rows = materialize(pages.select(F.col("page_id").cast("long"), "url", "html", key.alias("key"), F.monotonically_increasing_id().alias("row")), "warc-pages")
+    rows = materialize(pages.select(F.col("page_id").cast("long"), "url", "html", key.alias("key"), F.monotonically_increasing_id().alias("row")), "warc-pages", "zstd")
     best = F.max(F.struct("page_id", "row"))
     groups = rows.groupBy("key").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1").select("key", F.col("best.page_id").alias("to"), F.col("best.row").alias("to_row"))
     # ids only are joined by payload, so copies of a payload are small rows; then each row finds its own answer
@@ -182,7 +182,8 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(lean(read), SCHEMA)
+    # the number of tasks is given, or else the few rows that name the files would be read by one
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(lean(read), SCHEMA)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
