@@ -64,45 +64,58 @@ def large_seeds(own: Inputs, dispersions: DataFrame, par: Parameters) -> DataFra
     return seeds.leaders_by_vector(nodes, seeds.Alike(pair_table(own.cutoffs, "diff"), coverage=True))
 
 
-def seed_logs(own: Inputs, assigned: DataFrame) -> DataFrame:
-    counts = naive_bayes.kmer_counts(own.sequences.select("id", "seq"), "id").join(assigned, "id").groupBy("seed", "kmer").agg(F.sum("n").alias("n"))
-    return naive_bayes.log_probabilities(counts, "seed")
+@dataclass(frozen=True)
+class Features:
+    """counts: 2-, 3- and 4-mers of every sequence; vectors: of the long ones."""
+
+    counts: DataFrame
+    vectors: DataFrame
+
+    @classmethod
+    def of(cls, own: Inputs) -> Features:
+        return cls(composition.counted(own.sequences).checkpoint(), composition.vectors(own.sequences.where(F.col("length") >= LARGE)).checkpoint())
 
 
-def assign(own: Inputs, seed_intervals: DataFrame, members: DataFrame, n_samples: int, par: Parameters) -> DataFrame:
+def assign(own: Inputs, features: Features, seed_intervals: DataFrame, members: DataFrame, n_samples: int) -> DataFrame:
     """All sequences by coverage and composition; members: ``(id, seed)`` that stand for the seeds."""
     lengths = own.sequences.select("id", "length")
-    long_ids = lengths.where(F.col("length") >= LARGE).select("id")
+    long_ids = features.vectors.select("id")
     means = own.depth.select("id", "sample", "mean")
-    counts = composition.counted(own.sequences)
-    seed_comp = composition.cluster_vectors(counts, members, lengths)
-    large = classify.classify_large(means.join(long_ids, "id", "left_semi"), seed_intervals, composition.vectors(own.sequences.join(long_ids, "id", "left_semi")), seed_comp, own.cutoffs, n_samples)
+    seed_comp = composition.cluster_vectors(features.counts, members, lengths)
+    large = classify.classify_large(means.join(long_ids, "id", "left_semi"), seed_intervals, features.vectors, seed_comp, own.cutoffs, n_samples)
     first = seed_intervals.agg(F.max_by("seed", "mean")).first()[0]  # the seed with the greatest mean
-    fours = naive_bayes.kmer_counts(own.sequences.join(long_ids, "id", "left_anti").select("id", "seq"), "id")
-    small = classify.classify_small(means.join(long_ids, "id", "left_anti"), seed_intervals, fours, lengths, seed_logs(own, members), n_samples, first)
+    fours = features.counts.where(F.length("kmer") == 4)
+    logs = naive_bayes.log_probabilities(fours.join(members, "id").groupBy("seed", "kmer").agg(F.sum("n").alias("n")), "seed")
+    small = classify.classify_small(means.join(long_ids, "id", "left_anti"), seed_intervals, fours.join(long_ids, "id", "left_anti"), lengths, logs, n_samples, first)
     return large.unionByName(small.select("id", "seed"))
 
 
 def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
-    """``(id, seq, length, seed, bin)``: every sequence, bins numbered by mean, ``unassigned`` where no seed fits."""
-    dispersions = coverage.sample_dispersion(own.depth)
-    n_samples = own.depth.select("sample").distinct().count()
-    found = large_seeds(own, dispersions, par)
+    """``(id, seq, length, seed, bin)``: every sequence, bins numbered by mean, ``unassigned`` where no seed fits.
+
+    What several stages read (vectors, k-mer counts, assignments) is checkpointed once.
+    """
+    seeds.shared_folder(own.sequences.sparkSession)
+    dispersions = coverage.sample_dispersion(own.depth).checkpoint()
+    n_samples = dispersions.count()
+    found = large_seeds(own, dispersions, par).checkpoint()
     members = found.select("id", F.col("id").alias("seed"))
-    own_intervals = intervals_of(own.depth, dispersions, par.fold).join(found, "id").withColumnRenamed("id", "seed")
-    assigned = assign(own, own_intervals, members, n_samples, par)
+    own_intervals = intervals_of(own.depth, dispersions, par.fold).join(found, "id").withColumnRenamed("id", "seed").checkpoint()
+    features = Features.of(own)
+    assigned = assign(own, features, own_intervals, members, n_samples).checkpoint()
     lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
-    counts = composition.counted(own.sequences)
-    clusters = merging.merged(assigned, means, lengths, counts, own.genes, own.cutoffs, par.most_duplicates)
+    clusters = merging.merged(assigned, means, lengths, features.counts, own.genes, own.cutoffs, par.most_duplicates)
     sizes = clusters.join(lengths, "id").groupBy("seed").agg(F.sum("length").alias("length"))
     species = markers.species_number(markers.copies(own.genes, clusters), par.genes_for_bin, more_than=False)
     kept = markers.kept_at_last(sizes.join(species, "seed", "left").na.fill(0, ["species"]), par.bin_length).select("seed")
-    clusters = clusters.join(kept, "seed", "left_semi").select("id", "seed")
+    clusters = clusters.join(kept, "seed", "left_semi").select("id", "seed").checkpoint()
+    if clusters.isEmpty():
+        return own.sequences.select("*", F.lit(None).cast("string").alias("seed"), F.lit(evaluation.UNASSIGNED).alias("bin"))
     filled = coverage.member_interval(clusters.join(means, "id").join(lengths, "id"))
     gapless = coverage.gaps_filled(filled.select("seed", "sample", "lo", "hi"), means.select("sample", "mean"))
-    final = gapless.join(filled.select("seed", "sample", "mean"), ["seed", "sample"])
-    seeds_first = final.groupBy("seed").agg(F.max_by("mean", -F.col("sample")).alias("mean"))
+    final = gapless.join(filled.select("seed", "sample", "mean"), ["seed", "sample"]).checkpoint()
+    means_of = final.groupBy("seed").agg(F.max_by("mean", -F.col("sample")).alias("mean"))
     # marker sequences stay where they are, all others are classified again
     fixed = clusters.join(own.genes.select("id").distinct(), "id", "left_semi")
-    again = assign(own, final, clusters, n_samples, par).join(fixed.select("id"), "id", "left_anti")
-    return evaluation.classified(fixed.unionByName(again), own.sequences, seeds_first)
+    again = assign(own, features, final, clusters, n_samples).join(fixed.select("id"), "id", "left_anti")
+    return evaluation.classified(fixed.unionByName(again), own.sequences, means_of)
