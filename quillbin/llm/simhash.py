@@ -11,7 +11,9 @@ joined up by contraction rounds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,24 +28,49 @@ SEED = 42
 #: Most fingerprints in one BK-tree, and most queries in one block.
 BLOCK = 4096
 
+#: Which bits each byte has.
+BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of a text's word shingles, repeats counted; 0 for a text without words."""
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0
+
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; none for a text without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(w)
     joined = b" ".join(w)
     if n <= words:
-        h = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(x) + 1 for x in w])
-        starts = np.concatenate(([0], ends[: n - words])).tolist()
-        digest = xxhash.xxh64_intdigest
-        h = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
-    bits = np.unpackbits(np.array(h, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_in = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_in * 2 > len(h), bitorder="little").view(np.uint64)[0])
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if n else [], np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in w])
+    starts = np.concatenate(([0], ends[: n - words])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    if not len(h):
+        return np.uint64(0)
+    own = h.view(np.uint8).reshape(-1, 8)
+    if len(h) < 512:
+        set_in = np.unpackbits(own, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    else:  # how often each byte has each value says how often each bit is set
+        set_in = np.concatenate([np.bincount(own[:, k], minlength=256) @ BIT_OF for k in range(8)])
+    return np.packbits(set_in * 2 > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of a text's word shingles, repeats counted; 0 for a text without words."""
+    return int(majority(shingle_hashes(text, words)))
+
+
+def long_fingerprint(text: str | None, words: int, parts: int) -> np.ndarray:
+    """So many 64-bit SimHashes of the same shingles, from their hashes mixed anew."""
+    h = shingle_hashes(text, words)
+    out = []
+    for i in range(parts):
+        out.append(majority(h))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
+        h ^= h >> np.uint64(29)
+    return np.array(out, np.uint64)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "simhash", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -117,10 +144,15 @@ def forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray) -> np.ndarra
             label = label[label]
 
 
-def tree_links(shard: np.ndarray, is_query: np.ndarray, is_node: np.ndarray, value: np.ndarray, node_id: np.ndarray, radius: int, step: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over all pairs (query, tree node) of the same shard within radius."""
+def tree_links(shard: np.ndarray, is_query: np.ndarray, is_node: np.ndarray, value: np.ndarray, node_id: np.ndarray, radius: int, step: int = 1 << 12, more: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest over all pairs (query, tree node) of the same shard within radius.
+
+    If more (a row of further 64-bit words for each value) is given, a pair found also has to
+    differ in ``most`` bits of those at most.
+    """
     order = np.lexsort((node_id, shard))
     shard, is_query, is_node, value, node_id = (x[order] for x in (shard, is_query, is_node, value, node_id))
+    more = None if more is None else more[order]
     nodes = np.flatnonzero(is_node)
     trees = BKTrees(shard[nodes], value[nodes])
     label = np.arange(len(value))
@@ -128,6 +160,9 @@ def tree_links(shard: np.ndarray, is_query: np.ndarray, is_node: np.ndarray, val
     for i in range(0, len(queries), step):
         q = queries[i : i + step]
         for found, node in trees.within(shard[q], value[q], radius):
+            if more is not None:
+                near = np.bitwise_count(more[q[found]] ^ more[nodes[node]]).sum(axis=1, dtype=np.int64) <= most
+                found, node = found[near], node[near]
             label = forest(q[found], nodes[node], len(value), label)
     # a tree of small degree over each class, so that no node gets a long list of links
     order = np.lexsort((np.arange(len(label)), label))
@@ -145,21 +180,97 @@ def links(points: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
     band = [F.shiftrightunsigned("simhash", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
     rows = points.select("simhash", "id", F.posexplode(F.array(*band)).alias("band", "bits")).select("simhash", "id", (F.col("bits") * 64 + F.col("band")).alias("shard"))
-    sizes = rows.groupBy("shard").count()
-    blocks = sizes.where(F.col("count") > block).select("shard", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    # a block's tree is sent to each block of queries: block i is dealt to the pairs (i, j) and (j, i)
-    rows = rows.join(blocks, "shard", "left").withColumn("i", F.coalesce(F.pmod(F.xxhash64("simhash"), F.col("n")).cast("int"), F.lit(0)))
-    each = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("tree"), F.greatest("i", j).alias("query")))).otherwise(F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("query"))))
-    rows = rows.select("simhash", "id", "shard", "i", F.explode(each).alias("p")).select("simhash", "id", F.xxhash64("shard", "p.tree", "p.query").alias("cell"), (F.col("i") == F.col("p.tree")).alias("node"), (F.col("i") == F.col("p.query")).alias("query"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(parts)
-        if parts and sum(map(len, parts)):
-            p = pd.concat(parts)
+        held = [p for p in parts if len(p)]
+        if held:
+            p = pd.concat(held)
             a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), p["simhash"].to_numpy().view(np.uint64), p["id"].to_numpy(), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
-    return rows.repartition(F.col("cell")).mapInPandas(lean(run), "a long, b long")
+    return dealt(rows, block).mapInPandas(lean(run), "a long, b long")
+
+
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """``rows(..., id, shard)`` to cells of at most two blocks of a shard: ``(..., id, cell, node, query)``.
+
+    A block's tree is sent to each block of queries of its shard: block i is dealt to the
+    pairs (i, j) and (j, i).
+    """
+    own = [c for c in rows.columns if c != "shard"]
+    blocks = rows.groupBy("shard").count().where(F.col("count") > block).select("shard", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    rows = rows.join(blocks, "shard", "left").withColumn("i", F.coalesce(F.pmod(F.xxhash64("id"), F.col("n")).cast("int"), F.lit(0)))
+    each = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("tree"), F.greatest("i", j).alias("query")))).otherwise(F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("query"))))
+    rows = rows.select(*own, "shard", "i", F.explode(each).alias("p"))
+    return rows.select(*own, F.xxhash64("shard", "p.tree", "p.query").alias("cell"), (F.col("i") == F.col("p.tree")).alias("node"), (F.col("i") == F.col("p.query")).alias("query")).repartition(F.col("cell"))
+
+
+class Plan(NamedTuple):
+    """Bands of ``bits`` bits of a fingerprint of ``parts`` words; pairs may differ in ``radius`` bits of the first word and in ``most`` of all the others."""
+
+    bits: int
+    bands: int
+    parts: int
+    radius: int
+    most: int
+
+
+def plan(n: int, similarity: float, recall: float = 0.98) -> Plan:
+    """For n fingerprints and a Jaccard similarity of the shingles.
+
+    The cosine of two such sets of a size is 2 s / (1 + s), and a bit differs with the angle's
+    part of a half turn.  Bands grow with the logarithm of n, so that shards do not grow.
+    The limits lie three deviations above the mean for the first word, 0.7 for the others.
+    """
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(max(round(math.log2(max(n, 1) / 64)), 8), 20)
+    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** bits))
+    parts = max(8, -(-bands // (64 // bits)))
+    limit = lambda size, k: math.floor(size * differs + k * math.sqrt(size * differs * (1 - differs)))
+    return Plan(bits, bands, parts, limit(64, 3), limit(64 * (parts - 1), 0.7))
+
+
+def similar_links(points: DataFrame, own: Plan, block: int = BLOCK) -> DataFrame:
+    """``points(prints binary, id long)``, distinct in prints, to links ``(a, b)`` between similar ones."""
+
+    def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        per = 64 // own.bits
+        for p in parts:
+            words = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, own.parts)
+            band = np.stack([(words[:, i // per] >> np.uint64(i % per * own.bits)) & np.uint64((1 << own.bits) - 1) for i in range(own.bands)], axis=1)
+            shard = band * np.uint64(1024) + np.arange(own.bands, dtype=np.uint64)
+            yield pd.DataFrame({"prints": np.repeat(p["prints"].to_numpy(), own.bands), "id": np.repeat(p["id"].to_numpy(), own.bands), "shard": shard.ravel().view(np.int64)})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
+        if held:
+            p = pd.concat(held)
+            words = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, own.parts)
+            a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), words[:, 0].copy(), p["id"].to_numpy(), own.radius, more=words[:, 1:], most=own.most)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    rows = points.select("prints", "id").mapInPandas(lean(emit), "prints binary, id long, shard long")
+    return dealt(rows, block).mapInPandas(lean(run), "a long, b long").distinct()
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, component_id)`` like ``near_components``, linked by about such a Jaccard similarity of their shingles.
+
+    One 64-bit fingerprint is too short to tell 0.8 from less, so several are taken: the
+    first is searched in BK-trees, the others decide.
+    """
+    n = docs.count()
+    own = plan(n, similarity)
+
+    def prints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"doc_id": p["doc_id"], "prints": [long_fingerprint(t, words, own.parts).tobytes() for t in p["text"]]}).astype({"doc_id": "Int64"})
+
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(prints), "doc_id long, prints binary"), "long-simhash")
+    points = checkpoint(marked.groupBy("prints").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    roots = components(similar_links(points, own))
+    named = points.join(roots, points.id == roots.node, "left").select("prints", F.coalesce("root", "id").alias("component_id"))
+    return marked.join(named, "prints", "left").select("doc_id", "component_id")
 
 
 def near_components(docs: DataFrame, radius: int = 4, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -184,7 +295,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id stays."""
-    keep = near_components(docs, words=5, radius=4).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
+    """Pipeline stage: of each component the document with the least doc_id stays.
+
+    Of rows with the same doc_id one stays; rows with a null doc_id have no place in a
+    component and stay.
+    """
+    keep = similar_components(docs).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(quoted(c)) for c in docs.columns])
