@@ -230,7 +230,7 @@ def plan(n: int, similarity: float, recall: float = 0.98) -> Plan:
     return Plan(bits, bands, parts, limit(64, 3), limit(64 * (parts - 1), 0.7))
 
 
-def similar_links(points: DataFrame, own: Plan, block: int = BLOCK) -> DataFrame:
+def similar_links(points: DataFrame, own: Plan, block: int = BLOCK // 2) -> DataFrame:
     """``points(prints binary, id long)``, distinct in prints, to links ``(a, b)`` between similar ones."""
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +246,7 @@ def similar_links(points: DataFrame, own: Plan, block: int = BLOCK) -> DataFrame
         if held:
             p = pd.concat(held)
             words = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, own.parts)
-            a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), words[:, 0].copy(), p["id"].to_numpy(), own.radius, more=words[:, 1:], most=own.most)
+            a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), words[:, 0].copy(), p["id"].to_numpy(), own.radius, step=512, more=words[:, 1:], most=own.most)
             yield pd.DataFrame({"a": a, "b": b})
 
     rows = points.select("prints", "id").mapInPandas(lean(emit), "prints binary, id long, shard long")

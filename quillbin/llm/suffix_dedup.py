@@ -35,6 +35,8 @@ from quillbin.llm.suffix_arrays import repeated
 from quillbin.llm.text_parts import Texts, write_texts
 
 LENGTH = 100
+#: About so many runs are compared in one task.
+TASK_RUNS = 6000
 #: Runs of one anchor in a part, or in all, beyond which they are dealt out as single strings.
 HOT_IN_PART, HOT = 48, 4096
 LAST = np.int64(2**63 - 1)
@@ -138,7 +140,7 @@ def cut_texts(open_runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
 
     files = parts.join(open_runs.select("part").distinct(), "part", "left_semi")
     rows = open_runs.select("anchor", "id", "part", "row", "start", "count", "hot", F.lit(None).cast("string").alias("file")).unionByName(files.select(F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("id"), "part", F.lit(-1).alias("row"), F.lit(0).alias("start"), F.lit(0).alias("count"), F.lit(False).alias("hot"), "file"))
-    return rows.repartition(F.col("part")).mapInPandas(lean(run), "shard long, id long, part long, row int, start int, count int, bytes binary")
+    return rows.repartition(max(1, parts.count()), "part").mapInPandas(lean(run), "shard long, id long, part long, row int, start int, count int, bytes binary")
 
 
 def match(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -178,7 +180,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot_in_part: int = HOT_
     open_runs = open_runs.unionByName(fresh.where("always").select("anchor", "id", "part", "row", "start", "count", F.lit(True).alias("hot")))
     open_runs = materialize(open_runs, "open-runs")
     pieces = cut_texts(open_runs, parts, length)
-    matched = pieces.repartition(F.col("shard")).mapInPandas(lean(lambda b: match(b, length)), SPAN)
+    # the numbers of tasks are given: small rows stand for many suffixes, and would be put together
+    tasks = max(1, -(-open_runs.count() // TASK_RUNS))
+    matched = pieces.repartition(tasks, "shard").mapInPandas(lean(lambda b: match(b, length)), SPAN)
     return parts, done.unionByName(matched)
 
 
@@ -204,7 +208,7 @@ def kept_rows(docs: DataFrame, length: int, make: Callable[[Texts, list[np.ndarr
 
     nothing = F.lit(None).cast("int")
     rows = parts.select("part", "file", nothing.alias("row"), nothing.alias("start"), nothing.alias("end")).unionByName(cut.select("part", F.lit(None).cast("string").alias("file"), "row", "start", "end"))
-    return rows.repartition(F.col("part")).mapInArrow(lean(run), schema)
+    return rows.repartition(max(1, parts.count()), "part").mapInArrow(lean(run), schema)
 
 
 def kept_bytes(texts: Texts, row: int, edges: np.ndarray) -> bytes:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import give_back, lean, table
+from quillbin.llm.common import give_back, lean, materialize, table
 from quillbin.llm.labelled import SAMPLE, fold, sample
 
 # Letters of other scripts that look like Latin ones, in lower case, and signs that stand for letters.
@@ -243,7 +243,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "sco
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = SAMPLE) -> Lexicon:
     """Labels of rows whose crc32(doc_id as text) mod 5 is 0 are held out."""
-    return learn(sample(docs, table(spark, sf_dir, "labels"), "toxic", fold(5) != 0, most))
+    return learn(materialize(sample(docs, table(spark, sf_dir, "labels"), "toxic", fold(5) != 0, most), "toxic-sample"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
