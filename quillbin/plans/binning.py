@@ -1,7 +1,6 @@
-"""The whole binning: seeds, classification, merging, size filter, final classification.
+"""The whole binning: seeds, classification, splitting, merging, size filter, final classification.
 
-Composite seeds of short sequences, splitting of clusters with several species and the
-assignment of marker sequences by occupancy are not part of it yet (see README).
+Composite seeds of short sequences are not part of it yet (see README).
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbin.operators import classify, composition, coverage, evaluation, markers, merging, naive_bayes, seeds
+from quillbin.operators import classify, composition, coverage, evaluation, markers, merging, naive_bayes, occupancy, seeds, splitting
 
 LARGE = 10_000
 
@@ -22,6 +21,7 @@ class Parameters:
     min_length: int = 0
     bin_length: int = 500_000
     most_duplicates: int = 7
+    genes_for_split: int = 7
     genes_for_bin: int = 10
 
 
@@ -90,6 +90,17 @@ def assign(own: Inputs, features: Features, seed_intervals: DataFrame, members:
     return large.unionByName(small.select("id", "seed"))
 
 
+def place_markers(own: Inputs, features: Features, seed_intervals: DataFrame, members: DataFrame, n_samples: int) -> DataFrame:
+    """``(id, seed)`` of the marker sequences whose coverage fits a seed, by likeness of composition and without duplicates in one seed."""
+    ids = own.genes.select("id").distinct()
+    found = coverage.within(own.depth.select("id", "sample", "mean").join(ids, "id", "left_semi"), seed_intervals, n_samples)
+    seed_comp = composition.cluster_vectors(features.counts, members, own.sequences.select("id", "length"))
+    vectors = composition.vectors(own.sequences.join(ids, "id", "left_semi"))
+    pairs = composition.correlated(found.select(F.col("id").alias("a"), F.col("seed").alias("b")), vectors, seed_comp)
+    scored = composition.calibrated(pairs, own.cutoffs).select(F.col("a").alias("id"), F.col("b").alias("seed"), F.coalesce("z", "cor").alias("score"))
+    return occupancy.assign_markers(scored, own.genes, markers.duplicates(own.genes))
+
+
 def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
     """``(id, seq, length, seed, bin)``: every sequence, bins numbered by mean, ``unassigned`` where no seed fits.
 
@@ -103,6 +114,7 @@ def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
     own_intervals = intervals_of(own.depth, dispersions, par.fold).join(found, "id").withColumnRenamed("id", "seed").checkpoint()
     features = Features.of(own)
     assigned = assign(own, features, own_intervals, members, n_samples).checkpoint()
+    assigned = splitting.split_clusters(assigned, own.genes, own.sequences.select("id", "length"), features.counts, own.cutoffs, par.genes_for_split).checkpoint()
     lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
     clusters = merging.merged(assigned, means, lengths, features.counts, own.genes, own.cutoffs, par.most_duplicates)
     sizes = clusters.join(lengths, "id").groupBy("seed").agg(F.sum("length").alias("length"))
@@ -115,7 +127,8 @@ def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
     gapless = coverage.gaps_filled(filled.select("seed", "sample", "lo", "hi"), means.select("sample", "mean"))
     final = gapless.join(filled.select("seed", "sample", "mean"), ["seed", "sample"]).checkpoint()
     means_of = final.groupBy("seed").agg(F.max_by("mean", -F.col("sample")).alias("mean"))
-    # marker sequences stay where they are, all others are classified again
-    fixed = clusters.join(own.genes.select("id").distinct(), "id", "left_semi")
+    # marker sequences first, under copy-number rules; those without a fitting seed stay where they are
+    placed = place_markers(own, features, final, clusters, n_samples)
+    fixed = placed.unionByName(clusters.join(own.genes.select("id").distinct(), "id", "left_semi").join(placed, "id", "left_anti"))
     again = assign(own, features, final, clusters, n_samples).join(fixed.select("id"), "id", "left_anti")
     return evaluation.classified(fixed.unionByName(again), own.sequences, means_of)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from quillbin.functions.sequences import FOURMERS, zscores, zscores_of
-from quillbin.operators import merging
+from quillbin.operators import composition, merging, splitting
 from quillbin.plans import binning
 
 
@@ -67,3 +67,26 @@ def test_choices():
     rows = [{"a": "x", "b": "y", "ra": 9.0, "inside": False, "p": 0.9, "distance": 1.0}, {"a": "x", "b": "z", "ra": 9.0, "inside": False, "p": 0.9, "distance": 2.0}, {"a": "y", "b": "z", "ra": 8.0, "inside": True, "p": 0.2, "distance": 1.0}]
     assert merging.choices(rows) == {"z": "x"}
     assert merging.choices(rows, farthest=False) == {"y": "x"}
+
+
+def test_a_cluster_of_two_species_is_split(spark):
+    rnd = random.Random(12)
+    rows, genes = [], []
+    for g in range(2):
+        whole = genome(rnd, 110_000)
+        for k in range(4):
+            rows.append((f"g{g}_{k}", whole[k * 25_000 : (k + 1) * 25_000], 25_000))
+        rows.append((f"g{g}_4", whole[100_000:104_000], 4_000))
+        genes += [(f"gene{i}", f"g{g}_{i % 3}") for i in range(12)]
+    sequences = spark.createDataFrame(rows, "id string, seq string, length long")
+    table = [(a, b, 0.6, 0.13, 0.2, 0.15, 0.5, 0.55) for a in range(0, 220, 10) for b in range(0, 220, 10)]
+    cutoffs = spark.createDataFrame(table, "len1 int, len2 int, smean double, ssd double, dmean double, dsd double, diff double, cutoff double")
+    assigned = spark.createDataFrame([(r[0], "g0_3") for r in rows] + [("alone", "alone")], "id string, seed string")
+    own_genes = spark.createDataFrame(genes, "gene string, id string").distinct()
+    out = splitting.split_clusters(assigned, own_genes, sequences.select("id", "length"), composition.counted(sequences).checkpoint(), cutoffs)
+    seed = {r["id"]: r["seed"] for r in out.collect()}
+    assert set(seed) == {r[0] for r in rows} | {"alone"}
+    assert seed["alone"] == "alone"
+    assert len({seed[f"g0_{k}"] for k in range(5)}) == 1
+    assert len({seed[f"g1_{k}"] for k in range(5)}) == 1
+    assert seed["g0_0"] != seed["g1_0"]

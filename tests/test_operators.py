@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quillbin.functions import statistics as st
-from quillbin.operators import composition, coverage, evaluation, markers, seeds
+from quillbin.operators import composition, coverage, evaluation, markers, occupancy, seeds
 
 
 def test_leaders_are_those_of_one_pass_in_order(spark):
@@ -95,3 +95,13 @@ def test_numbers_and_pivot(spark):
     assert sorted(map(tuple, out.collect())) == [("s", 2), ("t", 0)]
     wide = markers.pivot(spark.createDataFrame([("g", "s", 2, "b"), ("g", "s", 1, "a")], "gene string, seed string, place int, cell string"), ["s", "t"])
     assert tuple(wide.first()) == ("g", "a;b", "NA")
+
+
+def test_duplicates_go_to_different_seeds(spark):
+    rows = [("x", "s", 3.0), ("x", "t", 1.0), ("y", "s", 2.0), ("y", "t", 1.5), ("z", "s", 0.5), ("w", "s", 0.1)]
+    genes = [(g, i) for i in ("x", "y", "w") for g in ("g1", "g2")] + [("g3", "z")]
+    out = occupancy.assign_markers(spark.createDataFrame(rows, "id string, seed string, score double"), spark.createDataFrame(genes, "gene string, id string"), spark.createDataFrame([("x", "y"), ("w", "x"), ("w", "y")], "a string, b string"))
+    # w has no other seed than the occupied one and goes there in the end
+    assert sorted(map(tuple, out.collect())) == [("w", "s"), ("x", "s"), ("y", "t"), ("z", "s")]
+    none = spark.createDataFrame([], "id string, seed string, score double")
+    assert occupancy.assign_markers(none, spark.createDataFrame(genes, "gene string, id string"), spark.createDataFrame([], "a string, b string")).count() == 0
