@@ -187,7 +187,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gets its words in the mean whatever its documents' lengths.  Documents without words
     stay as they are.
     """
-    rows = materialize(docs.withColumn("mix row", F.monotonically_increasing_id()), "mix-rows")
+    rows = materialize(docs.withColumn("mix row", F.monotonically_increasing_id()), "mix-rows", "zstd")
     own = rows.select(F.col("mix row").alias("doc_id"), "text", "source")
     plan = planned(own)
     word = F.floor(uniform(F.col("key")) * F.col("size")).cast("long")
