@@ -112,14 +112,24 @@ def classify(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
 def cut_texts(open_runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     """The bytes of runs; those of a hot anchor as single strings, each at most once from a part."""
 
-    def strings(texts: Texts, row: int, start: int, count: int, seen: set[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    def strings(texts: Texts, row: int, start: int, count: int, seen: set[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
+        """Key, start, number and bytes of strings; those seen in the part before are joined up and have no bytes."""
         whole = texts[row][start : start + count + length - 1]
-        key = mixed(rolling(whole, length)).view(np.int64)
+        key = mixed(rolling(whole, length)).view(np.int64).tolist()
         raw = whole.tobytes()
+        first = None
         for i in range(count):
             one = raw[i : i + length]
-            yield int(key[i]), start + i, one if one not in seen else b""
+            if one in seen:
+                first = i if first is None else first
+                continue
             seen.add(one)
+            if first is not None:
+                yield key[first], start + first, i - first, b""
+                first = None
+            yield key[i], start + i, 1, one
+        if first is not None:
+            yield key[first], start + first, count - first, b""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -131,7 +141,7 @@ def cut_texts(open_runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
                 if not hot:
                     out.append((a, i, part, row, start, count, texts[row][start : start + count + length - 1].tobytes()))
                 else:
-                    out += [(k, i, part, row, s, 1, one) for k, s, one in strings(texts, row, start, count, seen)]
+                    out += [(k, i, part, row, s, n, one) for k, s, n, one in strings(texts, row, start, count, seen)]
                 if len(out) >= 20_000:
                     yield pd.DataFrame(out, columns=["shard", "id", "part", "row", "start", "count", "bytes"])
                     out = []
@@ -151,7 +161,7 @@ def match(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
     blank = p["bytes"].map(len).to_numpy() == 0  # repeats within their part
     again = p[blank]
     if len(again):
-        yield spans(again["part"].to_numpy(), again["row"].to_numpy(), again["start"].to_numpy(), again["start"].to_numpy() + length)
+        yield spans(again["part"].to_numpy(), again["row"].to_numpy(), again["start"].to_numpy(), (again["start"] + again["count"]).to_numpy() + length - 1)
     p = p[~blank].sort_values(["id", "part", "row", "start"])
     texts, counts = p["bytes"].tolist(), p["count"].to_numpy(np.int64)
     part, row, start = (p[c].to_numpy(np.int64) for c in ("part", "row", "start"))
