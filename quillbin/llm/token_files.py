@@ -32,6 +32,8 @@ from quillbin.llm.tokens import batches, default_path, encoder
 
 MAGIC = b"QTF1"
 BLOCK_IDS = 1 << 18
+#: Pieces that the tokenizer's cache keeps in a worker.
+CACHE_WORDS = 1_600_000
 #: About so many ids go to a file.
 FILE_IDS = 3_000_000
 #: Bytes of each of the four ids that a control byte describes.
@@ -115,7 +117,7 @@ def tokenized(docs: DataFrame, end_id: int, path: str, name: str = "tokens") ->
     end = np.array([end_id], kind)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, CACHE_WORDS)
         for part in parts:
             texts = part.column(1).to_pylist()
             for some in batches(texts):

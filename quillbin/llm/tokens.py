@@ -112,14 +112,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file, so that words stay cached from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One for each worker process, file and size, so that words stay cached from task to task."""
+    key = (path, cache_words)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, cache_words)
+    return _encoders[key]
 
 
 def batches(texts: list[str | None], chars: int = 10 << 20) -> list[slice]:
