@@ -63,8 +63,8 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def long_fingerprint(text: str | None, words: int, parts: int) -> np.ndarray:
-    """So many 64-bit SimHashes of the same shingles, from their hashes mixed anew."""
-    h = shingle_hashes(text, words)
+    """So many 64-bit SimHashes of the distinct shingles, from their hashes mixed anew."""
+    h = np.unique(shingle_hashes(text, words))
     out = []
     for i in range(parts):
         out.append(majority(h))

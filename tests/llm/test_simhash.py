@@ -94,6 +94,16 @@ def test_similar_texts(spark):
     assert sum(own[a] == own[b] for a, b in wanted) >= 0.98 * len(wanted)
 
 
+def test_repeated_lines_do_not_link(spark):
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    line = text(20)
+    rows = [(i, f"{text(200)} {' '.join([line] * rnd.choice((10, 20, 30)))} {text(200)}", "en", "s0", 0) for i in range(24)]
+    assert max(jaccard(a[1], b[1]) for a in rows for b in rows if a < b) < 0.1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in simhash.dedup(spark, docs, "").collect()) == [r[0] for r in rows]
+
+
 def test_stage_keeps_one_of_each_group(spark, clashing, odd_rows, no_docs):
     out = simhash.dedup(spark, clashing, "")
     assert out.columns == clashing.columns
