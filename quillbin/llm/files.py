@@ -22,3 +22,16 @@ def write_part(folder: str, part: int, suffix: str):
 def open_part(address: str):
     system, path = fs.FileSystem.from_uri(address)
     return system.open_input_stream(path)
+
+
+def open_places(address: str):
+    """A file to read at any place."""
+    system, path = fs.FileSystem.from_uri(address)
+    return system.open_input_file(path)
+
+
+def remove(folder: str) -> None:
+    """Removes a folder of such files, if there is one."""
+    system, path = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)

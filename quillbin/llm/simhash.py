@@ -12,21 +12,29 @@ joined up by contraction rounds.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import checkpoint, components, give_back, lean, materialize, quoted, table
+from quillbin.llm.common import checkpoint, components, fresh_dir, give_back, lean, materialize, quoted, table
+from quillbin.llm.files import open_places, remove, write_part
 
 SHINGLE_WORDS = 4
 SEED = 42
 #: Most fingerprints in one BK-tree, and most queries in one block.
 BLOCK = 4096
+#: 64-bit words of a long fingerprint that decide whether two texts are compared, whatever the corpus' size.
+PARTS = 8
+#: Bytes of shingle hashes, and open files, that a task keeps for comparisons.
+HELD, OPEN = 64 << 20, 64
 
 #: Which bits each byte has.
 BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -144,11 +152,30 @@ def forest(a: np.ndarray, b: np.ndarray, n: int, label: np.ndarray) -> np.ndarra
             label = label[label]
 
 
-def tree_links(shard: np.ndarray, is_query: np.ndarray, is_node: np.ndarray, value: np.ndarray, node_id: np.ndarray, radius: int, step: int = 1 << 12, more: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def confirmed(a: np.ndarray, b: np.ndarray, label: np.ndarray, same: Callable[[int, int], bool]) -> list[int]:
+    """Which of the pairs (a, b) are the same and join two classes of label that no earlier one joined."""
+    root: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = i = root.get(up, up)
+        return i
+
+    keep = []
+    la, lb = label[a], label[b]
+    for k in np.flatnonzero(la != lb).tolist():
+        x, y = top(int(la[k])), top(int(lb[k]))
+        if x != y and same(a[k], b[k]):
+            root[x] = y
+            keep.append(k)
+    return keep
+
+
+def tree_links(shard: np.ndarray, is_query: np.ndarray, is_node: np.ndarray, value: np.ndarray, node_id: np.ndarray, radius: int, step: int = 1 << 12, more: np.ndarray | None = None, most: int = 0, same: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest over all pairs (query, tree node) of the same shard within radius.
 
     If more (a row of further 64-bit words for each value) is given, a pair found also has to
-    differ in ``most`` bits of those at most.
+    differ in ``most`` bits of those at most, and to be the ``same`` by its two indices if that is given.
     """
     order = np.lexsort((node_id, shard))
     shard, is_query, is_node, value, node_id = (x[order] for x in (shard, is_query, is_node, value, node_id))
@@ -163,15 +190,18 @@ def tree_links(shard: np.ndarray, is_query: np.ndarray, is_node: np.ndarray, val
             if more is not None:
                 near = np.bitwise_count(more[q[found]] ^ more[nodes[node]]).sum(axis=1, dtype=np.int64) <= most
                 found, node = found[near], node[near]
+            if same is not None:
+                keep = confirmed(q[found], nodes[node], label, lambda i, j: same(order[i], order[j]))
+                found, node = found[keep], node[keep]
             label = forest(q[found], nodes[node], len(value), label)
     # a tree of small degree over each class, so that no node gets a long list of links
-    order = np.lexsort((np.arange(len(label)), label))
-    lab = label[order]
+    by_class = np.lexsort((np.arange(len(label)), label))
+    lab = label[by_class]
     start = np.flatnonzero(np.concatenate(([True], lab[1:] != lab[:-1])))
     rank = np.arange(len(lab)) - np.repeat(start, np.diff(np.append(start, len(lab))))
     up = np.arange(len(lab)) - rank + (rank - 1) // 8
     keep = rank > 0
-    return node_id[order[up[keep]]], node_id[order[keep]]
+    return node_id[by_class[up[keep]]], node_id[by_class[keep]]
 
 
 def links(points: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
@@ -206,7 +236,7 @@ def dealt(rows: DataFrame, block: int) -> DataFrame:
 
 
 class Plan(NamedTuple):
-    """Bands of ``bits`` bits of a fingerprint of ``parts`` words; pairs may differ in ``radius`` bits of the first word and in ``most`` of all the others."""
+    """Bands of ``bits`` bits of a fingerprint of ``parts`` words; pairs may differ in ``radius`` bits of the first word and in ``most`` of the next ones up to PARTS."""
 
     bits: int
     bands: int
@@ -220,55 +250,124 @@ def plan(n: int, similarity: float, recall: float = 0.98) -> Plan:
 
     The cosine of two such sets of a size is 2 s / (1 + s), and a bit differs with the angle's
     part of a half turn.  Bands grow with the logarithm of n, so that shards do not grow.
-    The limits lie three deviations above the mean for the first word, 0.7 for the others.
+    The limits lie three deviations above the mean and are the same for every n.
     """
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = min(max(round(math.log2(max(n, 1) / 64)), 8), 20)
     bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** bits))
-    parts = max(8, -(-bands // (64 // bits)))
+    parts = max(PARTS, -(-bands // (64 // bits)))
     limit = lambda size, k: math.floor(size * differs + k * math.sqrt(size * differs * (1 - differs)))
-    return Plan(bits, bands, parts, limit(64, 3), limit(64 * (parts - 1), 0.7))
-
-
-def similar_links(points: DataFrame, own: Plan, block: int = BLOCK // 2) -> DataFrame:
-    """``points(prints binary, id long)``, distinct in prints, to links ``(a, b)`` between similar ones."""
+    return Plan(bits, bands, parts, limit(64, 3), limit(64 * (PARTS - 1), 3))
+
+
+class Shingles:
+    """Distinct shingle hashes of texts by their place in files; the last ones used are held."""
+
+    def __init__(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray, words: int, similarity: float):
+        self.place, self.words, self.similarity = (at, start, size, raw), words, similarity
+        self.held: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.files: OrderedDict[str, pa.NativeFile] = OrderedDict()
+        self.bytes = 0
+        self.codec = pa.Codec("zstd")
+
+    def file(self, at: str) -> pa.NativeFile:
+        if at not in self.files:
+            if len(self.files) >= OPEN:
+                self.files.popitem(last=False)[1].close()
+            self.files[at] = open_places(at)
+        self.files.move_to_end(at)
+        return self.files[at]
+
+    def of(self, i: int) -> np.ndarray:
+        if i in self.held:
+            self.held.move_to_end(i)
+            return self.held[i]
+        at, start, size, raw = (x[i] for x in self.place)
+        text = self.codec.decompress(self.file(at).read_at(int(size), int(start)), int(raw), asbytes=True) if raw else b""
+        h = self.held[i] = np.unique(shingle_hashes(text.decode("utf-8", "surrogatepass"), self.words))
+        self.bytes += h.nbytes
+        while self.bytes > HELD and len(self.held) > 2:
+            self.bytes -= self.held.popitem(last=False)[1].nbytes
+        return h
+
+    def same(self, i: int, j: int) -> bool:
+        """Whether the Jaccard similarity of two texts' shingles is high enough."""
+        x, y = self.of(i), self.of(j)
+        if min(len(x), len(y)) < self.similarity * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= self.similarity * (len(x) + len(y) - both)
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
+def similar_links(points: DataFrame, own: Plan, words: int, similarity: float, block: int = BLOCK // 2) -> DataFrame:
+    """``points(prints binary, id, at, start, size, raw)``, distinct in prints, to links ``(a, b)`` that join all similar ones.
+
+    Fingerprints only choose the pairs; what links is the Jaccard similarity of the shingles
+    of the two texts, which are read from their places in files.
+    """
+    place = {"id": "long", "at": "string", "start": "long", "size": "int", "raw": "int"}
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         per = 64 // own.bits
         for p in parts:
-            words = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, own.parts)
-            band = np.stack([(words[:, i // per] >> np.uint64(i % per * own.bits)) & np.uint64((1 << own.bits) - 1) for i in range(own.bands)], axis=1)
+            prints = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, own.parts)
+            band = np.stack([(prints[:, i // per] >> np.uint64(i % per * own.bits)) & np.uint64((1 << own.bits) - 1) for i in range(own.bands)], axis=1)
             shard = band * np.uint64(1024) + np.arange(own.bands, dtype=np.uint64)
-            yield pd.DataFrame({"prints": np.repeat(p["prints"].to_numpy(), own.bands), "id": np.repeat(p["id"].to_numpy(), own.bands), "shard": shard.ravel().view(np.int64)})
+            near = np.array([x.tobytes() for x in prints[:, :PARTS]], object)
+            yield pd.DataFrame({"prints": np.repeat(near, own.bands), **{c: np.repeat(p[c].to_numpy(), own.bands) for c in place}, "shard": shard.ravel().view(np.int64)})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]
         if held:
             p = pd.concat(held)
-            words = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, own.parts)
-            a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), words[:, 0].copy(), p["id"].to_numpy(), own.radius, step=512, more=words[:, 1:], most=own.most)
+            prints = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, PARTS)
+            shingles = Shingles(*(p[c].to_numpy() for c in ("at", "start", "size", "raw")), words, similarity)
+            a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), prints[:, 0].copy(), p["id"].to_numpy(), own.radius, step=512, more=prints[:, 1:], most=own.most, same=shingles.same)
+            shingles.close()
             yield pd.DataFrame({"a": a, "b": b})
 
-    rows = points.select("prints", "id").mapInPandas(lean(emit), "prints binary, id long, shard long")
+    rows = points.select("prints", *place).mapInPandas(lean(emit), f"prints binary, {', '.join(f'{c} {t}' for c, t in place.items())}, shard long")
     return dealt(rows, block).mapInPandas(lean(run), "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, component_id)`` like ``near_components``, linked by about such a Jaccard similarity of their shingles.
+    """``docs(doc_id, text)`` to ``(doc_id, component_id)`` like ``near_components``, linked by such a Jaccard similarity of their distinct shingles.
 
     One 64-bit fingerprint is too short to tell 0.8 from less, so several are taken: the
-    first is searched in BK-trees, the others decide.
+    first is searched in BK-trees, the others decide which texts are compared.  Texts lie
+    in files of the shared folder until links are found.
     """
     n = docs.count()
     own = plan(n, similarity)
+    folder = fresh_dir(docs.sparkSession, "long-simhash-texts")
 
     def prints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "prints": [long_fingerprint(t, words, own.parts).tobytes() for t in p["text"]]}).astype({"doc_id": "Int64"})
-
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(prints), "doc_id long, prints binary"), "long-simhash")
-    points = checkpoint(marked.groupBy("prints").agg(F.min("doc_id").alias("id")).where("id is not null"))
-    roots = components(similar_links(points, own))
+        out, at, start, codec = None, None, 0, pa.Codec("zstd", compression_level=1)
+        try:
+            for p in parts:
+                if out is None:
+                    out, at = write_part(folder, TaskContext.get().partitionId(), ".texts")
+                rows = []
+                for t in p["text"]:
+                    text = (t or "").encode("utf-8", "surrogatepass")
+                    small = codec.compress(text, asbytes=True) if text else b""
+                    out.write(small)
+                    rows.append((long_fingerprint(t, words, own.parts).tobytes(), at, start, len(small), len(text)))
+                    start += len(small)
+                yield pd.DataFrame(rows, columns=["prints", "at", "start", "size", "raw"]).assign(doc_id=p["doc_id"].astype("Int64").to_numpy())[["doc_id", "prints", "at", "start", "size", "raw"]].astype({"doc_id": "Int64"})
+        finally:
+            if out is not None:
+                out.close()
+
+    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(prints), "doc_id long, prints binary, at string, start long, size int, raw int"), "long-simhash")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "at", "start", "size", "raw")))
+    points = checkpoint(marked.groupBy("prints").agg(first.alias("p")).where("p is not null").select("prints", "p.*"))
+    roots = components(similar_links(points, own, words, similarity))
+    remove(folder)  # components has written the links
     named = points.join(roots, points.id == roots.node, "left").select("prints", F.coalesce("root", "id").alias("component_id"))
     return marked.join(named, "prints", "left").select("doc_id", "component_id")
 

@@ -94,6 +94,43 @@ def test_similar_texts(spark):
     assert sum(own[a] == own[b] for a, b in wanted) >= 0.98 * len(wanted)
 
 
+def test_similar_texts_about_the_limit(spark):
+    """Pairs on both sides of 0.8, and families in which some pairs alone are similar enough."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(150):
+        base = [word() for _ in range(rnd.randint(200, 500))]
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 2 + (i % 5 == 0) * 3):
+            copy = base[:]
+            for at in rnd.sample(range(10, len(base) - 10), round(len(base) * rnd.uniform(0.012, 0.04))):
+                copy[at] = word()
+            rows.append((10 * i + k, " ".join(copy)))
+    text = dict(rows)
+    root = {i: i for i in text}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = [(a, b, jaccard(text[a], text[b])) for a in text for b in text if a < b and a // 10 == b // 10]
+    assert sum(0.8 <= s < 0.85 for *_, s in near) > 20 and sum(0.65 < s < 0.8 for *_, s in near) > 40
+    for a, b, s in near:
+        if s >= 0.8:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    own = {r[0]: r[1] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(find(own[i]) == find(i) for i in text)  # nothing is joined that no similar pairs join
+    wanted = [(a, b) for a, b, s in near if 0.8 <= s < 0.85]
+    assert sum(own[a] == own[b] for a, b in wanted) >= 0.93 * len(wanted)
+
+
+def test_limits_do_not_depend_on_the_corpus():
+    assert len({simhash.plan(n, 0.8)[3:] for n in (10, 27_770, 8_000_000)}) == 1
+
+
 def test_repeated_lines_do_not_link(spark):
     rnd = random.Random(8)
     text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
