@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,6 +240,30 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("a", "b", seqs.correlation(F.col("ea"), F.col("eb"), F.col("sa"), F.col("sb")).alias("cor")), "cor")
 
 
+def neighbors(rows: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """``rows(vec_id, e, ss)``, centred, to ``(a, b, cor)`` of all pairs a < b that correlate by ``least`` or more: blocks of rows against blocks, two in a task."""
+    n = max(-(-rows.count() // block), 1)
+    own = rows.where("ss > 0").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).select("vec_id", "e", "ss", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p[p["i"] == p["lo"]], p[p["i"] == p["hi"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "cor": []})
+        cor = np.stack(x["e"]) @ np.stack(y["e"]).T / np.sqrt(np.outer(x["ss"], y["ss"]))
+        k, m = np.nonzero(np.round(cor, 6) >= least)
+        a, b = x["vec_id"].to_numpy()[k], y["vec_id"].to_numpy()[m]
+        keep = a < b if p["lo"].iloc[0] == p["hi"].iloc[0] else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cor": cor[k, m][keep]})
+
+    return dealt.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, cor double")
+
+
+@query(f"WITH {VEC} SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / sqrt(a.ss * b.ss), 6) AS cor FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE a.ss > 0 AND b.ss > 0) WHERE cor >= 0.5")
+def corr_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(neighbors(centred(spark, sf_dir), 0.5), "cor")
+
+
 @query(f"""
 WITH RECURSIVE {VEC},
 n AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, e, ss FROM c),
