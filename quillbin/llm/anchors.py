@@ -47,27 +47,20 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 class Runs(NamedTuple):
-    """Runs of starts with one anchor: its hash, the run's first start, number of starts, hash of its place and all bytes."""
+    """Runs of starts with one anchor: its hash, the run's first start and number of starts."""
 
     anchor: np.ndarray
     start: np.ndarray
     count: np.ndarray
-    content: np.ndarray
 
 
 def runs(data: np.ndarray, length: int) -> Runs:
     """The runs of one text (uint8); none if it is shorter than ``length``."""
     n = len(data) - length + 1
     if n <= 0:
-        none = np.zeros(0, np.uint64)
-        return Runs(none, np.zeros(0, np.int64), np.zeros(0, np.int64), none)
+        return Runs(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     piece = mixed(rolling(data, KMER))
     least = sliding_min(piece, length - KMER + 1)
     # the anchor moves when the least hash changes, or when its leftmost place is left behind
     change = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (piece[: n - 1] == least[:-1]))))
-    anchor = least[change]
-    count = np.diff(np.append(change, n))
-    whole = rolling(data, length)
-    last = change + count - 1
-    content = mixed(whole[change] * np.uint64(0xA24BAED4963EE407) + mixed(whole[last] + count.astype(np.uint64)))
-    return Runs(anchor, change, count, content)
+    return Runs(least[change], change, np.diff(np.append(change, n)))

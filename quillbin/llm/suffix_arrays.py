@@ -1,51 +1,108 @@
 """A logarithmic family of suffix arrays over batches of byte strings.
 
-A batch gets a suffix array (its suffixes in the order of their first ``length`` bytes),
-is merge-scanned against every level that is there for matches of ``length`` bytes, and
-becomes a level; two levels of a similar size merge, so there are at most
-log2(batches) + 1 of them and every suffix moves a logarithmic number of times.
+A batch gets a suffix array: the offsets of its suffixes in the order of their first
+``length`` bytes, so that equal ones are neighbours.  It is merge-scanned against every
+level that is there for matches of ``length`` bytes, and what no level has becomes a level.
+Levels of a similar size are merged, so there are at most log2(batches) + 1 of them and
+every suffix moves a logarithmic number of times.  Levels hold text and offsets; heads of
+suffixes are cut out block by block while two arrays are scanned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 
+#: Suffixes whose heads are in memory at once, for each of two arrays.
+BLOCK = 1 << 16
+#: Suffixes of a batch, about.
+BATCH = 1 << 17
+
+
+class Level(NamedTuple):
+    """text, and a suffix array of some of its suffixes."""
+
+    text: np.ndarray
+    at: np.ndarray
+
+    def heads(self, first: int, n: int, length: int) -> np.ndarray:
+        return heads(self.text, self.at[first : first + n], length)
+
+
+def heads(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes at each offset; as long as each other, so padding says nothing."""
+    if not len(at):
+        return np.zeros(0, f"S{length}")
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[at]).view(f"S{length}").ravel()
+
+
+def merge_scan(level: Level, own: Level, length: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix of own, in order: its place among the level's, and whether one there has the same first bytes.
+
+    Both arrays are walked once from front to back.
+    """
+    n, m = len(level.at), len(own.at)
+    place, same = np.full(m, n, np.int64), np.zeros(m, bool)
+    i, theirs = 0, level.heads(0, block, length)
+    for j in range(0, m, block):
+        mine, done = own.heads(j, block, length), 0
+        while done < len(mine) and i < n:
+            k = done + int(np.searchsorted(mine[done:], theirs[-1], "right"))
+            p = np.searchsorted(theirs, mine[done:k])
+            place[j + done : j + k] = i + p
+            same[j + done : j + k] = theirs[p] == mine[done:k]
+            done = k
+            if done < len(mine):
+                i += len(theirs)
+                theirs = level.heads(i, block, length)
+    return place, same
+
+
+def merged(level: Level, own: Level, length: int) -> Level:
+    """One level of the suffixes of both; own has none that the level has."""
+    place, _ = merge_scan(level, own, length)
+    return Level(np.concatenate((level.text, own.text)), np.insert(level.at, place, own.at + len(level.text)))
+
 
 class SuffixLevels:
     """``add(texts, counts)`` in corpus order; says which suffixes begin with bytes that began a suffix before."""
 
     def __init__(self, length: int):
         self.length = length
-        self.levels: list[np.ndarray] = []
+        self.levels: list[Level] = []
 
     def add(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
         """The first counts[i] suffixes of texts[i], all at least ``length`` long; a boolean for each."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         base = np.cumsum([0, *map(len, texts[:-1])])
         starts = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, self.length)[starts]).view(f"S{self.length}").ravel()
-        order = np.argsort(heads, kind="stable")  # the batch's suffix array; equal heads keep the corpus order
-        own = heads[order]
-        seen = np.concatenate(([False], own[1:] == own[:-1]))
+        own = heads(data, starts, self.length)
+        order = np.argsort(own, kind="stable")  # equal heads keep the corpus order
+        own = own[order]
+        array = starts[order]
+        seen = np.concatenate(([False], own[1:] == own[:-1]))[: len(own)]
         for level in self.levels:
-            at = np.searchsorted(level, own)
-            at[at == len(level)] = 0
-            seen |= level[at] == own
-        new = own[~seen]
-        if len(new):
-            self.levels.append(new)
-            while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            left = np.flatnonzero(~seen)
+            seen[left] = merge_scan(level, Level(data, array[left]), self.length)[1]
+        if not seen.all():
+            self.levels.append(Level(data, array[~seen]))
+            while len(self.levels) > 1 and len(self.levels[-2].at) < 2 * len(self.levels[-1].at):
                 b, a = self.levels.pop(), self.levels.pop()
-                self.levels.append(np.sort(np.concatenate((a, b)), kind="stable"))  # a merge of two sorted runs
+                self.levels.append(merged(a, b, self.length))
         out = np.empty(len(seen), bool)
         out[order] = seen
         return out
 
 
-def repeated(texts: list[bytes], counts: np.ndarray, length: int, batch: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
-    """For each batch of texts in corpus order: the index of its first text, and which of the batch's suffixes are repeats."""
+def repeated(texts: list[bytes], counts: np.ndarray, length: int, batch: int = BATCH) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each batch of texts in corpus order: its first text, the one after its last, and which of its suffixes are repeats."""
     index = SuffixLevels(length)
-    for i in range(0, len(texts), batch):
-        yield i, index.add(texts[i : i + batch], counts[i : i + batch])
+    upto = np.cumsum(counts)
+    i = 0
+    while i < len(texts):
+        before = int(upto[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, before + batch, "right")))
+        yield i, j, index.add(texts[i:j], counts[i:j])
+        i = j

@@ -1,19 +1,20 @@
 """Removal of long byte strings that start earlier in the corpus, by families of suffix arrays.
 
-1. Texts are written once to part files (``text_parts``); a part is a batch of the corpus.
+1. Texts are written once to part files (``text_parts``).
 2. Each part is cut into runs of starts that share a content-defined anchor (``anchors``).
-   Equal strings have equal anchors, so the corpus splits by anchor into shards that need
-   not know of each other.  A run equal to an earlier one of the same part is a repeat at
-   once and goes no further.
-3. Within an anchor, a run with the same bytes as an earlier run is a repeat as a whole.
-   Anchors seen with only one content are done.
-4. Only runs whose anchor has several contents need a comparison of bytes: they are cut
-   from the parts, dealt out by anchor and, in corpus order, added in batches to a
-   logarithmic family of suffix arrays (``suffix_arrays``).  Runs of an anchor with very
-   many contents are cut further into single strings and dealt out by those, so that no
-   task gets all of them.
+   Equal strings have equal anchors, so anchors deal the corpus out into shards that need
+   not know of each other, and a run whose anchor is nowhere else holds no repeat.  Each
+   part sends its distinct anchors, and learns which of them are in other runs as well.
+3. A part's runs of such anchors are the batches of a family of suffix arrays
+   (``suffix_arrays``), which finds the strings that start earlier in the part; what is
+   left goes on, bytes and all.
+4. The parts' runs of an anchor meet in one task and are, in corpus order, the batches of
+   another family.  Runs of a frequent anchor are cut to single strings and dealt out by
+   those; strings of an anchor that is more frequent still meet in groups of parts first,
+   and only the first of each group goes on.
 5. The spans found are sent back to their part, joined up and removed.
 
+Every match is one of bytes in a suffix array; hashes only say which bytes are compared.
 The corpus order is that of doc_id (nulls last), then of part and row for repeated ids.
 """
 
@@ -35,12 +36,11 @@ from quillbin.llm.suffix_arrays import repeated
 from quillbin.llm.text_parts import Texts, write_texts
 
 LENGTH = 100
-#: About so many runs are compared in one task.
-TASK_RUNS = 6000
-#: Runs of one anchor in a part, or in all, beyond which they are dealt out as single strings.
-HOT_IN_PART, HOT = 48, 4096
+#: About so many suffixes are compared in one task.
+TASK_SUFFIXES = 400_000
+#: Runs of one anchor beyond which they are dealt out as single strings, and in groups of so many.
+HOT = 4096
 LAST = np.int64(2**63 - 1)
-SPAN = "part long, row int, start int, end int"
 
 
 def spans(part: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
@@ -61,139 +61,163 @@ def order_ids(texts: Texts) -> np.ndarray:
     return np.array([LAST if i is None else i for i in texts.doc_ids], np.int64)
 
 
-def runs_of(texts: Texts, part: int, length: int) -> pd.DataFrame:
+def runs_of(texts: Texts, length: int) -> pd.DataFrame:
     ids, found = order_ids(texts), []
     for row in range(len(texts)):
         r = runs(texts[row], length)
         if len(r.start):
-            found.append((r.anchor.view(np.int64), r.content.view(np.int64), np.full(len(r.start), ids[row]), np.full(len(r.start), row), r.start, r.count))
-    cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 6
-    return pd.DataFrame(dict(zip(("anchor", "content", "id", "row", "start", "count"), cols, strict=True)) | {"part": np.full(len(cols[0]), part)})
+            found.append((r.anchor.view(np.int64), np.full(len(r.start), ids[row]), np.full(len(r.start), row), r.start, r.count))
+    cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
+    return pd.DataFrame(dict(zip(("anchor", "id", "row", "start", "count"), cols, strict=True)))
 
 
-def first_of(p: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """In corpus order within each content: the rows, which are the first of their content, and the contents of their anchor."""
-    p = p.iloc[np.lexsort((p["start"], p["row"], p["part"], p["id"], p["content"], p["anchor"]))]
-    a, c = p["anchor"].to_numpy(), p["content"].to_numpy()
-    new = np.concatenate(([True], a[1:] != a[:-1]))
-    first = np.concatenate(([True], new[1:] | (c[1:] != c[:-1])))[: len(p)]
-    group = np.cumsum(new[: len(p)]) - 1
-    return p, first, np.bincount(group, first)[group] if len(p) else np.zeros(0)
-
-
-RUN = "anchor long, content long, id long, part long, row int, start int, count int, hot boolean, found boolean"
-
-
-def cut_runs(parts: DataFrame, length: int, hot_in_part: int = HOT_IN_PART) -> DataFrame:
-    """Runs of every part; found: a repeat within its part, joined up with its neighbours to a span of count bytes."""
+def anchors_of(parts: DataFrame, length: int) -> DataFrame:
+    """``(anchor, part, n)``: the distinct anchors of each part, and how many of its runs have them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, file in zip(batch["part"], batch["file"], strict=True):
-                p, first, contents = first_of(runs_of(Texts(file), part, length))
-                again = p[~first]
-                s = spans(*(again[c].to_numpy() for c in ("part", "row", "start")), (again["start"] + again["count"] + length - 1).to_numpy())
-                yield pd.DataFrame({"anchor": 0, "content": 0, "id": 0, "part": s["part"], "row": s["row"], "start": s["start"], "count": s["end"] - s["start"], "hot": False, "found": True})
-                yield p[first].assign(hot=contents[first] > hot_in_part, found=False)[["anchor", "content", "id", "part", "row", "start", "count", "hot", "found"]]
+                texts = Texts(file)
+                own = [runs(texts[row], length).anchor for row in range(len(texts))]
+                anchor, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+                yield pd.DataFrame({"anchor": anchor.view(np.int64), "part": part, "n": n})
 
-    return parts.select("part", "file").mapInPandas(lean(run), RUN)
+    return parts.select("part", "file").mapInPandas(lean(run), "anchor long, part long, n long")
 
 
-def classify(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a task's anchors those of two runs or more, with their number of runs in all parts."""
     held = [b for b in batches if len(b)]
     if held:
-        p, first, contents = first_of(pd.concat(held))
-        again = p[~first]
-        s = spans(*(again[c].to_numpy() for c in ("part", "row", "start")), (again["start"] + again["count"] + length - 1).to_numpy())
-        yield pd.DataFrame({"anchor": 0, "id": 0, "part": s["part"], "row": s["row"], "start": s["start"], "count": s["end"] - s["start"], "found": True})
-        yield p[first & (contents > 1)].assign(found=False)[["anchor", "id", "part", "row", "start", "count", "found"]]
-
-
-def cut_texts(open_runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
-    """The bytes of runs; those of a hot anchor as single strings, each at most once from a part."""
-
-    def strings(texts: Texts, row: int, start: int, count: int, seen: set[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
-        """Key, start, number and bytes of strings; those seen in the part before are joined up and have no bytes."""
-        whole = texts[row][start : start + count + length - 1]
-        key = mixed(rolling(whole, length)).view(np.int64).tolist()
-        raw = whole.tobytes()
-        first = None
-        for i in range(count):
-            one = raw[i : i + length]
-            if one in seen:
-                first = i if first is None else first
-                continue
-            seen.add(one)
-            if first is not None:
-                yield key[first], start + first, i - first, b""
-                first = None
-            yield key[i], start + i, 1, one
-        if first is not None:
-            yield key[first], start + first, count - first, b""
+        p = pd.concat(held)
+        _, group = np.unique(p["anchor"].to_numpy(), return_inverse=True)
+        n = np.bincount(group, p["n"]).astype(np.int64)[group]
+        yield p[n > 1].assign(n=n[n > 1])[["part", "anchor", "n"]]
+
+
+def stretches(run: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of the longest stretches with one run and one flag."""
+    if not len(run):
+        return run, run
+    first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (flag[1:] != flag[:-1]))))
+    return first, np.diff(np.append(first, len(run)))
+
+
+PIECE = "shard long, salt long, id long, part long, row int, start int, count int, bytes binary"
+COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
+
+
+def found_rows(s: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Spans as rows without bytes; count is the number of starts."""
+    return s.assign(shard=0, salt=0, id=0, count=s["end"] - s["start"] - length + 1, bytes=None)[COLUMNS]
+
+
+def compared(p: pd.DataFrame, texts: list[bytes], length: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Runs ``(part, row, start, count, ...)`` in corpus order with their bytes, batch by batch: the spans that a family of suffix arrays has had before, and the stretches that are new, with ``run`` and ``at`` for their place in texts."""
+    part, row, start, count = (p[c].to_numpy(np.int64) for c in ("part", "row", "start", "count"))
+    for i, j, seen in repeated(texts, count, length):
+        n = count[i:j]
+        run = np.repeat(np.arange(i, j), n)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        first, size = stretches(run, seen)
+        own = pd.DataFrame({"run": run[first], "at": at[first], "count": size, "part": part[run[first]], "row": row[run[first]], "start": start[run[first]] + at[first]})
+        old = own[seen[first]]
+        yield spans(*(old[c].to_numpy() for c in ("part", "row", "start")), (old["start"] + old["count"] + length - 1).to_numpy()), own[~seen[first]]
+
+
+def cut_pieces(known: DataFrame, parts: DataFrame, length: int, hot: int) -> DataFrame:
+    """Of each part the runs whose anchor is in ``known(part, anchor, n)``: spans that start earlier in the part, and the others with their bytes."""
+
+    def pieces(part: int, texts: Texts, anchor: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        p = runs_of(texts, length)
+        order = np.argsort(anchor)
+        anchor, n = anchor[order], n[order]
+        k = np.searchsorted(anchor, p["anchor"].to_numpy())
+        k[k == len(anchor)] = 0
+        mine = anchor[k] == p["anchor"].to_numpy()
+        p = p[mine].assign(part=part, n=n[k[mine]])
+        p = p.iloc[np.lexsort((p["start"], p["row"], p["id"]))].reset_index(drop=True)
+        # only an anchor of several runs of this part can have a string twice in it
+        _, group, own = np.unique(p["anchor"].to_numpy(), return_inverse=True, return_counts=True)
+        several = own[group] > 1
+        alone, p = p[~several], p[several]
+        whole = lambda q: [texts[r][s : s + c + length - 1].tobytes() for r, s, c in zip(q["row"].tolist(), q["start"].tolist(), q["count"].tolist(), strict=True)]
+        new = [alone]
+        for old, left in compared(p, whole(p), length):
+            yield found_rows(old, length)
+            new.append(left.assign(**{c: p[c].to_numpy()[left["run"]] for c in ("anchor", "id", "n")}))
+        p = pd.concat(new, ignore_index=True)
+        p = p.assign(shard=p["anchor"], salt=0)
+        cold = p[p["n"] <= hot]
+        for i in range(0, len(cold), 20_000):
+            some = cold.iloc[i : i + 20_000]
+            yield some.assign(bytes=whole(some))[COLUMNS]
+        for _, q in p[p["n"] > hot].groupby("row"):
+            yield strings(q, texts)
+
+    def strings(q: pd.DataFrame, texts: Texts) -> pd.DataFrame:
+        """Single strings of runs of frequent anchors in one row of a part, dealt out by what they are."""
+        count = q["count"].to_numpy(np.int64)
+        start = np.repeat(q["start"].to_numpy(np.int64) - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        text = texts[int(q["row"].iloc[0])]
+        raw = text.tobytes()
+        key = mixed(rolling(text, length)).view(np.int64)[start]
+        q = q.iloc[np.repeat(np.arange(len(q)), count)]
+        salt = np.where(q["n"] > hot * 16, q["part"] % (q["n"] // hot) + 1, 0)
+        return q.assign(shard=key, salt=salt, start=start, count=1, bytes=[raw[s : s + length] for s in start.tolist()])[COLUMNS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         for part, own in pd.concat(held).groupby("part", sort=False) if held else ():
-            texts, seen = Texts(own["file"].dropna().iloc[0]), set()
-            rows = own[own["row"] >= 0].sort_values(["id", "row", "start"])
-            out = []
-            for a, i, row, start, count, hot in zip(*(rows[c].tolist() for c in ("anchor", "id", "row", "start", "count", "hot")), strict=True):
-                if not hot:
-                    out.append((a, i, part, row, start, count, texts[row][start : start + count + length - 1].tobytes()))
-                else:
-                    out += [(k, i, part, row, s, n, one) for k, s, n, one in strings(texts, row, start, count, seen)]
-                if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=["shard", "id", "part", "row", "start", "count", "bytes"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["shard", "id", "part", "row", "start", "count", "bytes"])
-
-    files = parts.join(open_runs.select("part").distinct(), "part", "left_semi")
-    rows = open_runs.select("anchor", "id", "part", "row", "start", "count", "hot", F.lit(None).cast("string").alias("file")).unionByName(files.select(F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("id"), "part", F.lit(-1).alias("row"), F.lit(0).alias("start"), F.lit(0).alias("count"), F.lit(False).alias("hot"), "file"))
-    return rows.repartition(max(1, parts.count()), "part").mapInPandas(lean(run), "shard long, id long, part long, row int, start int, count int, bytes binary")
-
-
-def match(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+            known = own[own["file"].isna()]
+            if len(known):
+                yield from pieces(part, Texts(own["file"].dropna().iloc[0]), known["anchor"].to_numpy(), known["n"].to_numpy())
+
+    rows = known.select("part", "anchor", "n", F.lit(None).cast("string").alias("file")).unionByName(parts.select("part", F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("n"), "file"))
+    return rows.repartition(max(1, parts.count()), "part").mapInPandas(lean(run), PIECE)
+
+
+def match(batches: Iterator[pd.DataFrame], length: int, keep: bool) -> Iterator[pd.DataFrame]:
+    """The spans of a task's pieces that start earlier in one of them; with keep, the first ones too, as pieces for the next meeting."""
     held = [b for b in batches if len(b)]
     if not held:
         return
-    p = pd.concat(held)
-    blank = p["bytes"].map(len).to_numpy() == 0  # repeats within their part
-    again = p[blank]
-    if len(again):
-        yield spans(again["part"].to_numpy(), again["row"].to_numpy(), again["start"].to_numpy(), (again["start"] + again["count"]).to_numpy() + length - 1)
-    p = p[~blank].sort_values(["id", "part", "row", "start"])
-    texts, counts = p["bytes"].tolist(), p["count"].to_numpy(np.int64)
-    part, row, start = (p[c].to_numpy(np.int64) for c in ("part", "row", "start"))
-    for i, seen in repeated(texts, counts, length):
-        n = counts[i : i + 2048]
-        at = np.repeat(np.arange(i, i + len(n)), n)
-        s = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        yield spans(part[at][seen], row[at][seen], s[seen], s[seen] + length)
-
-
-def removed_spans(docs: DataFrame, length: int = LENGTH, hot_in_part: int = HOT_IN_PART, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """``(manifest, spans)``: the part files of ``docs(doc_id, text)`` and the bytes to remove from them, maybe overlapping."""
+    p = pd.concat(held).sort_values(["id", "part", "row", "start"])
+    texts = p["bytes"].tolist()
+    for old, new in compared(p, texts, length):
+        yield found_rows(old, length)
+        if keep and len(new):
+            run, at, n = (new[c].tolist() for c in ("run", "at", "count"))
+            cut = [texts[r][a : a + c + length - 1] for r, a, c in zip(run, at, n, strict=True)]
+            yield new.assign(salt=0, bytes=cut, **{c: p[c].to_numpy()[run] for c in ("shard", "id")})[COLUMNS]
+
+
+def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """``(manifest, spans)``: the part files of ``docs(doc_id, text)`` and the bytes to remove from them, maybe overlapping.
+
+    What is dealt out by a key comes from a table or a map, never from a join on that key:
+    Spark leaves out a repartition that such a join makes needless, and may then read the
+    join's output in another way than by the key.
+    """
     parts = write_texts(docs, "texts")
     n = parts.agg(F.count("*")).first()[0]  # one number
-    found = materialize(cut_runs(parts.repartition(max(1, n), "part"), length, hot_in_part), "runs")
-    done = found.where("found").select("part", "row", "start", (F.col("start") + F.col("count")).alias("end"))
-    fresh = found.where("not found")
-    always = fresh.where("hot").select("anchor").distinct().withColumn("always", F.lit(True))
-    fresh = fresh.drop("hot", "found").join(always, "anchor", "left")
-    cold = fresh.where("always is null").select("anchor", "content", "id", "part", "row", "start", "count")
-    judged = materialize(cold.repartition(F.col("anchor")).mapInPandas(lean(lambda b: classify(b, length)), "anchor long, id long, part long, row int, start int, count int, found boolean"), "judged")
-    done = done.unionByName(judged.where("found").select("part", "row", "start", (F.col("start") + F.col("count")).alias("end")))
-    open_runs = judged.where("not found").drop("found")
-    many = open_runs.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    open_runs = open_runs.join(many, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    open_runs = open_runs.unionByName(fresh.where("always").select("anchor", "id", "part", "row", "start", "count", F.lit(True).alias("hot")))
-    open_runs = materialize(open_runs, "open-runs")
-    pieces = cut_texts(open_runs, parts, length)
-    # the numbers of tasks are given: small rows stand for many suffixes, and would be put together
-    tasks = max(1, -(-open_runs.count() // TASK_RUNS))
-    matched = pieces.repartition(tasks, "shard").mapInPandas(lean(lambda b: match(b, length)), SPAN)
-    return parts, done.unionByName(matched)
+    anchors = anchors_of(parts.repartition(max(1, n), "part"), length)
+    known = materialize(anchors.repartition(max(1, n), "anchor").mapInPandas(lean(shared), "part long, anchor long, n long"), "shared-anchors")
+    pieces = materialize(cut_pieces(known, parts, length, hot), "pieces", "zstd")
+    meet = lambda rows, keep, *by: rows.repartition(tasks_for(rows), *by).mapInPandas(lean(lambda b: match(b, length, keep)), PIECE)
+    done, rows = pieces.where("bytes is null"), pieces.where("bytes is not null")
+    salted = rows.where("salt > 0")
+    if not salted.isEmpty():
+        once = materialize(meet(salted, True, "shard", "salt"), "pieces-once", "zstd")
+        done = done.unionByName(once.where("bytes is null"))
+        rows = rows.where("salt = 0").unionByName(once.where("bytes is not null"))
+    done = done.unionByName(meet(rows, False, "shard"))
+    return parts, done.select("part", "row", "start", (F.col("start") + F.col("count") + length - 1).alias("end"))
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Small rows stand for many suffixes, so the number of tasks is given by those."""
+    return max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // TASK_SUFFIXES))
 
 
 def kept_rows(docs: DataFrame, length: int, make: Callable[[Texts, list[np.ndarray], np.ndarray], Iterator[pa.RecordBatch]], schema: StructType | str, **limits: int) -> DataFrame:

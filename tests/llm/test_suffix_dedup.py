@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from quillbin.llm import anchors, suffix_dedup
-from quillbin.llm.suffix_arrays import SuffixLevels
+from quillbin.llm.suffix_arrays import Level, SuffixLevels, merge_scan
 
 
 def slow(rows, length):
@@ -34,13 +34,40 @@ def corpus(seed):
     return rows + [(2, "a" * 500), (5, "ab" * 300), (7, None), (8, ""), (10, "abc" * 33), (11, "a" * 100), (1000, "xyz " * 200)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_in_part": 3, "hot": 10}])
+@pytest.mark.parametrize("limits", [{}, {"hot": 10}, {"hot": 1}])
 def test_same_as_brute_force(spark, limits):
     rows = corpus(1)
     out = suffix_dedup.per_document(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **limits)
     assert sorted(map(tuple, out.collect())) == sorted(slow(sorted(rows), 100))
 
 
+def test_many_parts_and_joins_by_sorting(spark, monkeypatch):
+    """Small parts, many shuffle partitions and no broadcast joins: what is dealt out by a key still meets."""
+    whole = suffix_dedup.write_texts
+    monkeypatch.setattr(suffix_dedup, "write_texts", lambda docs, name: whole(docs, name, 2000))
+    monkeypatch.setattr(suffix_dedup, "TASK_SUFFIXES", 1000)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        rows = corpus(4)
+        out = suffix_dedup.per_document(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=40)
+        assert sorted(map(tuple, out.collect())) == sorted(slow(sorted(rows), 100))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_scan_of_two_suffix_arrays():
+    rnd = random.Random(3)
+    for block in (1, 3, 64):
+        own = [sorted({"".join(rnd.choice("ab\0") for _ in range(6)) for _ in range(rnd.randint(0, 40))}) for _ in range(2)]
+        a, b = (Level(np.frombuffer("".join(x).encode(), np.uint8), np.arange(len(x)) * 6) for x in own)
+        place, same = merge_scan(a, b, 6, block)
+        assert same.tolist() == [x in own[0] for x in own[1]]
+        assert place.tolist() == [sum(y < x for y in own[0]) for x in own[1]]
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = sorted(map(repr, (tuple(r) for r in suffix_dedup.per_document(odd_docs).collect())))
     order = sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None))
@@ -83,5 +110,5 @@ def test_levels_grow_geometrically():
                 want.append(t[i : i + 10] in seen)
                 seen.add(t[i : i + 10])
         assert index.add(texts, counts).tolist() == want
-        sizes = [len(x) for x in index.levels]
+        sizes = [len(x.at) for x in index.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
