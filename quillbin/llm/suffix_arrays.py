@@ -18,7 +18,7 @@ import numpy as np
 #: Suffixes whose heads are in memory at once, for each of two arrays.
 BLOCK = 1 << 16
 #: Suffixes of a batch, about.
-BATCH = 1 << 17
+BATCH = 1 << 18
 
 
 class Level(NamedTuple):
