@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbin.llm.files import remove
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,13 +47,23 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name that no column has, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and one machine does all the work, as in tests."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         at = sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster's machines share")
         at = tempfile.mkdtemp(prefix="quillbin-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         at = f"file://{at}"
@@ -72,8 +84,18 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes a table of ``materialize`` that nothing will read any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(folder)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """For small state: a reliable checkpoint in the shared folder, removed with the last reference to it."""
+    """For small state: a reliable checkpoint in the shared folder.
+
+    Spark removes it with the last reference to it if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, else it stays.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

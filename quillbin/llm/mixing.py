@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import materialize, quoted, table
+from quillbin.llm.common import materialize, quoted, table, unused
 
 BLOCK_WORDS = 1024
 CELL_ROWS = 512
 SHARDS = 64
+#: Rows of a shard that are written together, about.
+RANGE_ROWS = 20_000
 WEIGHTS = (1.0, 2.0, 3.0)
 SEED = 20240229
 
@@ -185,14 +187,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A pass takes a document if it takes the word at a keyed place of it, so that a source
     gets its words in the mean whatever its documents' lengths.  Documents without words
-    stay as they are.
+    stay as they are.  Repeated rows are drawn each for itself, null sources are a source,
+    and an empty table stays empty.  A shard is written as consecutive ranges of its keyed
+    order, as many as its rows need, so tasks do not grow with the corpus.
     """
-    rows = materialize(docs.withColumn("mix row", F.monotonically_increasing_id()), "mix-rows", "zstd")
-    own = rows.select(F.col("mix row").alias("doc_id"), "text", "source")
+    row, draw = unused("mix row", docs.columns), unused("mix draw", docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows", "zstd")
+    own = rows.select(F.col(row).alias("doc_id"), "text", "source")
     plan = planned(own)
     word = F.floor(uniform(F.col("key")) * F.col("size")).cast("long")
     copies = F.filter("draws", lambda x: (x["start"] <= word) & (word < x["end"]))
     empty = F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).alias("shard")))
-    chosen = plan.select(F.col("doc_id").alias("mix row"), F.explode(F.when(F.col("size") > 0, F.transform(copies, lambda x: F.struct(x["pass"], x["shard"]))).otherwise(empty)).alias("mix draw"))
-    out = rows.join(chosen, "mix row").repartition(F.col("mix draw.shard"))
-    return out.sortWithinPartitions("mix draw.shard", F.xxhash64(F.lit(SEED), "mix row", "mix draw.pass")).select(*[F.col(quoted(c)) for c in docs.columns])
+    chosen = plan.select(F.col("doc_id").alias(row), F.explode(F.when(F.col("size") > 0, F.transform(copies, lambda x: F.struct(x["pass"], x["shard"]))).otherwise(empty)).alias("d"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), row, "d.pass"), 1)
+    ranges = max(1, -(-rows.count() // (SHARDS * RANGE_ROWS)))
+    chosen = chosen.select(row, F.struct(F.col("d.shard"), F.floor(place / F.lit((1 << 63) / ranges)).alias("range"), place.alias("place")).alias(draw))
+    out = rows.join(chosen, row).repartition(F.col(f"{draw}.shard"), F.col(f"{draw}.range"))
+    return out.sortWithinPartitions(f"{draw}.shard", f"{draw}.place", row).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -166,5 +166,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents that came through."""
+    """Pipeline stage: the pieces of all documents that came through; see ``packed``.
+
+    Only doc_id and text are read, so other columns may have any names; an empty table has no pieces.
+    """
     return packed(docs)

@@ -34,7 +34,7 @@ def shape(word: bytes) -> bytes:
     out = word.decode("utf-8", "surrogatepass")
     for pattern, by in SHAPES:
         out = pattern.sub(by, out)
-    return out[:12].encode("utf-8", "surrogatepass")
+    return out.encode("utf-8", "surrogatepass")
 
 
 def word_hash(word: bytes) -> int:
@@ -134,7 +134,10 @@ def learn(labelled: DataFrame, bits: int = BITS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """Adds a score of 0 to 1 to every row; null and empty texts have one too, from their length."""
+    """Adds a score of 0 to 1 to every row, in place of a column ``to`` if there is one; null and empty texts have one too, from their length.
+
+    Repeated rows have equal scores; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as long as the table of features
 
     @F.pandas_udf("double")

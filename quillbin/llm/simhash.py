@@ -31,8 +31,10 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Most fingerprints in one BK-tree, and most queries in one block.
 BLOCK = 4096
-#: 64-bit words of a long fingerprint that decide whether two texts are compared, whatever the corpus' size.
-PARTS = 8
+#: 64-bit words of a long fingerprint that decide whether two texts are compared.
+PARTS = 4
+#: Bits of a band of a long fingerprint.
+BAND_BITS = 16
 #: Bytes of shingle hashes, and open files, that a task keeps for comparisons.
 HELD, OPEN = 64 << 20, 64
 
@@ -245,25 +247,25 @@ class Plan(NamedTuple):
     most: int
 
 
-def plan(n: int, similarity: float, recall: float = 0.98) -> Plan:
-    """For n fingerprints and a Jaccard similarity of the shingles.
+def plan(similarity: float, recall: float = 0.98, bits: int = BAND_BITS) -> Plan:
+    """For a Jaccard similarity of the shingles, alike for corpora of every size.
 
     The cosine of two such sets of a size is 2 s / (1 + s), and a bit differs with the angle's
-    part of a half turn.  Bands grow with the logarithm of n, so that shards do not grow.
-    The limits lie three deviations above the mean and are the same for every n.
+    part of a half turn.  There are as many bands as find ``recall`` of pairs at exactly that
+    similarity; the limits lie three deviations above the mean.
     """
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(max(round(math.log2(max(n, 1) / 64)), 8), 20)
     bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differs) ** bits))
     parts = max(PARTS, -(-bands // (64 // bits)))
-    limit = lambda size, k: math.floor(size * differs + k * math.sqrt(size * differs * (1 - differs)))
-    return Plan(bits, bands, parts, limit(64, 3), limit(64 * (PARTS - 1), 3))
+    limit = lambda size: math.floor(size * differs + 3 * math.sqrt(size * differs * (1 - differs)))
+    return Plan(bits, bands, parts, limit(64), limit(64 * (PARTS - 1)))
 
 
 class Shingles:
     """Distinct shingle hashes of texts by their place in files; the last ones used are held."""
 
-    def __init__(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray, words: int, similarity: float):
+    def __init__(self, folder: str, at: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray, words: int, similarity: float):
+        self.folder = folder
         self.place, self.words, self.similarity = (at, start, size, raw), words, similarity
         self.held: OrderedDict[int, np.ndarray] = OrderedDict()
         self.files: OrderedDict[str, pa.NativeFile] = OrderedDict()
@@ -274,7 +276,7 @@ class Shingles:
         if at not in self.files:
             if len(self.files) >= OPEN:
                 self.files.popitem(last=False)[1].close()
-            self.files[at] = open_places(at)
+            self.files[at] = open_places(f"{self.folder}/{at}")
         self.files.move_to_end(at)
         return self.files[at]
 
@@ -303,7 +305,7 @@ class Shingles:
             f.close()
 
 
-def similar_links(points: DataFrame, own: Plan, words: int, similarity: float, block: int = BLOCK // 2) -> DataFrame:
+def similar_links(points: DataFrame, own: Plan, folder: str, words: int, similarity: float, block: int = BLOCK // 2) -> DataFrame:
     """``points(prints binary, id, at, start, size, raw)``, distinct in prints, to links ``(a, b)`` that join all similar ones.
 
     Fingerprints only choose the pairs; what links is the Jaccard similarity of the shingles
@@ -325,7 +327,7 @@ def similar_links(points: DataFrame, own: Plan, words: int, similarity: float, b
         if held:
             p = pd.concat(held)
             prints = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, PARTS)
-            shingles = Shingles(*(p[c].to_numpy() for c in ("at", "start", "size", "raw")), words, similarity)
+            shingles = Shingles(folder, *(p[c].to_numpy() for c in ("at", "start", "size", "raw")), words, similarity)
             a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), prints[:, 0].copy(), p["id"].to_numpy(), own.radius, step=512, more=prints[:, 1:], most=own.most, same=shingles.same)
             shingles.close()
             yield pd.DataFrame({"a": a, "b": b})
@@ -341,8 +343,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     first is searched in BK-trees, the others decide which texts are compared.  Texts lie
     in files of the shared folder until links are found.
     """
-    n = docs.count()
-    own = plan(n, similarity)
+    own = plan(similarity)
     folder = fresh_dir(docs.sparkSession, "long-simhash-texts")
 
     def prints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,6 +352,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             for p in parts:
                 if out is None:
                     out, at = write_part(folder, TaskContext.get().partitionId(), ".texts")
+                    at = at.removeprefix(f"{folder}/")
                 rows = []
                 for t in p["text"]:
                     text = (t or "").encode("utf-8", "surrogatepass")
@@ -366,7 +368,7 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     marked = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(prints), "doc_id long, prints binary, at string, start long, size int, raw int"), "long-simhash")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "at", "start", "size", "raw")))
     points = checkpoint(marked.groupBy("prints").agg(first.alias("p")).where("p is not null").select("prints", "p.*"))
-    roots = components(similar_links(points, own, words, similarity))
+    roots = components(similar_links(points, own, folder, words, similarity))
     remove(folder)  # components has written the links
     named = points.join(roots, points.id == roots.node, "left").select("prints", F.coalesce("root", "id").alias("component_id"))
     return marked.join(named, "prints", "left").select("doc_id", "component_id")
@@ -394,11 +396,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id stays.
+    """Pipeline stage: of each component the document with the least doc_id stays, with all its columns.
 
-    Of rows with the same doc_id one stays; rows with a null doc_id have no place in a
-    component and stay.
+    Of rows with the same doc_id the one whose text has the least hash stays (of equal texts
+    any); rows with a null doc_id have no place in a component and stay.  Null and wordless
+    texts are alike.  An empty table stays empty.
     """
-    keep = similar_components(docs).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(quoted(c)) for c in docs.columns])
+    marked = materialize(similar_components(docs), "near-components")
+    keep = marked.where("doc_id = component_id").select("doc_id").distinct()
+    again = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    if not again.isEmpty():
+        one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(quoted(c)) for c in docs.columns]), F.xxhash64("text")).alias("row")).select("row.*")
+        kept = kept.join(again, "doc_id", "left_anti").select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(one)
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillbin.llm.anchors import mixed, rolling, runs
-from quillbin.llm.common import lean, materialize, quoted, table
+from quillbin.llm.common import discard, lean, materialize, quoted, table
 from quillbin.llm.suffix_arrays import repeated
 from quillbin.llm.text_parts import Texts, write_texts
 
@@ -204,6 +204,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tupl
     anchors = anchors_of(parts.repartition(max(1, n), "part"), length)
     known = materialize(anchors.repartition(max(1, n), "anchor").mapInPandas(lean(shared), "part long, anchor long, n long"), "shared-anchors")
     pieces = materialize(cut_pieces(known, parts, length, hot), "pieces", "zstd")
+    discard(known)
     meet = lambda rows, keep, *by: rows.repartition(tasks_for(rows), *by).mapInPandas(lean(lambda b: match(b, length, keep)), PIECE)
     done, rows = pieces.where("bytes is null"), pieces.where("bytes is not null")
     salted = rows.where("salt > 0")

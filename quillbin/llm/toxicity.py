@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import give_back, lean, materialize, table
+from quillbin.llm.common import give_back, lean, materialize, quoted, table, unused
 from quillbin.llm.labelled import SAMPLE, fold, sample
 
 # Letters of other scripts that look like Latin ones, in lower case, and signs that stand for letters.
@@ -228,7 +228,10 @@ def best_threshold(x: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "score") -> DataFrame:
-    """Adds a score of 0 to 1 to every row; null and empty texts have 0."""
+    """Adds a score of 0 to 1 to every row, in place of a column ``to`` if there is one; null and empty texts have 0.
+
+    Repeated rows have equal scores; an empty table stays empty.
+    """
 
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -253,6 +256,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose score is below one half stay, unchanged."""
-    column = "toxicity score"
-    return scored(docs, fitted(spark, docs, sf_dir), to=column).where(F.col(column) < 0.5).drop(column)
+    """Pipeline stage: documents whose score is below one half stay, unchanged, with all their columns.
+
+    Null and empty texts have the score 0 and stay; repeated rows are judged alike; an
+    empty table stays empty.  The score's column takes a name that no other has.
+    """
+    column = unused("toxicity score", docs.columns)
+    return scored(docs, fitted(spark, docs, sf_dir), to=column).where(F.col(column) < 0.5).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -20,7 +20,7 @@ def odd_rows():
     rows += [(500 + i, f"{sentence(rnd, 20)} {passage} {sentence(rnd, 15)}", "de", "s1") for i in range(6)]
     long_text = " ".join(sentence(rnd, 30) for _ in range(400))
     rows += [(600, long_text, "fr", "s2"), (601, long_text, "fr", "s2"), (602, None, "en", "s0"), (603, "", "en", None), (604, "  \n\t ", None, "s3"), (None, sentence(rnd, 30), "en", "s1"), (None, None, None, None)]
-    rows += [(605, sentence(rnd, 30), "en", "s9")] * 3 + [(606, "a  b c\x0bd e 日本 👍", "en", ""), (607, "x" * 700, "en", "s0"), (-5, "minus", "en", "S")]
+    rows += [(605, sentence(rnd, 30), "en", "s9")] * 3 + [(606, "a  b c\x0bd e 日本 👍", "en", ""), (607, "x" * 700, "en", "s0"), (608, "a <|endoftext|> b, c", "en", "s2"), (-5, "minus", "en", "S")]
     return [(*r, None if r[1] is None else len(r[1])) for r in rows]
 
 
@@ -39,7 +39,7 @@ def clashing(odd_docs):
     """Columns with the names that operators use inside, with dots and blanks."""
     from pyspark.sql import functions as F
 
-    return odd_docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("simhash", "id", "score", "key", "size", "cell", "range", "part", "row", "start", "a.b", "mix", "draws", "c0", "label", "component_id"))])
+    return odd_docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("simhash", "id", "score", "key", "size", "cell", "range", "part", "row", "start", "a.b", "mix", "draws", "c0", "label", "component_id", "toxicity score", "mix row", "mix draw"))])
 
 
 def counted(rows):

@@ -127,8 +127,12 @@ def test_similar_texts_about_the_limit(spark):
     assert sum(own[a] == own[b] for a, b in wanted) >= 0.93 * len(wanted)
 
 
-def test_limits_do_not_depend_on_the_corpus():
-    assert len({simhash.plan(n, 0.8)[3:] for n in (10, 27_770, 8_000_000)}) == 1
+def test_repeated_ids_give_the_same_row_each_time(spark):
+    rows = [(1, "a b c d e f", "en", "s0", 0), (1, "g h i j k l", "en", "s1", 1), (2, "m n o p q r", "en", "s2", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = sorted(map(tuple, simhash.dedup(spark, docs, "").collect()))
+    assert [r[0] for r in one] == [1, 2] and one[0] in rows
+    assert one == sorted(map(tuple, simhash.dedup(spark, docs.orderBy("source", ascending=False).repartition(3), "").collect()))
 
 
 def test_repeated_lines_do_not_link(spark):

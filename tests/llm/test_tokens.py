@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quillbin.llm import packing, token_files
 from quillbin.llm.common import fresh_dir
@@ -14,11 +15,12 @@ TEXTS = ["a  b", "", None, " x", "x ", "a\nb c", "a \n b", "l'été it's 1 2 !!
 
 @pytest.fixture(scope="module")
 def own():
-    return Encoder(default_path())
+    """The tokenizer as its file has it, apart from the code under test."""
+    return Tokenizer.from_file(default_path())
 
 
 def whole(own, text):
-    return own.tokenizer.encode(text or "", add_special_tokens=False).ids
+    return own.encode(text or "", add_special_tokens=False).ids
 
 
 def test_same_ids_as_whole_texts(own, odd_rows):
@@ -29,6 +31,16 @@ def test_same_ids_as_whole_texts(own, odd_rows):
         assert [x.tolist() for x in e.encode(texts[::-1])] == [whole(own, t) for t in texts[::-1]]
 
 
+def test_same_ids_for_random_texts(own):
+    """Marks, letters and spaces of all kinds next to each other, and names of added tokens."""
+    rng = np.random.default_rng(5)
+    signs = ["a", "Bc", "é", "ß", "×", "÷", "ÿ", "Ā", "9", "١", "日", "'s", "'", ",", ".", "!", "-", " ", " ", " ", "\n", "\t", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "<|endoftext|>", "<|", "\U0001f600"]
+    texts = ["".join(signs[k] for k in rng.integers(0, n, rng.integers(0, 30))) for n in (21, 36) for _ in range(1500)]
+    e = Encoder(default_path())
+    for i in range(0, len(texts), 500):
+        assert [x.tolist() for x in e.encode(texts[i : i + 500])] == [whole(own, t) for t in texts[i : i + 500]]
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(1)
     counts = rng.integers(0, 9, 200)
