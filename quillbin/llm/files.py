@@ -19,6 +19,13 @@ def write_part(folder: str, part: int, suffix: str):
     return system.open_output_stream(f"{path}/{name}"), f"{folder}/{name}"
 
 
+def write_at(address: str):
+    """An output stream to an address that no other attempt of a task has."""
+    system, path = fs.FileSystem.from_uri(address)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(path)
+
+
 def open_part(address: str):
     system, path = fs.FileSystem.from_uri(address)
     return system.open_input_stream(path)

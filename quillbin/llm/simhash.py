@@ -19,27 +19,29 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbin.llm.common import checkpoint, components, fresh_dir, give_back, lean, materialize, quoted, table
-from quillbin.llm.files import open_places, remove, write_part
+from quillbin.llm.files import open_places, remove, write_at
+from quillbin.llm.text_parts import Texts, write_texts
 
 SHINGLE_WORDS = 4
 SEED = 42
 #: Most fingerprints in one BK-tree, and most queries in one block.
 BLOCK = 4096
 #: 64-bit words of a long fingerprint that decide whether two texts are compared.
-PARTS = 4
+PARTS = 2
 #: Bits of a band of a long fingerprint.
 BAND_BITS = 16
 #: Bytes of shingle hashes, and open files, that a task keeps for comparisons.
 HELD, OPEN = 64 << 20, 64
 
-#: Which bits each byte has.
-BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: The bits of each byte as the bytes of a word.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -60,10 +62,9 @@ def majority(h: np.ndarray) -> np.uint64:
     if not len(h):
         return np.uint64(0)
     own = h.view(np.uint8).reshape(-1, 8)
-    if len(h) < 512:
-        set_in = np.unpackbits(own, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:  # how often each byte has each value says how often each bit is set
-        set_in = np.concatenate([np.bincount(own[:, k], minlength=256) @ BIT_OF for k in range(8)])
+    set_in = np.zeros(64, np.int64)
+    for i in range(0, len(h), 255):  # eight counters of a byte in each word
+        set_in += SPREAD[own[i : i + 255]].sum(axis=0).view(np.uint8)
     return np.packbits(set_in * 2 > len(h), bitorder="little").view(np.uint64)[0]
 
 
@@ -261,31 +262,43 @@ def plan(similarity: float, recall: float = 0.98, bits: int = BAND_BITS) -> Plan
     return Plan(bits, bands, parts, limit(64), limit(64 * (PARTS - 1)))
 
 
+#: A text's place: the number of the task attempt that wrote its file, and its first byte there.
+START_BITS = 36
+
+
+def texts_file(folder: str, attempt: int) -> str:
+    return f"{folder}/{attempt:x}.texts"
+
+
 class Shingles:
-    """Distinct shingle hashes of texts by their place in files; the last ones used are held."""
+    """Distinct shingle hashes of texts by their place in files; the last ones used are held.
+
+    A file has for each text its compressed and whole size, four bytes each, and the compressed text.
+    """
 
-    def __init__(self, folder: str, at: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray, words: int, similarity: float):
-        self.folder = folder
-        self.place, self.words, self.similarity = (at, start, size, raw), words, similarity
+    def __init__(self, folder: str, place: np.ndarray, words: int, similarity: float):
+        self.folder, self.place, self.words, self.similarity = folder, place, words, similarity
         self.held: OrderedDict[int, np.ndarray] = OrderedDict()
-        self.files: OrderedDict[str, pa.NativeFile] = OrderedDict()
+        self.files: OrderedDict[int, pa.NativeFile] = OrderedDict()
         self.bytes = 0
         self.codec = pa.Codec("zstd")
 
-    def file(self, at: str) -> pa.NativeFile:
-        if at not in self.files:
+    def file(self, attempt: int) -> pa.NativeFile:
+        if attempt not in self.files:
             if len(self.files) >= OPEN:
                 self.files.popitem(last=False)[1].close()
-            self.files[at] = open_places(f"{self.folder}/{at}")
-        self.files.move_to_end(at)
-        return self.files[at]
+            self.files[attempt] = open_places(texts_file(self.folder, attempt))
+        self.files.move_to_end(attempt)
+        return self.files[attempt]
 
     def of(self, i: int) -> np.ndarray:
         if i in self.held:
             self.held.move_to_end(i)
             return self.held[i]
-        at, start, size, raw = (x[i] for x in self.place)
-        text = self.codec.decompress(self.file(at).read_at(int(size), int(start)), int(raw), asbytes=True) if raw else b""
+        attempt, start = divmod(int(self.place[i]), 1 << START_BITS)
+        file = self.file(attempt)
+        size, raw = np.frombuffer(file.read_at(8, start), "<u4").tolist()
+        text = self.codec.decompress(file.read_at(size, start + 8), raw, asbytes=True) if raw else b""
         h = self.held[i] = np.unique(shingle_hashes(text.decode("utf-8", "surrogatepass"), self.words))
         self.bytes += h.nbytes
         while self.bytes > HELD and len(self.held) > 2:
@@ -306,12 +319,12 @@ class Shingles:
 
 
 def similar_links(points: DataFrame, own: Plan, folder: str, words: int, similarity: float, block: int = BLOCK // 2) -> DataFrame:
-    """``points(prints binary, id, at, start, size, raw)``, distinct in prints, to links ``(a, b)`` that join all similar ones.
+    """``points(prints binary, id, place)``, distinct in prints, to links ``(a, b)`` that join all similar ones.
 
     Fingerprints only choose the pairs; what links is the Jaccard similarity of the shingles
     of the two texts, which are read from their places in files.
     """
-    place = {"id": "long", "at": "string", "start": "long", "size": "int", "raw": "int"}
+    near = [f"w{k}" for k in range(PARTS)]
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         per = 64 // own.bits
@@ -319,59 +332,64 @@ def similar_links(points: DataFrame, own: Plan, folder: str, words: int, similar
             prints = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, own.parts)
             band = np.stack([(prints[:, i // per] >> np.uint64(i % per * own.bits)) & np.uint64((1 << own.bits) - 1) for i in range(own.bands)], axis=1)
             shard = band * np.uint64(1024) + np.arange(own.bands, dtype=np.uint64)
-            near = np.array([x.tobytes() for x in prints[:, :PARTS]], object)
-            yield pd.DataFrame({"prints": np.repeat(near, own.bands), **{c: np.repeat(p[c].to_numpy(), own.bands) for c in place}, "shard": shard.ravel().view(np.int64)})
+            yield pd.DataFrame({**{c: np.repeat(p[c].to_numpy(), own.bands) for c in ("id", "place")}, **{c: np.repeat(prints[:, k].view(np.int64), own.bands) for k, c in enumerate(near)}, "shard": shard.ravel().view(np.int64)})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]
         if held:
             p = pd.concat(held)
-            prints = np.frombuffer(b"".join(p["prints"]), np.uint64).reshape(-1, PARTS)
-            shingles = Shingles(folder, *(p[c].to_numpy() for c in ("at", "start", "size", "raw")), words, similarity)
+            prints = np.stack([p[c].to_numpy().view(np.uint64) for c in near], axis=1)
+            shingles = Shingles(folder, p["place"].to_numpy(), words, similarity)
             a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), prints[:, 0].copy(), p["id"].to_numpy(), own.radius, step=512, more=prints[:, 1:], most=own.most, same=shingles.same)
             shingles.close()
             yield pd.DataFrame({"a": a, "b": b})
 
-    rows = points.select("prints", *place).mapInPandas(lean(emit), f"prints binary, {', '.join(f'{c} {t}' for c, t in place.items())}, shard long")
+    rows = points.select("prints", "id", "place").mapInPandas(lean(emit), f"id long, place long, {', '.join(f'{c} long' for c in near)}, shard long")
     return dealt(rows, block).mapInPandas(lean(run), "a long, b long").distinct()
 
 
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, component_id)`` like ``near_components``, linked by such a Jaccard similarity of their distinct shingles.
+def similar_rows(parts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of text parts ``(part, file)`` every row as ``(part, row, doc_id, text_hash, component_id)``, linked by such a Jaccard similarity of distinct shingles.
 
     One 64-bit fingerprint is too short to tell 0.8 from less, so several are taken: the
-    first is searched in BK-trees, the others decide which texts are compared.  Texts lie
-    in files of the shared folder until links are found.
+    first is searched in BK-trees, the next decides which texts are compared.  Texts lie
+    one by one in files of the shared folder until links are found.
     """
     own = plan(similarity)
-    folder = fresh_dir(docs.sparkSession, "long-simhash-texts")
+    folder = fresh_dir(parts.sparkSession, "long-simhash-texts")
 
-    def prints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, at, start, codec = None, None, 0, pa.Codec("zstd", compression_level=1)
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, start, codec = None, 0, pa.Codec("zstd", compression_level=1)
+        attempt = TaskContext.get().taskAttemptId()
         try:
-            for p in parts:
-                if out is None:
-                    out, at = write_part(folder, TaskContext.get().partitionId(), ".texts")
-                    at = at.removeprefix(f"{folder}/")
-                rows = []
-                for t in p["text"]:
-                    text = (t or "").encode("utf-8", "surrogatepass")
-                    small = codec.compress(text, asbytes=True) if text else b""
-                    out.write(small)
-                    rows.append((long_fingerprint(t, words, own.parts).tobytes(), at, start, len(small), len(text)))
-                    start += len(small)
-                yield pd.DataFrame(rows, columns=["prints", "at", "start", "size", "raw"]).assign(doc_id=p["doc_id"].astype("Int64").to_numpy())[["doc_id", "prints", "at", "start", "size", "raw"]].astype({"doc_id": "Int64"})
+            for batch in batches:
+                for part, file in zip(batch["part"].tolist(), batch["file"].tolist(), strict=True):
+                    out = out or write_at(texts_file(folder, attempt))
+                    texts, rows = Texts(file), []
+                    for row, doc_id in enumerate(texts.doc_ids):
+                        raw = texts[row].tobytes()
+                        small = codec.compress(raw, asbytes=True) if raw else b""
+                        out.write(np.array([len(small), len(raw)], "<u4").tobytes() + small)
+                        rows.append((part, row, doc_id, xxhash.xxh64_intdigest(raw) >> 1, long_fingerprint(raw.decode("utf-8", "surrogatepass"), words, own.parts).tobytes(), attempt << START_BITS | start))
+                        start += 8 + len(small)
+                    yield pd.DataFrame(rows, columns=["part", "row", "doc_id", "text_hash", "prints", "place"]).astype({"doc_id": "Int64"})
         finally:
             if out is not None:
                 out.close()
 
-    marked = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(prints), "doc_id long, prints binary, at string, start long, size int, raw int"), "long-simhash")
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "at", "start", "size", "raw")))
+    n = parts.count()
+    marked = materialize(parts.select("part", "file").repartition(max(1, n), "part").mapInPandas(lean(prints), "part long, row int, doc_id long, text_hash long, prints binary, place long"), "long-simhash")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "place")))
     points = checkpoint(marked.groupBy("prints").agg(first.alias("p")).where("p is not null").select("prints", "p.*"))
     roots = components(similar_links(points, own, folder, words, similarity))
     remove(folder)  # components has written the links
     named = points.join(roots, points.id == roots.node, "left").select("prints", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(named, "prints", "left").select("doc_id", "component_id")
+    return marked.join(named, "prints", "left").select("part", "row", "doc_id", "text_hash", "component_id")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, component_id)`` like ``near_components``, linked by such a Jaccard similarity of their distinct shingles."""
+    return similar_rows(write_texts(docs.select("doc_id", "text"), "near-texts"), words, similarity).select("doc_id", "component_id")
 
 
 def near_components(docs: DataFrame, radius: int = 4, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -400,13 +418,31 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with the same doc_id the one whose text has the least hash stays (of equal texts
     any); rows with a null doc_id have no place in a component and stay.  Null and wordless
-    texts are alike.  An empty table stays empty.
+    texts are alike.  An empty table stays empty.  Documents are written to parts, and what
+    is sent to those is which of their rows stay, so texts are never shuffled.
     """
-    marked = materialize(similar_components(docs), "near-components")
-    keep = marked.where("doc_id = component_id").select("doc_id").distinct()
-    again = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    if not again.isEmpty():
-        one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(quoted(c)) for c in docs.columns]), F.xxhash64("text")).alias("row")).select("row.*")
-        kept = kept.join(again, "doc_id", "left_anti").select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(one)
-    return kept.select(*[F.col(quoted(c)) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select("doc_id", "text", *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("no text"))
+    parts = write_texts(own, "near-texts")
+    rows = materialize(similar_rows(parts), "near-rows")
+    kept = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("text_hash", "part", "row")).alias("one")).select("one.part", "one.row")
+    kept = kept.unionByName(rows.where("doc_id is null").select("part", "row"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(b) if (b := [*batches]) else None
+        if held is None or not len(held):
+            return
+        for part, p in held.to_pandas().groupby("part", sort=False):
+            texts = Texts(p["file"].dropna().iloc[0]).table
+            stay = np.sort(p["row"].dropna().to_numpy(np.int64))
+            for i in range(0, len(stay), 256):
+                some = texts.take(stay[i : i + 256]).combine_chunks()
+                columns = [c.combine_chunks() for c in some.columns]
+                text = columns[1].cast(pa.large_string()).cast(pa.string())
+                columns[1] = pc.if_else(columns[-1], pa.scalar(None, pa.string()), text)
+                yield pa.RecordBatch.from_arrays(columns[:-1], some.schema.names[:-1])
+
+    sent = kept.select("part", "row", F.lit(None).cast("string").alias("file")).unionByName(parts.select("part", F.lit(None).cast("int").alias("row"), "file"))
+    types = own.drop("no text").withColumn("doc_id", F.col("doc_id").cast("long")).schema
+    out = sent.repartition(max(1, parts.count()), "part").mapInArrow(lean(read), types).select("doc_id", "text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])
+    return out.select(*[F.col(quoted(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
