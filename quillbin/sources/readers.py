@@ -22,11 +22,11 @@ def fields(line: str = "value") -> Column:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Records that begin with ``>``: ``(id, body)``; id is the first run of non-blank characters of the head line."""
+    """Records that begin with ``>``: ``(id, body, record)``; id is the first run of non-blank characters of the head line, record all of it as it stands."""
     whole = spark.read.option("lineSep", ">").text(path)
     head = F.regexp_extract("value", r"^(\S+)", 1)
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\\n') + 1)")).otherwise("")
-    return whole.select(head.alias("id"), body.alias("body")).where("id <> ''")
+    return whole.select(head.alias("id"), body.alias("body"), F.col("value").alias("record")).where("id <> ''")
 
 
 def fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
@@ -37,7 +37,7 @@ def fasta(spark: SparkSession, path: str, min_length: int = 0) -> DataFrame:
 
 def long_records(spark: SparkSession, path: str, min_length: int) -> DataFrame:
     """``(value)``: the FASTA records as they stand whose A, T, G and C number at least min_length."""
-    return records(spark, path).where(F.length(cleaned(F.col("body"))) >= min_length).select(F.concat(F.lit(">"), "id", F.lit("\n"), F.regexp_replace("body", r"\s+$", "")).alias("value"))
+    return records(spark, path).where(F.length(cleaned(F.col("body"))) >= min_length).select(F.concat(F.lit(">"), F.regexp_replace("record", r"\s+$", "")).alias("value"))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +68,7 @@ def window_depths(spark: SparkSession, path: str) -> DataFrame:
 
 def marker_cells(spark: SparkSession, path: str) -> DataFrame:
     """``(gene, place int, id, depths array<double>, length long)`` from rows ``gene, id(depth[,depth...],length), ...``."""
-    rows = lines(spark, path).select(fields()[0].alias("gene"), F.posexplode(F.expr("slice(split(value, '\\t'), 2, 1000000)")).alias("place", "cell"))
+    rows = lines(spark, path).select(fields()[0].alias("gene"), F.posexplode(F.slice(fields(), 2, F.greatest(F.size(fields()) - 1, F.lit(0)))).alias("place", "cell"))
     numbers = F.transform(F.split(F.regexp_extract("cell", r"\(([^()]*)\)$", 1), ","), lambda x: F.try_to_number(F.trim(x), F.lit("999999999999.999999")).cast("double"))
     rows = rows.select("gene", "place", F.regexp_extract("cell", r"^([^(]+)", 1).alias("id"), numbers.alias("x")).where("id <> ''")
     return rows.select("gene", "place", "id", F.expr("slice(x, 1, greatest(size(x) - 1, 0))").alias("depths"), F.try_element_at("x", F.lit(-1)).cast("long").alias("length"))
@@ -125,7 +125,7 @@ def synonyms(spark: SparkSession, path: str) -> DataFrame:
 def classified(spark: SparkSession, path: str) -> DataFrame:
     """``(id, bin, length, depths array<double>)``; bin is a number as text or ``unassigned``."""
     x = fields()
-    return lines(spark, path).where(F.size(x) >= 4).select(x[0].alias("id"), x[1].alias("bin"), x[2].cast("long").alias("length"), F.expr("filter(transform(slice(split(value, '\\t'), 4, 1000), x -> try_cast(x as double)), x -> x is not null)").alias("depths"))
+    return lines(spark, path).where(F.size(x) >= 4).select(x[0].alias("id"), x[1].alias("bin"), x[2].cast("long").alias("length"), F.filter(F.transform(F.slice(x, 4, F.size(x) - 3), lambda c: c.try_cast("double")), lambda c: c.isNotNull()).alias("depths"))
 
 
 def truth(spark: SparkSession, path: str, skip_first: bool = True) -> DataFrame:

@@ -21,7 +21,7 @@ def test_fasta(spark, tmp_path):
 
 def test_long_records_keep_their_lines(spark, tmp_path):
     at = write(tmp_path, ">s1 x\nACGTNNac\nGGTA\n>s2\nAC\n")
-    assert [r[0] for r in readers.long_records(spark, at, 5).collect()] == [">s1\nACGTNNac\nGGTA"]
+    assert [r[0] for r in readers.long_records(spark, at, 5).collect()] == [">s1 x\nACGTNNac\nGGTA"]
 
 
 def test_depths(spark, tmp_path):
@@ -38,6 +38,13 @@ def test_markers(spark, tmp_path):
     assert [r[0] for r in report.collect()] == ["g1\ta|1.2(3.50,4.00,1200)\tb(1.00,2.00,800)", "g2\ta|1.2(3.50,4.00,1200)"]
 
 
+def test_rows_of_any_length(spark, tmp_path):
+    n = 1_000_100
+    at = write(tmp_path, "g\t" + "\t".join(f"i{k}(1,5)" for k in range(n)) + "\n")
+    assert readers.marker_cells(spark, at).count() == n
+    assert readers.classified(spark, write(tmp_path, "a\t1\t9\t" + "\t".join(["2.5"] * 1500) + "\tseed\n")).selectExpr("size(depths)").first()[0] == 1500
+
+
 def test_tables(spark, tmp_path):
     assert rows(readers.cutoffs(spark, write(tmp_path, "10 vs 20\t1\t2\t3\t4\t.5\t.7\t.6\n10 vs 10\t1\t2\t3\t4\t5\t6\t7\n"))) == [(10, 10, 1.0, 2.0, 3.0, 4.0, 5.0, 7.0), (10, 20, 1.0, 2.0, 3.0, 4.0, 0.5, 0.7), (20, 10, 1.0, 2.0, 3.0, 4.0, 0.5, 0.7)]
     assert rows(readers.pinned_seeds(spark, write(tmp_path, "a;b\nc\n"))) == [("a;b", "a"), ("a;b", "b"), ("c", "c")]
