@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbin.functions.statistics import dispersion, fence, mean, toward_zero
+from quillbin.functions.statistics import dispersion, mean, toward_zero
 
 #: Below this mean a sample says nothing about coverage.
 LOW = 5.0
@@ -27,10 +29,11 @@ def trimmed_ends(depths: Column, read_length: Column, least: Column) -> Column:
 
 
 def window_means(depths: DataFrame) -> DataFrame:
-    """``depths(id, sample, depths, read_length)`` to ``(id, sample, mean, windows)``; all-zero depths have one window of 0."""
+    """``depths(id, sample, depths, read_length)`` to ``(id, sample, mean, windows)``, to two decimals; all-zero depths have one window of 0."""
     inner = trimmed_ends(F.col("depths"), F.col("read_length"), 2 * F.col("read_length") + 1)
-    rows = depths.select("id", "sample", inner.alias("x")).where("x is not null")
-    return rows.select("id", "sample", mean(F.col("x")).alias("mean"), sliding(F.col("x")).alias("windows"))
+    rows = depths.select("id", "sample", inner.alias("x")).where("x is not null").withColumn("mean", F.round(mean(F.col("x")), 2))
+    windows = F.when(F.forall("x", lambda v: v == 0), F.array(F.lit(0.0))).otherwise(F.transform(sliding(F.col("x")), lambda w: F.round(w, 2)))
+    return rows.select("id", "sample", "mean", windows.alias("windows"))
 
 
 def piece_depth(pieces: DataFrame, parents: DataFrame) -> DataFrame:
@@ -41,17 +44,68 @@ def piece_depth(pieces: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.select("id", "parent", mean(part).alias("mean"))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Adds ``n``, each row's place from 1 in the order of a column: within ranges of it, after the rows of earlier ranges."""
+def numbered(rows: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``n``, each row's place from 1 in the order of a column, for itself in each group of ``by``.
+
+    Rows are numbered within ranges of the column, after the rows of earlier ranges, so a
+    group is not gathered in one task.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     own = F.size(F.filter(F.array(*[F.lit(e) for e in edges or []]), lambda e: e <= F.col(order))) if edges else F.lit(0)
     ranged = rows.withColumn("range", own)
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("k"))
-    before = sizes.select("range", F.coalesce(F.sum("k").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row for each range
-    place = F.row_number().over(W.partitionBy("range").orderBy(order))
-    return ranged.withColumn("i", place).join(before, "range").withColumn("n", F.col("before") + F.col("i")).drop("range", "i", "before")
+    sizes = ranged.groupBy(*by, "range").agg(F.count("*").alias("k"))
+    before = sizes.select(*by, "range", F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row for each group and range
+    place = F.row_number().over(W.partitionBy(*by, "range").orderBy(order))
+    return ranged.withColumn("i", place).join(before, [*by, "range"]).withColumn("n", F.col("before") + F.col("i")).drop("range", "i", "before")
+
+
+def window_sums(rows: DataFrame, by: str, value: str, size: int = 500, step: int = 250) -> DataFrame:
+    """``rows(by, n, value)``, numbered within each group, to ``(by, w, depth)``: what ``sliding`` gives, for groups of any size.
+
+    Each row goes to the windows it lies in; size must be a multiple of step.
+    """
+    total = rows.groupBy(by).agg(F.count("*").alias("total"))
+    last = F.floor((F.col("n") - 1) / step)
+    each = rows.join(total, by).withColumn("w", F.explode(F.when(F.col("total") < size, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.greatest(last - (size // step - 1), F.lit(0)), last))))
+    whole = (F.col("total") < size) | (F.col("w") * step + size <= F.col("total"))
+    return each.where(whole).groupBy(by, "w").agg(F.avg(value).alias("depth"))
+
+
+def fences(rows: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """The fences of ``statistics.fence`` for groups of any size: ``(by, n, average, low, high)``, and how often each value occurs as ``(by, value, k)``.
+
+    Equal values are counted first; the window that numbers them keeps no group in memory.
+    """
+    counted = rows.groupBy(by, value).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    total = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("average"))
+    place = counted.withColumn("to", upto).join(total, by)
+    n = F.col("n")
+
+    def at(i: Column) -> Column:
+        i = F.when(i < 1, n).otherwise(F.least(i, n))  # a place before the first element wraps to the last one
+        return F.max(F.when((F.col("to") >= i) & (F.col("to") - F.col("k") < i), F.col(value)))
+
+    def quartile(k: int) -> Column:
+        below = F.floor((n + 1) * k / 4)
+        part = F.max((n + 1) * k / 4.0 - below)
+        return F.when(part == 0, at(below)).otherwise(part * at(below) + (1 - part) * at(below + 1))
+
+    found = place.groupBy(by).agg(F.max("n").alias("n"), F.max("average").alias("average"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return found.select(by, "n", "average", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")), counted
+
+
+def trimmed_deviation(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``(by, n, kept, low, high, ratio)`` for groups of any size; kept: values within the fences, ratio: see ``statistics.dispersion``, about the mean of all."""
+    limits, counted = fences(rows, by, value)
+    inside = counted.join(limits, by).where(F.col(value).between(F.col("low"), F.col("high")))
+    sums = inside.groupBy(by).agg(F.sum("k").alias("kept"), F.sum(F.col("k") * (F.col(value) - F.col("average")) * (F.col(value) - F.col("average"))).alias("squares"))
+    sd = F.sqrt(F.try_divide(F.col("squares"), F.when(F.col("kept") > 1, F.col("kept") - 1)))
+    ratio = F.when(F.col("n") < 10, F.lit(None).cast("double")).when(F.col("average") <= 1, F.lit(0.0)).otherwise(sd / F.col("average"))
+    return limits.join(sums, by, "left").select(by, "n", F.coalesce("kept", F.lit(0)).alias("kept"), "low", "high", ratio.alias("ratio"))
 
 
 def pooled(left: DataFrame, right: DataFrame, ids: list[str]) -> DataFrame:
@@ -142,23 +196,27 @@ def member_interval(members: DataFrame) -> DataFrame:
 def marker_interval(members: DataFrame, dispersions: DataFrame, fold: float = FOLD) -> DataFrame:
     """Intervals from marker sequences: ``members(seed, sample, mean, length)``, fences trimmed, widened by their own dispersion.
 
-    Fewer than twenty members take ``fold`` dispersions between sd1 and sd2.  A mean below
-    ``LOW`` has the interval (0, 0).
+    With fewer than twenty members the ends go out to ``fold`` dispersions, between sd1 and
+    sd2, from the mean; the ends are then widened by the dispersion, which sd1 raises but
+    sd2 does not cut.  With one member left, the dispersion is sd1.  A mean below ``LOW``
+    has the interval (0, 0).
     """
-    gathered = members.groupBy("seed", "sample").agg(F.collect_list("mean").alias("means"))  # marker genes bound the members of a cluster
-    limits = gathered.select("seed", "sample", fence(F.col("means")).alias("f"), F.size("means").alias("n"))
-    kept = members.join(limits, ["seed", "sample"]).where((F.col("mean") >= F.col("f.low")) & (F.col("mean") <= F.col("f.high")))
+    keyed = members.withColumn("key", F.struct("seed", "sample"))
+    limits, _ = fences(keyed.select("key", "mean"), "key", "mean")
+    kept = keyed.join(limits.select("key", "n", "low", "high"), "key").where(F.col("mean").between(F.col("low"), F.col("high")))
     sums = kept.groupBy("seed", "sample").agg(
         F.round(F.try_divide(F.sum(F.col("mean") * F.col("length")), F.sum("length")), 2).alias("m"), F.min("mean").alias("least"), F.max("mean").alias("most"), F.count("*").alias("k"), F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("ss"), F.max("n").alias("n")
     )
-    about = F.col("ss") - 2 * F.col("m") * F.col("s") + F.col("k") * F.col("m") * F.col("m")
-    sd = F.coalesce(F.try_divide(F.sqrt(F.try_divide(F.greatest(about, F.lit(0.0)), F.when(F.col("k") > 1, F.col("k") - 1))), F.col("m")), F.col("sd1"))
-    clamped = F.when(F.col("n") < 20, F.least(F.greatest(sd, F.col("sd1")), F.col("sd2"))).otherwise(sd)
-    rows = sums.join(dispersions, "sample").withColumn("sd", clamped)
-    least = F.when(F.col("n") < 20, F.least("least", F.col("m") * (1 - F.col("sd") * fold))).otherwise(F.col("least"))
-    most = F.when(F.col("n") < 20, F.greatest("most", F.col("m") * (1 + F.col("sd") * fold))).otherwise(F.col("most"))
-    low = F.col("m") < LOW
-    return rows.select("seed", "sample", F.col("m").alias("mean"), F.when(low, 0).otherwise(toward_zero(least * (1 - F.col("sd")))).alias("lo"), F.when(low, 0).otherwise(toward_zero(most * (1 + F.col("sd"))) + 1).alias("hi"))
+    m, sd1, sd2 = F.col("m"), F.col("sd1"), F.col("sd2")
+    about = F.col("ss") - 2 * m * F.col("s") + F.col("k") * m * m
+    own = F.coalesce(F.try_divide(F.sqrt(F.try_divide(F.greatest(about, F.lit(0.0)), F.when(F.col("k") > 1, F.col("k") - 1))), m), sd1)
+    few = F.col("n") < 20
+    rows = sums.join(dispersions, "sample").withColumn("own", own)
+    rows = rows.withColumn("sd", F.when(few, F.greatest("own", "sd1")).otherwise(F.col("own"))).withColumn("near", F.least(F.greatest("own", "sd1"), sd2))
+    least = F.when(few, F.least("least", toward_zero(m * (1 - F.col("near") * fold)).cast("double"))).otherwise(F.col("least"))
+    most = F.when(few, F.greatest("most", (toward_zero(m * (1 + F.col("near") * fold)) + 1).cast("double"))).otherwise(F.col("most"))
+    low = m < LOW
+    return rows.select("seed", "sample", m.alias("mean"), F.when(low, 0).otherwise(toward_zero(least * (1 - F.col("sd")))).alias("lo"), F.when(low, 0).otherwise(toward_zero(most * (1 + F.col("sd"))) + 1).alias("hi"))
 
 
 def gaps_filled(intervals: DataFrame, means: DataFrame) -> DataFrame:

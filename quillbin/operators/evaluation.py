@@ -85,8 +85,8 @@ def covered(spans: DataFrame, by: list[str]) -> DataFrame:
 
 
 def best_reference(coords: DataFrame) -> DataFrame:
-    """``(qry, ref, part)``: the reference that covers most of a query, or of itself if it is shorter; equal ones by name."""
-    query_shorter = F.col("len_q") <= F.col("len_r")
+    """``(qry, ref, part)``: the reference that covers most of a query, or of itself if that is no longer than the query; equal ones by name."""
+    query_shorter = F.col("len_q") < F.col("len_r")
     spans = coords.select("qry", "ref", F.least("len_q", "len_r").alias("size"), F.when(query_shorter, F.col("s2")).otherwise(F.col("s1")).alias("start"), F.when(query_shorter, F.col("e2")).otherwise(F.col("e1")).alias("end"))
     part = covered(spans, ["qry", "ref", "size"]).select("qry", "ref", F.try_divide(F.col("covered"), F.col("size")).alias("part"))
     return first_of(part, ["qry"], -F.col("part"), F.col("ref"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbin.functions.sequences import FOURMERS, kmers
+from quillbin.functions.sequences import CODE, FOURMERS, LETTERS, counts
 
 #: Scores are given for so many letters.
 PER_LETTERS = 500.0
@@ -13,8 +18,34 @@ MARGIN = 7.0
 
 
 def kmer_counts(sequences: DataFrame, by: str, k: int = 4) -> DataFrame:
-    """``sequences(by, seq)`` to ``(by, kmer, n)``; partial sums of a partition go to the shuffle, not k-mers."""
-    return sequences.select(by, F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy(by, "kmer").agg(F.count("*").alias("n"))
+    """``sequences(by, seq)`` to ``(by, kmer, n)``; a batch's sums for each key go to the shuffle, not k-mers."""
+    names = ["".join(x) for x in itertools.product(LETTERS, repeat=k)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            keys, group = p[by].factorize(use_na_sentinel=False)[::-1]
+            sums = np.zeros((0, 4**k), np.int64)
+            order = np.argsort(group, kind="stable")
+            seqs, group = p["seq"].to_numpy()[order], group[order]
+            for i in range(0, len(order), 1024):
+                g = group[i : i + 1024]
+                n = counts_of(seqs[i : i + 1024], k)
+                first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+                sums = np.add.reduceat(n, first)
+                at, kmer = np.nonzero(sums)
+                yield pd.DataFrame({by: keys.take(g[first][at]), "kmer": np.array(names, object)[kmer], "n": sums[at, kmer]})
+
+    kind = sequences.schema[by].dataType.simpleString()
+    return sequences.select(by, "seq").mapInPandas(run, f"`{by}` {kind}, kmer string, n long").groupBy(by, "kmer").agg(F.sum("n").alias("n"))
+
+
+def counts_of(seqs: Sequence[str | None], k: int) -> np.ndarray:
+    """One row for each sequence: how often each k-mer of A, C, G and T occurs, in alphabetical order."""
+    out = np.zeros((len(seqs), 4**k), np.int64)
+    for i, s in enumerate(seqs):
+        code = CODE[np.frombuffer((s or "").encode("ascii", "ignore"), np.uint8)].astype(np.int64)
+        out[i] = (counts(code, k) - 1).astype(np.int64)
+    return out
 
 
 def log_probabilities(counts: DataFrame, by: str) -> DataFrame:
@@ -24,11 +55,6 @@ def log_probabilities(counts: DataFrame, by: str) -> DataFrame:
     return grid.join(counts, [by, "kmer"], "left").select(by, "kmer", F.log10(F.coalesce("n", F.lit(1)) / F.col("total")).alias("logp"))
 
 
-def profiles(logs: DataFrame, by: str) -> DataFrame:
-    """``(by, profile map<kmer, logp>)``: 256 entries for each seed."""
-    return logs.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kmer", "logp")))).alias("profile"))
-
-
 def scores(counts: DataFrame, lengths: DataFrame, logs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``(id, seed, score)``: sum of n * logp * 500 / length over the k-mers of a sequence.
 
@@ -40,6 +66,36 @@ def scores(counts: DataFrame, lengths: DataFrame, logs: DataFrame, pairs: DataFr
     return sums.join(lengths, "id").select("id", "seed", (F.col("s") * PER_LETTERS / F.col("length")).alias("score"))
 
 
+#: Most seeds whose log probabilities, 256 numbers each, go to all tasks.
+MOST_SEEDS = 16_384
+
+
+def scores_of_all(sequences: DataFrame, logs: DataFrame, most_seeds: int = MOST_SEEDS) -> DataFrame:
+    """``sequences(id, seq)`` to ``(id, seed, score)`` with every seed of ``logs(seed, kmer, logp)``: counts of a block times the seeds' matrix.
+
+    Where there are more seeds than ``most_seeds``, k-mers are joined instead (see ``scores``).
+    Sequences without a k-mer have no row.
+    """
+    if logs.select("seed").distinct().count() > most_seeds:
+        return scores(kmer_counts(sequences.withColumnRenamed("id", "doc"), "doc").withColumnRenamed("doc", "id"), sequences.select("id", F.length("seq").alias("length")), logs)
+    table = logs.select("seed", "kmer", "logp").toPandas().pivot(index="seed", columns="kmer", values="logp")[FOURMERS]
+    seeds, matrix = table.index.to_numpy(), table.to_numpy().T.copy()
+    shared = sequences.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for i in range(0, len(p), 256):
+                some = p.iloc[i : i + 256]
+                n = counts_of(some["seq"].to_numpy(), 4)
+                own = n.sum(axis=1) > 0
+                length = some["seq"].str.len().to_numpy(float)[own]
+                score = n[own] @ shared.value * PER_LETTERS / length[:, None]
+                yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy()[own], len(seeds)), "seed": np.tile(seeds, int(own.sum())), "score": score.ravel()})
+
+    kinds = sequences.schema["id"].dataType.simpleString(), logs.schema["seed"].dataType.simpleString()
+    return sequences.select("id", "seq").mapInPandas(run, f"id {kinds[0]}, seed {kinds[1]}, score double")
+
+
 def best(scored: DataFrame) -> DataFrame:
     """``(id, seed, score)`` of the greatest score; equal ones by the seed's name."""
     return scored.groupBy("id").agg(F.min_by(F.struct("seed", "score"), F.struct(-F.col("score"), "seed")).alias("b")).select("id", "b.*")

@@ -108,13 +108,14 @@ def covered_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT l_suppkey AS qry, l_partkey AS ref, CAST(l_quantity AS BIGINT) * 40 AS a, CAST(l_quantity AS BIGINT) * 40 + l_linenumber * 100 AS b FROM lineitem),
+WITH l AS (SELECT l_suppkey AS qry, l_partkey AS ref, CAST(l_quantity AS BIGINT) * 40 AS a, CAST(l_quantity AS BIGINT) * 40 + l_linenumber * CASE WHEN l_partkey % 3 = 0 THEN 50 ELSE 100 END AS b FROM lineitem),
 c AS (SELECT qry, ref, count(DISTINCT p) / 3000.0 AS part FROM (SELECT qry, ref, unnest(range(a, b + 1)) AS p FROM l) GROUP BY qry, ref)
 SELECT qry, ref, round(part, 6) AS part FROM (SELECT *, row_number() OVER (PARTITION BY qry ORDER BY part DESC, ref) AS r FROM c) WHERE r = 1""")
 def best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the parts are as long as the suppliers, where the reference's places count."""
     at = F.col("l_quantity").cast("long") * 40
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("qry"), F.col("l_partkey").alias("ref"), at.alias("s2"), (at + F.col("l_linenumber") * 100).alias("e2"))
-    rows = rows.withColumns({"s1": F.col("s2"), "e1": F.col("e2"), "len_q": F.lit(3000), "len_r": F.lit(5000)})
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("qry"), F.col("l_partkey").alias("ref"), at.alias("s2"), (at + F.col("l_linenumber") * 100).alias("e2"), (at + F.col("l_linenumber") * 50).alias("s1"), at.alias("e1"))
+    rows = rows.withColumns({"len_q": F.lit(3000), "len_r": F.when(F.col("ref") % 3 == 0, 3000).otherwise(5000)})
     return rounded(evaluation.best_reference(rows), "part")
 
 
@@ -183,8 +184,7 @@ s AS (SELECT f.doc_id AS id, p.source AS seed, sum(f.n * p.logp) * 500 / any_val
 def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_sequences(spark, sf_dir)
     logs = naive_bayes.log_probabilities(naive_bayes.kmer_counts(docs, "source"), "source").withColumnRenamed("source", "seed")
-    counts = naive_bayes.kmer_counts(docs, "doc_id").withColumnRenamed("doc_id", "id")
-    return naive_bayes.scores(counts, docs.select(F.col("doc_id").alias("id"), "length"), logs)
+    return naive_bayes.scores_of_all(docs.select(F.col("doc_id").alias("id"), "seq"), logs)
 
 
 @query(f"{SCORE} SELECT id, seed, round(score, 5) AS score FROM s")
@@ -285,21 +285,15 @@ f AS (SELECT *, CASE WHEN n * 1 % 4 = 3 THEN s[(n + 1) // 4] ELSE ((n + 1) % 4 /
   CASE WHEN 3 * (n + 1) % 4 = 0 THEN s[3 * (n + 1) // 4] ELSE (3 * (n + 1) % 4 / 4.0) * s[least(3 * (n + 1) // 4, n)] + (1 - 3 * (n + 1) % 4 / 4.0) * s[least(3 * (n + 1) // 4 + 1, n)] END AS q3 FROM q)"""
 
 
-def user_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("r"))
-    return rows.select("user_id", F.transform("r", lambda x: x["value"]).alias("x"))
-
-
 @query(f"WITH {FENCE} SELECT user_id, round(q1 - 1.5 * (q3 - q1), 6) AS low, round(q3 + 1.5 * (q3 - q1), 6) AS high, len(list_filter(x, lambda y: y >= q1 - 1.5 * (q3 - q1) AND y <= q3 + 1.5 * (q3 - q1))) AS kept FROM f")
 def tukey_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_values(spark, sf_dir).select("user_id", st.fence(F.col("x")).alias("f"), F.size(st.trimmed(F.col("x"))).cast("long").alias("kept"))
-    return rounded(rows.select("user_id", F.col("f.low").alias("low"), F.col("f.high").alias("high"), "kept"), "low", "high")
+    return rounded(coverage.trimmed_deviation(table(spark, sf_dir, "events"), "user_id", "value").select("user_id", "low", "high", "kept"), "low", "high")
 
 
 @query(f"""WITH {FENCE}, g AS (SELECT user_id, n, list_avg(x) AS m, list_filter(x, lambda y: y >= q1 - 1.5 * (q3 - q1) AND y <= q3 + 1.5 * (q3 - q1)) AS k FROM f)
 SELECT user_id, CASE WHEN n < 10 THEN NULL WHEN m <= 1 THEN 0.0 ELSE round(sqrt(list_sum(list_transform(k, lambda y: (y - m) * (y - m))) / nullif(len(k) - 1, 0)) / m, 6) END AS ratio FROM g""")
 def trimmed_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(user_values(spark, sf_dir).select("user_id", st.dispersion(F.col("x"), st.mean(F.col("x"))).alias("ratio")), "ratio")
+    return rounded(coverage.trimmed_deviation(table(spark, sf_dir, "events"), "user_id", "value").select("user_id", "ratio"), "ratio")
 
 
 @query("""
@@ -317,9 +311,20 @@ WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 s AS (SELECT DISTINCT event_type, n, unnest(range(1, n - 98, 50)) AS p FROM e)
 SELECT s.event_type, CAST((p - 1) // 50 AS BIGINT) AS w, round(avg(value), 6) AS depth FROM s JOIN e ON e.event_type = s.event_type AND e.i BETWEEN p AND p + 99 GROUP BY s.event_type, p""")
 def sliding_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("r"))
-    windows = coverage.sliding(F.transform("r", lambda x: x["value"]), 100, 50)
-    return rounded(rows.select("event_type", F.posexplode(windows).alias("w", "depth")).withColumn("w", F.col("w").cast("long")), "depth")
+    rows = coverage.numbered(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_id", ["event_type"])
+    return rounded(coverage.window_sums(rows, "event_type", "value", 100, 50), "depth")
+
+
+@query("""
+WITH e AS (SELECT l_suppkey AS id, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+t AS (SELECT id, q, i - 5 AS i, n - 10 AS n FROM e WHERE n >= 11 AND i > 5 AND i <= n - 5)
+SELECT id, round(avg(q), 2) AS mean, CASE WHEN any_value(n) < 500 THEN 1 ELSE (any_value(n) - 500) // 250 + 1 END AS windows, CASE WHEN any_value(n) < 500 THEN round(avg(q), 2) ELSE round(avg(q) FILTER (i <= 500), 2) END AS first_window FROM t GROUP BY id""")
+def window_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of a supplier as depths of a sequence, five places off both ends."""
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["l_quantity"].cast("double")).alias("depths"))
+    out = coverage.window_means(rows.select("id", F.lit(1).alias("sample"), "depths", F.lit(5).alias("read_length")))
+    return out.select("id", "mean", F.size("windows").cast("long").alias("windows"), F.col("windows")[0].alias("first_window"))
 
 
 INTERVAL = "i AS (SELECT l_suppkey AS seed, sum(l_quantity) / count(*) AS mean FROM lineitem GROUP BY l_suppkey)"
@@ -344,13 +349,13 @@ def part_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' intervals about their key's place in both samples; some are below the least mean."""
-    own = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 1").select(F.col("s_suppkey").alias("seed"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed"))
     m1, m2 = (F.col("seed") % 50).cast("double"), (F.col("seed") % 19 + 2).cast("double")
     rows = own.select("seed", F.explode(F.array(F.struct(F.lit(1).alias("sample"), m1.alias("mean")), F.struct(F.lit(2).alias("sample"), m2.alias("mean")))).alias("s")).select("seed", "s.*")
     return rows.withColumn("lo", st.toward_zero(F.col("mean") * 0.8)).withColumn("hi", st.toward_zero(F.col("mean") * 1.2) + 1)
 
 
-RANGE = """s AS (SELECT s_suppkey AS seed, s_suppkey % 50 AS m1, s_suppkey % 19 + 2 AS m2 FROM supplier WHERE s_suppkey % 5 = 1),
+RANGE = """s AS (SELECT s_suppkey AS seed, s_suppkey % 50 AS m1, s_suppkey % 19 + 2 AS m2 FROM supplier),
 p AS (SELECT p_partkey AS id, p_size AS x1, p_retailprice / 100 AS x2 FROM part)"""
 
 
@@ -386,11 +391,32 @@ def member_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id, list(value ORDER BY event_id) AS x, count(*) AS n FROM events GROUP BY user_id)
-SELECT user_id, unnest(range(0, 4)) AS piece, round(list_avg(x[unnest(range(0, 4)) * 5 + 1:least(unnest(range(0, 4)) * 5 + 5, n)]), 6) AS mean FROM e WHERE n >= 20""")
+WITH v AS (SELECT l_suppkey AS seed, CAST(l_quantity AS DOUBLE) AS x, l_linenumber AS w FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' UNION ALL SELECT 100000 + l_orderkey, CAST(l_quantity AS DOUBLE), l_linenumber FROM lineitem),
+q AS (SELECT seed, list_sort(list(x)) AS s, count(*) AS n FROM v GROUP BY seed),
+f AS (SELECT *, (n + 1) % 4 / 4.0 AS d1, 3 * (n + 1) % 4 / 4.0 AS d3, (n + 1) // 4 AS b1, 3 * (n + 1) // 4 AS b3 FROM q),
+g AS (SELECT seed, s, n, CASE WHEN d1 = 0 THEN s[b1] ELSE d1 * (CASE WHEN b1 < 1 THEN s[n] ELSE s[b1] END) + (1 - d1) * s[least(b1 + 1, n)] END AS q1,
+  CASE WHEN d3 = 0 THEN s[least(b3, n)] ELSE d3 * (CASE WHEN b3 < 1 THEN s[n] ELSE s[least(b3, n)] END) + (1 - d3) * s[least(b3 + 1, n)] END AS q3 FROM f),
+k AS (SELECT g.seed, n, x, w FROM g JOIN v ON v.seed = g.seed WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+m AS (SELECT seed, any_value(n) AS n, round(sum(x * w) / sum(w), 2) AS mean, min(x) AS lo, max(x) AS hi, count(*) AS c FROM k GROUP BY seed),
+d AS (SELECT m.seed, any_value(m.n) AS n, any_value(mean) AS mean, any_value(lo) AS lo, any_value(hi) AS hi, CASE WHEN any_value(c) > 1 THEN coalesce(sqrt(sum((x - mean) * (x - mean)) / nullif(any_value(c) - 1, 0)) / any_value(mean), 0.1) ELSE 0.1 END AS own FROM m JOIN k ON k.seed = m.seed GROUP BY m.seed),
+e AS (SELECT *, CASE WHEN n < 20 THEN greatest(own, 0.1) ELSE own END AS sd, least(greatest(own, 0.1), 0.2) AS near FROM d)
+SELECT seed, mean, CAST(CASE WHEN mean < 5 THEN 0 ELSE trunc((CASE WHEN n < 20 THEN least(lo, trunc(mean * (1 - near * 2.58))) ELSE lo END) * (1 - sd)) END AS BIGINT) AS lo,
+  CAST(CASE WHEN mean < 5 THEN 0 ELSE trunc((CASE WHEN n < 20 THEN greatest(hi, trunc(mean * (1 + near * 2.58)) + 1) ELSE hi END) * (1 + sd)) + 1 END AS BIGINT) AS hi FROM e""")
+def marker_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of many members (suppliers) and of few (orders)."""
+    line = table(spark, sf_dir, "lineitem")
+    x = [F.lit(1).alias("sample"), F.col("l_quantity").cast("double").alias("mean"), F.col("l_linenumber").alias("length")]
+    members = line.where("l_returnflag = 'R' and l_linestatus = 'F'").select(F.col("l_suppkey").cast("long").alias("seed"), *x).unionByName(line.select((F.col("l_orderkey") + 100_000).cast("long").alias("seed"), *x))
+    return coverage.marker_interval(members, spark.createDataFrame([(1, 0.1, 0.2)], "sample int, sd1 double, sd2 double")).drop("sample")
+
+
+@query("""
+WITH e AS (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS piece FROM events)
+SELECT user_id, CAST(piece AS BIGINT) AS piece, round(avg(value), 6) AS mean FROM e GROUP BY user_id, piece""")
 def piece_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_values(spark, sf_dir).where(F.size("x") >= 20).select("user_id", "x", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("piece"))
-    return rounded(rows.select("user_id", F.col("piece").cast("long").alias("piece"), st.mean(F.slice("x", F.col("piece") * 5 + 1, F.lit(5))).alias("mean")), "mean")
+    """Pieces of five values of each user, the last one shorter."""
+    rows = coverage.numbered(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "event_id", ["user_id"])
+    return rounded(rows.groupBy("user_id", F.floor((F.col("n") - 1) / 5).alias("piece")).agg(F.avg("value").alias("mean")), "mean")
 
 
 @query("""
@@ -413,12 +439,12 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markers.duplicates(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("gene"), F.col("l_orderkey").alias("id")).distinct())
 
 
-COPIES = "c AS (SELECT n.n_name AS seed, o.o_orderpriority || '/' || month(o.o_orderdate) AS gene, count(DISTINCT c.c_custkey) AS copies FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE c.c_custkey % 20 = 3 GROUP BY ALL)"
+COPIES = "c AS (SELECT n.n_name AS seed, o.o_orderpriority || '/' || month(o.o_orderdate) AS gene, count(DISTINCT c.c_custkey) AS copies FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY ALL)"
 
 
 def nation_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.concat_ws("/", "o_orderpriority", F.month("o_orderdate").cast("string")).alias("gene"), F.col("o_custkey").alias("id")).distinct()
-    who = table(spark, sf_dir, "customer").where("c_custkey % 20 = 3").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("seed"))
+    who = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("seed"))
     return markers.copies(orders, who)
 
 
