@@ -13,12 +13,34 @@ from quillbin.operators import composition, coverage, markers
 from quillbin.operators.seeds import shared_folder
 
 
-def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs: DataFrame, most_duplicates: int, guard: str = "twice") -> DataFrame:
+#: So many marker sequences of a cluster stand for all of it.
+MARKERS = 10
+
+
+def standing(assigned: DataFrame, genes: DataFrame, lengths: DataFrame, least: int = MARKERS, short: int = 10_000) -> DataFrame:
+    """``(id, seed, marked)``: the sequences that stand for a cluster: its marker sequences where there are ``least`` of them (and its seed, if they are ``short`` together), else all."""
+    own = assigned.select("id", "seed").join(genes.select("id").distinct(), "id", "left_semi").join(lengths, "id")
+    many = own.groupBy("seed").agg(F.count("*").alias("n"), F.sum("length").alias("size")).where(F.col("n") >= least)
+    marked = own.join(many.select("seed"), "seed", "left_semi").select("id", "seed")
+    key = assigned.join(many.where(F.col("size") < short).select("seed"), "seed", "left_semi").where("id = seed").select("id", "seed")
+    rest = assigned.select("id", "seed").join(many.select("seed"), "seed", "left_anti")
+    return marked.unionByName(key).distinct().withColumn("marked", F.lit(True)).unionByName(rest.withColumn("marked", F.lit(False)))
+
+
+def cluster_intervals(stand: DataFrame, depth: DataFrame, lengths: DataFrame, dispersions: DataFrame, fold: float = coverage.FOLD) -> DataFrame:
+    """``(seed, sample, mean, lo, hi)`` from ``standing`` sequences: by their dispersion for marked clusters, else from the least to the greatest mean."""
+    rows = stand.join(depth, "id").join(lengths, "id").select("seed", "sample", "mean", "length", "marked")
+    by_marker = coverage.marker_interval(rows.where("marked").drop("marked"), dispersions, fold)
+    return by_marker.unionByName(coverage.member_interval(rows.where("not marked").drop("marked")))
+
+
+def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs: DataFrame, most_duplicates: int, guard: str = "twice", small: DataFrame | None = None) -> DataFrame:
     """``(a, b, inside, p, distance)``, a before b by mean: pairs that may merge.
 
     Their correlation reaches the cutoff, the guard (genes ``twice`` in both together, or in
     ``both``) is at most ``most_duplicates``, and b's mean lies in a's interval in every
-    sample (inside) or their intervals overlap.  The pair join is by overlapping intervals.
+    sample (inside) or their intervals overlap.  With ``small(seed)``, those clusters merge
+    whatever the correlation, and only the mean inside counts.
     """
     rank = intervals.groupBy("seed").agg(F.max_by("mean", -F.col("sample")).alias("m"))
     x = intervals.select(F.col("seed").alias("a"), "sample", F.col("mean").alias("ma"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
@@ -36,7 +58,12 @@ def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs
     pairs = pairs.join(shared, ["a", "b"], "left").join(own.withColumnsRenamed({"seed": "a", "own": "own_a"}), "a", "left").join(own.withColumnsRenamed({"seed": "b", "own": "own_b"}), "b", "left")
     count = F.coalesce(F.col(guard), F.lit(0) if guard == "both" else F.coalesce("own_a", F.lit(0)) + F.coalesce("own_b", F.lit(0)))
     scored = composition.calibrated(composition.correlated(pairs.where(count <= most_duplicates), comp), cutoffs)
-    return scored.where("cor >= cutoff").select("a", "b", "ra", (F.col("inside") == 1).alias("inside"), "p", "distance")
+    enough = F.col("cor") >= F.col("cutoff")
+    if small is not None:
+        flag = lambda c: small.select(F.col("seed").alias(c), F.lit(True).alias(f"small_{c}"))
+        scored = scored.where("inside = 1").join(flag("a"), "a", "left").join(flag("b"), "b", "left")
+        enough = F.coalesce(enough, F.lit(False)) | F.col("small_a").isNotNull() | F.col("small_b").isNotNull()
+    return scored.where(enough).select("a", "b", "ra", (F.col("inside") == 1).alias("inside"), "p", "distance")
 
 
 def choices(rows: list, farthest: bool = True) -> dict[str, str]:
@@ -63,19 +90,31 @@ def choices(rows: list, farthest: bool = True) -> dict[str, str]:
     return gone
 
 
-def merged(assigned: DataFrame, depth: DataFrame, lengths: DataFrame, counts: DataFrame, genes: DataFrame, cutoffs: DataFrame, most_duplicates: int = 7, guard: str = "twice", max_rounds: int = 100) -> DataFrame:
+def merged(
+    assigned: DataFrame, depth: DataFrame, lengths: DataFrame, counts: DataFrame, genes: DataFrame, cutoffs: DataFrame, most_duplicates: int = 7, guard: str = "twice",
+    dispersions: DataFrame | None = None, small_below: int | None = None, max_rounds: int = 100,
+) -> DataFrame:
     """``assigned(id, seed)`` with clusters merged until no pair may merge any more; vectors and intervals are renewed each round.
 
-    counts: see ``composition.counted``; genes: ``(gene, id)``.
+    counts: see ``composition.counted``; genes: ``(gene, id)``.  With ``dispersions``, clusters
+    of many marker sequences have vectors and intervals from those; clusters shorter than
+    ``small_below`` merge whatever their correlation, if their mean lies inside.
     """
     spark = assigned.sparkSession
     shared_folder(spark)
     state = assigned.select("id", "seed").checkpoint()
     for _ in range(max_rounds):
-        members = state.join(depth, "id").join(lengths, "id")
-        intervals = coverage.member_interval(members)
-        comp = composition.cluster_vectors(counts, state, lengths)
-        found = candidates(intervals, comp, markers.copies(genes, state), cutoffs, most_duplicates, guard).collect()  # pairs of clusters
+        if dispersions is None:
+            stand = state
+            intervals = coverage.member_interval(state.join(depth, "id").join(lengths, "id"))
+        else:
+            stand = standing(state, genes, lengths).checkpoint()
+            intervals = cluster_intervals(stand, depth, lengths, dispersions)
+        comp = composition.cluster_vectors(counts, stand.select("id", "seed"), lengths)
+        small = None
+        if small_below is not None:
+            small = state.join(lengths, "id").groupBy("seed").agg(F.sum("length").alias("size")).where(F.col("size") < small_below).select("seed")
+        found = candidates(intervals, comp, markers.copies(genes, state), cutoffs, most_duplicates, guard, small).collect()  # pairs of clusters
         moves = choices(found)
         if not moves:
             return state

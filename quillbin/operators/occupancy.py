@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 from quillbin.operators.seeds import shared_folder
 
 
-def allowed(open_rows: DataFrame, genes: DataFrame, occupied: DataFrame, excluded: DataFrame, most_present: int) -> DataFrame:
-    """Candidates ``(id, seed, score)`` that are not excluded and have fewer than ``most_present`` of their genes in the seed; all of an id's, if none is left."""
+def allowed(open_rows: DataFrame, genes: DataFrame, occupied: DataFrame, excluded: DataFrame, most_present: int, short: DataFrame | None = None) -> DataFrame:
+    """Candidates ``(id, seed, score)`` that are not excluded and have fewer than ``most_present`` of their genes in the seed; all of an id's, if none is left.
+
+    Of ``short(id)`` sequences not all genes may be there, however few.
+    """
     present = open_rows.select("id", "seed").join(genes, "id").join(occupied, ["gene", "seed"]).groupBy("id", "seed").agg(F.count("*").alias("present"))
-    free = open_rows.join(excluded, ["id", "seed"], "left_anti").join(present, ["id", "seed"], "left").where(F.coalesce("present", F.lit(0)) < most_present).select("id", "seed", "score")
+    free = open_rows.join(excluded, ["id", "seed"], "left_anti").join(present, ["id", "seed"], "left").where(F.coalesce("present", F.lit(0)) < most_present)
+    if short is not None:
+        own = genes.join(short.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("of"))
+        free = free.join(own, "id", "left").where(F.col("present").isNull() | F.col("of").isNull() | (F.col("present") != F.col("of")))
+    free = free.select("id", "seed", "score")
     return free.unionByName(open_rows.join(free.select("id").distinct(), "id", "left_anti").select("id", "seed", "score"))
 
 
@@ -26,7 +33,7 @@ def best_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by(F.struct("seed", "score"), F.struct(-F.col("score"), "seed")).alias("b")).select("id", "b.*")
 
 
-def assign_markers(candidates: DataFrame, genes: DataFrame, duplicates: DataFrame, most_present: int = 2, max_rounds: int = 200) -> DataFrame:
+def assign_markers(candidates: DataFrame, genes: DataFrame, duplicates: DataFrame, most_present: int = 2, max_rounds: int = 200, short: DataFrame | None = None) -> DataFrame:
     """``candidates(id, seed, score)``, ``genes(gene, id)`` and ``duplicates(a, b)`` to ``(id, seed)``, one row for each id with a candidate.
 
     At least one proposal of each seed is taken in each round, so every round assigns
@@ -42,7 +49,7 @@ def assign_markers(candidates: DataFrame, genes: DataFrame, duplicates: DataFram
             return taken
         occupied = taken.join(genes, "id").select("gene", "seed").distinct()
         excluded = taken.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "seed").distinct()
-        proposed = best_of(allowed(left, genes, occupied, excluded, most_present)).checkpoint()
+        proposed = best_of(allowed(left, genes, occupied, excluded, most_present, short)).checkpoint()
         other = proposed.select(F.col("id").alias("b"), "seed", F.col("score").alias("other"))
         beaten = proposed.join(both, F.col("id") == F.col("a")).join(other, ["b", "seed"]).where((F.col("other") > F.col("score")) | ((F.col("other") == F.col("score")) & (F.col("b") < F.col("id")))).select("id").distinct()
         new = proposed.join(beaten, "id", "left_anti").select("id", "seed").checkpoint()

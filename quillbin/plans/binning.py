@@ -19,8 +19,11 @@ LARGE = 10_000
 class Parameters:
     fold: float = 2.58
     min_length: int = 0
+    large_length: int = 200_000
+    small_length: int = 100_000
     bin_length: int = 500_000
     most_duplicates: int = 7
+    most_shared: int = 9
     genes_for_split: int = 7
     genes_for_bin: int = 10
 
@@ -98,7 +101,26 @@ def place_markers(own: Inputs, features: Features, seed_intervals: DataFrame, me
     vectors = composition.vectors(own.sequences.join(ids, "id", "left_semi"))
     pairs = composition.correlated(found.select(F.col("id").alias("a"), F.col("seed").alias("b")), vectors, seed_comp)
     scored = composition.calibrated(pairs, own.cutoffs).select(F.col("a").alias("id"), F.col("b").alias("seed"), F.coalesce("z", "cor").alias("score"))
-    return occupancy.assign_markers(scored, own.genes, markers.duplicates(own.genes))
+    short = own.sequences.where(F.col("length") < LARGE).select("id")
+    return occupancy.assign_markers(scored, own.genes, markers.duplicates(own.genes), short=short)
+
+
+def species_of(own: Inputs, clusters: DataFrame, least: int, more_than: bool = True) -> DataFrame:
+    """``(seed, species, length)`` of clusters."""
+    sizes = clusters.join(own.sequences.select("id", "length"), "id").groupBy("seed").agg(F.sum("length").alias("length"))
+    species = markers.species_number(markers.copies(own.genes, clusters), least, more_than)
+    return sizes.join(species, "seed", "left").na.fill(0, ["species"])
+
+
+def merge_all(own: Inputs, features: Features, assigned: DataFrame, dispersions: DataFrame, par: Parameters) -> DataFrame:
+    """Three merges: of clusters of one species at most, the others set aside; of all, by marker sequences and the genes in both; and of all again, where short ones need no likeness."""
+    lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
+    several = species_of(own, assigned, par.genes_for_split).where("species > 1").select("seed").checkpoint()
+    rest = (means, lengths, features.counts, own.genes, own.cutoffs)
+    one = merging.merged(assigned.join(several, "seed", "left_anti"), *rest, par.most_duplicates)
+    state = one.unionByName(assigned.join(several, "seed", "left_semi").select("id", "seed")).checkpoint()
+    state = merging.merged(state, *rest, par.most_shared, "both", dispersions)
+    return merging.merged(state, *rest, par.most_duplicates, "twice", dispersions, par.bin_length)
 
 
 def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
@@ -116,19 +138,21 @@ def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
     assigned = assign(own, features, own_intervals, members, n_samples).checkpoint()
     assigned = splitting.split_clusters(assigned, own.genes, own.sequences.select("id", "length"), features.counts, own.cutoffs, par.genes_for_split).checkpoint()
     lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
-    clusters = merging.merged(assigned, means, lengths, features.counts, own.genes, own.cutoffs, par.most_duplicates)
-    sizes = clusters.join(lengths, "id").groupBy("seed").agg(F.sum("length").alias("length"))
-    species = markers.species_number(markers.copies(own.genes, clusters), par.genes_for_bin, more_than=False)
-    kept = markers.kept_at_last(sizes.join(species, "seed", "left").na.fill(0, ["species"]), par.bin_length).select("seed")
+    after = markers.kept_after_split(species_of(own, assigned, par.genes_for_split), par.large_length, par.small_length).select("seed")
+    assigned = assigned.join(after, "seed", "left_semi").select("id", "seed").checkpoint()
+    clusters = merge_all(own, features, assigned, dispersions, par)
+    kept = markers.kept_at_last(species_of(own, clusters, par.genes_for_bin, more_than=False), par.bin_length).select("seed")
     clusters = clusters.join(kept, "seed", "left_semi").select("id", "seed").checkpoint()
     if clusters.isEmpty():
         return own.sequences.select("*", F.lit(None).cast("string").alias("seed"), F.lit(evaluation.UNASSIGNED).alias("bin"))
-    filled = coverage.member_interval(clusters.join(means, "id").join(lengths, "id"))
+    stand = merging.standing(clusters, own.genes, lengths).checkpoint()
+    filled = merging.cluster_intervals(stand, means, lengths, dispersions, par.fold)
+    stand = stand.select("id", "seed")
     gapless = coverage.gaps_filled(filled.select("seed", "sample", "lo", "hi"), means.select("sample", "mean"))
     final = gapless.join(filled.select("seed", "sample", "mean"), ["seed", "sample"]).checkpoint()
     means_of = final.groupBy("seed").agg(F.max_by("mean", -F.col("sample")).alias("mean"))
     # marker sequences first, under copy-number rules; those without a fitting seed stay where they are
-    placed = place_markers(own, features, final, clusters, n_samples)
+    placed = place_markers(own, features, final, stand, n_samples)
     fixed = placed.unionByName(clusters.join(own.genes.select("id").distinct(), "id", "left_semi").join(placed, "id", "left_anti"))
-    again = assign(own, features, final, clusters, n_samples).join(fixed.select("id"), "id", "left_anti")
+    again = assign(own, features, final, stand, n_samples).join(fixed.select("id"), "id", "left_anti")
     return evaluation.classified(fixed.unionByName(again), own.sequences, means_of)

@@ -105,3 +105,37 @@ def test_duplicates_go_to_different_seeds(spark):
     assert sorted(map(tuple, out.collect())) == [("w", "s"), ("x", "s"), ("y", "t"), ("z", "s")]
     none = spark.createDataFrame([], "id string, seed string, score double")
     assert occupancy.assign_markers(none, spark.createDataFrame(genes, "gene string, id string"), spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_what_stands_for_a_cluster(spark):
+    from quillbin.operators import merging
+
+    assigned = spark.createDataFrame([(f"m{i}", "a") for i in range(10)] + [("a", "a"), ("x", "a"), ("b", "b"), ("m10", "b")], "id string, seed string")
+    genes = spark.createDataFrame([("g", f"m{i}") for i in range(11)] + [("h", "m0")], "gene string, id string")
+    for size, more in ((900, [("a", "a", True)]), (1000, [])):
+        lengths = assigned.select("id").selectExpr("id", f"cast({size} as long) as length")
+        out = merging.standing(assigned, genes, lengths).collect()
+        assert sorted(map(tuple, out)) == sorted([(f"m{i}", "a", True) for i in range(10)] + more + [("b", "b", False), ("m10", "b", False)])
+
+
+def test_short_sequences_need_a_gene_of_their_own(spark):
+    rows = [("x", "s", 3.0), ("y", "s", 2.0), ("y", "t", 1.0)]
+    genes = spark.createDataFrame([("g", "x"), ("g", "y")], "gene string, id string")
+    none, own = spark.createDataFrame([], "a string, b string"), spark.createDataFrame(rows, "id string, seed string, score double")
+    for short, seed in ((None, "s"), (spark.createDataFrame([("y",)], "id string"), "t")):
+        occupied = spark.createDataFrame([("g", "s")], "gene string, seed string")
+        left = occupancy.allowed(own.where("id = 'y'"), genes, occupied, none.toDF("id", "seed"), 2, short)
+        assert occupancy.best_of(left).first()["seed"] == seed
+
+
+def test_small_clusters_merge_by_their_mean_alone(spark):
+    from quillbin.operators import merging
+
+    intervals = spark.createDataFrame([("a", 1, 20.0, 15, 25), ("b", 1, 18.0, 16, 20), ("c", 1, 40.0, 30, 50)], "seed string, sample int, mean double, lo long, hi long")
+    vec = lambda *v: [float(x) for x in v]
+    comp = spark.createDataFrame([(n, v, float(sum(x * x for x in v)), 10) for n, v in (("a", vec(1, -1, 0)), ("b", vec(-1, 1, 0)), ("c", vec(1, -1, 0)))], "id string, vec array<double>, ss double, bucket int")
+    table = spark.createDataFrame([(10, 10, 0.5, 0.1, 0.4, 0.3)], "len1 int, len2 int, smean double, ssd double, cutoff double, diff double")
+    copied = spark.createDataFrame([("a", "g", 1)], "seed string, gene string, copies long")
+    assert merging.candidates(intervals, comp, copied, table, 7).count() == 0
+    small = spark.createDataFrame([("b",)], "seed string")
+    assert [(r["a"], r["b"]) for r in merging.candidates(intervals, comp, copied, table, 7, small=small).collect()] == [("a", "b")]
