@@ -6,8 +6,8 @@ documents in a table of 2^20 hashed terms, whose size does not grow with the cor
 band's floor is far above what rare terms add up to in a cell of the table, so a term is in
 the lexicon by its own frequency.
 
-A text's terms in the lexicon (all of them, if fewer than ``LEAST_TERMS`` are) are made
-distinct, sorted, and hashed once for each of a number of random subsets of the lexicon.
+A text's terms in the lexicon are made distinct, sorted, and hashed once for each of a
+number of random subsets of the lexicon.
 Subsets are of several sizes, so that texts of any length have some that hold few of their
 terms; those hashes survive edits.  The likeness of two texts is the part of the subsets
 with a term of either on which they agree.
@@ -26,7 +26,6 @@ from quillbin.llm.mixing import given
 CELL_BITS = 20
 #: Parts of all documents that a term of the lexicon is in.
 BAND = (0.002, 0.2)
-LEAST_TERMS = 4
 #: A subset of rate b holds one of 2^b terms; so many chains of subsets, one of each rate.
 RATES, CHAINS = (1, 3, 5, 7, 9, 11), 16
 SEED = 42
@@ -63,7 +62,7 @@ def fingerprint(term_hashes: str, flags: str) -> str:
     """
     cell = f"cast(shiftrightunsigned(t, {64 - CELL_BITS}) as int)"
     known = f"filter(v.all, t -> shiftright(ascii(cast(substring({flags}, {cell} div 7 + 1, 1) as string)), {cell} % 7) & 1 = 1)"
-    own = given({"all": term_hashes}, given({"all": "v.all", "known": known}, f"array_sort(if(size(v.known) < {LEAST_TERMS}, v.all, v.known))"))
+    own = given({"all": term_hashes}, f"array_sort({known})")
     shifts = ", ".join(str(k * (64 - CELL_BITS - max(RATES)) // CHAINS) for k in range(CHAINS))
     masks = ", ".join(f"{(1 << bits) - 1}L" for bits in RATES)
     digits = f"if(size(v.in) = 0, '{NONE}', substring(lpad(lower(hex(xxhash64({SEED}, v.in))), 16, '0'), 13, 4))"
@@ -80,6 +79,10 @@ def likeness(a: str, b: str) -> str:
     return count
 
 
+#: Bytes of text in a range, about.
+RANGE_BYTES = 64 << 20
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
     """Rows with their range of doc_id, an order within it (nulls last, equal ids by their text's hash), and borrowed copies.
 
@@ -87,7 +90,8 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     after the last, so that every row's next one by doc_id stands in its range.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     edges = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     own = F.size(F.filter(F.lit(sorted({*(edges or [])})).cast("array<bigint>"), lambda e: e <= F.col("doc_id")))
     rows = docs.withColumn("range", F.when(F.col("doc_id").isNull(), n).otherwise(own)).withColumn("order", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.xxhash64("text").alias("hash")))
@@ -100,7 +104,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
 def compared(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``, one row for each of docs.
 
-    Null texts are empty; texts without terms have a fingerprint of dashes.  Repeated rows
+    Null texts are empty; texts without terms of the lexicon have a fingerprint of dashes, which is like itself alone.  Repeated rows
     follow each other in the order, and rows with a null id come last.
     """
     flags = bytearray(lexicon(docs, band))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled rows that a model is fitted on (about: rows are taken by their hash).
+#: Most labelled rows that a model is fitted on.
 SAMPLE = 10_000
 
 
@@ -15,13 +15,11 @@ def fold(mod: int, doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int = SAMPLE) -> DataFrame:
-    """``(text, label int)`` of about ``most`` labelled rows at most, those with the least hashes of the id.
+    """``(text, label int)`` of ``most`` labelled ids at most, those with the least hashes.
 
     Rows with a null id or label teach nothing; an id with several labels has the greatest.
     The sample of labels is bounded, so it is broadcast and the texts stay where they are.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    n = own.count()
-    if n > most:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * most // n)
+    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "label")

@@ -80,3 +80,62 @@ def test_odd_rows(spark, clashing, odd_rows, no_docs):
     lexicon = toxicity.Lexicon({}, 1.0)
     assert toxicity.scored(clashing, lexicon, to="q").where("q < 0.5").count() == len(odd_rows)
     assert toxicity.scored(no_docs, lexicon).count() == 0
+
+
+def slow_amount(text, lexicon):
+    t = toxicity.folded(text)
+    inside = lambda i: 0 <= i < len(t) and t[i].isalnum()
+    spared = [(a, a + len(p)) for p in lexicon.exceptions for a in range(len(t)) if t.startswith(p, a) and not inside(a - 1) and not inside(a + len(p))]
+    best = {}
+    for term, weight in lexicon.terms.items():
+        word = term.removesuffix("*")
+        for form in {word, word.replace("l", "i")}:
+            for a in range(len(t)):
+                b = a + len(form)
+                if t.startswith(form, a) and not inside(a - 1) and (term.endswith("*") or not inside(b)) and not any(x <= a and b <= y for x, y in spared):
+                    best.setdefault(a, weight)
+    return sum(best.values()) / (1 + len(t)) ** toxicity.LENGTH_POWER
+
+
+def test_matches_are_those_of_a_naive_search():
+    import random
+
+    rnd = random.Random(17)
+    lexicon = toxicity.Lexicon({"scum": 2.0, "trash": 3.0, "loser": 5.0, "idi*": 7.0, "clown": 11.0}, 1.0)
+    bits = ["scum", "scums", "pond scum", "trash", "trash can", "trash cans", "l0ser", "1oser", "idiot", "idi", "sidi", "c1own", "circus clown", " ", " ", " ", "-", "x", "сlown", "tra\u200bsh"]
+    hits = 0
+    for _ in range(2000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))
+        want = slow_amount(text, lexicon)
+        hits += want > 0
+        assert toxicity.amount(text, lexicon.automaton()) == pytest.approx(want), text
+    assert hits > 300
+
+
+def test_fit_is_the_optimum_of_the_dual():
+    """No coordinate can be moved to a better objective, by more than a little, and the kept weights are those of the duals' sum."""
+    rng = np.random.default_rng(3)
+    bits, n = 6, 40
+    rows = [np.unique(rng.integers(0, 1 << bits, rng.integers(2, 9))).astype(np.int32) for _ in range(n)]
+    good = rng.random(n) < 0.5
+    model = quality.fit(rows, good, bits, epochs=3000)
+    ratio = quality.log_ratios(rows, good, bits)
+    x = np.zeros((n, (1 << bits) + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+        x[i, -1] = 1
+    y = np.where(good, 1.0, -1.0)
+    cost = np.where(good, n / (2 * good.sum()), n / (2 * (~good).sum()))
+    w = np.zeros(x.shape[1])
+    shown = np.flatnonzero(ratio)
+    w[shown] = model.weight[0][shown] / ratio[shown]
+    w[-1] = model.bias
+    primal = w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    a = np.zeros(n)
+    v = np.zeros(x.shape[1])
+    for _ in range(3000):  # another order, to the same optimum
+        for i in range(n):
+            new = min(max(a[i] - (y[i] * (x[i] @ v) - 1) / (x[i] @ x[i]), 0), cost[i])
+            v += (new - a[i]) * y[i] * x[i]
+            a[i] = new
+    assert primal == pytest.approx(a.sum() - v @ v / 2, rel=1e-3)
