@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbin.llm.common import checkpoint, components, fresh_dir, give_back, lean, materialize, quoted, table
+from quillbin.llm.common import checkpoint, components, discard, fresh_dir, give_back, lean, materialize, quoted, table
 from quillbin.llm.files import open_places, remove, write_at
 from quillbin.llm.text_parts import Texts, write_texts
 
@@ -40,8 +40,9 @@ BAND_BITS = 16
 #: Bytes of shingle hashes, and open files, that a task keeps for comparisons.
 HELD, OPEN = 64 << 20, 64
 
-#: The bits of each byte as the bytes of a word.
-SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+#: The bits of each byte, and the same as the bytes of a word.
+BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+SPREAD = BIT_OF.astype(np.uint8).view(np.uint64).ravel()
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -57,31 +58,33 @@ def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def majority(h: np.ndarray) -> np.uint64:
-    """The bits that are set in over half of the hashes."""
-    if not len(h):
-        return np.uint64(0)
-    own = h.view(np.uint8).reshape(-1, 8)
-    set_in = np.zeros(64, np.int64)
-    for i in range(0, len(h), 255):  # eight counters of a byte in each word
-        set_in += SPREAD[own[i : i + 255]].sum(axis=0).view(np.uint8)
-    return np.packbits(set_in * 2 > len(h), bitorder="little").view(np.uint64)[0]
+def majority(h: np.ndarray) -> np.ndarray:
+    """Of each column of hashes the bits that are set in over half of them."""
+    n, parts = h.shape
+    own = np.ascontiguousarray(h).view(np.uint8)
+    if n < 1000:
+        set_in = np.zeros(64 * parts, np.int64)
+        for i in range(0, n, 255):  # eight counters of a byte in each word
+            set_in += np.add.reduce(SPREAD.take(own[i : i + 255]), axis=0).view(np.uint8)
+    else:  # how often each byte has each value says how often each bit is set
+        set_in = np.concatenate([np.bincount(own[:, k], minlength=256) @ BIT_OF for k in range(8 * parts)])
+    return np.packbits(set_in * 2 > n, bitorder="little").view(np.uint64)
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash of a text's word shingles, repeats counted; 0 for a text without words."""
-    return int(majority(shingle_hashes(text, words)))
+    return int(majority(shingle_hashes(text, words)[:, None])[0])
 
 
 def long_fingerprint(text: str | None, words: int, parts: int) -> np.ndarray:
     """So many 64-bit SimHashes of the distinct shingles, from their hashes mixed anew."""
     h = np.unique(shingle_hashes(text, words))
-    out = []
+    each = np.empty((len(h), parts), np.uint64)
     for i in range(parts):
-        out.append(majority(h))
+        each[:, i] = h
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
         h ^= h >> np.uint64(29)
-    return np.array(out, np.uint64)
+    return majority(each)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "simhash", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -384,7 +387,9 @@ def similar_rows(parts: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     roots = components(similar_links(points, own, folder, words, similarity))
     remove(folder)  # components has written the links
     named = points.join(roots, points.id == roots.node, "left").select("prints", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(named, "prints", "left").select("part", "row", "doc_id", "text_hash", "component_id")
+    rows = materialize(marked.join(named, "prints", "left").select("part", "row", "doc_id", "text_hash", "component_id"), "near-rows")
+    discard(marked)
+    return rows
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -424,7 +429,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     own = docs.select("doc_id", "text", *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("no text"))
     parts = write_texts(own, "near-texts")
-    rows = materialize(similar_rows(parts), "near-rows")
+    rows = similar_rows(parts)
     kept = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("text_hash", "part", "row")).alias("one")).select("one.part", "one.row")
     kept = kept.unionByName(rows.where("doc_id is null").select("part", "row"))
 
