@@ -391,7 +391,7 @@ def member_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT l_suppkey AS seed, CAST(l_quantity AS DOUBLE) AS x, l_linenumber + 0.318::DOUBLE AS w FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' UNION ALL SELECT 100000 + l_orderkey, CAST(l_quantity AS DOUBLE), l_linenumber + 0.318::DOUBLE FROM lineitem),
+WITH v AS (SELECT l_suppkey AS seed, CAST(l_quantity AS DOUBLE) AS x, l_extendedprice AS w FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' UNION ALL SELECT 100000 + l_orderkey, CAST(l_quantity AS DOUBLE), l_extendedprice FROM lineitem),
 q AS (SELECT seed, list_sort(list(x)) AS s, count(*) AS n FROM v GROUP BY seed),
 f AS (SELECT *, (n + 1) % 4 / 4.0 AS d1, 3 * (n + 1) % 4 / 4.0 AS d3, (n + 1) // 4 AS b1, 3 * (n + 1) // 4 AS b3 FROM q),
 g AS (SELECT seed, s, n, CASE WHEN d1 = 0 THEN s[b1] ELSE d1 * (CASE WHEN b1 < 1 THEN s[n] ELSE s[b1] END) + (1 - d1) * s[least(b1 + 1, n)] END AS q1,
@@ -405,7 +405,7 @@ SELECT seed, mean, CAST(CASE WHEN mean < 5 THEN 0 ELSE trunc((CASE WHEN n < 20 T
 def marker_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of many members (suppliers) and of few (orders)."""
     line = table(spark, sf_dir, "lineitem")
-    x = [F.lit(1).alias("sample"), F.col("l_quantity").cast("double").alias("mean"), (F.col("l_linenumber") + 0.318).alias("length")]  # no mean lies halfway between two decimals
+    x = [F.lit(1).alias("sample"), F.col("l_quantity").cast("double").alias("mean"), F.col("l_extendedprice").alias("length")]  # no mean lies halfway between two decimals
     members = line.where("l_returnflag = 'R' and l_linestatus = 'F'").select(F.col("l_suppkey").cast("long").alias("seed"), *x).unionByName(line.select((F.col("l_orderkey") + 100_000).cast("long").alias("seed"), *x))
     return coverage.marker_interval(members, spark.createDataFrame([(1, 0.1, 0.2)], "sample int, sd1 double, sd2 double")).drop("sample")
 
