@@ -44,8 +44,8 @@ def piece_depth(pieces: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.select("id", "parent", mean(part).alias("mean"))
 
 
-def numbered(rows: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``n``, each row's place from 1 in the order of a column, for itself in each group of ``by``.
+def numbered(rows: DataFrame, order: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Adds ``n``, each row's place from 1 in the order of a column, then of ``ties``, for itself in each group of ``by``.
 
     Rows are numbered within ranges of the column, after the rows of earlier ranges, so a
     group is not gathered in one task.
@@ -57,7 +57,7 @@ def numbered(rows: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     ranged = rows.withColumn("range", own)
     sizes = ranged.groupBy(*by, "range").agg(F.count("*").alias("k"))
     before = sizes.select(*by, "range", F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row for each group and range
-    place = F.row_number().over(W.partitionBy(*by, "range").orderBy(order))
+    place = F.row_number().over(W.partitionBy(*by, "range").orderBy(order, *ties))
     return ranged.withColumn("i", place).join(before, [*by, "range"]).withColumn("n", F.col("before") + F.col("i")).drop("range", "i", "before")
 
 

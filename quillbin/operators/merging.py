@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbin.operators import composition, coverage, markers
+from quillbin.operators.composites import is_key
 from quillbin.operators.seeds import shared_folder
 
 
@@ -22,7 +23,7 @@ def standing(assigned: DataFrame, genes: DataFrame, lengths: DataFrame, least: i
     own = assigned.select("id", "seed").join(genes.select("id").distinct(), "id", "left_semi").join(lengths, "id")
     many = own.groupBy("seed").agg(F.count("*").alias("n"), F.sum("length").alias("size")).where(F.col("n") >= least)
     marked = own.join(many.select("seed"), "seed", "left_semi").select("id", "seed")
-    key = assigned.join(many.where(F.col("size") < short).select("seed"), "seed", "left_semi").where("id = seed").select("id", "seed")
+    key = assigned.join(many.where(F.col("size") < short).select("seed"), "seed", "left_semi").where(is_key(F.col("id"), F.col("seed"))).select("id", "seed")
     rest = assigned.select("id", "seed").join(many.select("seed"), "seed", "left_anti")
     return marked.unionByName(key).distinct().withColumn("marked", F.lit(True)).unionByName(rest.withColumn("marked", F.lit(False)))
 

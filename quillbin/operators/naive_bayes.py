@@ -96,6 +96,43 @@ def scores_of_all(sequences: DataFrame, logs: DataFrame, most_seeds: int = MOST_
     return sequences.select("id", "seq").mapInPandas(run, f"id {kinds[0]}, seed {kinds[1]}, score double")
 
 
+def best_of_all(sequences: DataFrame, logs: DataFrame, block: int = MOST_SEEDS) -> DataFrame:
+    """``sequences(id, seq)`` to ``(id, seed, score)``, the best seed of ``logs(seed, kmer, logp)`` for each; equal ones by the seed's name.
+
+    About ``block`` seeds at a time go to all tasks, 2 KB each, however many there are;
+    sequences without a k-mer have no row.
+    """
+    count = logs.select("seed").distinct().count()
+    parts = max(1, -(-count // block))
+    out = None
+    for k in range(parts):
+        some = logs.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == k).select("seed", "kmer", "logp").toPandas()
+        if some.empty:
+            continue
+        own = best_of_block(sequences, some.pivot(index="seed", columns="kmer", values="logp").sort_index()[FOURMERS], logs.schema["seed"].dataType.simpleString())
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return sequences.sparkSession.createDataFrame([], f"id {sequences.schema['id'].dataType.simpleString()}, seed {logs.schema['seed'].dataType.simpleString()}, score double")
+    return best(out) if parts > 1 else out
+
+
+def best_of_block(sequences: DataFrame, table: pd.DataFrame, kind: str) -> DataFrame:
+    """``best_of_all`` for the seeds of a table of log probabilities, one row each."""
+    names, shared = table.index.to_numpy(), sequences.sparkSession.sparkContext.broadcast(table.to_numpy().T.copy())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for i in range(0, len(p), 256):
+                some = p.iloc[i : i + 256]
+                n = counts_of(some["seq"].to_numpy(), 4)
+                own = n.sum(axis=1) > 0
+                score = n[own] @ shared.value * PER_LETTERS / some["seq"].str.len().to_numpy(float)[own][:, None]
+                at = score.argmax(axis=1) if len(score) else np.zeros(0, int)
+                yield pd.DataFrame({"id": some["id"].to_numpy()[own], "seed": names[at], "score": score[np.arange(len(score)), at]})
+
+    return sequences.select("id", "seq").mapInPandas(run, f"id {sequences.schema['id'].dataType.simpleString()}, seed {kind}, score double")
+
+
 def best(scored: DataFrame) -> DataFrame:
     """``(id, seed, score)`` of the greatest score; equal ones by the seed's name."""
     return scored.groupBy("id").agg(F.min_by(F.struct("seed", "score"), F.struct(-F.col("score"), "seed")).alias("b")).select("id", "b.*")

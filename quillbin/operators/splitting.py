@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbin.operators import composition, markers, naive_bayes, occupancy
+from quillbin.operators.composites import is_key
 from quillbin.operators.seeds import shared_folder
 
 
@@ -31,7 +32,7 @@ def pairs_with(left: DataFrame, chosen: DataFrame, vectors: DataFrame, seed_vect
 def sub_seeds(own: DataFrame, species: DataFrame, genes: DataFrame, lengths: DataFrame, counts: DataFrame, cutoffs: DataFrame, large: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """``(chosen(seed, sub), members(id, sub))`` for clusters ``own(id, seed)`` with ``species(seed, species)`` over 1."""
     tagged = repeated_ids(own, genes)
-    core = own.join(genes.select("id").distinct(), "id", "left_semi").join(tagged, ["id", "seed"], "left_anti").unionByName(own.where("id = seed")).distinct()
+    core = own.join(genes.select("id").distinct(), "id", "left_semi").join(tagged, ["id", "seed"], "left_anti").unionByName(own.where(is_key(F.col("id"), F.col("seed")))).distinct()
     members = core.select("id", F.col("seed").alias("sub")).checkpoint()
     chosen = own.select("seed", F.col("seed").alias("sub")).distinct().checkpoint()
     left = tagged.join(lengths.where(F.col("length") >= large).select("id"), "id", "left_semi").join(members.select("id"), "id", "left_anti").checkpoint()

@@ -1,7 +1,4 @@
-"""The whole binning: seeds, classification, splitting, merging, size filter, final classification.
-
-Composite seeds of short sequences are not part of it yet (see README).
-"""
+"""The whole binning: seeds, classification, splitting, merging, size filter, final classification."""
 
 from __future__ import annotations
 
@@ -10,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbin.operators import classify, composition, coverage, evaluation, markers, merging, naive_bayes, occupancy, seeds, splitting
+from quillbin.operators import classify, composites, composition, coverage, evaluation, markers, merging, naive_bayes, occupancy, seeds, splitting
 
 LARGE = 10_000
 
@@ -30,12 +27,16 @@ class Parameters:
 
 @dataclass(frozen=True)
 class Inputs:
-    """sequences(id, seq, length), depth(id, sample, mean, windows), genes(gene, id), cutoffs: see the readers."""
+    """sequences(id, seq, length), depth(id, sample, mean, windows), genes(gene, id), cutoffs: see the readers.
+
+    pinned(seed, id): seeds that a user names by their members, joined by ``;``.
+    """
 
     sequences: DataFrame
     depth: DataFrame
     genes: DataFrame
     cutoffs: DataFrame
+    pinned: DataFrame | None = None
 
 
 def intervals_of(depth: DataFrame, dispersions: DataFrame, fold: float) -> DataFrame:
@@ -46,25 +47,53 @@ def intervals_of(depth: DataFrame, dispersions: DataFrame, fold: float) -> DataF
     return rows.select("id", "sample", "mean", lo.alias("lo"), hi.alias("hi"))
 
 
-def arrays(intervals: DataFrame) -> DataFrame:
-    """``(id, rank, means, lo, hi)``: one array entry for each sample; rank: by the first sample's mean, greatest first."""
-    by_sample = F.array_sort(F.collect_list(F.struct("sample", "mean", "lo", "hi")))
-    rows = intervals.groupBy("id").agg(by_sample.alias("s"))
-    pick = lambda name: F.transform("s", lambda x: x[name].cast("double"))
-    first = F.col("s")[0]["mean"]
-    return rows.select("id", (-first * 100).cast("long").alias("rank"), pick("mean").alias("means"), pick("lo").alias("lo"), pick("hi").alias("hi"))
-
-
 def pair_table(cutoffs: DataFrame, column: str) -> dict[tuple[int, int], float]:
     """At most 21 by 21 thresholds."""
     return {(r["len1"], r["len2"]): r[column] for r in cutoffs.select("len1", "len2", column).collect()}
 
 
-def large_seeds(own: Inputs, dispersions: DataFrame, par: Parameters) -> DataFrame:
-    """Ids of long sequences that no earlier seed is like in coverage and composition."""
-    big = own.sequences.where(F.col("length") >= max(LARGE, par.min_length))
-    nodes = composition.vectors(big).join(arrays(intervals_of(own.depth, dispersions, par.fold)), "id")
-    return seeds.leaders_by_vector(nodes, seeds.Alike(pair_table(own.cutoffs, "diff"), coverage=True))
+@dataclass(frozen=True)
+class Seeds:
+    """intervals(seed, sample, mean, lo, hi) and members(id, seed) of all seeds; fixed(id, seed): of those a user names, which no step moves; long: intervals of the long and named ones."""
+
+    intervals: DataFrame
+    members: DataFrame
+    fixed: DataFrame
+    long: DataFrame
+
+
+def named_seeds(own: Inputs) -> DataFrame:
+    """``(seed, id, place)`` of the seeds a user names."""
+    if own.pinned is None:
+        return own.sequences.limit(0).select(F.col("id").alias("seed"), "id", F.lit(0).alias("place"))
+    known = own.pinned.join(own.sequences.select("id"), "id", "left_semi")
+    return known.select("seed", "id", (F.array_position(F.split("seed", ";"), F.col("id")) - 1).cast("int").alias("place")).distinct()
+
+
+def all_seeds(own: Inputs, dispersions: DataFrame, par: Parameters) -> Seeds:
+    """Seeds a user names, long sequences that no earlier seed is like in coverage and composition, and composites of short ones.
+
+    Gaps between the intervals of all seeds are filled.
+    """
+    lengths = own.sequences.select("id", "length")
+    named = named_seeds(own).checkpoint()
+    free = own.sequences.where(F.col("length") >= par.min_length).join(named.select("id"), "id", "left_anti")
+    spans = composites.intervals(named, own.depth, lengths, dispersions, par.fold, low_is_free=False).checkpoint()
+    texts = composites.texts(named, own.sequences)
+    before = composition.vectors(texts).join(composites.by_samples(spans), "id").join(texts.select("id", "seq"), "id").checkpoint()
+    big = free.where(F.col("length") >= LARGE)
+    big_spans = intervals_of(own.depth, dispersions, par.fold).join(big.select("id"), "id", "left_semi").withColumnRenamed("id", "seed").checkpoint()
+    nodes = composition.vectors(big).join(composites.by_samples(big_spans), "id").checkpoint()
+    diff = pair_table(own.cutoffs, "diff")
+    found = seeds.leaders_by_vector(nodes, seeds.Alike(diff, coverage=True), before=before).checkpoint()
+    long_spans = spans.unionByName(big_spans.join(found.withColumnRenamed("id", "seed"), "seed", "left_semi")).checkpoint()
+    standing = nodes.join(found, "id", "left_semi").unionByName(before.select(*nodes.columns))
+    corpus = composites.Corpus(free, own.depth, dispersions, diff, pair_table(own.cutoffs, "cutoff"), par.fold, LARGE)
+    more, packed = composites.of_short(corpus, nodes, standing, before)
+    whole = long_spans.unionByName(more).checkpoint()
+    gapless = coverage.gaps_filled(whole.select("seed", "sample", "lo", "hi"), own.depth.select("sample", "mean"))
+    members = named.unionByName(packed).select("id", "seed").unionByName(found.select("id", F.col("id").alias("seed")))
+    return Seeds(gapless.join(whole.select("seed", "sample", "mean"), ["seed", "sample"]).checkpoint(), members.checkpoint(), named.select("id", "seed").distinct().checkpoint(), long_spans)
 
 
 @dataclass(frozen=True)
@@ -131,11 +160,10 @@ def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
     seeds.shared_folder(own.sequences.sparkSession)
     dispersions = coverage.sample_dispersion(own.depth).checkpoint()
     n_samples = dispersions.count()
-    found = large_seeds(own, dispersions, par).checkpoint()
-    members = found.select("id", F.col("id").alias("seed"))
-    own_intervals = intervals_of(own.depth, dispersions, par.fold).join(found, "id").withColumnRenamed("id", "seed").checkpoint()
+    found = all_seeds(own, dispersions, par)
     features = Features.of(own)
-    assigned = assign(own, features, own_intervals, members, n_samples).checkpoint()
+    raw = assign(own, features, found.intervals, found.members, n_samples).join(found.fixed, "id", "left_anti").unionByName(found.fixed)
+    assigned = raw.checkpoint()
     assigned = splitting.split_clusters(assigned, own.genes, own.sequences.select("id", "length"), features.counts, own.cutoffs, par.genes_for_split).checkpoint()
     lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
     after = markers.kept_after_split(species_of(own, assigned, par.genes_for_split), par.large_length, par.small_length).select("seed")
@@ -151,8 +179,9 @@ def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
     gapless = coverage.gaps_filled(filled.select("seed", "sample", "lo", "hi"), means.select("sample", "mean"))
     final = gapless.join(filled.select("seed", "sample", "mean"), ["seed", "sample"]).checkpoint()
     means_of = final.groupBy("seed").agg(F.max_by("mean", -F.col("sample")).alias("mean"))
-    # marker sequences first, under copy-number rules; those without a fitting seed stay where they are
-    placed = place_markers(own, features, final, stand, n_samples)
+    # what a user named stays; marker sequences first, under copy-number rules; those without a fitting seed stay where they are
+    named = clusters.join(found.fixed.select("id"), "id", "left_semi")
+    placed = named.unionByName(place_markers(own, features, final, stand, n_samples).join(named.select("id"), "id", "left_anti")).checkpoint()
     fixed = placed.unionByName(clusters.join(own.genes.select("id").distinct(), "id", "left_semi").join(placed, "id", "left_anti"))
     again = assign(own, features, final, stand, n_samples).join(fixed.select("id"), "id", "left_anti")
     return evaluation.classified(fixed.unionByName(again), own.sequences, means_of)
