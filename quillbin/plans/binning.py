@@ -141,38 +141,60 @@ def species_of(own: Inputs, clusters: DataFrame, least: int, more_than: bool = T
     return sizes.join(species, "seed", "left").na.fill(0, ["species"])
 
 
-def merge_all(own: Inputs, features: Features, assigned: DataFrame, dispersions: DataFrame, par: Parameters) -> DataFrame:
-    """Three merges: of clusters of one species at most, the others set aside; of all, by marker sequences and the genes in both; and of all again, where short ones need no likeness."""
+def merge_all(own: Inputs, features: Features, assigned: DataFrame, dispersions: DataFrame, par: Parameters) -> tuple[DataFrame, DataFrame]:
+    """Clusters after the first and after the last of three merges: of clusters of one species at most, the others set aside; of all, by marker sequences and the genes in both; and of all again, where short ones need no likeness."""
     lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
     several = species_of(own, assigned, par.genes_for_split).where("species > 1").select("seed").checkpoint()
     rest = (means, lengths, features.counts, own.genes, own.cutoffs)
     one = merging.merged(assigned.join(several, "seed", "left_anti"), *rest, par.most_duplicates)
-    state = one.unionByName(assigned.join(several, "seed", "left_semi").select("id", "seed")).checkpoint()
-    state = merging.merged(state, *rest, par.most_shared, "both", dispersions)
-    return merging.merged(state, *rest, par.most_duplicates, "twice", dispersions, par.bin_length)
+    first = one.unionByName(assigned.join(several, "seed", "left_semi").select("id", "seed")).checkpoint()
+    state = merging.merged(first, *rest, par.most_shared, "both", dispersions)
+    return first, merging.merged(state, *rest, par.most_duplicates, "twice", dispersions, par.bin_length)
 
 
-def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
-    """``(id, seq, length, seed, bin)``: every sequence, bins numbered by mean, ``unassigned`` where no seed fits.
+@dataclass(frozen=True)
+class Result:
+    """What the stages give: clusters as ``(id, seed)``, intervals as ``(seed, sample, mean, lo, hi)``.
 
-    What several stages read (vectors, k-mer counts, assignments) is checkpointed once.
+    long, seeds: intervals of the long seeds and of all; raw, split, first, merged: clusters
+    after classification, splitting, the first and the last merge; final: intervals of the
+    bins; bins: see ``bin_sequences``.
     """
+
+    long: DataFrame
+    seeds: DataFrame
+    raw: DataFrame
+    split: DataFrame
+    first: DataFrame
+    merged: DataFrame
+    final: DataFrame
+    bins: DataFrame
+
+
+def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
+    """``(id, seq, length, seed, bin)``: every sequence, bins numbered by mean, ``unassigned`` where no seed fits."""
+    return stages(own, par).bins
+
+
+def stages(own: Inputs, par: Parameters = Parameters()) -> Result:
+    """The whole binning; what several stages read (vectors, k-mer counts, assignments) is checkpointed once."""
     seeds.shared_folder(own.sequences.sparkSession)
     dispersions = coverage.sample_dispersion(own.depth).checkpoint()
     n_samples = dispersions.count()
     found = all_seeds(own, dispersions, par)
     features = Features.of(own)
     raw = assign(own, features, found.intervals, found.members, n_samples).join(found.fixed, "id", "left_anti").unionByName(found.fixed)
-    assigned = raw.checkpoint()
-    assigned = splitting.split_clusters(assigned, own.genes, own.sequences.select("id", "length"), features.counts, own.cutoffs, par.genes_for_split).checkpoint()
+    raw = raw.checkpoint()
+    split = splitting.split_clusters(raw, own.genes, own.sequences.select("id", "length"), features.counts, own.cutoffs, par.genes_for_split).checkpoint()
     lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
-    after = markers.kept_after_split(species_of(own, assigned, par.genes_for_split), par.large_length, par.small_length).select("seed")
-    assigned = assigned.join(after, "seed", "left_semi").select("id", "seed").checkpoint()
-    clusters = merge_all(own, features, assigned, dispersions, par)
-    kept = markers.kept_at_last(species_of(own, clusters, par.genes_for_bin, more_than=False), par.bin_length).select("seed")
-    clusters = clusters.join(kept, "seed", "left_semi").select("id", "seed").checkpoint()
+    after = markers.kept_after_split(species_of(own, split, par.genes_for_split), par.large_length, par.small_length).select("seed")
+    assigned = split.join(after, "seed", "left_semi").select("id", "seed").checkpoint()
+    first, merged = merge_all(own, features, assigned, dispersions, par)
+    kept = markers.kept_at_last(species_of(own, merged, par.genes_for_bin, more_than=False), par.bin_length).select("seed")
+    clusters = merged.join(kept, "seed", "left_semi").select("id", "seed").checkpoint()
     if clusters.isEmpty():
-        return own.sequences.select("*", F.lit(None).cast("string").alias("seed"), F.lit(evaluation.UNASSIGNED).alias("bin"))
+        bins = own.sequences.select("*", F.lit(None).cast("string").alias("seed"), F.lit(evaluation.UNASSIGNED).alias("bin"))
+        return Result(found.long, found.intervals, raw, split, first, merged, found.intervals.limit(0), bins)
     stand = merging.standing(clusters, own.genes, lengths).checkpoint()
     filled = merging.cluster_intervals(stand, means, lengths, dispersions, par.fold)
     stand = stand.select("id", "seed")
@@ -184,4 +206,5 @@ def bin_sequences(own: Inputs, par: Parameters = Parameters()) -> DataFrame:
     placed = named.unionByName(place_markers(own, features, final, stand, n_samples).join(named.select("id"), "id", "left_anti")).checkpoint()
     fixed = placed.unionByName(clusters.join(own.genes.select("id").distinct(), "id", "left_semi").join(placed, "id", "left_anti"))
     again = assign(own, features, final, stand, n_samples).join(fixed.select("id"), "id", "left_anti")
-    return evaluation.classified(fixed.unionByName(again), own.sequences, means_of)
+    bins = evaluation.classified(fixed.unionByName(again), own.sequences, means_of)
+    return Result(found.long, found.intervals, raw, split, first, merged, final, bins)

@@ -40,8 +40,28 @@ def length_report(seeds: DataFrame, assigned: DataFrame, lengths: DataFrame, mem
     """``seed, length[, number, members]``; lengths: ``(id, length)``."""
     total = assigned.join(lengths, "id").groupBy("seed").agg(F.sum("length").alias("length"), F.count("*").alias("n_members"), F.array_join(F.array_sort(F.collect_list("id")), ";").alias("members"))
     rows = seeds.join(total, "seed", "left")
-    more = [F.coalesce("n_members", F.lit(0)), F.coalesce("members", F.lit("NA"))] if members else []
-    return rows.select((-F.col("mean")).alias("n"), row(F.col("seed"), F.coalesce("length", F.lit(0)), *more).alias("value"))
+    if not members:
+        return rows.select((-F.col("mean")).alias("n"), row(F.col("seed"), F.coalesce("length", F.lit(0))).alias("value"))
+    empty = row(F.col("seed"), *map(F.lit, ("NA", "0", "0", "NA")))  # a cell more, as the pipeline has always had it
+    return rows.select((-F.col("mean")).alias("n"), F.when(F.col("length").isNull(), empty).otherwise(row(F.col("seed"), F.col("length"), F.col("n_members"), F.col("members"))).alias("value"))
+
+
+def marker_matrix(cells: DataFrame, seeds: DataFrame, assigned: DataFrame, means: DataFrame) -> DataFrame:
+    """A line for each gene, by name: ``id(mean[,mean...],length);...`` or ``NA`` for each seed, greatest mean first, below a head line of seeds.
+
+    cells: ``(gene, place, id)`` in the order of the table, seeds: ``(seed, mean)``, means:
+    ``(id, means array<double>, length)``.  A line is as long as there are seeds.
+    """
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mean")).alias("d"), "seed"))), lambda x: x["seed"])
+    head = seeds.agg(order.alias("order")).withColumn("one", F.lit(1))
+    cell = F.concat(F.col("id"), F.lit("("), F.array_join(F.transform("means", lambda x: F.format_string("%.2f", x)), ","), F.lit(","), F.col("length").cast("string"), F.lit(")"))
+    own = cells.join(assigned.select("id", "seed"), "id").join(means, "id").select("gene", "seed", "place", cell.alias("cell"))
+    joined = own.groupBy("gene", "seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "cell"))), lambda x: x["cell"]), ";").alias("cell"))
+    by_gene = joined.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("seed", "cell"))).alias("by_seed"))
+    genes = cells.select("gene").distinct().join(by_gene, "gene", "left").withColumn("one", F.lit(1)).join(head, "one")
+    line = F.transform("order", lambda x: F.coalesce(F.try_element_at("by_seed", x), F.lit("NA")))
+    first = head.select(F.struct(F.lit(0).alias("k"), F.lit("").alias("gene")).alias("n"), F.concat_ws("\t", F.lit("SCG"), F.col("order")).alias("value"))
+    return first.unionByName(genes.select(F.struct(F.lit(1).alias("k"), "gene").alias("n"), F.concat_ws("\t", F.col("gene"), line).alias("value")))
 
 
 def classified_report(bins: DataFrame) -> DataFrame:
