@@ -478,3 +478,20 @@ def marker_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.concat(F.col("c_custkey").cast("string"), F.lit("("), st.toward_zero(F.col("c_acctbal")).cast("string"), F.lit(")"))
     cells = rows.select(F.col("n_name").alias("gene"), F.col("c_mktsegment").alias("seed"), F.struct((-F.col("c_acctbal")).alias("d"), "c_custkey").alias("place"), cell.alias("cell"))
     return markers.pivot(cells, [*SEGMENTS])
+
+
+# --- packing ---------------------------------------------------------------------------------
+
+
+def packing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1))
+    score = F.round(F.try_divide(words * 1000.0, F.length("text")), 1)
+    means = F.array((F.length("text") % 100).cast("double"))
+    return docs.select(F.col("source").alias("seed"), F.col("doc_id").cast("string").alias("id"), F.length("text").alias("length"), score.alias("score"), means.alias("means"), F.array(F.lit(0.4)).alias("sds"))
+
+
+@query()
+def cluster_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source with alike numbers of words and lengths, until 10,000 letters are together."""
+    return seeds.packed(packing_rows(spark, sf_dir)).select("seed", "lead", F.array_join("members", ";").alias("members"), "length")

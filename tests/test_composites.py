@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_binning import genome
 
 from quillbin.operators import composites, composition, naive_bayes, seeds
+from quillbin.plans.queries import QUERIES, packing_rows
 
 
 def packs_of(rows, enough, margin=7, low=5.0):
@@ -105,3 +106,13 @@ def test_short_sequences_of_another_genome_get_a_seed(spark):
     ids = {r["seed"] for r in found.collect()}
     assert len(ids) == 1 and all(x.startswith("g1_") for x in next(iter(ids)).split(";"))
     assert {r["id"] for r in members.collect()} == set(next(iter(ids)).split(";"))
+
+
+def test_packs_of_documents(spark, sf):
+    by_source = {}
+    for r in packing_rows(spark, sf).collect():
+        if r["seed"] is not None and r["score"] is not None:
+            by_source.setdefault(r["seed"], []).append(tuple(r)[1:2] + (r["length"], r["score"], r["means"], r["sds"]))
+    want = sorted((s, lead, ";".join(m), n) for s, rows in by_source.items() for lead, m, n in packs_of(rows, 10_000))
+    assert want
+    assert sorted(tuple(r) for r in QUERIES["cluster_pack"](spark, sf).collect()) == want
