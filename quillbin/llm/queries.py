@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillbin.llm import centroids, imatch, lexical, line_rules, mixing, packing, quality, simhash, suffix_dedup, token_files, toxicity, warc
+from quillbin.llm import centroids, imatch, lexical, line_rules, mixing, packing, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_rules": line_rules.op8,
     "op9_packing": packing.op9,
     "op10_quality": quality.op10,
+    "op11_secret_scan": secret_scan.op11,
     "op12_lexical_search": lexical.op12,
     "op13_centroids": centroids.op13,
 }
