@@ -5,8 +5,9 @@ signs that stand for letters.  A term is a whole word or the beginning of one; h
 an exception phrase do not count.  The weights of the hits are summed and divided by a
 power of the text's length; the score is ``x / (x + threshold)``.
 
-``learn`` takes the lexicon from labelled texts: words and beginnings of words that are far
-more frequent in toxic texts.  Copies of a text count as one, so that the rare words of a
+``learn`` takes the lexicon from labelled texts: words and beginnings of words that far more
+toxic texts hold than others, or hold often for their length, as an insult may now and then
+begin a harmless word.  Copies of a text count as one, so that the rare words of a
 toxic text that was copied many times do not become terms; and a word gives way to a
 beginning, or a beginning to its words, if the other covers its texts.
 """
@@ -17,7 +18,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -50,12 +51,16 @@ WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6)
 #: A term is in so many toxic texts at least, in such a part of them, and so many times as frequent in them as in others.
 LEAST_TEXTS, LEAST_PART, LEAST_RATIO = 5, 0.01, 20.0
+#: Before a term that stands for its frequent use.
+FREQUENT = " "
+#: A term is frequent in a text that holds it so many times at least, and once in so many words; then fewer texts are enough.
+OFTEN, ONE_IN, LEAST_FREQUENT = 2, 100, 3
 # Insults that count as seen in PRIOR toxic and other texts besides the labelled ones.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumbass", "scum", "loser", "worthless", "pathetic", "disgusting", "trash", "clown", "jerk", "vermin", "bastard", "bitch", "asshole", "fuck*", "shit", "retard*", "whore", "slut")
 PRIOR = (2.0, 0.1)
 #: Rows and width of the minima of word hashes that tell copies.
 BANDS, WIDTH = 8, 4
-LENGTH_POWER = 0.25
+LENGTH_POWER = 0.5
 
 
 def folded(text: str | None) -> str:
@@ -108,9 +113,21 @@ def amount(text: str | None, automaton) -> float:
     return total / (1 + len(t)) ** LENGTH_POWER
 
 
+def forms(words: Iterable[str]) -> Iterator[str]:
+    """The words of more than two letters, and the beginnings of all."""
+    for w in words:
+        if len(w) > 2:
+            yield w
+        for n in BEGINNINGS:
+            if len(w) >= n:
+                yield f"{w[:n]}*"
+
+
 def terms(text: str | None) -> set[str]:
-    words = set(WORD.findall(folded(text)))
-    return {w for w in words if len(w) > 2} | {f"{w[:n]}*" for n in BEGINNINGS for w in words if len(w) >= n}
+    """Words and beginnings of words, and again, with FREQUENT before them, those that are frequent for the text's length."""
+    words = WORD.findall(folded(text))
+    n = Counter(forms(words))
+    return {*n} | {FREQUENT + t for t, k in n.items() if k >= OFTEN and k * ONE_IN >= len(words)}
 
 
 def signature(text: str | None) -> list[int]:
@@ -148,8 +165,15 @@ def known(seen: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[str,
     return {t: min(w, math.log(PRIOR[0] / PRIOR[1]) + 2) for t, w in out.items() if w > 1}
 
 
+def least_texts(term: str, n_pos: float) -> float:
+    return LEAST_FREQUENT if term.startswith(FREQUENT) else max(LEAST_TEXTS, LEAST_PART * n_pos)
+
+
 def choose(texts: list[set[str]], share: list[float], neg: dict[str, int], n_neg: int) -> dict[str, float]:
-    """Terms and weights: of each toxic text its candidate terms and its share."""
+    """Terms and weights: of each toxic text its candidate terms and its share.
+
+    A term that is chosen for its frequent use as well has the greater weight of both.
+    """
     pos: dict[str, float] = defaultdict(float)
     held: dict[str, list[int]] = defaultdict(list)
     for i, own in enumerate(texts):
@@ -157,16 +181,20 @@ def choose(texts: list[set[str]], share: list[float], neg: dict[str, int], n_neg
             pos[t] += share[i]
             held[t].append(i)
     n_pos = sum(share)
-    least = max(LEAST_TEXTS, LEAST_PART * n_pos)
     out: dict[str, float] = {}
-    for t in sorted(pos, key=lambda t: (-round(pos[t] - 2 * neg.get(t, 0), 6), -len(t), t)):
-        word = t.removesuffix("*")
-        if any(c[-1] == "*" and word.startswith(c[:-1]) for c in out):
-            continue
-        inner = [c for c in out if t[-1] == "*" and c.startswith(word)]
-        new = sum(share[i] for i in held[t] if not texts[i] & {*inner})
-        if new >= least and pos[t] * (n_neg + 1) >= LEAST_RATIO * (neg.get(t, 0) + 0.5) * (n_pos + 1):
-            out[t] = math.log((pos[t] + 0.5) / (n_pos + 1)) - math.log((neg.get(t, 0) + 0.5) / (n_neg + 1))
+    for kind in ("", FREQUENT):
+        chosen: dict[str, float] = {}
+        for t in sorted((t for t in pos if t.startswith(FREQUENT) == bool(kind)), key=lambda t: (-round(pos[t] - 2 * neg.get(t, 0), 6), -len(t), t)):
+            word = t.removesuffix("*")
+            if any(c[-1] == "*" and word.startswith(c[:-1]) for c in chosen):
+                continue
+            inner = [c for c in chosen if t[-1] == "*" and c.startswith(word)]
+            new = sum(share[i] for i in held[t] if not texts[i] & {*inner})
+            if new >= least_texts(t, n_pos) and pos[t] * (n_neg + 1) >= LEAST_RATIO * (neg.get(t, 0) + 0.5) * (n_pos + 1):
+                chosen[t] = math.log((pos[t] + 0.5) / (n_pos + 1)) - math.log((neg.get(t, 0) + 0.5) / (n_neg + 1))
+        for t, w in chosen.items():
+            t = t.removeprefix(FREQUENT)
+            out[t] = max(w, out.get(t, 0.0))
     return out
 
 
@@ -186,14 +214,15 @@ def learn(labelled: DataFrame) -> Lexicon:
                 n[bool(toxic)].update(["", *terms(text)])
         yield pd.DataFrame([(t, k[1], k[0]) for t in n[0].keys() | n[1].keys() for k in [(n[0][t], n[1][t])]], columns=["term", "pos", "neg"])
 
-    counted = rows.mapInPandas(lean(count), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_TEXTS) | F.col("term").isin("", *INSULTS)).toPandas()
+    counted = rows.mapInPandas(lean(count), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= F.when(F.startswith("term", F.lit(FREQUENT)), LEAST_FREQUENT).otherwise(LEAST_TEXTS)) | F.col("term").isin("", *INSULTS)).toPandas()
     whole = counted[counted["term"] == ""]
     n_pos, n_neg = int(whole["pos"].sum()), int(whole["neg"].sum())
     if whole.empty:
         n_pos, n_neg = 0, int(rows.count())
     seen = {t: (int(p), int(q)) for t, p, q in counted.itertuples(index=False)}
     prior = known(seen, n_pos, n_neg)
-    own = counted[(counted["term"] != "") & (counted["pos"] >= LEAST_TEXTS) & (counted["pos"] * (n_neg + 1) >= LEAST_RATIO * (counted["neg"] + 0.5) * (n_pos + 1))]
+    enough = counted["pos"] >= np.where(counted["term"].str.startswith(FREQUENT), LEAST_FREQUENT, LEAST_TEXTS)
+    own = counted[(counted["term"] != "") & enough & (counted["pos"] * (n_neg + 1) >= LEAST_RATIO * (counted["neg"] + 0.5) * (n_pos + 1))]
     neg = {t: int(n) for t, n in zip(own["term"], own["neg"], strict=True)}
     names = labelled.sparkSession.sparkContext.broadcast(set(neg))
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillbin.llm import quality, toxicity
 from quillbin.llm.labelled import fold, sample
@@ -63,8 +64,36 @@ def test_held_out_quality(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     out = quality.op10(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
     assert (out["predicted"] == out["quality"]).mean() > 0.95
-    out = toxicity.op6(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
-    assert (out["predicted"] == out["toxic"]).mean() > 0.9
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_toxic_rows_are_found(spark, size):
+    """Recall and precision of the rows held out, and of those to learn from, of which a few labels tell nothing."""
+    sf = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity.op6(spark, sf).join(labels, "doc_id").toPandas()
+    for held in (True, False):
+        own = out[out["held_out"] == held]
+        assert own[own["toxic"] == 1]["predicted"].mean() >= 0.9
+        assert own[own["predicted"] == 1]["toxic"].mean() >= 0.95
+
+
+def test_frequent_use_makes_a_term(spark):
+    """A beginning that clean texts have now and then and a few toxic ones often; without the list of insults."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for i in range(300):
+        w = [rnd.choice(words) for _ in range(150)]
+        for _ in range(rnd.randint(3, 9) if i < 8 else i % 5 == 0):
+            w[rnd.randrange(150)] = f"zorl{rnd.choice(words)}"
+        rows.append((" ".join(w), int(i < 8)))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    assert [t for t in lexicon.terms if t not in toxicity.INSULTS and not t.startswith("zorl")] == []
+    assert any(t.startswith("zorl") for t in lexicon.terms)
+    own = lexicon.automaton()
+    score = [toxicity.amount(t, own) >= lexicon.threshold for t, _ in rows]
+    assert all(score[:8]) and not any(score[8:])
 
 
 def test_sample_is_bounded_and_ignores_nulls(spark):
@@ -82,6 +111,18 @@ def test_odd_rows(spark, clashing, odd_rows, no_docs):
     assert toxicity.scored(no_docs, lexicon).count() == 0
 
 
+def test_stages_of_models(spark, clashing, odd_rows, no_docs, tmp_path):
+    """Columns with the names used inside, nulls, repeated rows and empty tables, in the stage and in scoring."""
+    spark.createDataFrame([(i, i % 2) for i in range(700)], "doc_id long, toxic int").withColumn("quality", F.col("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    out = toxicity.stage(spark, clashing, str(tmp_path))
+    assert out.columns == clashing.columns
+    kept = [r for r in out.collect() if not r["text"]]
+    assert len(kept) == sum(not r[1] for r in odd_rows)
+    assert toxicity.stage(spark, no_docs, str(tmp_path)).count() == 0
+    model = quality.fit([np.array([1, 2], np.int32), np.array([3], np.int32)], np.array([True, False]))
+    assert quality.scored(no_docs, model).count() == 0
+
+
 def slow_amount(text, lexicon):
     t = toxicity.folded(text)
     inside = lambda i: 0 <= i < len(t) and t[i].isalnum()
