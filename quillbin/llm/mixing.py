@@ -189,7 +189,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gets its words in the mean whatever its documents' lengths.  Documents without words
     stay as they are.  Repeated rows are drawn each for itself, null sources are a source,
     and an empty table stays empty.  A shard is written as consecutive ranges of its keyed
-    order, as many as its rows need, so tasks do not grow with the corpus.
+    order, and there are as many tasks as RANGE_ROWS rows each need, so no task grows with
+    the corpus.
     """
     row, draw = unused("mix row", docs.columns), unused("mix draw", docs.columns)
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows", "zstd")
@@ -200,7 +201,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty = F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).alias("shard")))
     chosen = plan.select(F.col("doc_id").alias(row), F.explode(F.when(F.col("size") > 0, F.transform(copies, lambda x: F.struct(x["pass"], x["shard"]))).otherwise(empty)).alias("d"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), row, "d.pass"), 1)
-    ranges = max(1, -(-rows.count() // (SHARDS * RANGE_ROWS)))
+    n_rows = rows.count()
+    ranges, tasks = max(1, -(-n_rows // (SHARDS * RANGE_ROWS))), max(1, -(-n_rows // RANGE_ROWS))
     chosen = chosen.select(row, F.struct(F.col("d.shard"), F.floor(place / F.lit((1 << 63) / ranges)).alias("range"), place.alias("place")).alias(draw))
-    out = rows.join(chosen, row).repartition(F.col(f"{draw}.shard"), F.col(f"{draw}.range"))
+    out = rows.join(chosen, row).repartition(tasks, F.col(f"{draw}.shard"), F.col(f"{draw}.range"))
     return out.sortWithinPartitions(f"{draw}.shard", f"{draw}.place", row).select(*[F.col(quoted(c)) for c in docs.columns])

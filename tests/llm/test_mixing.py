@@ -87,6 +87,14 @@ def test_no_python_in_the_plan(spark, odd_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_tasks_of_the_stage_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    docs = spark.range(900).select("id", F.concat(F.repeat(F.lit("word "), 700), F.col("id")).alias("text"), (F.col("id") % 3).cast("string").alias("source")).withColumnRenamed("id", "doc_id")
+    out = mixing.stage(spark, docs, "")
+    assert out.rdd.getNumPartitions() == 90  # of 4 shuffle partitions
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 100  # of 900 or more
+
+
 def test_stage_takes_whole_documents(spark, clashing, odd_rows, no_docs):
     out = mixing.stage(spark, clashing, "")
     assert out.columns == clashing.columns
