@@ -1,8 +1,8 @@
 """SimHash near-duplicates by BK-trees.
 
-Fingerprints of 4-word shingles are deduplicated, sharded by exact agreement on one of
-``radius + 1`` bit bands (two fingerprints within ``radius`` bits agree on at least one
-band), and each shard becomes one or more BK-trees: a node's children are keyed by their
+Fingerprints of 4-word shingles are deduplicated, sharded by exact agreement on three of
+``radius + 3`` groups of bits (two fingerprints within ``radius`` bits agree on at least
+three), and each shard becomes one or more BK-trees: a node's children are keyed by their
 integer Hamming distance to it.  Every tree is sent to all query blocks of its shard, and
 a query follows only edges whose key lies within the radius of its own distance.  Each
 task returns a spanning forest of the links it found, not all pairs; components are then
@@ -11,6 +11,7 @@ joined up by contraction rounds.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -33,6 +34,10 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Most fingerprints in one BK-tree, and most queries in one block.
 BLOCK = 4096
+#: Rows of cells that a task holds at a time.
+TASK_ROWS = 1 << 17
+#: Groups of bits that fingerprints of a shard agree on, 27 bits of seven groups at radius 4.
+AGREE = 3
 #: 64-bit words of a long fingerprint that decide whether two texts are compared.
 PARTS = 2
 #: Bits of a band of a long fingerprint.
@@ -211,11 +216,16 @@ def tree_links(shard: np.ndarray, is_query: np.ndarray, is_node: np.ndarray, val
 
 
 def links(points: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """``points(simhash long, id long)``, distinct in simhash, to links ``(a, b)`` that join all within radius."""
-    bands = radius + 1
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    band = [F.shiftrightunsigned("simhash", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    rows = points.select("simhash", "id", F.posexplode(F.array(*band)).alias("band", "bits")).select("simhash", "id", (F.col("bits") * 64 + F.col("band")).alias("shard"))
+    """``points(simhash long, id long)``, distinct in simhash, to links ``(a, b)`` that join all within radius.
+
+    The bits make ``radius + AGREE`` groups; fingerprints within radius agree on ``AGREE`` of
+    them at least, so there is a shard for each choice of so many groups and their bits.
+    """
+    groups = radius + AGREE
+    edges = [round(i * 64 / groups) for i in range(groups + 1)]
+    group = [F.shiftrightunsigned("simhash", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    shard = F.array(*[F.xxhash64(F.lit(i), *[group[k] for k in some]) for i, some in enumerate(itertools.combinations(range(groups), AGREE))])
+    rows = points.select("simhash", "id", F.explode(shard).alias("shard"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [p for p in parts if len(p)]
@@ -227,18 +237,20 @@ def links(points: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     return dealt(rows, block).mapInPandas(lean(run), "a long, b long")
 
 
-def dealt(rows: DataFrame, block: int) -> DataFrame:
+def dealt(rows: DataFrame, block: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """``rows(..., id, shard)`` to cells of at most two blocks of a shard: ``(..., id, cell, node, query)``.
 
     A block's tree is sent to each block of queries of its shard: block i is dealt to the
-    pairs (i, j) and (j, i).
+    pairs (i, j) and (j, i).  There are as many tasks as ``task_rows`` rows each need.
     """
     own = [c for c in rows.columns if c != "shard"]
-    blocks = rows.groupBy("shard").count().where(F.col("count") > block).select("shard", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    counted = checkpoint(rows.groupBy("shard").count().where("count > 1").withColumn("n", F.ceil(F.col("count") / block).cast("int")))
+    tasks = max(1, -(-(counted.agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0) // task_rows))
+    blocks = counted.where("n > 1").select("shard", "n")
     rows = rows.join(blocks, "shard", "left").withColumn("i", F.coalesce(F.pmod(F.xxhash64("id"), F.col("n")).cast("int"), F.lit(0)))
     each = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("tree"), F.greatest("i", j).alias("query")))).otherwise(F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("query"))))
     rows = rows.select(*own, "shard", "i", F.explode(each).alias("p"))
-    return rows.select(*own, F.xxhash64("shard", "p.tree", "p.query").alias("cell"), (F.col("i") == F.col("p.tree")).alias("node"), (F.col("i") == F.col("p.query")).alias("query")).repartition(F.col("cell"))
+    return rows.select(*own, F.xxhash64("shard", "p.tree", "p.query").alias("cell"), (F.col("i") == F.col("p.tree")).alias("node"), (F.col("i") == F.col("p.query")).alias("query")).repartition(tasks, F.col("cell"))
 
 
 class Plan(NamedTuple):
