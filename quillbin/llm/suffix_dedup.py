@@ -292,7 +292,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **limits: int) -> Dat
             columns[1] = pa.array([None if g else t for g, t in zip(gone, kept, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns[:-1], some.schema.names[:-1])
 
-    out = kept_rows(own, length, make, own.drop("gone").schema, **limits).select("doc_id", "text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])
+    types = own.drop("gone").withColumn("doc_id", F.col("doc_id").cast("long")).schema  # as the parts have it
+    out = kept_rows(own, length, make, types, **limits).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)])
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(quoted(c)) for c in docs.columns])

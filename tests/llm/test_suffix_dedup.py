@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from quillbin.llm import anchors, suffix_dedup
@@ -85,6 +86,14 @@ def test_stage_keeps_rows_and_columns(spark, clashing, odd_rows, no_docs):
     assert suffix_dedup.stage(spark, no_docs, "").columns == no_docs.columns
 
 
+@pytest.mark.parametrize("kind", ["int", "short", "string"])
+def test_stage_gives_ids_as_they_came(spark, odd_docs, kind):
+    docs = odd_docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = suffix_dedup.stage(spark, docs, "")
+    assert out.schema == docs.schema or [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == sorted(map(str, (r["doc_id"] for r in docs.collect())))
+
+
 def test_equal_strings_share_an_anchor():
     rnd = np.random.default_rng(1)
     a = rnd.integers(97, 101, 3000).astype(np.uint8)

@@ -89,6 +89,15 @@ def test_packing(own, odd_docs, odd_rows, no_docs):
     assert packing.packed(no_docs).count() == 0
 
 
+def test_packing_stage(spark, clashing, odd_docs, no_docs):
+    """Clashing columns change nothing; repeated rows and ids are packed each for itself."""
+    kept = lambda df: sorted(map(repr, ((r["doc_id"], r["start"], r["length"], r["doc_tokens"]) for r in df.where("start = 0").collect())))
+    ids = lambda df: sum(r["length"] for r in df.collect())
+    a, b = packing.stage(spark, clashing, ""), packing.stage(spark, odd_docs, "")
+    assert a.columns == b.columns and ids(a) == ids(b) and len(kept(a)) == len(kept(b)) == odd_docs.count()
+    assert packing.stage(spark, no_docs, "").count() == 0
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(8)
     for n in (3, 3, 5, 2):
