@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quillbin.functions.sequences import composition, correlation, dot, kmers, length_bucket, zscores_of
+from quillbin.functions.sequences import composition, correlation, dot, length_bucket, zscores_of
 from quillbin.functions.statistics import normal_below
+from quillbin.operators.naive_bayes import kmer_counts
 
 
 def vectors(sequences: DataFrame) -> DataFrame:
@@ -19,8 +20,7 @@ def vectors(sequences: DataFrame) -> DataFrame:
 
 def counted(sequences: DataFrame) -> DataFrame:
     """``(id, kmer, n)``: 2-, 3- and 4-mers of a sequence, counted once and summed for any cluster."""
-    all_kmers = F.concat(*[kmers(F.col("seq"), k) for k in (2, 3, 4)])
-    return sequences.select("id", F.explode(all_kmers).alias("kmer")).groupBy("id", "kmer").agg(F.count("*").alias("n"))
+    return kmer_counts(sequences, "id", (2, 3, 4))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

@@ -17,23 +17,23 @@ PER_LETTERS = 500.0
 MARGIN = 7.0
 
 
-def kmer_counts(sequences: DataFrame, by: str, k: int = 4) -> DataFrame:
-    """``sequences(by, seq)`` to ``(by, kmer, n)``; a batch's sums for each key go to the shuffle, not k-mers."""
-    names = ["".join(x) for x in itertools.product(LETTERS, repeat=k)]
+def kmer_counts(sequences: DataFrame, by: str, k: int | Sequence[int] = 4) -> DataFrame:
+    """``sequences(by, seq)`` to ``(by, kmer, n)`` for one k or several; a batch's sums for each key go to the shuffle, not k-mers."""
+    sizes = [k] if isinstance(k, int) else [*k]
+    names = {k: np.array(["".join(x) for x in itertools.product(LETTERS, repeat=k)], object) for k in sizes}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             keys, group = p[by].factorize(use_na_sentinel=False)[::-1]
-            sums = np.zeros((0, 4**k), np.int64)
             order = np.argsort(group, kind="stable")
             seqs, group = p["seq"].to_numpy()[order], group[order]
             for i in range(0, len(order), 1024):
                 g = group[i : i + 1024]
-                n = counts_of(seqs[i : i + 1024], k)
                 first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-                sums = np.add.reduceat(n, first)
-                at, kmer = np.nonzero(sums)
-                yield pd.DataFrame({by: keys.take(g[first][at]), "kmer": np.array(names, object)[kmer], "n": sums[at, kmer]})
+                for k, name in names.items():
+                    sums = np.add.reduceat(counts_of(seqs[i : i + 1024], k), first)
+                    at, kmer = np.nonzero(sums)
+                    yield pd.DataFrame({by: keys.take(g[first][at]), "kmer": name[kmer], "n": sums[at, kmer]})
 
     kind = sequences.schema[by].dataType.simpleString()
     return sequences.select(by, "seq").mapInPandas(run, f"`{by}` {kind}, kmer string, n long").groupBy(by, "kmer").agg(F.sum("n").alias("n"))

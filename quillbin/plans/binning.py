@@ -54,12 +54,13 @@ def pair_table(cutoffs: DataFrame, column: str) -> dict[tuple[int, int], float]:
 
 @dataclass(frozen=True)
 class Seeds:
-    """intervals(seed, sample, mean, lo, hi) and members(id, seed) of all seeds; fixed(id, seed): of those a user names, which no step moves; long: intervals of the long and named ones."""
+    """intervals(seed, sample, mean, lo, hi) and members(id, seed) of all seeds; fixed(id, seed): of those a user names, which no step moves; long: intervals of the long and named ones; first: the seed for short sequences that no seed's coverage fits."""
 
     intervals: DataFrame
     members: DataFrame
     fixed: DataFrame
     long: DataFrame
+    first: str
 
 
 def named_seeds(own: Inputs) -> DataFrame:
@@ -70,6 +71,17 @@ def named_seeds(own: Inputs) -> DataFrame:
     return known.select("seed", "id", (F.array_position(F.split("seed", ";"), F.col("id")) - 1).cast("int").alias("place")).distinct()
 
 
+def first_seed(own: Inputs, named: DataFrame, nodes: DataFrame, found: DataFrame) -> str:
+    """The first seed that a user names, else the first long one, by the mean in the first sample; none without seeds.
+
+    Named seeds are in the order of ``line``, if they have it, else of their names.
+    """
+    if own.pinned is not None and not named.isEmpty():
+        line = F.col("line") if "line" in own.pinned.columns else F.lit(0)
+        return own.pinned.join(named.select("seed").distinct(), "seed", "left_semi").agg(F.min_by("seed", F.struct(line, "seed"))).first()[0]
+    return nodes.join(found, "id", "left_semi").agg(F.min_by("id", F.struct("rank", "id"))).first()[0] or ""
+
+
 def all_seeds(own: Inputs, dispersions: DataFrame, par: Parameters) -> Seeds:
     """Seeds a user names, long sequences that no earlier seed is like in coverage and composition, and composites of short ones.
 
@@ -93,7 +105,7 @@ def all_seeds(own: Inputs, dispersions: DataFrame, par: Parameters) -> Seeds:
     whole = long_spans.unionByName(more).checkpoint()
     gapless = coverage.gaps_filled(whole.select("seed", "sample", "lo", "hi"), own.depth.select("sample", "mean"))
     members = named.unionByName(packed).select("id", "seed").unionByName(found.select("id", F.col("id").alias("seed")))
-    return Seeds(gapless.join(whole.select("seed", "sample", "mean"), ["seed", "sample"]).checkpoint(), members.checkpoint(), named.select("id", "seed").distinct().checkpoint(), long_spans)
+    return Seeds(gapless.join(whole.select("seed", "sample", "mean"), ["seed", "sample"]).checkpoint(), members.checkpoint(), named.select("id", "seed").distinct().checkpoint(), long_spans, first_seed(own, named, nodes, found))
 
 
 @dataclass(frozen=True)
@@ -108,30 +120,34 @@ class Features:
         return cls(composition.counted(own.sequences).checkpoint(), composition.vectors(own.sequences.where(F.col("length") >= LARGE)).checkpoint())
 
 
-def assign(own: Inputs, features: Features, seed_intervals: DataFrame, members: DataFrame, n_samples: int) -> DataFrame:
-    """All sequences by coverage and composition; members: ``(id, seed)`` that stand for the seeds."""
+def assign(own: Inputs, features: Features, seed_intervals: DataFrame, members: DataFrame, n_samples: int, first: str) -> DataFrame:
+    """``(id, seed, score)``: all sequences by coverage and composition, short ones with their score; members: ``(id, seed)`` that stand for the seeds."""
     lengths = own.sequences.select("id", "length")
     long_ids = features.vectors.select("id")
     means = own.depth.select("id", "sample", "mean")
     seed_comp = composition.cluster_vectors(features.counts, members, lengths)
     large = classify.classify_large(means.join(long_ids, "id", "left_semi"), seed_intervals, features.vectors, seed_comp, own.cutoffs, n_samples)
-    first = seed_intervals.agg(F.max_by("seed", "mean")).first()[0]  # the seed with the greatest mean
     fours = features.counts.where(F.length("kmer") == 4)
     logs = naive_bayes.log_probabilities(fours.join(members, "id").groupBy("seed", "kmer").agg(F.sum("n").alias("n")), "seed")
     small = classify.classify_small(means.join(long_ids, "id", "left_anti"), seed_intervals, fours.join(long_ids, "id", "left_anti"), lengths, logs, n_samples, first)
-    return large.unionByName(small.select("id", "seed"))
+    return large.withColumn("score", F.lit(None).cast("double")).unionByName(small.select("id", "seed", "score"))
 
 
 def place_markers(own: Inputs, features: Features, seed_intervals: DataFrame, members: DataFrame, n_samples: int) -> DataFrame:
-    """``(id, seed)`` of the marker sequences whose coverage fits a seed, by likeness of composition and without duplicates in one seed."""
-    ids = own.genes.select("id").distinct()
-    found = coverage.within(own.depth.select("id", "sample", "mean").join(ids, "id", "left_semi"), seed_intervals, n_samples)
-    seed_comp = composition.cluster_vectors(features.counts, members, own.sequences.select("id", "length"))
-    vectors = composition.vectors(own.sequences.join(ids, "id", "left_semi"))
-    pairs = composition.correlated(found.select(F.col("id").alias("a"), F.col("seed").alias("b")), vectors, seed_comp)
-    scored = composition.calibrated(pairs, own.cutoffs).select(F.col("a").alias("id"), F.col("b").alias("seed"), F.coalesce("z", "cor").alias("score"))
-    short = own.sequences.where(F.col("length") < LARGE).select("id")
-    return occupancy.assign_markers(scored, own.genes, markers.duplicates(own.genes), short=short)
+    """``(id, seed)`` of the marker sequences whose coverage fits a seed, see ``occupancy``; seeds of low coverage are no candidates of short ones with duplicates."""
+    lengths = own.sequences.select("id", "length")
+    ids = own.genes.select("id").distinct().join(lengths, "id").checkpoint()
+    depth = own.depth.select("id", "sample", "mean")
+    twins = markers.duplicates(own.genes).checkpoint()
+    twin_ids = twins.select(F.col("a").alias("id")).union(twins.select("b")).distinct()
+    long, short = ids.where(F.col("length") >= LARGE).select("id"), ids.where(F.col("length") < LARGE).select("id")
+    within = lambda some, **how: coverage.within(depth.join(some, "id", "left_semi"), seed_intervals, n_samples, **how)
+    pairs = within(short.join(twin_ids, "id", "left_semi"), wildcard=False).unionByName(within(short.join(twin_ids, "id", "left_anti")))
+    fours = features.counts.where(F.length("kmer") == 4)
+    logs = naive_bayes.log_probabilities(fours.join(members.select("id", "seed"), "id").groupBy("seed", "kmer").agg(F.sum("n").alias("n")), "seed")
+    seed_comp = composition.cluster_vectors(features.counts, members.select("id", "seed"), lengths)
+    long_rows = classify.long_markers(within(long), features.vectors, seed_comp, own.cutoffs)
+    return occupancy.assign_markers(long_rows, classify.short_markers(pairs, fours, lengths, logs), own.genes, twins)
 
 
 def species_of(own: Inputs, clusters: DataFrame, least: int, more_than: bool = True) -> DataFrame:
@@ -183,9 +199,10 @@ def stages(own: Inputs, par: Parameters = Parameters()) -> Result:
     n_samples = dispersions.count()
     found = all_seeds(own, dispersions, par)
     features = Features.of(own)
-    raw = assign(own, features, found.intervals, found.members, n_samples).join(found.fixed, "id", "left_anti").unionByName(found.fixed)
-    raw = raw.checkpoint()
-    split = splitting.split_clusters(raw, own.genes, own.sequences.select("id", "length"), features.counts, own.cutoffs, par.genes_for_split).checkpoint()
+    scored = assign(own, features, found.intervals, found.members, n_samples, found.first).join(found.fixed, "id", "left_anti").unionByName(found.fixed, allowMissingColumns=True).checkpoint()
+    raw = scored.select("id", "seed")
+    cover = splitting.Cover(own.depth, dispersions, found.intervals, scored.where("score is not null"), found.first, found.fixed)
+    split = splitting.split_clusters(raw, own.genes, own.sequences.select("id", "length"), features.counts, own.cutoffs, par.genes_for_split, LARGE, cover).checkpoint()
     lengths, means = own.sequences.select("id", "length"), own.depth.select("id", "sample", "mean")
     after = markers.kept_after_split(species_of(own, split, par.genes_for_split), par.large_length, par.small_length).select("seed")
     assigned = split.join(after, "seed", "left_semi").select("id", "seed").checkpoint()
@@ -205,6 +222,6 @@ def stages(own: Inputs, par: Parameters = Parameters()) -> Result:
     named = clusters.join(found.fixed.select("id"), "id", "left_semi")
     placed = named.unionByName(place_markers(own, features, final, stand, n_samples).join(named.select("id"), "id", "left_anti")).checkpoint()
     fixed = placed.unionByName(clusters.join(own.genes.select("id").distinct(), "id", "left_semi").join(placed, "id", "left_anti"))
-    again = assign(own, features, final, stand, n_samples).join(fixed.select("id"), "id", "left_anti")
+    again = assign(own, features, final, stand, n_samples, found.first).select("id", "seed").join(fixed.select("id"), "id", "left_anti")
     bins = evaluation.classified(fixed.unionByName(again), own.sequences, means_of)
     return Result(found.long, found.intervals, raw, split, first, merged, final, bins)

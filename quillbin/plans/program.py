@@ -53,8 +53,8 @@ def reports(own: binning.Inputs, found: binning.Result, cells: DataFrame) -> dic
         "SCGscaffold_RawClassified": writers.marker_matrix(cells, seeds, found.raw, means),
         "allscaffoldSeed_ClassifiedLength_AfterSplit": writers.length_report(split.unionByName(empty), found.split, lengths, members=True),
         "SCGscaffold_AfterSplit": writers.marker_matrix(cells, split, found.split, means),
-        "SCGscaffold_AfterFirstMerge": writers.marker_matrix(cells, first, found.first, means),
-        "SCGscaffold_AfterLastMerge": writers.marker_matrix(cells, merged, found.merged, means),
+        "SCGscaffold_AfterMerge_FirstTime": writers.marker_matrix(cells, first, found.first, means),
+        "SCGscaffold_AfterMerge_SecondTime": writers.marker_matrix(cells, merged, found.merged, means),
         "allscaffoldSeed_ClassifiedLength_Final": writers.length_report(merged, found.merged, lengths),
         "FinalSeed_CovInterval": writers.interval_report(found.final, final),
         "SCGscaffold_FinalClassified": writers.marker_matrix(cells, final, placed, means),
@@ -83,7 +83,7 @@ def run(spark: SparkSession, argv: Sequence[str] | None = None) -> dict[str, str
         readers.window_depths(spark, a.depthfile).checkpoint(),
         cells.select("gene", "id").distinct().checkpoint(),
         readers.cutoffs(spark, a.cutoffs),
-        readers.pinned_seeds(spark, a.seedfile) if a.seedfile else None,
+        readers.pinned_seeds(spark, a.seedfile, with_line=True) if a.seedfile else None,
     )
     own = binning.Inputs(own.sequences, own.depth.join(own.sequences.select("id"), "id", "left_semi"), own.genes.join(own.sequences.select("id"), "id", "left_semi"), own.cutoffs, own.pinned)
     say(f"Sequences: {own.sequences.count()}, of {binning.LARGE} letters and more: {own.sequences.where(F.col('length') >= binning.LARGE).count()}")

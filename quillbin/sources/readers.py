@@ -91,9 +91,11 @@ def cutoffs(spark: SparkSession, path: str) -> DataFrame:
     return rows.unionByName(swapped)
 
 
-def pinned_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """``(seed, id)``: one seed in each line, its members joined by ``;``."""
-    return lines(spark, path).select(F.trim("value").alias("seed")).select("seed", F.explode(F.split("seed", ";")).alias("id")).where("id <> ''")
+def pinned_seeds(spark: SparkSession, path: str, with_line: bool = False) -> DataFrame:
+    """``(seed, id)``: one seed in each line, its members joined by ``;``; with_line adds ``line``, which grows along the file."""
+    rows = lines(spark, path).select(F.trim("value").alias("seed"), F.monotonically_increasing_id().alias("line"))
+    rows = rows.select("seed", F.explode(F.split("seed", ";")).alias("id"), "line").where("id <> ''")
+    return rows if with_line else rows.drop("line")
 
 
 def coords(spark: SparkSession, path: str) -> DataFrame:

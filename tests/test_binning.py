@@ -90,3 +90,31 @@ def test_a_cluster_of_two_species_is_split(spark):
     assert len({seed[f"g0_{k}"] for k in range(5)}) == 1
     assert len({seed[f"g1_{k}"] for k in range(5)}) == 1
     assert seed["g0_0"] != seed["g1_0"]
+
+
+def test_fallback_is_the_first_seed_of_all(spark):
+    """The first line of the named ones, whatever the means; else the long seed with the greatest mean in the first sample."""
+    nodes = spark.createDataFrame([("a", -3000), ("b", -4000), ("c", -4000), ("d", -9000)], "id string, rank long")
+    found = spark.createDataFrame([("a",), ("c",), ("b",)], "id string")
+    sequences = spark.createDataFrame([("p", "A", 1), ("q", "A", 1), ("r", "A", 1)], "id string, seq string, length long")
+    own = lambda pinned: binning.Inputs(sequences, None, None, None, pinned)
+    no_names = sequences.select(sequences.id.alias("seed"), "id").limit(0)
+    assert binning.first_seed(own(None), no_names, nodes, found) == "b"
+    assert binning.first_seed(own(None), no_names, nodes, found.limit(0)) == ""
+    pinned = spark.createDataFrame([("r;q", "r", 5), ("r;q", "q", 5), ("p", "p", 9), ("lost", "lost", 1)], "seed string, id string, line long")
+    mine = own(pinned)
+    assert binning.first_seed(mine, binning.named_seeds(mine), nodes, found) == "r;q"
+
+
+def test_rows_of_a_fallback_that_is_no_seed_are_lost(spark):
+    """Two samples; x fits both, y none, and goes to the fallback only if that is a seed."""
+    from quillbin.operators import classify
+
+    depth = spark.createDataFrame([("x", 1, 10.0), ("x", 2, 8.0), ("y", 1, 10.0), ("y", 2, 80.0)], "id string, sample int, mean double")
+    seeds = spark.createDataFrame([(s, k, 10.0, 5, 15) for s in "st" for k in (1, 2)], "seed string, sample int, mean double, lo long, hi long")
+    counts = spark.createDataFrame([(i, "AAAA", 3) for i in "xy"], "id string, kmer string, n long")
+    lengths = spark.createDataFrame([("x", 6), ("y", 6)], "id string, length long")
+    logs = spark.createDataFrame([("s", "AAAA", -1.0), ("t", "AAAA", -2.0)], "seed string, kmer string, logp double")
+    for first, want in (("t", {"x": "s", "y": "t"}), ("gone", {"x": "s"})):
+        out = classify.classify_small(depth, seeds, counts, lengths, logs, 2, first).collect()
+        assert {r["id"]: r["seed"] for r in out} == want

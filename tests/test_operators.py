@@ -98,13 +98,16 @@ def test_numbers_and_pivot(spark):
 
 
 def test_duplicates_go_to_different_seeds(spark):
-    rows = [("x", "s", 3.0), ("x", "t", 1.0), ("y", "s", 2.0), ("y", "t", 1.5), ("z", "s", 0.5), ("w", "s", 0.1)]
+    columns = "id string, seed string, value double, tie double"
+    rows = [("x", "s", 3.0, 0.0), ("x", "t", 1.0, 0.0), ("y", "s", 2.0, 0.0), ("y", "t", 1.5, 0.0), ("z", "s", 0.5, 0.0)]
     genes = [(g, i) for i in ("x", "y", "w") for g in ("g1", "g2")] + [("g3", "z")]
-    out = occupancy.assign_markers(spark.createDataFrame(rows, "id string, seed string, score double"), spark.createDataFrame(genes, "gene string, id string"), spark.createDataFrame([("x", "y"), ("w", "x"), ("w", "y")], "a string, b string"))
-    # w has no other seed than the occupied one and goes there in the end
-    assert sorted(map(tuple, out.collect())) == [("w", "s"), ("x", "s"), ("y", "t"), ("z", "s")]
-    none = spark.createDataFrame([], "id string, seed string, score double")
-    assert occupancy.assign_markers(none, spark.createDataFrame(genes, "gene string, id string"), spark.createDataFrame([], "a string, b string")).count() == 0
+    dups = spark.createDataFrame([("x", "y"), ("w", "x"), ("w", "y")], "a string, b string")
+    none, own = spark.createDataFrame([], columns), spark.createDataFrame(genes, "gene string, id string")
+    out = occupancy.assign_markers(spark.createDataFrame(rows, columns), none, own, dups)
+    assert sorted(map(tuple, out.collect())) == [("x", "s"), ("y", "t"), ("z", "s")]
+    # w has no other seed and takes it before them; the last one is left with none and goes to its best
+    out = occupancy.assign_markers(spark.createDataFrame([*rows, ("w", "s", 0.1, 0.0)], columns), none, own, dups)
+    assert sorted(map(tuple, out.collect())) == [("w", "s"), ("x", "t"), ("y", "s"), ("z", "s")]
 
 
 def test_what_stands_for_a_cluster(spark):
@@ -119,13 +122,14 @@ def test_what_stands_for_a_cluster(spark):
 
 
 def test_short_sequences_need_a_gene_of_their_own(spark):
-    rows = [("x", "s", 3.0), ("y", "s", 2.0), ("y", "t", 1.0)]
-    genes = spark.createDataFrame([("g", "x"), ("g", "y")], "gene string, id string")
-    none, own = spark.createDataFrame([], "a string, b string"), spark.createDataFrame(rows, "id string, seed string, score double")
-    for short, seed in ((None, "s"), (spark.createDataFrame([("y",)], "id string"), "t")):
-        occupied = spark.createDataFrame([("g", "s")], "gene string, seed string")
-        left = occupancy.allowed(own.where("id = 'y'"), genes, occupied, none.toDF("id", "seed"), 2, short)
-        assert occupancy.best_of(left).first()["seed"] == seed
+    columns = "id string, seed string, value double, tie double"
+    one, two = [("x", "s", 3.0, 0.0)], [("y", "s", 2.0, 0.0), ("y", "t", -90.0, 0.0)]
+    genes, twins = spark.createDataFrame([("g", "x"), ("g", "y")], "gene string, id string"), spark.createDataFrame([], "a string, b string")
+    none = spark.createDataFrame([], columns)
+    for kind, seed in (("long", "s"), ("short", "t")):
+        rows = spark.createDataFrame(one + two, columns)
+        out = occupancy.assign_markers(*((rows, none) if kind == "long" else (none, rows)), genes, twins)
+        assert {r["id"]: r["seed"] for r in out.collect()} == {"x": "s", "y": seed}
 
 
 def test_small_clusters_merge_by_their_mean_alone(spark):

@@ -48,6 +48,8 @@ def test_rows_of_any_length(spark, tmp_path):
 def test_tables(spark, tmp_path):
     assert rows(readers.cutoffs(spark, write(tmp_path, "10 vs 20\t1\t2\t3\t4\t.5\t.7\t.6\n10 vs 10\t1\t2\t3\t4\t5\t6\t7\n"))) == [(10, 10, 1.0, 2.0, 3.0, 4.0, 5.0, 7.0), (10, 20, 1.0, 2.0, 3.0, 4.0, 0.5, 0.7), (20, 10, 1.0, 2.0, 3.0, 4.0, 0.5, 0.7)]
     assert rows(readers.pinned_seeds(spark, write(tmp_path, "a;b\nc\n"))) == [("a;b", "a"), ("a;b", "b"), ("c", "c")]
+    lines = readers.pinned_seeds(spark, write(tmp_path, "z\na;b\n"), with_line=True)
+    assert [r["id"] for r in lines.orderBy("line", "id").collect()] == ["z", "a", "b"]
     assert rows(readers.truth(spark, write(tmp_path, "head\tx\na\ts1\nb\ts2\na\ts3\n"))) == [("a", "s3"), ("b", "s2")]
     assert rows(readers.truth(spark, write(tmp_path, "a\ts1\n"), skip_first=False)) == [("a", "s1")]
     assert rows(readers.classified(spark, write(tmp_path, "a\t1\t100\t2.5\tseed\nb\tunassigned\t50\t1.0\tx\nshort\n"))) == [("a", "1", 100, [2.5]), ("b", "unassigned", 50, [1.0])]
