@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillbin.functions.statistics import dispersion, mean, toward_zero
+from quillbin.operators.shared import shared_folder
 
 #: Below this mean a sample says nothing about coverage.
 LOW = 5.0
 FOLD = 2.58
+#: Rows that a task numbers.
+RANGE_ROWS = 200_000
 
 
 def sliding(depths: Column, size: int = 500, step: int = 250) -> Column:
@@ -44,21 +48,24 @@ def piece_depth(pieces: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.select("id", "parent", mean(part).alias("mean"))
 
 
-def numbered(rows: DataFrame, order: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+def numbered(rows: DataFrame, order: str, by: Sequence[str] = (), ties: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds ``n``, each row's place from 1 in the order of a column, then of ``ties``, for itself in each group of ``by``.
 
-    Rows are numbered within ranges of the column, after the rows of earlier ranges, so a
-    group is not gathered in one task.
+    Rows are sorted to ranges of both, as many as ``range_rows`` rows each need, and numbered
+    within their range after the rows of earlier ranges, so neither a group nor the rows of
+    a frequent value are gathered in one task, unless their ties are equal as well.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    own = F.size(F.filter(F.array(*[F.lit(e) for e in edges or []]), lambda e: e <= F.col(order))) if edges else F.lit(0)
-    ranged = rows.withColumn("range", own)
-    sizes = ranged.groupBy(*by, "range").agg(F.count("*").alias("k"))
-    before = sizes.select(*by, "range", F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row for each group and range
-    place = F.row_number().over(W.partitionBy(*by, "range").orderBy(order, *ties))
-    return ranged.withColumn("i", place).join(before, [*by, "range"]).withColumn("n", F.col("before") + F.col("i")).drop("range", "i", "before")
+    shared_folder(rows.sparkSession)
+    part = next(c for c in ("range", "range_", "range__") if c not in rows.columns)
+    tasks = max(1, -(-rows.count() // range_rows))
+    ranged = rows.repartitionByRange(tasks, order, *ties).withColumn(part, F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(*by, part).agg(F.count("*").alias("k"))
+    before = sizes.select(*by, part, F.coalesce(F.sum("k").over(W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row for each group and range
+    place = F.row_number().over(W.partitionBy(*by, part).orderBy(order, *ties))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, part)]
+    on = functools.reduce(lambda x, y: x & y, same)
+    found = ranged.withColumn("i", place).alias("r").join(before.alias("b"), on)
+    return found.select(*[F.col(f"r.{c}") for c in rows.columns], (F.col("before") + F.col("i")).alias("n"))
 
 
 def window_sums(rows: DataFrame, by: str, value: str, size: int = 500, step: int = 250) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillbin.operators import composition, coverage, markers
 from quillbin.operators.composites import is_key
-from quillbin.operators.seeds import shared_folder
+from quillbin.operators.shared import shared_folder
 
 
 #: So many marker sequences of a cluster stand for all of it.

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillbin.operators.naive_bayes import MARGIN
-from quillbin.operators.seeds import leaders, shared_folder
+from quillbin.operators.seeds import leaders
+from quillbin.operators.shared import shared_folder
 
 #: A seed that has so many of a sequence's genes is not allowed.
 MOST_PRESENT = 2

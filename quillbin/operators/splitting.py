@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from quillbin.functions.statistics import toward_zero
 from quillbin.operators import classify, composites, composition, coverage, markers, naive_bayes, occupancy
-from quillbin.operators.seeds import packs, shared_folder
+from quillbin.operators.seeds import packs
+from quillbin.operators.shared import shared_folder
 
 MARGIN = 7
 
