@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 
 def duplicates(markers: DataFrame, least: int = 2) -> DataFrame:
-    """``markers(gene, id)``, distinct, to ``(a, b, genes)``, a < b: pairs that share at least so many genes."""
-    many = markers.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
-    own = markers.join(many, "id", "left_semi")
-    pairs = own.select("gene", F.col("id").alias("a")).join(own.select("gene", F.col("id").alias("b")), "gene").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("genes")).where(F.col("genes") >= least)
+    """``markers(gene, id)``, distinct, to ``(a, b, genes)``, a < b: pairs that share at least so many genes.
+
+    An id's genes are put in the order of their frequency, and all but its ``least - 1`` most
+    frequent ones are looked up: two ids with so many in common share one of those.  So a
+    gene of a third of all ids pairs nobody by itself, and of the genes that a pair shares
+    only the rarest one makes its row.
+    """
+    often = markers.groupBy("gene").agg(F.count("*").alias("often"))
+    own = markers.join(often, "gene").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "gene"))), lambda x: x["gene"]).alias("all")).where(F.size("all") >= least)
+    rows = own.withColumn("few", F.slice("all", F.lit(1), F.size("all") - (least - 1))).withColumn("gene", F.explode("few"))
+    sides = [rows.select("gene", F.col("id").alias(c), F.col("all").alias(f"all_{c}"), F.col("few").alias(f"few_{c}")) for c in ("a", "b")]
+    pairs = sides[0].join(sides[1], "gene").where((F.col("a") < F.col("b")) & (F.array_intersect("few_a", "few_b")[0] == F.col("gene")))
+    return pairs.select("a", "b", F.size(F.array_intersect("all_a", "all_b")).cast("long").alias("genes")).where(F.col("genes") >= least)
 
 
 def copies(markers: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Agglomeration of clusters whose composition and coverage agree, guarded by marker genes.
 
-Clusters are few (one for each seed), so choices are made on the driver from a table of
-candidate pairs; everything that grows with the sequences stays in DataFrames.
+Pairs whose coverage agrees come from a join of intervals by cells of one sample, that in
+which the first cluster's interval is narrowest; the merges of a round are those of one
+pass over the clusters in order, found in waves of local choices.
 """
 
 from __future__ import annotations
@@ -35,6 +36,40 @@ def cluster_intervals(stand: DataFrame, depth: DataFrame, lengths: DataFrame, di
     return by_marker.unionByName(coverage.member_interval(rows.where("not marked").drop("marked")))
 
 
+def meeting(intervals: DataFrame) -> DataFrame:
+    """``intervals(seed, sample, mean, lo, hi)``, in the same samples for all, to pairs ``(a, b, ra, inside, distance)``, a before b by mean.
+
+    In every sample b's mean lies in a's interval, or the intervals overlap, or a's mean is
+    low; inside: everywhere without the second.  ra is a's mean in the first sample.
+    Only one sample of a is cut to cells, so what is joined does not grow with the samples;
+    the others are compared on arrays.
+    """
+    width = {r["sample"]: max(float(r["w"] or 1.0), 1e-9) for r in intervals.groupBy("sample").agg(F.avg(F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))).alias("w")).collect()}  # a number for each sample
+    widths = F.array(*[F.lit(width[k]) for k in sorted(width)])
+    by_sample = F.array_sort(F.collect_list(F.struct("sample", "mean", "lo", "hi")))
+    rows = intervals.groupBy("seed").agg(by_sample.alias("s"), F.max_by("mean", -F.col("sample")).alias("m"))
+    pick = lambda name: F.transform("s", lambda x: x[name].cast("double")).alias(name)
+    rows = rows.select("seed", "m", pick("mean"), pick("lo"), pick("hi"))
+    places = F.sequence(F.lit(0), F.size("mean") - 1)
+    # a's narrowest bound sample; where it is low in all, b lies below its own mean in the first
+    bound = F.filter(F.transform(places, lambda k: F.struct((F.greatest(F.get("hi", k) - F.get("lo", k), F.lit(0.0)) / F.get(widths, k)).alias("part"), k.alias("k"), F.get("lo", k).alias("lo"), F.get("hi", k).alias("hi"), F.get("mean", k).alias("mean"))), lambda x: x["mean"] >= coverage.LOW)
+    low = F.struct(F.lit(0.0).alias("part"), F.lit(0).alias("k"), F.least(F.lit(0.0), F.get("mean", F.lit(0))).alias("lo"), F.get("mean", F.lit(0)).alias("hi"), F.get("mean", F.lit(0)).alias("mean"))
+    cell = lambda x, k: F.floor(x / F.get(widths, k)).cast("long")
+    a = rows.withColumn("c", F.coalesce(F.get(F.array_sort(bound), F.lit(0)), low)).select(*[F.col(c).alias(f"a_{c}") for c in rows.columns], F.col("c.k").alias("k"), cell(F.col("c.lo"), F.col("c.k")).alias("a_first"), cell(F.greatest("c.lo", "c.hi"), F.col("c.k")).alias("a_last"))
+    a = a.withColumn("cell", F.explode(F.sequence("a_first", "a_last")))
+    # a mean may lie outside its interval
+    b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], F.explode(places).alias("k"))
+    b = b.withColumn("b_first", cell(F.least(F.get("b_lo", F.col("k")), F.get("b_mean", F.col("k"))), F.col("k"))).withColumn("b_last", cell(F.greatest(F.get("b_hi", F.col("k")), F.get("b_mean", F.col("k"))), F.col("k")))
+    b = b.withColumn("cell", F.explode(F.sequence("b_first", "b_last")))
+    earlier = (F.col("a_m") > F.col("b_m")) | ((F.col("a_m") == F.col("b_m")) & (F.col("a_seed") < F.col("b_seed")))
+    pairs = a.join(b, ["k", "cell"]).where(earlier & (F.col("cell") == F.greatest("a_first", "b_first")))
+    each = F.arrays_zip("a_mean", "a_lo", "a_hi", "b_mean", "b_lo", "b_hi")
+    inside = lambda x: (x["a_mean"] < coverage.LOW) | ((x["b_mean"] >= x["a_lo"]) & (x["b_mean"] <= x["a_hi"]))
+    fits = F.forall(each, lambda x: inside(x) | coverage.overlap(x["a_lo"], x["a_hi"], x["b_lo"], x["b_hi"]))
+    distance = F.aggregate(each, F.lit(0.0), lambda s, x: s + (x["a_mean"] - x["b_mean"]) * (x["a_mean"] - x["b_mean"]))
+    return pairs.where(fits).select(F.col("a_seed").alias("a"), F.col("b_seed").alias("b"), F.col("a_m").alias("ra"), F.forall(each, inside).alias("inside"), distance.alias("distance"))
+
+
 def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs: DataFrame, most_duplicates: int, guard: str = "twice", small: DataFrame | None = None) -> DataFrame:
     """``(a, b, inside, p, distance)``, a before b by mean: pairs that may merge.
 
@@ -43,16 +78,7 @@ def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs
     sample (inside) or their intervals overlap.  With ``small(seed)``, those clusters merge
     whatever the correlation, and only the mean inside counts.
     """
-    rank = intervals.groupBy("seed").agg(F.max_by("mean", -F.col("sample")).alias("m"))
-    x = intervals.select(F.col("seed").alias("a"), "sample", F.col("mean").alias("ma"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    y = intervals.select(F.col("seed").alias("b"), "sample", F.col("mean").alias("mb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    free = F.col("ma") < coverage.LOW
-    inside = free | ((F.col("mb") >= F.col("la")) & (F.col("mb") <= F.col("ha")))
-    fits = inside | coverage.overlap(F.col("la"), F.col("ha"), F.col("lb"), F.col("hb"))
-    pairs = x.join(y, "sample").where(fits & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("k"), F.min(inside.cast("int")).alias("inside"), F.sum((F.col("ma") - F.col("mb")) ** 2).alias("distance"))
-    samples = intervals.groupBy("seed").agg(F.count("*").alias("samples")).withColumnRenamed("seed", "a")
-    pairs = pairs.join(samples, "a").where("k = samples").drop("k", "samples")
-    pairs = pairs.join(rank.withColumnsRenamed({"seed": "a", "m": "ra"}), "a").join(rank.withColumnsRenamed({"seed": "b", "m": "rb"}), "b").where((F.col("ra") > F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("a") < F.col("b"))))
+    pairs = meeting(intervals)
     shared = markers.shared_genes(copied)
     shared = shared.unionByName(shared.withColumnsRenamed({"a": "x", "b": "a"}).withColumnsRenamed({"x": "b"}))
     own = copied.groupBy("seed").agg(F.count(F.when(F.col("copies") > 1, 1)).alias("own"))
@@ -62,33 +88,34 @@ def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs
     enough = F.col("cor") >= F.col("cutoff")
     if small is not None:
         flag = lambda c: small.select(F.col("seed").alias(c), F.lit(True).alias(f"small_{c}"))
-        scored = scored.where("inside = 1").join(flag("a"), "a", "left").join(flag("b"), "b", "left")
+        scored = scored.where("inside").join(flag("a"), "a", "left").join(flag("b"), "b", "left")
         enough = F.coalesce(enough, F.lit(False)) | F.col("small_a").isNotNull() | F.col("small_b").isNotNull()
-    return scored.where(enough).select("a", "b", "ra", (F.col("inside") == 1).alias("inside"), "p", "distance")
+    return scored.where(enough).select("a", "b", "ra", "inside", "p", "distance")
 
 
-def choices(rows: list, farthest: bool = True) -> dict[str, str]:
-    """Of candidate pairs the merges of one round, b to a: leads by mean, each takes one partner that is still free.
+def matched(pairs: DataFrame, farthest: bool = True, max_rounds: int = 1000) -> DataFrame:
+    """Of candidate pairs ``(a, b, ra, inside, p, distance)`` the merges of one round, ``(seed, to)``, one partner for each lead.
 
-    Partners with their mean inside come first, the most alike one; of others the farthest
-    (as the pipeline has always had it) or the nearest.
+    Leads come by mean, then by name, and each takes one partner that is still free, unless
+    it was taken itself.  Partners with their mean inside come first, the most alike one; of
+    others the farthest (as the pipeline has always had it) or the nearest.  A lead that no
+    open one before it wants, and whose best free partner none of these wants, chooses at
+    once, so the choices are those of one pass, in as many waves as these wait for each other.
     """
-    gone: dict[str, str] = {}
-    taken: set[str] = set()
-    by_lead: dict[str, list] = {}
-    for r in rows:
-        by_lead.setdefault(r["a"], []).append(r)
-    for a in sorted(by_lead, key=lambda a: (-by_lead[a][0]["ra"], a)):
-        if a in gone:
-            continue
-        free = [r for r in by_lead[a] if r["b"] not in gone and r["b"] not in taken]
-        own = [r for r in free if r["inside"]]
-        sign = -1 if farthest else 1
-        best = min(own, key=lambda r: (-(r["p"] or 0.0), r["b"]), default=None) or min(free, key=lambda r: (sign * r["distance"], r["b"]), default=None)
-        if best is not None:
-            gone[best["b"]] = a
-            taken.add(a)
-    return gone
+    far = F.when(F.col("inside"), -F.coalesce("p", F.lit(0.0))).otherwise(F.col("distance") * (-1 if farthest else 1))
+    left = pairs.select("a", "b", F.struct((-F.col("ra")).alias("m"), F.col("a").alias("name")).alias("lead"), F.struct((~F.col("inside")).alias("out"), far.alias("far"), F.col("b").alias("name")).alias("order")).checkpoint()
+    found = left.select(F.col("b").alias("seed"), F.col("a").alias("to")).limit(0)
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            return found
+        best = left.groupBy("a", "lead").agg(F.min_by("b", "order").alias("b"))
+        wanted = left.groupBy("b").agg(F.min("lead").alias("first"))
+        free = best.join(wanted.select(F.col("b").alias("a")), "a", "left_anti")
+        new = free.join(wanted, "b").where(F.col("first") == F.col("lead")).select("a", "b").checkpoint()
+        found = found.unionByName(new.select(F.col("b").alias("seed"), F.col("a").alias("to")))
+        gone = new.select(F.col("b").alias("gone"))
+        left = left.join(new.select("a"), "a", "left_anti").join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti").checkpoint()
+    raise RuntimeError(f"leads still wait for each other after {max_rounds} waves")
 
 
 def merged(
@@ -101,8 +128,7 @@ def merged(
     of many marker sequences have vectors and intervals from those; clusters shorter than
     ``small_below`` merge whatever their correlation, if their mean lies inside.
     """
-    spark = assigned.sparkSession
-    shared_folder(spark)
+    shared_folder(assigned.sparkSession)
     state = assigned.select("id", "seed").checkpoint()
     for _ in range(max_rounds):
         if dispersions is None:
@@ -115,10 +141,8 @@ def merged(
         small = None
         if small_below is not None:
             small = state.join(lengths, "id").groupBy("seed").agg(F.sum("length").alias("size")).where(F.col("size") < small_below).select("seed")
-        found = candidates(intervals, comp, markers.copies(genes, state), cutoffs, most_duplicates, guard, small).collect()  # pairs of clusters
-        moves = choices(found)
-        if not moves:
+        moves = matched(candidates(intervals, comp, markers.copies(genes, state), cutoffs, most_duplicates, guard, small)).checkpoint()
+        if moves.isEmpty():
             return state
-        table = spark.createDataFrame([*moves.items()], "seed string, to string")
-        state = state.join(table, "seed", "left").select("id", F.coalesce("to", "seed").alias("seed")).checkpoint()
+        state = state.join(moves, "seed", "left").select("id", F.coalesce("to", "seed").alias("seed")).checkpoint()
     raise RuntimeError(f"clusters still merge after {max_rounds} rounds")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillbin.functions import sequences as seqs
 from quillbin.functions import statistics as st
-from quillbin.operators import coverage, evaluation, markers, naive_bayes, seeds
+from quillbin.operators import coverage, evaluation, markers, merging, naive_bayes, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -495,3 +495,52 @@ def packing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source with alike numbers of words and lengths, until 10,000 letters are together."""
     return seeds.packed(packing_rows(spark, sf_dir)).select("seed", "lead", F.array_join("members", ";").alias("members"), "length")
+
+
+# --- merging ------------------------------------------------------------------------------
+
+
+def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as clusters: in three samples, the flags of their lines, the mean quantity and an interval about it."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("seed"), F.ascii("l_returnflag").alias("sample"), F.col("l_quantity").cast("double").alias("q"))
+    mean = line.groupBy("seed", "sample").agg(F.round(F.avg("q"), 6).alias("mean"))
+    whole = mean.join(mean.groupBy("seed").agg(F.count("*").alias("k")).where("k = 3").select("seed"), "seed", "left_semi")
+    return whole.select("seed", "sample", "mean", F.round(F.col("mean") * 0.985, 6).alias("lo"), F.round(F.col("mean") * 1.015, 6).alias("hi"))
+
+
+def month_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seed, e)``: the part of a supplier's lines in each month, less a twelfth."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("seed"), F.month("l_shipdate").alias("month"))
+    part = lambda m: F.round(F.count(F.when(F.col("month") == m, 1)) / F.count("*") - 1 / 12, 9)
+    return line.groupBy("seed").agg(F.array(*map(part, range(1, 13))).alias("e"))
+
+
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose intervals meet and whose vectors correlate by a half or more."""
+    vectors = month_vectors(spark, sf_dir).withColumn("ss", seqs.dot(F.col("e"), F.col("e")))
+    pairs = merging.meeting(cluster_rows(spark, sf_dir))
+    for c in ("a", "b"):
+        pairs = pairs.join(vectors.select(F.col("seed").alias(c), F.col("e").alias(f"e{c}"), F.col("ss").alias(f"s{c}")), c)
+    cor = F.round(seqs.correlation(F.col("ea"), F.col("eb"), F.col("sa"), F.col("sb")), 9)
+    return pairs.select("a", "b", "ra", "inside", cor.alias("p"), F.round("distance", 9).alias("distance")).where("p >= 0.5")
+
+
+@query()
+def merge_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of merges: which suppliers go to which, by coverage and likeness; a test has the sequential pass."""
+    seeds.shared_folder(spark)
+    return merging.matched(merge_candidates(spark, sf_dir))
+
+
+@query("""
+WITH m AS (SELECT CAST(l_suppkey AS VARCHAR) AS seed, ascii(l_returnflag) AS sample, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS mean FROM lineitem GROUP BY ALL),
+i AS (SELECT seed, sample, mean, round(mean * 0.985, 6) AS lo, round(mean * 1.015, 6) AS hi FROM m WHERE seed IN (SELECT seed FROM m GROUP BY seed HAVING count(*) = 3)),
+r AS (SELECT seed, arg_max(mean, -sample) AS top FROM i GROUP BY seed)
+SELECT a, b, inside, round(distance, 6) AS distance FROM (
+  SELECT x.seed AS a, y.seed AS b, bool_and(x.mean < 5 OR (y.mean >= x.lo AND y.mean <= x.hi)) AS inside, sum((x.mean - y.mean) * (x.mean - y.mean)) AS distance,
+    bool_and(x.mean < 5 OR (y.mean >= x.lo AND y.mean <= x.hi) OR (y.lo < x.hi AND y.hi > x.lo)) AS fits
+  FROM i x JOIN i y USING (sample) JOIN r ra ON ra.seed = x.seed JOIN r rb ON rb.seed = y.seed
+  WHERE ra.top > rb.top OR (ra.top = rb.top AND x.seed < y.seed) GROUP BY ALL) WHERE fits""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of suppliers whose intervals meet in all samples."""
+    return rounded(merging.meeting(cluster_rows(spark, sf_dir)), "distance").select("a", "b", "inside", "distance")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from quillbin.functions.sequences import FOURMERS, zscores, zscores_of
-from quillbin.operators import composition, merging, splitting
+from quillbin.operators import composition, splitting
 from quillbin.plans import binning
 
 
@@ -63,12 +63,6 @@ def test_counts_of_one_strand_give_the_same_scores():
     assert len(FOURMERS) == 256
 
 
-def test_choices():
-    rows = [{"a": "x", "b": "y", "ra": 9.0, "inside": False, "p": 0.9, "distance": 1.0}, {"a": "x", "b": "z", "ra": 9.0, "inside": False, "p": 0.9, "distance": 2.0}, {"a": "y", "b": "z", "ra": 8.0, "inside": True, "p": 0.2, "distance": 1.0}]
-    assert merging.choices(rows) == {"z": "x"}
-    assert merging.choices(rows, farthest=False) == {"y": "x"}
-
-
 def test_a_cluster_of_two_species_is_split(spark):
     rnd = random.Random(12)
     rows, genes = [], []
