@@ -2,9 +2,10 @@
 
 ``postings`` makes the index: tasks count the terms of their documents and give one block
 of each term, so a frequent term is many blocks of a bounded size and never one row, and
-the blocks are dealt out and sorted by the bucket of their term.  ``search`` joins the
-blocks of the queries' terms, deals their entries out by document, scores each match in
-64-bit integers, sums the scores of a query and a document, and ranks them.
+the blocks are dealt out and sorted by the bucket of their term.  Blocks of the empty term,
+in a bucket of their own, list the documents themselves.  ``search`` joins the blocks of the
+queries' terms, deals their entries out by document, scores each match in 64-bit integers,
+sums the scores of a query and a document, and ranks them.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark.sql import Window as W
 
 from quillbin.llm.common import lean, materialize, table
 
-#: Buckets of terms, best documents of a query.
-BUCKETS, BEST = 64, 50
+#: Buckets of terms, that of the documents, best documents of a query.
+BUCKETS, DOCUMENTS, BEST = 64, -1, 50
 #: Bytes of text after which a task gives its blocks, and most entries of a block.
-BLOCK_BYTES, BLOCK_ENTRIES = 16 << 20, 65_536
+BLOCK_BYTES, BLOCK_ENTRIES = 32 << 20, 65_536
 #: Places of documents within one task.
 PLACES = 1 << 40
-SCHEMA = "bucket int, term string, rows array<long>, ids array<long>, counts array<int>, sizes array<long>, entries long, first long, occurrences long"
+#: Documents are at ``base + rows``; counts: occurrences of the term, or of all terms where it is the empty one, which alone has ids.
+SCHEMA = "bucket int, term string, base long, rows array<int>, counts array<int>, ids array<long>"
 
 #: ASCII letters and digits, in lower case, and all other bytes of UTF-8; the rest are blanks.
 KEPT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -43,38 +45,41 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
 
 
 class Blocks:
-    """Postings of some documents, each term's entries in the order of the documents."""
+    """Postings of the documents from place ``base`` on, each term's entries in their order."""
 
-    def __init__(self) -> None:
-        self.entries: list[tuple[dict[bytes, int], int, int | None, int]] = []
-        self.bytes = 0
+    def __init__(self, base: int) -> None:
+        self.base, self.rows, self.bytes = base, 0, 0
+        self.entries: list[tuple[int, int | None, Counter[bytes], int]] = []
 
-    def add(self, text: str | None, row: int, doc_id: int | None) -> None:
+    def add(self, text: str | None, doc_id: int | None) -> None:
         own = terms(text)
         if own:
-            self.entries.append((Counter(own), row, doc_id, len(own)))
+            self.entries.append((self.rows, doc_id, Counter(own), len(own)))
             self.bytes += len(text or "")
+        self.rows += 1
 
     def batch(self) -> pa.RecordBatch:
-        """Columns of SCHEMA but the bucket; ``first``: documents whose first term it is, so that these add up to all documents."""
-        size = np.array([len(c) for c, *_ in self.entries], np.int64)
-        flat = pa.array([t for c, *_ in self.entries for t in c], pa.binary()).dictionary_encode()
+        """Columns of SCHEMA but the bucket: the documents, then a block for each term, cut at BLOCK_ENTRIES."""
+        size = np.array([len(c) for _, _, c, _ in self.entries], np.int64)
+        place = np.array([e[0] for e in self.entries], np.int32)
+        flat = pa.array([t for _, _, c, _ in self.entries for t in c], pa.binary()).dictionary_encode()
         code = np.asarray(flat.indices).astype(np.int64)
-        count = np.fromiter((n for c, *_ in self.entries for n in c.values()), np.int64, len(code))
-        doc = np.repeat(np.arange(len(size)), size)
-        first = np.zeros(len(code), np.int64)
-        first[np.cumsum(size) - size] = 1
+        count = np.fromiter((n for _, _, c, _ in self.entries for n in c.values()), np.int32, len(code))
         order = np.argsort(code, kind="stable")
-        c = code[order]
-        place = np.arange(len(c)) - np.repeat(start := np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))), np.diff(np.append(start, len(c))))
-        start = np.flatnonzero(place % BLOCK_ENTRIES == 0)
-        offsets = pa.array(np.append(start, len(c)).astype(np.int32))
-        lists = lambda values: pa.ListArray.from_arrays(offsets, values)
-        rows, sizes = (np.array([e[k] for e in self.entries], np.int64)[doc[order]] for k in (1, 3))
-        ids = pa.array([e[2] for e in self.entries], pa.int64()).take(pa.array(doc[order]))
-        names = flat.dictionary.take(pa.array(c[start])).cast(pa.string())
-        sums = [np.add.reduceat(x[order], start) for x in (np.ones_like(code), first, count)]
-        return pa.RecordBatch.from_arrays([names, lists(pa.array(rows)), lists(ids), lists(pa.array(count[order].astype(np.int32))), lists(pa.array(sizes)), *map(pa.array, sums)], ["term", "rows", "ids", "counts", "sizes", "entries", "first", "occurrences"])
+        # the documents' entries come first, with the number of no term
+        key = np.concatenate((np.full(len(size), -1), code[order]))
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        nth = np.arange(len(key)) - np.repeat(begins, np.diff(np.append(begins, len(key))))
+        start = np.flatnonzero(nth % BLOCK_ENTRIES == 0)
+        offsets = pa.array(np.append(start, len(key)).astype(np.int32))
+        documents = key[start] < 0
+        names = pa.concat_arrays([pa.array([""] * int(documents.sum())), flat.dictionary.take(pa.array(key[start[~documents]])).cast(pa.string())])
+        rows = np.concatenate((place, np.repeat(place, size)[order]))
+        counts = np.concatenate((np.array([e[3] for e in self.entries], np.int32), count[order]))
+        id_of = pa.array([e[1] for e in self.entries], pa.int64())
+        ids = [id_of.slice(i, BLOCK_ENTRIES).to_pylist() if d else None for i, d in zip(start.tolist(), documents.tolist(), strict=True)]
+        lists = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values))
+        return pa.RecordBatch.from_arrays([names, pa.array([self.base] * len(start), pa.int64()), lists(rows), lists(counts), pa.array(ids, pa.list_(pa.int64()))], ["term", "base", "rows", "counts", "ids"])
 
 
 def postings(docs: DataFrame, buckets: int = BUCKETS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -86,20 +91,20 @@ def postings(docs: DataFrame, buckets: int = BUCKETS, block_bytes: int = BLOCK_B
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, held = TaskContext.get().partitionId() * PLACES, Blocks()
+        held = Blocks(TaskContext.get().partitionId() * PLACES)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.add(text.as_py(), row, doc_id)
-                row += 1
+                held.add(text.as_py(), doc_id)
                 if held.bytes >= block_bytes:
                     yield held.batch()
-                    held = Blocks()
+                    held = Blocks(held.base + held.rows)
         if held.entries:
             yield held.batch()
 
     blocks = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SCHEMA.removeprefix("bucket int, "))
+    bucket = F.when(F.col("term") == "", DOCUMENTS).otherwise(bucket_of(F.col("term"), buckets))
     # blocks of one bucket come together, and a bucket that is too large for a task is cut by the size of its parts
-    dealt = blocks.select(bucket_of(F.col("term"), buckets).alias("bucket"), "*").hint("rebalance", "bucket")
+    dealt = blocks.select(bucket.alias("bucket"), "*").hint("rebalance", "bucket")
     return materialize(dealt.sortWithinPartitions("bucket", "term"), "postings", "zstd")
 
 
@@ -116,7 +121,8 @@ def search(index: DataFrame, queries: DataFrame, best: int = BEST, buckets: int
     ``m = 50 + (50 size N) div L``.  Rows of one item_id, null as well, are one item; an item
     without a known term has no row.  Products stay below 2^63 for ``size * N`` below 10^17.
     """
-    total = index.agg(F.sum("first").alias("n"), F.sum("occurrences").alias("l")).first()
+    docs = index.where(F.col("bucket") == DOCUMENTS)
+    total = docs.agg(F.sum(F.size("rows")).alias("n"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("l")).first()
     n, length = total["n"] or 0, total["l"] or 1
     words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
     # small tables of known size, so that Spark broadcasts them only below its threshold
@@ -124,13 +130,14 @@ def search(index: DataFrame, queries: DataFrame, best: int = BEST, buckets: int
     wanted = items.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term").distinct()
     hit = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most as many as buckets
     index = index.where(F.col("bucket").isin(hit))
-    found = index.select("bucket", "term", "entries").join(wanted, ["bucket", "term"]).groupBy("bucket", "term").agg(F.sum("entries").alias("entries"))
-    weighted = materialize(found.select("bucket", "term", weight(n, F.col("entries")).alias("w")).where("w > 0"), "weights")
-    entries = index.select("bucket", "term", F.explode(F.arrays_zip("rows", "ids", "counts", "sizes")).alias("e")).join(weighted, ["bucket", "term"])
-    sized = entries.select(F.col("e.rows").alias("row"), F.col("e.ids").alias("doc_id"), "term", "w", F.col("e.counts").cast("long").alias("tf"), F.expr(f"50 + (50L * e.sizes * {n}L) div {length}L").alias("m"))
-    scored = sized.select("row", "doc_id", "term", (F.col("w") * F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)")).alias("part")).where("part > 0")
-    # a document's matches come together in one place, whatever the item
-    sums = scored.repartition(F.col("row")).join(items, "term").groupBy("item_id", "row", "doc_id").agg(F.sum("part").alias("score"))
+    own = index.where(F.col("bucket").isin(hit)).join(wanted, ["bucket", "term"])
+    found = own.groupBy("term").agg(F.sum(F.size("rows")).alias("entries"))
+    weighted = materialize(items.join(found, "term").select("item_id", "term", weight(n, F.col("entries")).alias("w")).where("w > 0"), "weights")
+    entries = own.select("term", "base", F.explode(F.arrays_zip("rows", "counts")).alias("e")).select((F.col("base") + F.col("e.rows")).alias("row"), "term", F.col("e.counts").cast("long").alias("tf"))
+    sized = docs.select("base", F.explode(F.arrays_zip("rows", "counts", "ids")).alias("e")).select((F.col("base") + F.col("e.rows")).alias("row"), F.col("e.ids").alias("doc_id"), F.expr(f"50 + (50L * e.counts * {n}L) div {length}L").alias("m"))
+    # entries and documents meet by place, in parts of documents, and a document's matches stay where they are
+    matched = entries.join(sized.hint("shuffle_hash"), "row").select("row", "doc_id", "term", F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)").alias("part"))
+    sums = matched.join(weighted, "term").groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score")).where("score > 0")
     place = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row"))
     return sums.withColumn("rank", place).where(F.col("rank") <= best).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
