@@ -234,19 +234,19 @@ def links(points: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
             a, b = tree_links(p["cell"].to_numpy(), p["query"].to_numpy(), p["node"].to_numpy(), p["simhash"].to_numpy().view(np.uint64), p["id"].to_numpy(), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
-    return dealt(rows, block).mapInPandas(lean(run), "a long, b long")
+    return dealt(rows, points.count() * math.comb(groups, AGREE), block).mapInPandas(lean(run), "a long, b long")
 
 
-def dealt(rows: DataFrame, block: int, task_rows: int = TASK_ROWS) -> DataFrame:
-    """``rows(..., id, shard)`` to cells of at most two blocks of a shard: ``(..., id, cell, node, query)``.
+def dealt(rows: DataFrame, n_rows: int, block: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``rows(..., id, shard)``, ``n_rows`` of them, to cells of at most two blocks of a shard: ``(..., id, cell, node, query)``.
 
     A block's tree is sent to each block of queries of its shard: block i is dealt to the
     pairs (i, j) and (j, i).  There are as many tasks as ``task_rows`` rows each need.
     """
     own = [c for c in rows.columns if c != "shard"]
-    counted = checkpoint(rows.groupBy("shard").count().where("count > 1").withColumn("n", F.ceil(F.col("count") / block).cast("int")))
-    tasks = max(1, -(-(counted.agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0) // task_rows))
-    blocks = counted.where("n > 1").select("shard", "n")
+    large = checkpoint(rows.groupBy("shard").count().where(F.col("count") > block).withColumn("n", F.ceil(F.col("count") / block).cast("int")))
+    more = large.agg(F.sum(F.col("count") * (F.col("n") - 1))).first()[0] or 0
+    tasks, blocks = max(1, -(-(n_rows + more) // task_rows)), large.select("shard", "n")
     rows = rows.join(blocks, "shard", "left").withColumn("i", F.coalesce(F.pmod(F.xxhash64("id"), F.col("n")).cast("int"), F.lit(0)))
     each = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("tree"), F.greatest("i", j).alias("query")))).otherwise(F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("query"))))
     rows = rows.select(*own, "shard", "i", F.explode(each).alias("p"))
@@ -360,7 +360,7 @@ def similar_links(points: DataFrame, own: Plan, folder: str, words: int, similar
             yield pd.DataFrame({"a": a, "b": b})
 
     rows = points.select("prints", "id", "place").mapInPandas(lean(emit), f"id long, place long, {', '.join(f'{c} long' for c in near)}, shard long")
-    return dealt(rows, block).mapInPandas(lean(run), "a long, b long").distinct()
+    return dealt(rows, points.count() * own.bands, block).mapInPandas(lean(run), "a long, b long").distinct()
 
 
 def similar_rows(parts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -64,13 +64,13 @@ def test_tasks_follow_the_rows(spark):
     """Many small blocks in few shuffle partitions: no task gets more than its rows, and none is lost."""
     points = spark.range(20_000).select(F.xxhash64("id").alias("simhash"), "id")
     rows = points.select("simhash", "id", (F.col("id") % 3).alias("shard"))
-    cells = simhash.dealt(rows, 500, task_rows=4_000)
+    cells = simhash.dealt(rows, 20_000, 500, task_rows=4_000)
     sizes = [r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect()]
     assert cells.count() == sum(n * -(-n // 500) for n in (6667, 6667, 6666))
     assert cells.rdd.getNumPartitions() == -(-cells.count() // 4_000)
     assert max(sizes) < 4 * 4_000
     one = spark.createDataFrame([(1, 1, 7), (2, 2, 8)], "simhash long, id long, shard long")
-    assert simhash.dealt(one, 4).count() == 2
+    assert simhash.dealt(one, 2, 4).count() == 2
 
 
 def test_all_rows_come_back(odd_docs, odd_rows):
