@@ -26,6 +26,8 @@ from quillbin.llm.common import lean, materialize, table
 BUCKETS, DOCUMENTS, BEST = 64, -1, 50
 #: Bytes of text after which a task gives its blocks, and most entries of a block.
 BLOCK_BYTES, BLOCK_ENTRIES = 32 << 20, 65_536
+#: Entries of queries' terms that a task scores.
+TASK_ENTRIES = 500_000
 #: Places of documents within one task.
 PLACES = 1 << 40
 #: Documents are at ``base + rows``; counts: occurrences of the term, or of all terms where it is the empty one, which alone has ids.
@@ -103,8 +105,10 @@ def postings(docs: DataFrame, buckets: int = BUCKETS, block_bytes: int = BLOCK_B
 
     blocks = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SCHEMA.removeprefix("bucket int, "))
     bucket = F.when(F.col("term") == "", DOCUMENTS).otherwise(bucket_of(F.col("term"), buckets))
-    # blocks of one bucket come together, and a bucket that is too large for a task is cut by the size of its parts
-    dealt = blocks.select(bucket.alias("bucket"), "*").hint("rebalance", "bucket")
+    # as many tasks as texts are read in; where these are more than buckets, a bucket is cut by the blocks' documents
+    tasks = max(1, docs.rdd.getNumPartitions())
+    part = F.pmod(F.xxhash64("base"), F.lit(-(-tasks // buckets)))
+    dealt = blocks.select(bucket.alias("bucket"), "*").repartition(tasks, "bucket", part)
     return materialize(dealt.sortWithinPartitions("bucket", "term"), "postings", "zstd")
 
 
@@ -131,12 +135,13 @@ def search(index: DataFrame, queries: DataFrame, best: int = BEST, buckets: int
     hit = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most as many as buckets
     index = index.where(F.col("bucket").isin(hit))
     own = index.where(F.col("bucket").isin(hit)).join(wanted, ["bucket", "term"])
-    found = own.groupBy("term").agg(F.sum(F.size("rows")).alias("entries"))
+    found = materialize(own.groupBy("term").agg(F.sum(F.size("rows").cast("long")).alias("entries")), "frequencies")
+    tasks = max(1, -(-(found.agg(F.sum("entries")).first()[0] or 0) // TASK_ENTRIES))
     weighted = materialize(items.join(found, "term").select("item_id", "term", weight(n, F.col("entries")).alias("w")).where("w > 0"), "weights")
     entries = own.select("term", "base", F.explode(F.arrays_zip("rows", "counts")).alias("e")).select((F.col("base") + F.col("e.rows")).alias("row"), "term", F.col("e.counts").cast("long").alias("tf"))
     sized = docs.select("base", F.explode(F.arrays_zip("rows", "counts", "ids")).alias("e")).select((F.col("base") + F.col("e.rows")).alias("row"), F.col("e.ids").alias("doc_id"), F.expr(f"50 + (50L * e.counts * {n}L) div {length}L").alias("m"))
-    # entries and documents meet by place, in parts of documents, and a document's matches stay where they are
-    matched = entries.join(sized.hint("shuffle_hash"), "row").select("row", "doc_id", "term", F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)").alias("part"))
+    # entries and documents meet by place, in parts of documents of even size, and a document's matches stay where they are
+    matched = entries.repartition(tasks, "row").join(sized.repartition(tasks, "row").hint("shuffle_hash"), "row").select("row", "doc_id", "term", F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)").alias("part"))
     sums = matched.join(weighted, "term").groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score")).where("score > 0")
     place = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row"))
     return sums.withColumn("rank", place).where(F.col("rank") <= best).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
