@@ -40,14 +40,6 @@ def window_means(depths: DataFrame) -> DataFrame:
     return rows.select("id", "sample", "mean", windows.alias("windows"))
 
 
-def piece_depth(pieces: DataFrame, parents: DataFrame) -> DataFrame:
-    """``pieces(id, parent, seq)`` in ``parents(parent, seq, depths)``: the mean depth of the piece at its first place in the parent, of all of it where it is not found."""
-    rows = pieces.join(parents.withColumnRenamed("seq", "whole"), "parent")
-    at = F.expr("locate(seq, whole)")
-    part = F.when(at > 0, F.slice("depths", F.greatest(at, F.lit(1)), F.length("seq"))).otherwise(F.col("depths"))
-    return rows.select("id", "parent", mean(part).alias("mean"))
-
-
 def numbered(rows: DataFrame, order: str, by: Sequence[str] = (), ties: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds ``n``, each row's place from 1 in the order of a column, then of ``ties``, for itself in each group of ``by``.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillbin.functions import sequences as seqs
 from quillbin.functions import statistics as st
-from quillbin.operators import coverage, evaluation, markers, merging, naive_bayes, seeds
+from quillbin.operators import coverage, depth, evaluation, markers, merging, naive_bayes, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -419,6 +419,22 @@ def piece_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("user_id", F.floor((F.col("n") - 1) / 5).alias("piece")).agg(F.avg("value").alias("mean")), "mean")
 
 
+@query("""
+WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[^ATGCatgc]', '', 'g')) AS seq FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, seq, unnest(range(0, length(seq), 200)) AS cut FROM d WHERE seq <> ''), c AS (SELECT doc_id, seq, cut // 200 AS piece, substr(seq, cut + 1, 200) AS part FROM p),
+f AS (SELECT doc_id, piece, length(part) AS n, strpos(seq, part) AS place FROM c)
+SELECT doc_id, piece, CAST(place AS BIGINT) AS place, round(list_avg(list_transform(range(place, place + n), lambda x: (x * 37 + doc_id) % 61)), 6) AS mean FROM f""")
+def piece_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 200 letters of a document are a piece, which may stand in it before; depths are a rule of the place."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("parent"), seqs.cleaned(F.col("text")).alias("seq")).where("seq <> ''")
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 200)))
+    pieces = docs.select("parent", "seq", at.alias("id")).select("id", "parent", F.substring("seq", (F.col("id") * 200 + 1).cast("int"), F.lit(200)).alias("seq"))
+    depths = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda x: ((x * 37 + F.col("parent")) % 61).cast("double"))
+    whole = docs.withColumn("position", F.lit(1).cast("long"))
+    found = depth.piece_means(pieces, whole, whole.select("parent", "position", depths.alias("depths")))
+    return rounded(found.select(F.col("parent").alias("doc_id"), F.col("id").alias("piece"), "place", "mean"), "mean")
+
+
 @query("""
 WITH a AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_type = 'click'), b AS (SELECT value AS other, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_type = 'view')
 SELECT n, event_id, value, other FROM a JOIN b USING (n)""")
