@@ -37,24 +37,35 @@ def main_species(matrix: DataFrame) -> DataFrame:
     return first_of(by_bin, ["species"], -F.col("length"), F.col("bin"))
 
 
-def per_species(matrix: DataFrame) -> DataFrame:
-    """``(species, bin, precision, sensitivity, assigned)`` in percent, for species that are the main one of some bin."""
-    whole = matrix.groupBy("species").agg(F.sum("length").alias("total"), F.sum(F.when(F.col("bin") == UNASSIGNED, F.col("length")).otherwise(0)).alias("unassigned"))
-    rows = main_species(matrix).join(whole, "species")
+def wholes(matrix: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``(species, total, unassigned)``; total: letters of ``wanted(species, length)`` where it is given, else of all."""
+    out = matrix.groupBy("species").agg(F.sum("length").alias("total"), F.sum(F.when(F.col("bin") == UNASSIGNED, F.col("length")).otherwise(0)).alias("unassigned"))
+    if wanted is None:
+        return out
+    return out.drop("total").join(wanted.groupBy("species").agg(F.sum("length").alias("total")), "species", "left")
+
+
+def per_species(matrix: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``(species, bin, precision, sensitivity, assigned)`` in percent, for species that are the main one of some bin.
+
+    wanted: see ``wholes``; sensitivity and assigned are of its letters, and null where it has none.
+    """
+    rows = main_species(matrix).join(wholes(matrix, wanted), "species")
     n = F.col("length")
     return rows.select(
         "species", "bin", percent(n, F.col("bin_length")).alias("precision"), percent(n, F.col("total")).alias("sensitivity"), percent(F.col("total") - F.col("unassigned"), F.col("total")).alias("assigned")
     )
 
 
-def overall(matrix: DataFrame) -> DataFrame:
-    """One row ``(performance, precision, sensitivity, assigned)`` in percent."""
-    total = matrix.agg(F.sum("length").alias("total"), F.sum(F.when(F.col("bin") == UNASSIGNED, F.col("length")).otherwise(0)).alias("unassigned"))
-    best = matrix.where(F.col("bin") != UNASSIGNED).groupBy("bin").agg(F.max("length").alias("most")).agg(F.sum("most").alias("most"))
+def overall(matrix: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """One row ``(performance, precision, sensitivity, assigned)`` in percent; all but precision, which is of the letters in bins, of ``wanted``'s letters where it is given (see ``wholes``)."""
+    own = matrix.where(F.col("bin") != UNASSIGNED)
+    total = wholes(matrix, wanted).agg(F.sum("total").alias("total"), F.sum("unassigned").alias("unassigned"))
+    best = own.groupBy("bin").agg(F.max("length").alias("most"), F.sum("length").alias("inside")).agg(F.sum("most").alias("most"), F.sum("inside").alias("inside"))
     main = main_species(matrix).agg(F.sum("length").alias("kept"), F.sum(F.col("length") * F.col("length") / F.col("bin_length")).alias("weighted"))
     one = total.crossJoin(best).crossJoin(main)  # three rows of one
     inside = F.col("total") - F.col("unassigned")
-    return one.select(percent(F.col("weighted"), F.col("total")).alias("performance"), percent(F.col("most"), inside).alias("precision"), percent(F.col("kept"), F.col("total")).alias("sensitivity"), percent(inside, F.col("total")).alias("assigned"))
+    return one.select(percent(F.col("weighted"), F.col("total")).alias("performance"), percent(F.col("most"), F.col("inside")).alias("precision"), percent(F.col("kept"), F.col("total")).alias("sensitivity"), percent(inside, F.col("total")).alias("assigned"))
 
 
 def one_genome(bins: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillbin.functions.sequences import cleaned
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).where(F.length(F.trim("value")) > 0)
 
 
@@ -99,14 +99,19 @@ def pinned_seeds(spark: SparkSession, path: str, with_line: bool = False) -> Dat
 
 
 def coords(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment coordinates: ``(s1, e1, s2, e2, len_r, len_q, ref, qry)``; the four head lines do not begin with a number."""
+    """Alignment coordinates: ``(s1, e1, s2, e2, len_r, len_q, ref, qry, value, line)``, line grows along the file; the four head lines do not begin with a number."""
     x = fields()
     number = lambda i: F.expr(f"try_cast(split(value, '\\t')[{i}] as bigint)")
-    rows = lines(spark, path).where(F.size(x) >= 11)
-    return rows.select(number(0).alias("s1"), number(1).alias("e1"), number(2).alias("s2"), number(3).alias("e2"), number(7).alias("len_r"), number(8).alias("len_q"), F.element_at(x, -2).alias("ref"), F.element_at(x, -1).alias("qry")).where("s1 is not null and e2 is not null")
+    rows = lines(spark, path).withColumn("line", F.monotonically_increasing_id()).where(F.size(x) >= 11)
+    return rows.select(number(0).alias("s1"), number(1).alias("e1"), number(2).alias("s2"), number(3).alias("e2"), number(7).alias("len_r"), number(8).alias("len_q"), F.element_at(x, -2).alias("ref"), F.element_at(x, -1).alias("qry"), "value", "line").where("s1 is not null and e2 is not null")
 
 
-def marker_hits(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, line)``: the lines of one file as they stand; line grows along it."""
+    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+
+
+def marker_hits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Search table: ``(gene, model, evalue)`` from the first, fourth and fifth fields of lines without ``#``."""
     x = F.split(F.trim("value"), r"\s+")
     return lines(spark, path).where(~F.col("value").startswith("#")).select(x[0].alias("gene"), x[3].alias("model"), x[4].cast("double").alias("evalue"))
