@@ -60,6 +60,24 @@ def numbered(rows: DataFrame, order: str, by: Sequence[str] = (), ties: Sequence
     return found.select(*[F.col(f"r.{c}") for c in rows.columns], (F.col("before") + F.col("i")).alias("n"))
 
 
+def running(rows: DataFrame, by: str, order: str, k: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``to``: the sum of ``k`` of a group's rows up to this one in the order of a column whose values are distinct in the group.
+
+    Groups and values are sorted to ranges, as many as ``range_rows`` rows each need; sums of
+    earlier ranges come first, so a group of any size is summed in as many tasks as it needs.
+    """
+    shared_folder(rows.sparkSession)
+    kept = rows.checkpoint()
+    part = next(c for c in ("range", "range_", "range__") if c not in rows.columns)
+    tasks = max(1, -(-kept.count() // range_rows))
+    ranged = kept.repartitionByRange(tasks, by, order).withColumn(part, F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(by, part).agg(F.sum(k).alias("sum"))
+    before = sizes.select(F.col(by).alias("group"), F.col(part).alias("at"), F.coalesce(F.sum("sum").over(W.partitionBy(by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row for each group and range
+    own = F.sum(k).over(W.partitionBy(by, part).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    found = ranged.withColumn("own", own).join(before, F.col(by).eqNullSafe(F.col("group")) & (F.col(part) == F.col("at")))
+    return found.select(*rows.columns, (F.col("before") + F.col("own")).alias("to"))
+
+
 def window_sums(rows: DataFrame, by: str, value: str, size: int = 500, step: int = 250) -> DataFrame:
     """``rows(by, n, value)``, numbered within each group, to ``(by, w, depth)``: what ``sliding`` gives, for groups of any size.
 
@@ -72,15 +90,14 @@ def window_sums(rows: DataFrame, by: str, value: str, size: int = 500, step: int
     return each.where(whole).groupBy(by, "w").agg(F.avg(value).alias("depth"))
 
 
-def fences(rows: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
+def fences(rows: DataFrame, by: str, value: str, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
     """The fences of ``statistics.fence`` for groups of any size: ``(by, n, average, low, high)``, and how often each value occurs as ``(by, value, k)``.
 
-    Equal values are counted first; the window that numbers them keeps no group in memory.
+    Equal values are counted first and numbered in ranges (see ``running``), so no task sorts a group.
     """
-    counted = rows.groupBy(by, value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    counted = running(rows.groupBy(by, value).agg(F.count("*").alias("k")), by, value, "k", range_rows)
     total = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("average"))
-    place = counted.withColumn("to", upto).join(total, by)
+    place = counted.join(total, by)
     n = F.col("n")
 
     def at(i: Column) -> Column:
@@ -94,7 +111,7 @@ def fences(rows: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
 
     found = place.groupBy(by).agg(F.max("n").alias("n"), F.max("average").alias("average"), quartile(1).alias("q1"), quartile(3).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return found.select(by, "n", "average", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")), counted
+    return found.select(by, "n", "average", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")), counted.drop("to")
 
 
 def trimmed_deviation(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -119,14 +136,13 @@ def sample_dispersion(depths: DataFrame, most: float = 0.38) -> DataFrame:
     return quarters(rows).select("sample", F.round("middle", 2).alias("sd1"), F.round("upper", 2).alias("sd2"))
 
 
-def quarters(rows: DataFrame) -> DataFrame:
+def quarters(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows(sample, ratio)`` to ``(sample, middle, upper)``: the median, and the element at int(3 n / 4) counted from 1, the first where there are fewer.
 
-    Equal ratios are counted first, so what a window sorts are distinct values.
+    Equal ratios are counted first and numbered in ranges (see ``running``), so no task sorts a sample.
     """
-    counted = rows.groupBy("sample", "ratio").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.partitionBy("sample").orderBy("ratio").rowsBetween(W.unboundedPreceding, 0))
-    place = counted.withColumn("to", upto).withColumn("n", F.sum("k").over(W.partitionBy("sample")))
+    counted = running(rows.groupBy("sample", "ratio").agg(F.count("*").alias("k")), "sample", "ratio", "k", range_rows)
+    place = counted.join(counted.groupBy("sample").agg(F.sum("k").alias("n")), "sample")
     has = lambda i: F.when((F.col("to") >= i) & (F.col("to") - F.col("k") < i), F.col("ratio"))
     low, high, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1, F.greatest(F.floor(F.col("n") * 3 / 4), F.lit(1))
     return place.groupBy("sample").agg(((F.max(has(low)) + F.max(has(high))) / 2).alias("middle"), F.max(has(upper)).alias("upper"))
