@@ -84,7 +84,7 @@ def prepared_report(found: DataFrame) -> DataFrame:
 
 #: Letters of an anchor, and how many anchors in a row one is chosen of.
 ANCHOR, CHOICE = 16, 16
-BLOCK = 65_536
+BLOCK = 4_096
 
 
 def mixed(seq: str | None) -> np.ndarray:
