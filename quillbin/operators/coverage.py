@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -161,28 +161,62 @@ def small_interval(mean: Column, sd1: Column) -> tuple[Column, Column]:
 def within(rows: DataFrame, seeds: DataFrame, n_samples: int, open_end: bool = False, wildcard: bool = True, width: float | None = None) -> DataFrame:
     """``(id, seed)`` where the sequence's mean lies in the seed's interval in all samples.
 
-    rows: ``(id, sample, mean)``, seeds: ``(seed, sample, mean, lo, hi)``.  A seed with a mean
-    below ``LOW`` in a sample takes any sequence there, unless wildcard is off; open_end
-    leaves out hi itself.  Intervals are cut at multiples of ``width`` and joined by equality,
-    then checked; without a width it is taken from the intervals' mean length.
+    rows: ``(id, sample, mean)``, seeds: ``(seed, sample, mean, lo, hi)``, each with one row
+    for a sample.  A seed with a mean below ``LOW`` in a sample takes any sequence there,
+    unless wildcard is off; open_end leaves out hi itself.  Intervals are cut at multiples of
+    ``width`` and joined by equality, then checked; without a width it is taken from the
+    intervals' mean length.  Of several samples each seed is joined in one, that with the
+    fewest sequences in its cells, and the others are checked on arrays, so what is
+    shuffled are the candidates of one sample, however many samples there are.
     """
-    s = seeds.withColumnsRenamed({"mean": "seed_mean"})
-    free = (F.col("seed_mean") < LOW) if wildcard else F.lit(False)
-    bound = s.where(~free)
+    free = (F.col("mean") < LOW) if wildcard else F.lit(False)
+    s = seeds.withColumn("free", free).where("free is not null").select("seed", "sample", "free", "lo", "hi")
+    bound = s.where("not free and lo <= hi")
     if width is None:
         width = bound.agg(F.avg(F.col("hi") - F.col("lo"))).first()[0]  # one number
         width = max(float(width or 1.0), 1e-9)
     cell = lambda x: F.floor(x / F.lit(width)).cast("long")
-    cut = bound.where("lo <= hi").withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    upper = F.col("mean") < F.col("hi") if open_end else F.col("mean") <= F.col("hi")
-    hits = rows.withColumn("cell", cell(F.col("mean"))).join(cut, ["sample", "cell"]).where((F.col("mean") >= F.col("lo")) & upper).select("id", "seed", "sample")
+    cut = bound.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    if n_samples > 1:
+        shared_folder(rows.sparkSession)
+        rows = rows.select("id", "sample", "mean").checkpoint()  # counted, joined and gathered
+    placed = rows.withColumn("cell", cell(F.col("mean")))
+    if n_samples > 1:
+        cut = cut.join(rarest(placed, cut), ["seed", "sample"], "left_semi")
+    inside = lambda mean, span: (mean >= span("lo")) & ((mean < span("hi")) if open_end else (mean <= span("hi")))
+    pairs = placed.join(cut, ["sample", "cell"]).where(inside(F.col("mean"), F.col)).select("id", "seed")
+    if n_samples > 1:
+        pairs = in_all(pairs, rows, s, n_samples, inside)
     if not wildcard:
-        return hits.groupBy("id", "seed").agg(F.count("*").alias("n")).where(F.col("n") == n_samples).select("id", "seed")
-    # samples in which a seed takes anything count for it at once; a seed free in all of them takes all sequences
-    freed = s.where(free).groupBy("seed").agg(F.count("*").alias("freed"))
-    counted = hits.groupBy("id", "seed").agg(F.count("*").alias("n")).join(freed, "seed", "left").where(F.col("n") + F.coalesce("freed", F.lit(0)) == n_samples).select("id", "seed")
-    always = freed.where(F.col("freed") == n_samples).select("seed")
-    return counted.unionByName(rows.select("id").distinct().join(always))
+        return pairs
+    # a seed free in all samples takes all sequences
+    always = s.groupBy("seed").agg(F.count_if("free").alias("freed")).where(F.col("freed") == n_samples).select("seed")
+    return pairs.unionByName(rows.select("id").distinct().join(always))
+
+
+def rarest(placed: DataFrame, cut: DataFrame) -> DataFrame:
+    """``(seed, sample)``: for each seed of ``cut(seed, sample, cell)`` the sample with the fewest rows of ``placed(sample, cell)`` in its cells, then the first by name."""
+    often = placed.groupBy("sample", "cell").agg(F.count("*").alias("k"))
+    each = cut.select("seed", "sample", "cell").join(often, ["sample", "cell"], "left").groupBy("seed", "sample").agg(F.sum(F.coalesce("k", F.lit(0))).alias("k"))
+    return each.groupBy("seed").agg(F.min_by("sample", F.struct("k", "sample")).alias("sample"))
+
+
+def in_all(pairs: DataFrame, rows: DataFrame, spans: DataFrame, n_samples: int, inside: Callable[[Column, Callable[[str], Column]], Column]) -> DataFrame:
+    """Those of ``pairs(id, seed)`` where each sample is free for the seed or its interval holds the mean.
+
+    An id's means and a seed's spans are put in arrays with one place for each sample; a
+    sample that an id or a seed does not have is null.
+    """
+    places = spans.select("sample").distinct().withColumn("place", F.row_number().over(W.orderBy("sample")))  # a row for each sample
+
+    def gathered(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        own = F.array_sort(F.collect_list(F.struct("place", value.alias("x"))))
+        at = lambda i: F.try_element_at(F.filter("own", lambda y: y["place"] == i), F.lit(1))["x"]
+        return df.join(places, "sample").groupBy(key).agg(own.alias("own")).select(key, F.transform(F.sequence(F.lit(1), F.lit(n_samples)), at).alias(name))
+
+    means, own = gathered(rows, "id", F.col("mean"), "means"), gathered(spans, "seed", F.struct("free", "lo", "hi"), "spans")
+    fits = lambda mean, span: F.coalesce(span["free"] | inside(mean, lambda c: span[c]), F.lit(False))
+    return pairs.join(means, "id").join(own, "seed").where(F.forall(F.zip_with("means", "spans", fits), lambda x: x)).select("id", "seed")
 
 
 def within_or_first(rows: DataFrame, seeds: DataFrame, n_samples: int, first: str) -> DataFrame:
@@ -220,11 +254,12 @@ def marker_interval(members: DataFrame, dispersions: DataFrame, fold: float = FO
     limits, _ = fences(keyed.select("key", "mean"), "key", "mean")
     kept = keyed.join(limits.select("key", "n", "low", "high"), "key").where(F.col("mean").between(F.col("low"), F.col("high")))
     sums = kept.groupBy("seed", "sample").agg(
-        F.round(F.try_divide(F.sum(F.col("mean") * F.col("length")), F.sum("length")), 2).alias("m"), F.min("mean").alias("least"), F.max("mean").alias("most"), F.count("*").alias("k"), F.sum("mean").alias("s"), F.sum(F.col("mean") * F.col("mean")).alias("ss"), F.max("n").alias("n")
+        F.round(F.try_divide(F.sum(F.col("mean") * F.col("length")), F.sum("length")), 2).alias("m"), F.min("mean").alias("least"), F.max("mean").alias("most"), F.count("*").alias("k"), F.avg("mean").alias("average"), F.var_pop("mean").alias("spread"), F.max("n").alias("n")
     )
     m, sd1, sd2 = F.col("m"), F.col("sd1"), F.col("sd2")
-    about = F.col("ss") - 2 * m * F.col("s") + F.col("k") * m * m
-    own = F.coalesce(F.try_divide(F.sqrt(F.try_divide(F.greatest(about, F.lit(0.0)), F.when(F.col("k") > 1, F.col("k") - 1))), m), sd1)
+    off = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("average")) - m
+    about = F.col("k") * (F.col("spread") + off * off)  # squares about m; those of equal means are exact
+    own = F.coalesce(F.try_divide(F.sqrt(F.try_divide(about, F.when(F.col("k") > 1, F.col("k") - 1))), m), sd1)
     few = F.col("n") < 20
     rows = sums.join(dispersions, "sample").withColumn("own", own)
     rows = rows.withColumn("sd", F.when(few, F.greatest("own", "sd1")).otherwise(F.col("own"))).withColumn("near", F.least(F.greatest("own", "sd1"), sd2))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbin.functions.sequences import CODE, FOURMERS, LETTERS, counts
+from quillbin.operators.shared import shared_folder
 
 #: Scores are given for so many letters.
 PER_LETTERS = 500.0
@@ -66,59 +68,48 @@ def scores(counts: DataFrame, lengths: DataFrame, logs: DataFrame, pairs: DataFr
     return sums.join(lengths, "id").select("id", "seed", (F.col("s") * PER_LETTERS / F.col("length")).alias("score"))
 
 
-#: Most seeds whose log probabilities, 256 numbers each, go to all tasks.
+#: Seeds whose log probabilities, 256 numbers each, go to all tasks at a time.
 MOST_SEEDS = 16_384
 
 
-def scores_of_all(sequences: DataFrame, logs: DataFrame, most_seeds: int = MOST_SEEDS) -> DataFrame:
-    """``sequences(id, seq)`` to ``(id, seed, score)`` with every seed of ``logs(seed, kmer, logp)``: counts of a block times the seeds' matrix.
+def matrices(logs: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """About ``block`` seeds of ``logs(seed, kmer, logp)`` at a time: their names in order, and a row of 256 log probabilities for each, 2 KB."""
+    shared_folder(logs.sparkSession)
+    each = logs.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("kmer", "logp"))), lambda x: x["logp"]).alias("logp")).checkpoint()
+    parts = max(1, -(-each.count() // block))
+    for k in range(parts):
+        some = each.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == k).toPandas().sort_values("seed")
+        if len(some):
+            yield some["seed"].to_numpy(), np.stack(some["logp"].to_numpy())
 
-    Where there are more seeds than ``most_seeds``, k-mers are joined instead (see ``scores``).
-    Sequences without a k-mer have no row.
-    """
-    if logs.select("seed").distinct().count() > most_seeds:
-        return scores(kmer_counts(sequences.withColumnRenamed("id", "doc"), "doc").withColumnRenamed("doc", "id"), sequences.select("id", F.length("seq").alias("length")), logs)
-    table = logs.select("seed", "kmer", "logp").toPandas().pivot(index="seed", columns="kmer", values="logp")[FOURMERS]
-    seeds, matrix = table.index.to_numpy(), table.to_numpy().T.copy()
-    shared = sequences.sparkSession.sparkContext.broadcast(matrix)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for i in range(0, len(p), 256):
-                some = p.iloc[i : i + 256]
-                n = counts_of(some["seq"].to_numpy(), 4)
-                own = n.sum(axis=1) > 0
-                length = some["seq"].str.len().to_numpy(float)[own]
-                score = n[own] @ shared.value * PER_LETTERS / length[:, None]
-                yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy()[own], len(seeds)), "seed": np.tile(seeds, int(own.sum())), "score": score.ravel()})
+def scores_of_all(sequences: DataFrame, logs: DataFrame, block: int = MOST_SEEDS) -> DataFrame:
+    """``sequences(id, seq)`` to ``(id, seed, score)`` with every seed of ``logs(seed, kmer, logp)``: counts of a batch times the seeds' matrix.
 
-    kinds = sequences.schema["id"].dataType.simpleString(), logs.schema["seed"].dataType.simpleString()
-    return sequences.select("id", "seq").mapInPandas(run, f"id {kinds[0]}, seed {kinds[1]}, score double")
+    Sequences without a k-mer have no row.
+    """
+    return by_blocks(sequences, logs, block, best=False)
 
 
 def best_of_all(sequences: DataFrame, logs: DataFrame, block: int = MOST_SEEDS) -> DataFrame:
     """``sequences(id, seq)`` to ``(id, seed, score)``, the best seed of ``logs(seed, kmer, logp)`` for each; equal ones by the seed's name.
 
-    About ``block`` seeds at a time go to all tasks, 2 KB each, however many there are;
-    sequences without a k-mer have no row.
+    Sequences without a k-mer have no row.
     """
-    count = logs.select("seed").distinct().count()
-    parts = max(1, -(-count // block))
-    out = None
-    for k in range(parts):
-        some = logs.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == k).select("seed", "kmer", "logp").toPandas()
-        if some.empty:
-            continue
-        own = best_of_block(sequences, some.pivot(index="seed", columns="kmer", values="logp").sort_index()[FOURMERS], logs.schema["seed"].dataType.simpleString())
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        return sequences.sparkSession.createDataFrame([], f"id {sequences.schema['id'].dataType.simpleString()}, seed {logs.schema['seed'].dataType.simpleString()}, score double")
-    return best(out) if parts > 1 else out
+    return best(by_blocks(sequences, logs, block, best=True))
 
 
-def best_of_block(sequences: DataFrame, table: pd.DataFrame, kind: str) -> DataFrame:
-    """``best_of_all`` for the seeds of a table of log probabilities, one row each."""
-    names, shared = table.index.to_numpy(), sequences.sparkSession.sparkContext.broadcast(table.to_numpy().T.copy())
+def by_blocks(sequences: DataFrame, logs: DataFrame, block: int, best: bool) -> DataFrame:
+    """``(id, seed, score)`` with all seeds, or with the best of each block of them."""
+    schema = f"id {sequences.schema['id'].dataType.simpleString()}, seed {logs.schema['seed'].dataType.simpleString()}, score double"
+    out = sequences.sparkSession.createDataFrame([], schema)
+    for names, matrix in matrices(logs, block):
+        out = out.unionByName(sequences.select("id", "seq").mapInPandas(scorer(names, sequences.sparkSession.sparkContext.broadcast(matrix), best), schema))
+    return out
+
+
+def scorer(names: np.ndarray, shared: Broadcast, best: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Scores of batches with the seeds of a matrix, one row each in the order of their names; only the best one if asked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -126,11 +117,14 @@ def best_of_block(sequences: DataFrame, table: pd.DataFrame, kind: str) -> DataF
                 some = p.iloc[i : i + 256]
                 n = counts_of(some["seq"].to_numpy(), 4)
                 own = n.sum(axis=1) > 0
-                score = n[own] @ shared.value * PER_LETTERS / some["seq"].str.len().to_numpy(float)[own][:, None]
-                at = score.argmax(axis=1) if len(score) else np.zeros(0, int)
-                yield pd.DataFrame({"id": some["id"].to_numpy()[own], "seed": names[at], "score": score[np.arange(len(score)), at]})
-
-    return sequences.select("id", "seq").mapInPandas(run, f"id {sequences.schema['id'].dataType.simpleString()}, seed {kind}, score double")
+                ids, score = some["id"].to_numpy()[own], n[own] @ shared.value.T * PER_LETTERS / some["seq"].str.len().to_numpy(float)[own][:, None]
+                if best:
+                    at = score.argmax(axis=1) if len(score) else np.zeros(0, int)
+                    yield pd.DataFrame({"id": ids, "seed": names[at], "score": score[np.arange(len(score)), at]})
+                else:
+                    yield pd.DataFrame({"id": np.repeat(ids, len(names)), "seed": np.tile(names, len(ids)), "score": score.ravel()})
+
+    return run
 
 
 def best(scored: DataFrame) -> DataFrame:
