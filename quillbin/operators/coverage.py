@@ -252,16 +252,14 @@ def marker_interval(members: DataFrame, dispersions: DataFrame, fold: float = FO
     """
     keyed = members.withColumn("key", F.struct("seed", "sample"))
     limits, _ = fences(keyed.select("key", "mean"), "key", "mean")
-    kept = keyed.join(limits.select("key", "n", "low", "high"), "key").where(F.col("mean").between(F.col("low"), F.col("high")))
-    sums = kept.groupBy("seed", "sample").agg(
-        F.round(F.try_divide(F.sum(F.col("mean") * F.col("length")), F.sum("length")), 2).alias("m"), F.min("mean").alias("least"), F.max("mean").alias("most"), F.count("*").alias("k"), F.avg("mean").alias("average"), F.var_pop("mean").alias("spread"), F.max("n").alias("n")
-    )
+    kept = keyed.join(limits.select("key", "n", "low", "high"), "key").where(F.col("mean").between(F.col("low"), F.col("high"))).select("key", "mean", "length", "n").checkpoint()  # read twice
+    sums = kept.groupBy("key").agg(F.round(F.try_divide(F.sum(F.col("mean") * F.col("length")), F.sum("length")), 2).alias("m"), F.min("mean").alias("least"), F.max("mean").alias("most"), F.count("*").alias("k"), F.max("n").alias("n"))
+    off = F.col("mean") - F.col("m")
+    about = kept.select("key", "mean").join(sums.select("key", "m"), "key").groupBy("key").agg(F.sum(off * off).alias("about"))  # of the rounded mean: ends are cut to whole numbers, where one digit counts
     m, sd1, sd2 = F.col("m"), F.col("sd1"), F.col("sd2")
-    off = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("average")) - m
-    about = F.col("k") * (F.col("spread") + off * off)  # squares about m; those of equal means are exact
-    own = F.coalesce(F.try_divide(F.sqrt(F.try_divide(about, F.when(F.col("k") > 1, F.col("k") - 1))), m), sd1)
+    own = F.when(F.col("k") > 1, F.coalesce(F.try_divide(F.sqrt(F.col("about") / (F.col("k") - 1)), m), sd1)).otherwise(sd1)
     few = F.col("n") < 20
-    rows = sums.join(dispersions, "sample").withColumn("own", own)
+    rows = sums.join(about, "key").select("key.*", "m", "least", "most", "k", "n", "about").join(dispersions, "sample").withColumn("own", own)
     rows = rows.withColumn("sd", F.when(few, F.greatest("own", "sd1")).otherwise(F.col("own"))).withColumn("near", F.least(F.greatest("own", "sd1"), sd2))
     least = F.when(few, F.least("least", toward_zero(m * (1 - F.col("near") * fold)).cast("double"))).otherwise(F.col("least"))
     most = F.when(few, F.greatest("most", (toward_zero(m * (1 + F.col("near") * fold)) + 1).cast("double"))).otherwise(F.col("most"))

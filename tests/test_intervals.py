@@ -78,3 +78,22 @@ def test_equal_means_of_any_size_have_no_dispersion(spark):
     members = spark.createDataFrame(rows, "seed string, sample string, mean double, length long").repartition(5)
     got = coverage.marker_interval(members, spark.createDataFrame([("a", 0.1, 0.2)], "sample string, sd1 double, sd2 double")).first()
     assert (got["mean"], got["lo"], got["hi"]) == (mean, int(mean), int(mean) + 1)
+
+
+def test_squares_are_summed_about_the_rounded_mean(spark):
+    """Ends that come out whole: a dispersion that is off by its last digit moves them by one."""
+    rows, want = [], {}
+    for a in range(1, 51):
+        for b in range(a):
+            for tenths in range(10 * b + 1, 10 * a):
+                m, x, y = tenths / 10, float(b), float(a)
+                own = (((x - m) * (x - m) + (y - m) * (y - m)) / 2) ** 0.5 / m
+                low, high = min(b, int(m * (1 - min(max(own, 0.1), 0.2) * 2.58))), max(a, int(m * (1 + min(max(own, 0.1), 0.2) * 2.58)) + 1)
+                if m >= 5 and abs(high * (1 + own) - round(high * (1 + own))) < 1e-9 and len(want) < 400:
+                    # weights whose mean is exactly m
+                    rows += [(f"{b}/{a}/{m}", "s", x, 10 * a - tenths), (f"{b}/{a}/{m}", "s", m, 1), (f"{b}/{a}/{m}", "s", y, tenths - 10 * b)]
+                    want[f"{b}/{a}/{m}"] = (m, int(low * (1 - own)), int(high * (1 + own)) + 1)
+    assert len(want) > 50
+    members = spark.createDataFrame(rows, "seed string, sample string, mean double, length long")
+    got = coverage.marker_interval(members, spark.createDataFrame([("s", 0.1, 0.2)], "sample string, sd1 double, sd2 double")).collect()
+    assert {r["seed"]: (r["mean"], r["lo"], r["hi"]) for r in got} == want
