@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillbin.operators import coverage, naive_bayes
+from quillbin.operators import coverage, naive_bayes, shared
 
 
 def drawn(rnd, n_samples, n=120, seeds=14):
@@ -97,3 +97,18 @@ def test_squares_are_summed_about_the_rounded_mean(spark):
     members = spark.createDataFrame(rows, "seed string, sample string, mean double, length long")
     got = coverage.marker_interval(members, spark.createDataFrame([("s", 0.1, 0.2)], "sample string, sd1 double, sd2 double")).collect()
     assert {r["seed"]: (r["mean"], r["lo"], r["hi"]) for r in got} == want
+
+
+@pytest.mark.parametrize("n_samples", [1, 2])
+def test_one_crowded_cell_is_dealt_to_many_tasks(spark, monkeypatch, n_samples):
+    """All means and intervals in one cell: as many tasks as pairs need, and each pair once."""
+    monkeypatch.setattr(shared, "TASK_PAIRS", 500)
+    monkeypatch.setattr(shared, "TILE", 16)
+    x = spark.createDataFrame([(i, k, 20.0 + i % 3) for i in range(150) for k in range(n_samples)], "id long, sample int, mean double")
+    s = spark.createDataFrame([(j, k, 20.0, 0, 21 + j % 2) for j in range(60) for k in range(n_samples)], "seed long, sample int, mean double, lo long, hi long")
+    got = coverage.within(x, s, n_samples, width=1_000.0).select("id", "seed", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["id"], r["seed"]) for r in got) == [(i, j) for i in range(150) for j in range(60) if i % 3 < 2 + j % 2]
+    assert len({r["task"] for r in got}) > 8
+    rest = coverage.within_or_first(x, s.withColumn("hi", F.lit(22).cast("long")).withColumn("seed", F.col("seed").cast("string")), n_samples, "first")
+    assert {r["id"] for r in rest.where("seed = 'first'").collect()} == {i for i in range(150) if i % 3 == 2}
+    assert rest.count() == 100 * 60 + 50
