@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillbin.operators import composition, coverage, markers
 from quillbin.operators.composites import is_key
-from quillbin.operators.shared import shared_folder
+from quillbin.operators.shared import shared_folder, tiled
 
 
 #: So many marker sequences of a cluster stand for all of it.
@@ -42,8 +42,9 @@ def meeting(intervals: DataFrame) -> DataFrame:
     In every sample b's mean lies in a's interval, or the intervals overlap, or a's mean is
     low; inside: everywhere without the second.  ra is a's mean in the first sample.
     Only one sample of a is cut to cells, so what is joined does not grow with the samples;
-    the others are compared on arrays.
+    the others are compared where two rows meet, in tiles of a cell (see ``tiled``).
     """
+    shared_folder(intervals.sparkSession)
     width = {r["sample"]: max(float(r["w"] or 1.0), 1e-9) for r in intervals.groupBy("sample").agg(F.avg(F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))).alias("w")).collect()}  # a number for each sample
     widths = F.array(*[F.lit(width[k]) for k in sorted(width)])
     by_sample = F.array_sort(F.collect_list(F.struct("sample", "mean", "lo", "hi")))
@@ -62,12 +63,18 @@ def meeting(intervals: DataFrame) -> DataFrame:
     b = b.withColumn("b_first", cell(F.least(F.get("b_lo", F.col("k")), F.get("b_mean", F.col("k"))), F.col("k"))).withColumn("b_last", cell(F.greatest(F.get("b_hi", F.col("k")), F.get("b_mean", F.col("k"))), F.col("k")))
     b = b.withColumn("cell", F.explode(F.sequence("b_first", "b_last")))
     earlier = (F.col("a_m") > F.col("b_m")) | ((F.col("a_m") == F.col("b_m")) & (F.col("a_seed") < F.col("b_seed")))
-    pairs = a.join(b, ["k", "cell"]).where(earlier & (F.col("cell") == F.greatest("a_first", "b_first")))
-    each = F.arrays_zip("a_mean", "a_lo", "a_hi", "b_mean", "b_lo", "b_hi")
-    inside = lambda x: (x["a_mean"] < coverage.LOW) | ((x["b_mean"] >= x["a_lo"]) & (x["b_mean"] <= x["a_hi"]))
-    fits = F.forall(each, lambda x: inside(x) | coverage.overlap(x["a_lo"], x["a_hi"], x["b_lo"], x["b_hi"]))
-    distance = F.aggregate(each, F.lit(0.0), lambda s, x: s + (x["a_mean"] - x["b_mean"]) * (x["a_mean"] - x["b_mean"]))
-    return pairs.where(fits).select(F.col("a_seed").alias("a"), F.col("b_seed").alias("b"), F.col("a_m").alias("ra"), F.forall(each, inside).alias("inside"), distance.alias("distance"))
+    # plain numbers for each sample: conditions and distances of arrays are slow where pairs are many
+    flat = lambda x: [F.get(f"{x}_{c}", F.lit(i)).alias(f"{x}_{c}{i}") for i in range(len(width)) for c in ("mean", "lo", "hi")]
+    a = a.select("k", "cell", "a_seed", "a_m", "a_first", *flat("a")).checkpoint()
+    b = b.select("k", "cell", "b_seed", "b_m", "b_first", *flat("b")).checkpoint()
+    fits, every, distance = earlier & (F.col("a.cell") == F.greatest("a_first", "b_first")), F.lit(True), F.lit(0.0)
+    for i in range(len(width)):
+        (a_mean, a_lo, a_hi), (b_mean, b_lo, b_hi) = ([F.col(f"{x}_{c}{i}") for c in ("mean", "lo", "hi")] for x in ("a", "b"))
+        inside = (a_mean < coverage.LOW) | ((b_mean >= a_lo) & (b_mean <= a_hi))
+        fits, every = fits & (inside | coverage.overlap(a_lo, a_hi, b_lo, b_hi)), every & inside
+        distance = distance + (a_mean - b_mean) * (a_mean - b_mean)
+    pairs = tiled(a, b, ["k", "cell"], "a_seed", "b_seed", fits)
+    return pairs.select(F.col("a_seed").alias("a"), F.col("b_seed").alias("b"), F.col("a_m").alias("ra"), every.alias("inside"), distance.alias("distance"))
 
 
 def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs: DataFrame, most_duplicates: int, guard: str = "twice", small: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillbin.operators import markers, merging, shared
 from quillbin.plans import queries
@@ -103,3 +104,12 @@ def test_duplicates_of_frequent_genes(spark):
         want = sorted((a, b, k) for (a, b), k in n.items() if k >= least)
         got = markers.duplicates(spark.createDataFrame(sorted(rows), "gene string, id long"), least)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_clusters_of_one_cell_meet_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_PAIRS", 500)
+    monkeypatch.setattr(shared, "TILE", 16)
+    df = spark.createDataFrame([(f"s{i:03d}", s, 30.0 + i / 1_000, 20.0, 40.0) for i in range(120) for s in (1, 2)], "seed string, sample int, mean double, lo double, hi double")
+    got = [(r["a"], r["b"], r["task"]) for r in merging.meeting(df).select("a", "b", F.spark_partition_id().alias("task")).collect()]
+    assert sorted((a, b) for a, b, _ in got) == sorted((f"s{i:03d}", f"s{j:03d}") for i in range(120) for j in range(i))
+    assert len({t for _, _, t in got}) > 8
