@@ -240,9 +240,23 @@ def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("a", "b", seqs.correlation(F.col("ea"), F.col("eb"), F.col("sa"), F.col("sb")).alias("cor")), "cor")
 
 
-def neighbors(rows: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """``rows(vec_id, e, ss)``, centred, to ``(a, b, cor)`` of all pairs a < b that correlate by ``least`` or more: blocks of rows against blocks, two in a task."""
-    n = max(-(-rows.count() // block), 1)
+#: Blocks of rows that are compared two at a time, and rows that a task multiplies at once.
+BLOCKS, ROWS = 48, 2_048
+
+
+def block_rows(total: int) -> int:
+    """Rows of a block: a ``BLOCKS``-th of all, from 2,048 to 131,072."""
+    return min(max(-(-total // BLOCKS), 2_048), 131_072)
+
+
+def neighbors(rows: DataFrame, least: float, block: int | None = None) -> DataFrame:
+    """``rows(vec_id, e, ss)``, centred, to ``(a, b, cor)`` of all pairs a < b that correlate by ``least`` or more: blocks of rows against blocks, two in a task.
+
+    With blocks of ``block_rows`` each row is sent to ``BLOCKS`` tasks at most, so what is shuffled
+    grows with the rows, up to 6 million.
+    """
+    total = rows.count()
+    n = max(-(-total // (block or block_rows(total))), 1)
     own = rows.where("ss > 0").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")).select("vec_id", "e", "ss", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
 
@@ -250,11 +264,16 @@ def neighbors(rows: DataFrame, least: float, block: int = 2048) -> DataFrame:
         x, y = p[p["i"] == p["lo"]], p[p["i"] == p["hi"]]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "cor": []})
-        cor = np.stack(x["e"]) @ np.stack(y["e"]).T / np.sqrt(np.outer(x["ss"], y["ss"]))
-        k, m = np.nonzero(np.round(cor, 6) >= least)
-        a, b = x["vec_id"].to_numpy()[k], y["vec_id"].to_numpy()[m]
-        keep = a < b if p["lo"].iloc[0] == p["hi"].iloc[0] else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cor": cor[k, m][keep]})
+        ex, ey, sx, sy, ix, iy = np.stack(x["e"]), np.stack(y["e"]), x["ss"].to_numpy(), y["ss"].to_numpy(), x["vec_id"].to_numpy(), y["vec_id"].to_numpy()
+        same, found = p["lo"].iloc[0] == p["hi"].iloc[0], []
+        for u in range(0, len(ex), ROWS):
+            for v in range(0, len(ey), ROWS):
+                cor = ex[u : u + ROWS] @ ey[v : v + ROWS].T / np.sqrt(np.outer(sx[u : u + ROWS], sy[v : v + ROWS]))
+                k, m = np.nonzero(np.round(cor, 6) >= least)
+                a, b = ix[u + k], iy[v + m]
+                keep = a < b if same else a != b
+                found.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cor": cor[k, m][keep]}))
+        return pd.concat(found)
 
     return dealt.groupBy("lo", "hi").applyInPandas(compare, "a long, b long, cor double")
 

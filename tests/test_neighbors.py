@@ -17,3 +17,16 @@ def test_all_pairs_above_the_limit(spark):
     for block in (7, 2048):
         got = [(r["a"], r["b"]) for r in queries.neighbors(rows, 0.5, block).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_rows_are_sent_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """By default, more rows make larger blocks, not more of them; a task multiplies a few rows at once."""
+    monkeypatch.setattr(queries, "ROWS", 100)
+    monkeypatch.setattr(queries, "BLOCKS", 2)
+    n = 6_000
+    rows = spark.range(n).selectExpr("id as vec_id", f"array(cos(id * 2 * pi() / {n}), sin(id * 2 * pi() / {n})) as e", "1D as ss").cache()
+    got = queries.neighbors(rows, 0.99999)
+    assert all(-(-k // queries.block_rows(k)) <= 2 for k in (1, 6_000, 200_000))
+    near = [(r["a"], r["b"]) for r in got.collect()]
+    width = int(np.arccos(0.9999895) * n / 2 / np.pi)  # of what rounds to the limit
+    assert len(near) == len(set(near)) == n * width
