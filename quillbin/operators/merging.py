@@ -2,21 +2,30 @@
 
 Pairs whose coverage agrees come from a join of intervals by cells of one sample, that in
 which the first cluster's interval is narrowest; the merges of a round are those of one
-pass over the clusters in order, found in waves of local choices.
+pass over the clusters in order, range by range.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillbin.operators import composition, coverage, markers
+from quillbin.operators import composition, coverage, markers, shared
 from quillbin.operators.composites import is_key
-from quillbin.operators.shared import shared_folder, tiled
+from quillbin.operators.shared import shared_folder, tiles, written
 
 
 #: So many marker sequences of a cluster stand for all of it.
 MARKERS = 10
+#: Pairs of a range of leads, about; a task streams through those of one range.
+RANGE_PAIRS = 4_000_000
+#: Clusters of each side whose intervals are compared at once.
+MEETING = 1_024
 
 
 def standing(assigned: DataFrame, genes: DataFrame, lengths: DataFrame, least: int = MARKERS, short: int = 10_000) -> DataFrame:
@@ -36,21 +45,65 @@ def cluster_intervals(stand: DataFrame, depth: DataFrame, lengths: DataFrame, di
     return by_marker.unionByName(coverage.member_interval(rows.where("not marked").drop("marked")))
 
 
-def meeting(intervals: DataFrame) -> DataFrame:
+def met(a: pa.Table, b: pa.Table, least: float) -> pa.Table:
+    """The pairs of a tile's two sides (see ``meeting``), each in the last of its cells' firsts only."""
+    number = lambda t, c: t.column(c).to_numpy()
+    wide = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+    names, scored = ["a", "b", "ra", "inside", "distance"], "vec" in a.column_names
+    i = j = np.zeros(0, np.int64)
+    inside, distance, cor = np.zeros(0, bool), np.zeros(0), np.zeros(0)
+    if len(a) and len(b):
+        _, rank = np.unique(np.array(a.column("seed").to_pylist() + b.column("seed").to_pylist(), object), return_inverse=True)
+        (am, bm), (af, bf), (ar, br) = [(number(a, c), number(b, c)) for c in ("m", "first")] + [(rank[: len(a)], rank[len(a) :])]
+        al, bl = ([wide(t, c).T for c in ("mean", "lo", "hi")] for t in (a, b))
+        found = []
+        for s in range(0, len(a), 256):  # a slice's tables of flags fit a processor's memory
+            x = slice(s, s + 256)
+            own = am[x, None]
+            fits = (np.maximum(af[x, None], bf) == a.column("cell")[0].as_py()) & ((own > bm) | ((own == bm) & (ar[x, None] < br)))
+            for (m, lo, hi), (om, olo, ohi) in zip(zip(*al, strict=True), zip(*bl, strict=True), strict=True):
+                lo, hi = lo[x, None], hi[x, None]
+                fits &= (m[x, None] < coverage.LOW) | ((om >= lo) & (om <= hi)) | ((olo < hi) & (ohi > lo))
+            p, q = np.nonzero(fits)
+            found.append((p + s, q))
+        i, j = (np.concatenate(z) for z in zip(*found, strict=True))
+        if scored:
+            u, v, square = wide(a, "vec"), wide(b, "vec"), number(a, "ss")[i] * number(b, "ss")[j]
+            cor = np.zeros(len(i))
+            for k in range(u.shape[1]):
+                cor += u[i, k] * v[j, k]
+            zero = (number(a, "ss")[i] == 0) | (number(b, "ss")[j] == 0)
+            cor = np.where(zero, 0.0, cor / np.sqrt(np.where(zero, 1.0, square)))
+            some = cor >= least
+            i, j, cor = i[some], j[some], cor[some]
+        inside, distance = np.ones(len(i), bool), np.zeros(len(i))
+        for (m, lo, hi), om in zip(zip(*al, strict=True), bl[0], strict=True):
+            inside &= (m[i] < coverage.LOW) | ((om[j] >= lo[i]) & (om[j] <= hi[i]))
+            distance += (m[i] - om[j]) * (m[i] - om[j])
+    columns = [a.column("seed").take(pa.array(i)), b.column("seed").take(pa.array(j)), a.column("m").take(pa.array(i)), pa.array(inside), pa.array(distance)]
+    return pa.table(dict(zip([*names, "cor"], [*columns, pa.array(cor)], strict=True)) if scored else dict(zip(names, columns, strict=True)))
+
+
+def meeting(intervals: DataFrame, vectors: DataFrame | None = None, least: float = -2.0) -> DataFrame:
     """``intervals(seed, sample, mean, lo, hi)``, in the same samples for all, to pairs ``(a, b, ra, inside, distance)``, a before b by mean.
 
     In every sample b's mean lies in a's interval, or the intervals overlap, or a's mean is
     low; inside: everywhere without the second.  ra is a's mean in the first sample.
     Only one sample of a is cut to cells, so what is joined does not grow with the samples;
     the others are compared where two rows meet, in tiles of a cell (see ``tiled``).
+    With ``vectors(seed, vec, ss)``, centred and alike in size, pairs have their correlation
+    ``cor``, at least ``least``: it is asked for where two rows meet, so no pair looks up a vector.
     """
     shared_folder(intervals.sparkSession)
     width = {r["sample"]: max(float(r["w"] or 1.0), 1e-9) for r in intervals.groupBy("sample").agg(F.avg(F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))).alias("w")).collect()}  # a number for each sample
     widths = F.array(*[F.lit(width[k]) for k in sorted(width)])
     by_sample = F.array_sort(F.collect_list(F.struct("sample", "mean", "lo", "hi")))
-    rows = intervals.groupBy("seed").agg(by_sample.alias("s"), F.max_by("mean", -F.col("sample")).alias("m"))
+    rows = intervals.groupBy("seed").agg(by_sample.alias("s"), F.max_by("mean", -F.col("sample")).cast("double").alias("m"))
     pick = lambda name: F.transform("s", lambda x: x[name].cast("double")).alias(name)
     rows = rows.select("seed", "m", pick("mean"), pick("lo"), pick("hi"))
+    more = [] if vectors is None else ["vec", "ss"]
+    if vectors is not None:
+        rows = rows.join(vectors.select("seed", *more), "seed")
     places = F.sequence(F.lit(0), F.size("mean") - 1)
     # a's narrowest bound sample; where it is low in all, b lies below its own mean in the first
     bound = F.filter(F.transform(places, lambda k: F.struct((F.greatest(F.get("hi", k) - F.get("lo", k), F.lit(0.0)) / F.get(widths, k)).alias("part"), k.alias("k"), F.get("lo", k).alias("lo"), F.get("hi", k).alias("hi"), F.get("mean", k).alias("mean"))), lambda x: x["mean"] >= coverage.LOW)
@@ -62,19 +115,12 @@ def meeting(intervals: DataFrame) -> DataFrame:
     b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], F.explode(places).alias("k"))
     b = b.withColumn("b_first", cell(F.least(F.get("b_lo", F.col("k")), F.get("b_mean", F.col("k"))), F.col("k"))).withColumn("b_last", cell(F.greatest(F.get("b_hi", F.col("k")), F.get("b_mean", F.col("k"))), F.col("k")))
     b = b.withColumn("cell", F.explode(F.sequence("b_first", "b_last")))
-    earlier = (F.col("a_m") > F.col("b_m")) | ((F.col("a_m") == F.col("b_m")) & (F.col("a_seed") < F.col("b_seed")))
-    # plain numbers for each sample: conditions and distances of arrays are slow where pairs are many
-    flat = lambda x: [F.get(f"{x}_{c}", F.lit(i)).alias(f"{x}_{c}{i}") for i in range(len(width)) for c in ("mean", "lo", "hi")]
-    a = a.select("k", "cell", "a_seed", "a_m", "a_first", *flat("a")).checkpoint()
-    b = b.select("k", "cell", "b_seed", "b_m", "b_first", *flat("b")).checkpoint()
-    fits, every, distance = earlier & (F.col("a.cell") == F.greatest("a_first", "b_first")), F.lit(True), F.lit(0.0)
-    for i in range(len(width)):
-        (a_mean, a_lo, a_hi), (b_mean, b_lo, b_hi) = ([F.col(f"{x}_{c}{i}") for c in ("mean", "lo", "hi")] for x in ("a", "b"))
-        inside = (a_mean < coverage.LOW) | ((b_mean >= a_lo) & (b_mean <= a_hi))
-        fits, every = fits & (inside | coverage.overlap(a_lo, a_hi, b_lo, b_hi)), every & inside
-        distance = distance + (a_mean - b_mean) * (a_mean - b_mean)
-    pairs = tiled(a, b, ["k", "cell"], "a_seed", "b_seed", fits)
-    return pairs.select(F.col("a_seed").alias("a"), F.col("b_seed").alias("b"), F.col("a_m").alias("ra"), every.alias("inside"), distance.alias("distance"))
+    a = a.select("k", "cell", *[F.col(f"a_{c}").alias(c) for c in ("seed", "m", "first", "mean", "lo", "hi", *more)]).checkpoint()
+    b = b.select("k", "cell", *[F.col(f"b_{c}").alias(c) for c in ("seed", "m", "first", "mean", "lo", "hi", *more)]).checkpoint()
+    a, b, keys = tiles(a, b, ["k", "cell"], "seed", "seed", min(shared.TILE, MEETING))
+    kind = intervals.schema["seed"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, ra double, inside boolean, distance double" + (", cor double" if more else "")
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(lambda x, y: met(x, y, least), schema)
 
 
 def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs: DataFrame, most_duplicates: int, guard: str = "twice", small: DataFrame | None = None) -> DataFrame:
@@ -100,29 +146,62 @@ def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs
     return scored.where(enough).select("a", "b", "ra", "inside", "p", "distance")
 
 
-def matched(pairs: DataFrame, farthest: bool = True, max_rounds: int = 1000) -> DataFrame:
+def choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over rows ``(range, m, a, b)`` in the order of range, lead and preference: each lead that is not gone takes its first partner that is not; rows without m name those gone before."""
+    at = lead = None
+    gone: set[str] = set()
+    free = False
+    for batch in batches:
+        new = []
+        for place, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("range", "m", "a", "b")), strict=True):
+            if place != at:
+                at, lead, gone = place, None, set()
+            if m is None:
+                gone.add(b)
+                continue
+            if a != lead:
+                lead, free = a, a not in gone
+            if free and b not in gone:
+                gone.add(b)
+                free = False
+                new.append((b, a))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.string()) for i in (0, 1)], ["seed", "to"])
+
+
+def matched(pairs: DataFrame, farthest: bool = True, range_pairs: int | None = None) -> DataFrame:
     """Of candidate pairs ``(a, b, ra, inside, p, distance)`` the merges of one round, ``(seed, to)``, one partner for each lead.
 
     Leads come by mean, then by name, and each takes one partner that is still free, unless
     it was taken itself.  Partners with their mean inside come first, the most alike one; of
-    others the farthest (as the pipeline has always had it) or the nearest.  A lead that no
-    open one before it wants, and whose best free partner none of these wants, chooses at
-    once, so the choices are those of one pass, in as many waves as these wait for each other.
+    others the farthest (as the pipeline has always had it) or the nearest.  Leads are cut in
+    their order to ranges of about ``range_pairs`` pairs (``RANGE_PAIRS`` by default), and a
+    range is passed through, sorted, in one task, once those before it that want one of its
+    names are done.  Ranges that share no name go at the same time, and each pair is read
+    once, so rounds are as many as ranges at most.
     """
+    spark = pairs.sparkSession
     far = F.when(F.col("inside"), -F.coalesce("p", F.lit(0.0))).otherwise(F.col("distance") * (-1 if farthest else 1))
-    left = pairs.select("a", "b", F.struct((-F.col("ra")).alias("m"), F.col("a").alias("name")).alias("lead"), F.struct((~F.col("inside")).alias("out"), far.alias("far"), F.col("b").alias("name")).alias("order")).checkpoint()
-    found = left.select(F.col("b").alias("seed"), F.col("a").alias("to")).limit(0)
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            return found
-        best = left.groupBy("a", "lead").agg(F.min_by("b", "order").alias("b"))
-        wanted = left.groupBy("b").agg(F.min("lead").alias("first"))
-        free = best.join(wanted.select(F.col("b").alias("a")), "a", "left_anti")
-        new = free.join(wanted, "b").where(F.col("first") == F.col("lead")).select("a", "b").checkpoint()
-        found = found.unionByName(new.select(F.col("b").alias("seed"), F.col("a").alias("to")))
-        gone = new.select(F.col("b").alias("gone"))
-        left = left.join(new.select("a"), "a", "left_anti").join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti").checkpoint()
-    raise RuntimeError(f"leads still wait for each other after {max_rounds} waves")
+    names = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), (-F.col("ra").cast("double")).alias("m"), (~F.col("inside")).alias("out"), far.cast("double").alias("far")).checkpoint()
+    found = names.select(F.col("b").alias("seed"), F.col("a").alias("to")).limit(0)
+    n = names.count()
+    if not n:
+        return found
+    rows = written(names.repartitionByRange(-(-n // (range_pairs or RANGE_PAIRS)), "m", "a").withColumn("range", F.spark_partition_id()), "range")
+    each = rows.select("range", F.col("b").alias("name"), F.lit(True).alias("wants")).unionByName(rows.select("range", F.col("a").alias("name"), F.lit(False).alias("wants")))
+    named = each.groupBy("range", "name").agg(F.max("wants").alias("wants")).checkpoint()
+    before = F.max(F.when(F.col("wants"), F.col("range"))).over(W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    # the last range before that wants a name has waited for the others that want it
+    waits: dict[int, set[int]] = {}
+    for r in named.select("range", before.alias("on")).distinct().collect():  # numbers of ranges
+        waits.setdefault(r["range"], set()).add(r["on"])
+    while waits:
+        ready = [r for r, on in waits.items() if not on & waits.keys()]
+        gone = named.where(F.col("range").isin(ready)).join(found.select(F.col("seed").alias("name")), "name", "left_semi")
+        own = rows.where(F.col("range").isin(ready)).unionByName(gone.select("range", F.col("name").alias("b")), allowMissingColumns=True)
+        own = own.repartition(len(ready), "range").sortWithinPartitions("range", "m", "a", "out", "far", "b")
+        found = found.unionByName(own.select("range", "m", "a", "b").mapInArrow(choices, "seed string, to string")).checkpoint()
+        waits = {r: on for r, on in waits.items() if r not in ready}
+    return found
 
 
 def merged(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,26 +26,43 @@ def shared_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(at)
 
 
-def tiled(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, where: Column, how: str = "inner", tile: int | None = None) -> DataFrame:
-    """``left`` joined with ``right`` by the columns ``on``, which may have few values, and a condition; both sides are read three times.
+def written(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, of which those with some values of ``by`` can be read alone."""
+    shared_folder(rows.sparkSession)
+    at = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*by).parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
+def tiles(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, tile: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt out to tiles, and the columns that name one; each side is read twice.
 
     A value's rows are dealt by their ids to chunks of about ``tile`` rows (``TILE`` by default) on both sides, and each
     chunk meets each of the other side: the rows shuffled are pairs over ``tile``, and no task is
-    bound to a value.  A semi-join may give a row of left once for each chunk of right.
+    bound to a value.
     """
     tile = tile or TILE
     sizes = left.groupBy(*on).agg(F.count("*").alias("k_left")).join(right.groupBy(*on).agg(F.count("*").alias("k_right")), [*on])
     pairs = sizes.agg(F.sum(F.col("k_left").cast("double") * F.col("k_right"))).first()[0] or 0.0  # one number
     tasks = int(min(max(pairs // TASK_PAIRS, left.sparkSession.sparkContext.defaultParallelism if pairs > TASK_PAIRS // 50 else 1), TASKS))
     chunks = sizes.select(*on, F.ceil(F.col("k_left") / tile).alias("n_left"), F.ceil(F.col("k_right") / tile).alias("n_right"))
+    keys = [*on, "chunk_left", "chunk_right"]
 
     def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
         chunk = F.pmod(F.xxhash64(key), F.col(f"n_{own}")).alias(f"chunk_{own}")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(f"chunk_{other}")
-        return rows.join(chunks, [*on]).select(*rows.columns, chunk, every).repartition(tasks, *on, "chunk_left", "chunk_right")
+        return rows.join(chunks, [*on]).select(*rows.columns, chunk, every).repartition(tasks, *keys)
 
-    keys = [*on, "chunk_left", "chunk_right"]
-    a, b = dealt(left, left_id, "left", "right").alias("a"), dealt(right, right_id, "right", "left").hint("merge").alias("b")
+    return dealt(left, left_id, "left", "right"), dealt(right, right_id, "right", "left"), keys
+
+
+def tiled(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, where: Column, how: str = "inner", tile: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` by the columns ``on``, which may have few values, and a condition, in ``tiles``.
+
+    A semi-join may give a row of left once for each chunk of right.
+    """
+    a, b, keys = tiles(left, right, on, left_id, right_id, tile)
+    a, b = a.alias("a"), b.hint("merge").alias("b")
     same = where
     for k in reversed(keys):
         same = (F.col(f"a.{k}") == F.col(f"b.{k}")) & same

@@ -551,13 +551,10 @@ def month_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose intervals meet and whose vectors correlate by a half or more."""
-    vectors = month_vectors(spark, sf_dir).withColumn("ss", seqs.dot(F.col("e"), F.col("e")))
-    pairs = merging.meeting(cluster_rows(spark, sf_dir))
-    for c in ("a", "b"):
-        pairs = pairs.join(vectors.select(F.col("seed").alias(c), F.col("e").alias(f"e{c}"), F.col("ss").alias(f"s{c}")), c)
-    cor = F.round(seqs.correlation(F.col("ea"), F.col("eb"), F.col("sa"), F.col("sb")), 9)
-    return pairs.select("a", "b", "ra", "inside", cor.alias("p"), F.round("distance", 9).alias("distance")).where("p >= 0.5")
+    """Pairs whose intervals meet and whose vectors correlate by a half or more, rounded."""
+    vectors = month_vectors(spark, sf_dir).select("seed", F.col("e").alias("vec"), seqs.dot(F.col("e"), F.col("e")).alias("ss"))
+    pairs = merging.meeting(cluster_rows(spark, sf_dir), vectors, 0.499)
+    return pairs.select("a", "b", "ra", "inside", F.round("cor", 9).alias("p"), F.round("distance", 9).alias("distance")).where("p >= 0.5")
 
 
 @query()

@@ -57,6 +57,49 @@ def test_waves_are_one_pass(spark, farthest):
     assert len(out) == len({r["seed"] for r in out}) > 100
 
 
+@pytest.mark.parametrize("range_pairs", [1, 40, 500])
+def test_ranges_are_one_pass(spark, range_pairs):
+    """Ranges that wait for each other, and others that share no name; equal means and likenesses."""
+    rnd, rows = random.Random(range_pairs), []
+    for k in range(6):
+        names = [f"{k}/{i:03d}" for i in range(40)]
+        mean = {x: rnd.choice([1.0, 2.0, 3.0]) + k for x in names}
+        rank = sorted(names, key=lambda x: (-mean[x], x))
+        for i, a in enumerate(rank):
+            for b in rank[i + 1 : i + 12]:
+                if rnd.random() < 0.4:
+                    rows.append({"a": a, "b": b, "ra": mean[a], "inside": rnd.random() < 0.5, "p": rnd.choice([None, 0.5, rnd.random()]), "distance": rnd.choice([1.0, rnd.random()])})
+    rows = rows[:: 12 if range_pairs == 1 else 1]
+    out = merging.matched(spark.createDataFrame([tuple(r.values()) for r in rows], PAIRS), range_pairs=range_pairs).collect()
+    assert {r["seed"]: r["to"] for r in out} == one_pass(rows)
+
+
+def test_rounds_do_not_grow_with_a_chain(spark):
+    """Each of 400 clusters wants the next one most, so each waits for the one before."""
+    rows = [{"a": f"{i:03d}", "b": f"{i + k:03d}", "ra": 1_000.0 - i, "inside": True, "p": 1.0 / k, "distance": 0.0} for i in range(400) for k in (1, 2)]
+    sc = spark.sparkContext
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], PAIRS)
+    sc.setJobGroup("chain", "a chain of clusters")
+    try:
+        out = merging.matched(df).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["seed"]: r["to"] for r in out} == one_pass(rows)
+    assert len(sc.statusTracker().getJobIdsForGroup("chain")) < 60
+
+
+def test_correlations_of_pairs_that_meet(spark):
+    rnd = random.Random(4)
+    vec = {f"s{i:02d}": [0.0] * 3 if i == 7 else [rnd.uniform(-1, 1) for _ in range(3)] for i in range(40)}
+    ss = {x: sum(v * v for v in e) for x, e in vec.items()}
+    rows = spark.createDataFrame([(x, 1, 30.0 + i // 2, 0.0, 90.0) for i, x in enumerate(vec)], "seed string, sample int, mean double, lo double, hi double")
+    vectors = spark.createDataFrame([(x, vec[x], ss[x]) for x in vec], "seed string, vec array<double>, ss double")
+    cor = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b], strict=True)) / (ss[a] * ss[b]) ** 0.5 if ss[a] * ss[b] else 0.0
+    got = {(r["a"], r["b"]): r["cor"] for r in merging.meeting(rows, vectors, 0.0).collect()}
+    mean = {x: i // 2 for i, x in enumerate(vec)}
+    assert got == pytest.approx({(a, b): cor(a, b) for a in vec for b in vec if (-mean[a], a) < (-mean[b], b) and cor(a, b) >= 0})
+
+
 def test_pairs_of_intervals_are_those_of_all_pairs(spark):
     """Low means in some samples or all, means outside their interval, intervals of no width, and one as wide as all."""
     rnd, rows = random.Random(8), {}
