@@ -37,6 +37,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def rolled(data: np.ndarray) -> np.ndarray:
+    """``rolling`` of each row of a matrix, over its whole width."""
+    size = data.shape[1]
+    weights = np.ones(1, np.uint64)
+    while len(weights) < size:
+        step = min(len(weights), size - len(weights))
+        none = np.zeros(step, np.uint64)
+        weights = np.concatenate((weights * powers(step), none)) + np.concatenate((none, weights))
+    return BYTE[data] @ weights
+
+
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     out, n = values, 1
     while n < size:

@@ -15,10 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 
+from quillbin.llm.anchors import mixed, rolled, rolling
+
 #: Suffixes whose heads are in memory at once, for each of two arrays.
 BLOCK = 1 << 16
 #: Suffixes of a batch, about.
 BATCH = 1 << 18
+#: Bytes that are hashed at once.
+HASHED = 1 << 18
 
 
 class Level(NamedTuple):
@@ -73,11 +77,14 @@ class SuffixLevels:
         self.length = length
         self.levels: list[Level] = []
 
-    def add(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """The first counts[i] suffixes of texts[i], all at least ``length`` long; a boolean for each."""
+    def add(self, texts: list[bytes], counts: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The first counts[i] suffixes of texts[i], all at least ``length`` long; a boolean for each, False for those that are not ``wanted``."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         base = np.cumsum([0, *map(len, texts[:-1])])
         starts = np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        own_places = np.arange(len(starts)) if wanted is None else np.flatnonzero(wanted)
+        out = np.zeros(len(starts), bool)
+        starts = starts[own_places]
         own = heads(data, starts, self.length)
         order = np.argsort(own, kind="stable")  # equal heads keep the corpus order
         own = own[order]
@@ -91,18 +98,57 @@ class SuffixLevels:
             while len(self.levels) > 1 and len(self.levels[-2].at) < 2 * len(self.levels[-1].at):
                 b, a = self.levels.pop(), self.levels.pop()
                 self.levels.append(merged(a, b, self.length))
-        out = np.empty(len(seen), bool)
-        out[order] = seen
+        out[own_places[order]] = seen
         return out
 
 
+def head_hashes(texts: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each of the first counts[i] offsets of texts[i]; equal bytes have equal ones."""
+    out = np.empty(int(counts.sum()), np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(counts) - counts
+    single = sizes == length
+    for alone in (True, False):
+        own = np.flatnonzero(single == alone)
+        upto = np.cumsum(sizes[own])
+        i = 0
+        while i < len(own):
+            j = max(i + 1, int(np.searchsorted(upto, (int(upto[i - 1]) if i else 0) + HASHED, "right")))
+            some = own[i:j]
+            data = np.frombuffer(b"".join([texts[k] for k in some.tolist()]), np.uint8)
+            n = counts[some]
+            places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if alone:
+                h = rolled(data.reshape(-1, length))
+            else:
+                h = rolling(data, length)[np.repeat(np.cumsum(sizes[some]) - sizes[some], n) + places]
+            out[np.repeat(first[some], n) + places] = h
+            i = j
+    return mixed(out)
+
+
+def not_alone(h: np.ndarray) -> np.ndarray:
+    """Which of the values are there twice or more."""
+    order = np.sort(h)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return np.zeros(len(h), bool)
+    k = np.searchsorted(twice, h)
+    k[k == len(twice)] = 0
+    return twice[k] == h
+
+
 def repeated(texts: list[bytes], counts: np.ndarray, length: int, batch: int = BATCH) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For each batch of texts in corpus order: its first text, the one after its last, and which of its suffixes are repeats."""
+    """For each batch of texts in corpus order: its first text, the one after its last, and which of its suffixes are repeats.
+
+    A suffix whose first bytes' hash no other one has is no repeat and is not compared.
+    """
     index = SuffixLevels(length)
     upto = np.cumsum(counts)
+    wanted = not_alone(head_hashes(texts, counts, length))
     i = 0
     while i < len(texts):
         before = int(upto[i - 1]) if i else 0
         j = max(i + 1, int(np.searchsorted(upto, before + batch, "right")))
-        yield i, j, index.add(texts[i:j], counts[i:j])
+        yield i, j, index.add(texts[i:j], counts[i:j], wanted[before : int(upto[j - 1])])
         i = j

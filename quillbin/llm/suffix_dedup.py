@@ -113,8 +113,17 @@ def found_rows(s: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def compared(p: pd.DataFrame, texts: list[bytes], length: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-    """Runs ``(part, row, start, count, ...)`` in corpus order with their bytes, batch by batch: the spans that a family of suffix arrays has had before, and the stretches that are new, with ``run`` and ``at`` for their place in texts."""
+    """Runs ``(part, row, start, count, ...)`` in corpus order with their bytes, batch by batch: the spans that a family of suffix arrays has had before, and the stretches that are new, with ``run`` and ``at`` for their place in texts.
+
+    Of runs with the same bytes only the first is compared, as all starts of the others are repeats.
+    """
     part, row, start, count = (p[c].to_numpy(np.int64) for c in ("part", "row", "start", "count"))
+    again = pd.Series(texts, dtype=object).duplicated().to_numpy(bool)
+    if again.any():
+        yield spans(*(x[again] for x in (part, row, start)), (start + count)[again] + length - 1), pd.DataFrame(dict.fromkeys(("run", "at", "count", "part", "row", "start"), np.zeros(0, np.int64)))
+    kept = np.flatnonzero(~again)
+    part, row, start, count = (x[kept] for x in (part, row, start, count))
+    texts = [texts[k] for k in kept.tolist()]
     for i, j, seen in repeated(texts, count, length):
         n = count[i:j]
         run = np.repeat(np.arange(i, j), n)
@@ -122,7 +131,7 @@ def compared(p: pd.DataFrame, texts: list[bytes], length: int) -> Iterator[tuple
         first, size = stretches(run, seen)
         own = pd.DataFrame({"run": run[first], "at": at[first], "count": size, "part": part[run[first]], "row": row[run[first]], "start": start[run[first]] + at[first]})
         old = own[seen[first]]
-        yield spans(*(old[c].to_numpy() for c in ("part", "row", "start")), (old["start"] + old["count"] + length - 1).to_numpy()), own[~seen[first]]
+        yield spans(*(old[c].to_numpy() for c in ("part", "row", "start")), (old["start"] + old["count"] + length - 1).to_numpy()), own[~seen[first]].assign(run=lambda x: kept[x["run"]])
 
 
 def cut_pieces(known: DataFrame, parts: DataFrame, length: int, hot: int) -> DataFrame:

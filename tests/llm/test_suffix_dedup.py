@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 import pytest
 
@@ -121,3 +122,28 @@ def test_levels_grow_geometrically():
         assert index.add(texts, counts).tolist() == want
         sizes = [len(x.at) for x in index.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_only_suffixes_whose_bytes_may_be_there_twice_are_compared(monkeypatch):
+    from quillbin.llm import suffix_arrays, suffix_dedup
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 5_000, np.uint8).tobytes()
+    texts = [base[:900], base[1_000:1_100], base[800:1_000], base[:900], base[1_000:1_100], base[2_000:2_100], base[3_000:4_000]]
+    counts = np.array([len(t) - 99 for t in texts], np.int64)
+    compared, heads = [], suffix_arrays.heads
+    monkeypatch.setattr(suffix_arrays, "heads", lambda text, at, length: compared.append(len(at)) or heads(text, at, length))
+    seen = np.concatenate([s for _, _, s in suffix_arrays.repeated(texts, counts, 100)])
+    known, want = set(), []
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        for i in range(n):
+            want.append(t[i : i + 100] in known)
+            known.add(t[i : i + 100])
+    assert seen.tolist() == want and sum(want) > 800
+    assert sum(compared) < 2 * 801 + 100 < counts.sum()
+    rows = pd.DataFrame({"part": 0, "row": range(len(texts)), "start": 0, "count": counts})
+    del compared[:]
+    found = [*suffix_dedup.compared(rows, texts, 100)]
+    spans = sorted(tuple(r) for old, _ in found for r in old[["row", "start", "end"]].to_numpy().tolist())
+    assert spans == [(2, 0, 100), (3, 0, 900), (4, 0, 100)]
+    assert sum(len(new) for _, new in found) > 3 and sum(compared) < 10
