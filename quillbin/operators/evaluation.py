@@ -85,12 +85,21 @@ def one_genome(bins: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("bin", "n_bins", percent(F.col("most"), F.col("bin_length")).alias("precision"), percent(F.col("most"), F.col("total")).alias("sensitivity"), percent(F.col("inside"), F.col("total")).alias("assigned"), percent(F.col("all_inside"), F.col("all")).alias("assigned_all"))
 
 
+#: Spans that a task sorts, about.
+TASK_SPANS = 1_000_000
+
+
 def covered(spans: DataFrame, by: list[str]) -> DataFrame:
-    """``spans(by..., start, end)``, ends included and in either order, to ``(by..., covered)``: places in any of them."""
+    """``spans(by..., start, end)``, ends included and in either order, to ``(by..., covered)``: places in any of them.
+
+    Groups are dealt out to as many tasks as the spans need, so a task's memory does not grow with the
+    table; equal spans are left for the sort, where the second adds nothing.
+    """
+    tasks = max(1, -(-spans.count() // TASK_SPANS))
     lo, hi = F.least("start", "end"), F.greatest("start", "end")
     order = W.partitionBy(*by).orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = spans.select(*by, lo.alias("lo"), hi.alias("hi")).distinct().withColumn("reach", reach)
+    rows = spans.select(*by, lo.alias("lo"), hi.alias("hi")).repartition(tasks, *by).withColumn("reach", reach)
     new = F.greatest(F.col("hi") - F.greatest(F.col("lo") - 1, F.coalesce("reach", F.col("lo") - 1)), F.lit(0))
     return rows.groupBy(*by).agg(F.sum(new).alias("covered"))
 
