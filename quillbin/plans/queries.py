@@ -446,6 +446,8 @@ SELECT doc_id, piece, CAST(place AS BIGINT) AS place, round(list_avg(list_transf
 def piece_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 200 letters of a document are a piece, which may stand in it before; depths are a rule of the place."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("parent"), seqs.cleaned(F.col("text")).alias("seq")).where("seq <> ''")
+    seeds.shared_folder(spark)
+    docs = docs.repartition("parent").checkpoint()  # texts are read and cleaned once, not by each step, and letters dealt out
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 200)))
     pieces = docs.select("parent", "seq", at.alias("id")).select("id", "parent", F.substring("seq", (F.col("id") * 200 + 1).cast("int"), F.lit(200)).alias("seq"))
     depths = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda x: ((x * 37 + F.col("parent")) % 61).cast("double"))

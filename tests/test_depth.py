@@ -72,3 +72,12 @@ def test_pieces_in_parents(spark, block):
 def test_no_pieces(spark):
     none = spark.createDataFrame([], "parent string, position long, seq string, depths array<double>")
     assert depth.piece_means(none.select(F.lit("x").alias("id"), "parent", "seq"), none.drop("depths"), none.drop("seq")).count() == 0
+
+
+def test_texts_are_read_once_for_their_pieces(spark, sf, monkeypatch):
+    from quillbin.plans import queries
+
+    asked, means = [], depth.piece_means
+    monkeypatch.setattr(depth, "piece_means", lambda *tables: asked.extend(tables) or means(*tables))
+    assert queries.piece_depth(spark, sf).count() > 0
+    assert [t.inputFiles() for t in asked] == [[], [], []]
