@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillbin.functions import statistics
 from quillbin.operators import coverage, naive_bayes, shared
 
 
@@ -99,6 +101,29 @@ def test_squares_are_summed_about_the_rounded_mean(spark):
     assert {r["seed"]: (r["mean"], r["lo"], r["hi"]) for r in got} == want
 
 
+def test_means_halfway_between_decimals_are_rounded_as_in_sql(spark, duck):
+    """Means of two members, all halfway: a double's product by 100 decides, not the digits it is shown with."""
+    halves = [(2 * k + 1) / 200 for k in range(5_000)]
+    rows = [(i, 1, x, 1.0) for i, h in enumerate(halves) for x in (h, h)]
+    members = spark.createDataFrame(rows, "seed long, sample int, mean double, length double").repartition(4)
+    want = {i: duck.execute("select round(?::double, 2)", [h]).fetchall()[0][0] for i, h in enumerate(halves)}
+    assert any(want[i] != round(h + 0.005, 2) for i, h in enumerate(halves))
+    for got in (coverage.marker_interval(members, spark.createDataFrame([(1, 0.1, 0.2)], "sample int, sd1 double, sd2 double")), coverage.member_interval(members)):
+        assert {r["seed"]: r["mean"] for r in got.collect()} == want
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    rnd = random.Random(6)
+    groups = {i: [rnd.choice([1, -1]) * rnd.uniform(0.5, 2) * 10.0 ** rnd.randrange(0, 7) for _ in range(rnd.randrange(1, 30))] for i in range(300)}
+    groups |= {1_000: [0.1] * 10, 1_001: [1e300, 1.0, -1e300], 1_002: [float("inf"), 1.0], 1_003: [2.0**51] * 5_000}
+    want = {i: sum(x) if i > 1_000 else math.fsum(x) for i, x in groups.items()}
+    for _ in range(2):
+        rows = [(i, x) for i, own in groups.items() for x in rnd.sample(own, len(own))]
+        got = spark.createDataFrame([*rows, (1_004, None)], "id long, x double").groupBy("id").agg(statistics.exact_sum(F.col("x")).alias("s")).collect()
+        assert {r["id"]: r["s"] for r in got if r["id"] not in (1_001, 1_004)} == {i: s for i, s in want.items() if i != 1_001}
+        assert [r["s"] for r in got if r["id"] == 1_004] == [None]
+
+
 @pytest.mark.parametrize("n_samples", [1, 2])
 def test_one_crowded_cell_is_dealt_to_many_tasks(spark, monkeypatch, n_samples):
     """All means and intervals in one cell: as many tasks as pairs need, and each pair once."""
