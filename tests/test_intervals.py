@@ -137,3 +137,18 @@ def test_one_crowded_cell_is_dealt_to_many_tasks(spark, monkeypatch, n_samples):
     rest = coverage.within_or_first(x, s.withColumn("hi", F.lit(22).cast("long")).withColumn("seed", F.col("seed").cast("string")), n_samples, "first")
     assert {r["id"] for r in rest.where("seed = 'first'").collect()} == {i for i in range(150) if i % 3 == 2}
     assert rest.count() == 100 * 60 + 50
+
+
+def test_equal_intervals_are_met_once(spark, monkeypatch):
+    """Four kinds of 90 seeds, some with an end or both missing: as many rows meet as there are kinds, and all pairs come out."""
+    x = spark.createDataFrame([(i, k, float(i % 7) * 5) for i in range(60) for k in (1, 2)], "id long, sample int, mean double")
+    kinds = [((9.0, 4, 16), (9.0, 0, 40)), ((2.0, 0, 1), (9.0, 11, 21)), ((9.0, None, None), (9.0, 0, 40)), ((2.0, None, 3), (2.0, 5, None))]
+    s = spark.createDataFrame([(f"s{j}", k, *kinds[j % 4][k - 1]) for j in range(90) for k in (1, 2)], "seed string, sample int, mean double, lo long, hi long")
+    fits = lambda m, mean, lo, hi: mean < 5 or lo is not None and lo <= m <= hi
+    want = sorted((i, f"s{j}") for i in range(60) for j in range(90) if all(fits(float(i % 7) * 5, *kind) for kind in kinds[j % 4]))
+    assert sorted(map(tuple, coverage.within(x, s, 2).collect())) == want and len(want) > 1_000
+    own = coverage.meeting_cells(x, s, 2, False, True, 100.0)[1]
+    assert own.count() == own.select("seed").distinct().count() == 4
+    monkeypatch.setattr(coverage, "ALIKE", 20)
+    assert sorted(map(tuple, coverage.within(x, s, 2).collect())) == want
+    assert max(len(r["seeds"]) for r in coverage.meeting_cells(x, s, 2, False, True, 100.0)[1].collect()) < 20
