@@ -2,7 +2,7 @@
 
 Pairs whose coverage agrees come from a join of intervals by cells of one sample, that in
 which the first cluster's interval is narrowest; the merges of a round are those of one
-pass over the clusters in order, range by range.
+pass over the clusters in order, most of which need the partners they like best only.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from quillbin.operators import composition, coverage, markers, shared
 from quillbin.operators.composites import is_key
-from quillbin.operators.shared import shared_folder, tiles, written
+from quillbin.operators.shared import shared_folder, tiles
 
 
 #: So many marker sequences of a cluster stand for all of it.
 MARKERS = 10
-#: Pairs of a range of leads, about; a task streams through those of one range.
-RANGE_PAIRS = 4_000_000
+#: Pairs of whole lists and of lists that are cut that a task streams through, about, and partners of a lead in the latter.
+RANGE_PAIRS, HEAD_PAIRS, HEAD = 1_000_000, 4_000_000, 16
 #: Clusters of each side whose intervals are compared at once.
 MEETING = 1_024
 
@@ -147,25 +147,29 @@ def candidates(intervals: DataFrame, comp: DataFrame, copied: DataFrame, cutoffs
 
 
 def choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over rows ``(range, m, a, b)`` in the order of range, lead and preference: each lead that is not gone takes its first partner that is not; rows without m name those gone before."""
-    at = lead = None
+    """One pass over rows ``(a, b, m, more)`` in the order of lead and preference: each lead that is not gone takes its first partner that is not.
+
+    A row with ``more`` ends a list that was cut: a lead that comes to it free ends the pass, and is named without a seed.
+    """
+    lead = None
     gone: set[str] = set()
-    free = False
+    free = over = False
     for batch in batches:
         new = []
-        for place, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("range", "m", "a", "b")), strict=True):
-            if place != at:
-                at, lead, gone = place, None, set()
-            if m is None:
-                gone.add(b)
-                continue
+        for a, b, m, more in () if over else zip(*(batch.column(c).to_pylist() for c in ("a", "b", "m", "more")), strict=True):
             if a != lead:
                 lead, free = a, a not in gone
-            if free and b not in gone:
+            if not free:
+                continue
+            if more:
+                new.append((None, a, m))
+                over = True
+                break
+            if b not in gone:
                 gone.add(b)
                 free = False
-                new.append((b, a))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.string()) for i in (0, 1)], ["seed", "to"])
+                new.append((b, a, m))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["seed", "to", "m"])
 
 
 def matched(pairs: DataFrame, farthest: bool = True, range_pairs: int | None = None) -> DataFrame:
@@ -173,34 +177,40 @@ def matched(pairs: DataFrame, farthest: bool = True, range_pairs: int | None = N
 
     Leads come by mean, then by name, and each takes one partner that is still free, unless
     it was taken itself.  Partners with their mean inside come first, the most alike one; of
-    others the farthest (as the pipeline has always had it) or the nearest.  Leads are cut in
-    their order to ranges of about ``range_pairs`` pairs (``RANGE_PAIRS`` by default), and a
-    range is passed through, sorted, in one task, once those before it that want one of its
-    names are done.  Ranges that share no name go at the same time, and each pair is read
-    once, so rounds are as many as ranges at most.
+    others the farthest (as the pipeline has always had it) or the nearest.  A pass in one task
+    reads the first ``range_pairs`` pairs, about (``RANGE_PAIRS`` by default), whole and of later
+    leads the ``HEAD`` partners they want most, up to ``HEAD_PAIRS``.  It ends where a lead finds
+    all of those taken; what is left over and free is ordered anew for the next pass.
     """
     spark = pairs.sparkSession
+    shared_folder(spark)
+    most = range_pairs or RANGE_PAIRS
     far = F.when(F.col("inside"), -F.coalesce("p", F.lit(0.0))).otherwise(F.col("distance") * (-1 if farthest else 1))
-    names = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), (-F.col("ra").cast("double")).alias("m"), (~F.col("inside")).alias("out"), far.cast("double").alias("far")).checkpoint()
-    found = names.select(F.col("b").alias("seed"), F.col("a").alias("to")).limit(0)
-    n = names.count()
-    if not n:
-        return found
-    rows = written(names.repartitionByRange(-(-n // (range_pairs or RANGE_PAIRS)), "m", "a").withColumn("range", F.spark_partition_id()), "range")
-    each = rows.select("range", F.col("b").alias("name"), F.lit(True).alias("wants")).unionByName(rows.select("range", F.col("a").alias("name"), F.lit(False).alias("wants")))
-    named = each.groupBy("range", "name").agg(F.max("wants").alias("wants")).checkpoint()
-    before = F.max(F.when(F.col("wants"), F.col("range"))).over(W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    # the last range before that wants a name has waited for the others that want it
-    waits: dict[int, set[int]] = {}
-    for r in named.select("range", before.alias("on")).distinct().collect():  # numbers of ranges
-        waits.setdefault(r["range"], set()).add(r["on"])
-    while waits:
-        ready = [r for r, on in waits.items() if not on & waits.keys()]
-        gone = named.where(F.col("range").isin(ready)).join(found.select(F.col("seed").alias("name")), "name", "left_semi")
-        own = rows.where(F.col("range").isin(ready)).unionByName(gone.select("range", F.col("name").alias("b")), allowMissingColumns=True)
-        own = own.repartition(len(ready), "range").sortWithinPartitions("range", "m", "a", "out", "far", "b")
-        found = found.unionByName(own.select("range", "m", "a", "b").mapInArrow(choices, "seed string, to string")).checkpoint()
-        waits = {r: on for r, on in waits.items() if r not in ready}
+    rest = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), (-F.col("ra").cast("double")).alias("m"), (~F.col("inside")).alias("out"), far.cast("double").alias("far")).checkpoint()
+    found = rest.select(F.col("b").alias("seed"), F.col("a").alias("to")).limit(0)
+    while n := rest.count():
+        rows, at, again = rest.withColumn("more", F.lit(False)), None, False
+        if n > most:
+            each = rest.groupBy("m", "a").agg(F.count("*").alias("k")).select(F.lit(0).alias("all"), F.struct("m", "a").alias("lead"), "k", F.least("k", F.lit(HEAD + 1)).alias("head"))
+            leads = coverage.running(coverage.running(each, "all", "lead", "k").withColumnRenamed("to", "upto"), "all", "lead", "head")
+            leads = leads.where(F.col("to") - F.col("head") < HEAD_PAIRS).select("lead", F.col("lead.a").alias("a"), (F.col("upto") - F.col("k") < most).alias("whole")).checkpoint()
+            at = leads.agg(F.max("lead")).first()[0]  # one lead
+            place = F.row_number().over(W.partitionBy("a").orderBy("out", "far", "b"))
+            heads = rest.join(leads.where("not whole").select("a"), "a", "left_semi").withColumn("place", place).where(F.col("place") <= HEAD + 1)
+            rows = rest.join(leads.where("whole").select("a"), "a", "left_semi").withColumn("more", F.lit(False)).unionByName(heads.withColumn("more", F.col("place") > HEAD).drop("place"))
+        rows = rows.repartition(1).sortWithinPartitions("m", "a", "out", "far", "b").select("a", "b", "m", "more")
+        step = rows.mapInArrow(choices, "seed string, to string, m double").checkpoint()
+        taken = step.where("seed is not null").select("seed", "to")
+        found = found.unionByName(taken).checkpoint()
+        if stop := step.where("seed is null").first():  # one lead
+            at, again = {"m": stop["m"], "a": stop["to"]}, True
+        if at is None:
+            break
+        m, a = F.lit(at["m"]), F.lit(at["a"])
+        rest = rest.where((F.col("m") > m) | ((F.col("m") == m) & (F.col("a") >= a if again else F.col("a") > a)))
+        for c in ("a", "b"):
+            rest = rest.join(taken.select(F.col("seed").alias(c)), c, "left_anti")
+        rest = rest.checkpoint()
     return found
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillbin.operators import markers, merging, shared
+from quillbin.operators import coverage, markers, merging, shared
 from quillbin.plans import queries
 
 PAIRS = "a string, b string, ra double, inside boolean, p double, distance double"
@@ -74,6 +74,21 @@ def test_ranges_are_one_pass(spark, range_pairs):
     assert {r["seed"]: r["to"] for r in out} == one_pass(rows)
 
 
+def test_lists_that_are_cut_are_one_pass(spark, monkeypatch):
+    """Leads that all want the same partners most, so that cut lists run out, among others; passes are fewer than ranges of whole lists."""
+    monkeypatch.setattr(merging, "HEAD", 3)
+    rnd, rows = random.Random(12), []
+    for i in range(150):
+        for j in rnd.sample(range(150, 400), 40) if i >= 12 else range(150, 190):
+            rows.append({"a": f"{i:03d}", "b": f"{j:03d}", "ra": 900.0 - i // 2, "inside": i < 12 or rnd.random() < 0.6, "p": 1 / j if i < 12 else rnd.random(), "distance": float(j)})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], PAIRS)
+    passes = []
+    monkeypatch.setattr(merging.coverage, "running", lambda *x, run=coverage.running: passes.append(1) or run(*x))
+    out = {r["seed"]: r["to"] for r in merging.matched(df, range_pairs=100).collect()}
+    assert out == one_pass(rows) and len(out) == 150
+    assert 2 < len(passes) // 2 < 20 < len(rows) // 100
+
+
 def test_rounds_do_not_grow_with_a_chain(spark):
     """Each of 400 clusters wants the next one most, so each waits for the one before."""
     rows = [{"a": f"{i:03d}", "b": f"{i + k:03d}", "ra": 1_000.0 - i, "inside": True, "p": 1.0 / k, "distance": 0.0} for i in range(400) for k in (1, 2)]
